@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat_format import digests, transcripts
 from .common import table
+from .html_extract import extract_pages
+from .language_id import identify
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 
@@ -18,6 +20,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.createDataFrame([(-1, 0, "user", INJECTION), (-1, 1, "assistant", INJECTION)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -29,6 +35,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 OP4_SQL = f"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
@@ -51,7 +61,9 @@ from ended group by conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL}
