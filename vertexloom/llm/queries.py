@@ -10,6 +10,7 @@ from .chat_format import digests, transcripts
 from .common import table
 from .html_extract import extract_pages
 from .language_id import identify
+from .piece_sampling import round_trip
 from .quality_classifier import classify
 from .quality_rules import quality_rules
 
@@ -35,6 +36,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
     "op6_quality_rules": op6_quality_rules,
+    "op8_piece_sampling": op8_piece_sampling,
     "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {"op4_chat_format": OP4_SQL}
