@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import Staged, release, shared_dir  # noqa: F401
+
 #: Java and Python form of the one word pattern that every operator uses.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Entries a task's word cache may hold before it starts again.
@@ -24,42 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    here = spark.conf.get("spark.checkpoint.dir", None)
-    if not here:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        here = at.get() if at.isDefined() else None
-    if not here:
-        here = "/tmp/checkpoints/vertexloom"
-        spark.sparkContext.setCheckpointDir(here)
-    return here
-
-
-class Staged:
-    """A table written to the shared folder: it cuts lineage and survives lost executors."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Deletes the files; nothing lazy may still read them."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        release(self.spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of frames that are no longer referenced."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def bucket(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the folds of learned operators."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
