@@ -31,12 +31,12 @@ STRATA = (100, 1000)
 GRID = 1000
 #: rule: statistic, each rejecting where it is large.
 RULES = {
-    "symbols": F.expr("n_symbols / greatest(n_words, 1)"),
-    "dup_lines": F.expr("n_dup_lines / greatest(n_lines, 1)"),
-    "repeats": F.expr("n_repeat_words / greatest(n_words, 1)"),
-    "upper": F.expr("n_upper / greatest(word_chars, 1)"),
-    "digits": F.expr("n_digits / greatest(word_chars, 1)"),
-    "long_words": F.expr("least(word_chars / greatest(n_words, 1), 1000D) / 10"),
+    "symbols": "n_symbols / greatest(n_words, 1)",
+    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
+    "repeats": "n_repeat_words / greatest(n_words, 1)",
+    "upper": "n_upper / greatest(word_chars, 1)",
+    "digits": "n_digits / greatest(word_chars, 1)",
+    "long_words": "least(word_chars / greatest(n_words, 1), 1000D) / 10",
 }
 
 
@@ -123,7 +123,7 @@ def certify(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta:
 
 def step(rule: str) -> Column:
     """Grid step of a statistic; the grid ends at 100 units, so it has a fixed size."""
-    return F.least(F.floor(RULES[rule] * GRID), F.lit(100 * GRID)).cast("long")
+    return F.least(F.floor(F.expr(RULES[rule]) * GRID), F.lit(100 * GRID)).cast("long")
 
 
 def apply_rules(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
