@@ -33,7 +33,7 @@ from .common import mix, rows_of
 
 ALPHA = 1.0
 #: Characters of text that are sampled together; a longer text is taken alone.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 400_000
 SPACE = "▁"
 _MARK, _OWN_MARK = 0x2581, 0x110000  # `▁` for a space, and in the text itself
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -47,28 +47,27 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class Pieces:
-    """Vocabulary: a hash of each piece's code points -> (id, log weight), byte pieces, and each id's bytes."""
+    """Vocabulary: a hash of each piece's code points -> (id, log weight), and byte pieces."""
 
     def __init__(self, path: str, alpha: float = ALPHA):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         self.byte = np.zeros(256, np.int32)
-        self.raw: list[bytes] = []
         found: list[tuple[str, int]] = []
         for i in range(m.get_piece_size()):
             p = m.id_to_piece(i)
             if m.is_byte(i):
                 self.byte[int(p[3:5], 16)] = i
-                self.raw.append(bytes([int(p[3:5], 16)]))
-            elif m.is_control(i) or m.is_unknown(i):
-                self.raw.append(b"")
-            else:
-                self.raw.append(p.replace(SPACE, " ").encode())
-                if SPACE not in p[1:] and " " not in p and "\n" not in p:
-                    found.append((p, i))
+            elif not (m.is_control(i) or m.is_unknown(i)) and SPACE not in p[1:] and " " not in p and "\n" not in p:
+                found.append((p, i))
         self.longest = max(len(p) for p, _ in found)
-        hashes = np.array([hash_points(points(p)) for p, _ in found], np.uint64)
+        sizes = np.array([len(p) for p, _ in found])
+        at, hashes = np.cumsum(sizes) - sizes, np.zeros(len(found), np.uint64)
+        spelled = points("".join(p for p, _ in found))
+        for n in range(self.longest):
+            longer = np.flatnonzero(sizes > n)
+            hashes[longer] = mix(hashes[longer] * _ROLL + spelled[at[longer] + n])
         order = np.argsort(hashes)
         self.hashes = hashes[order]
         self.ids = np.array([i for _, i in found], np.int32)[order]
@@ -85,15 +84,20 @@ class Pieces:
         return at[hit], row[hit]
 
 
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def spellings(path: str) -> list[bytes]:
+    """The bytes that each piece id stands for."""
+    import sentencepiece
 
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = []
+    for i in range(m.get_piece_size()):
+        p = m.id_to_piece(i)
+        out.append(bytes([int(p[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else p.replace(SPACE, " ").encode())
+    return out
 
-def hash_points(c: np.ndarray) -> np.uint64:
-    h = np.zeros(1, np.uint64)
-    for x in c:
-        h = mix(h * _ROLL + np.uint64(x))
-    return h[0]
+
+def points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def units(text: str) -> list[str]:
@@ -112,12 +116,12 @@ class Lattices:
         c = points("".join(distinct)).copy()
         size = np.fromiter(map(len, distinct), np.int64, len(distinct))
         begin = np.cumsum(size) - size
-        unit = np.repeat(np.arange(len(size)), size)
+        unit = np.repeat(np.arange(len(size), dtype=np.int32), size)
         c[c == _MARK] = _OWN_MARK
         c[begin[c[begin] == 32]] = _MARK
         left = np.repeat(begin + size, size) - np.arange(len(c))  # characters up to the unit's end
         starts, lengths, ids, weights = [], [], [], []
-        h, i = np.zeros(len(c), np.uint64), np.arange(len(c))
+        h, i = np.zeros(len(c), np.uint64), np.arange(len(c), dtype=np.int32)
         single = np.zeros(len(c), bool)
         for n in range(1, pieces.longest + 1):
             fits = left[i] >= n
@@ -125,15 +129,15 @@ class Lattices:
             h = mix(h * _ROLL + c[i + n - 1])
             at, row = pieces.find(h)
             starts.append(i[at])
-            lengths.append(np.full(len(at), n))
+            lengths.append(np.full(len(at), n, np.int32))
             ids.append(pieces.ids[row])
             weights.append(pieces.weights[row])
             if n == 1:
                 single[i[at]] = True
         spelled = np.flatnonzero(~single)
         starts.append(spelled)
-        lengths.append(np.ones(len(spelled), np.int64))
-        ids.append(-1 - c[spelled].astype(np.int64))
+        lengths.append(np.ones(len(spelled), np.int32))
+        ids.append(-1 - c[spelled].astype(np.int32))
         weights.append(np.full(len(spelled), pieces.floor))
         start, length = np.concatenate(starts), np.concatenate(lengths)
         source = start + unit[start]  # a unit has one node more than characters
@@ -199,20 +203,24 @@ def sample_batch(keys: np.ndarray, texts: list[str], pieces: Pieces) -> list[np.
     out = np.empty(len(ids), np.int64)
     out[(np.cumsum(count) - count)[unit] + count[unit] - 1 - depth] = ids
     total = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
-    parts = np.split(out, np.cumsum(total)[:-1])
-    return [spell(x, pieces) if len(x) and x.min() < 0 else x.astype(np.int32) for x in parts]
-
-
-def spell(ids: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Ids below 0 become the byte pieces of their character."""
-    out: list[int] = []
-    for i in ids.tolist():
-        if i >= 0:
-            out.append(i)
-        else:
-            point = _MARK if -1 - i == _OWN_MARK else -1 - i
-            out += pieces.byte[np.frombuffer(chr(point).encode("utf-8", "surrogatepass"), np.uint8)].tolist()
-    return np.array(out, np.int32)
+    out, size = spell(out, pieces)
+    ends = np.r_[0, np.cumsum(size)][np.cumsum(total)]
+    return np.split(out, ends[:-1])
+
+
+def spell(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids below 0 become the byte pieces of their character; and how many pieces each id became."""
+    size, at = np.ones(len(ids), np.int64), np.flatnonzero(ids < 0)
+    chars, which = np.unique(-1 - ids[at], return_inverse=True)
+    spelled = [pieces.byte[np.frombuffer(chr(_MARK if c == _OWN_MARK else c).encode("utf-8", "surrogatepass"), np.uint8)] for c in chars.tolist()]
+    size[at] = np.array([len(x) for x in spelled], np.int64)[which] if len(at) else 0
+    out = np.repeat(ids, size).astype(np.int32)
+    first = np.cumsum(size) - size
+    for k in range(4):  # the k-th byte of each
+        longer = np.flatnonzero(size[at] > k)
+        table = np.array([x[k] if len(x) > k else 0 for x in spelled], np.int32)
+        out[first[at[longer]] + k] = table[which[longer]] if len(longer) else 0
+    return out, size
 
 
 def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:
@@ -253,7 +261,7 @@ def decode(encoded: DataFrame, path: str | None = None, out: str = "decoded") ->
     schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = Pieces(path).raw
+        raw = spellings(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index("pieces"))
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy()

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .backoff_lm import score
 from .chat_format import digests, transcripts
 from .common import table
+from .decontaminate import matches
 from .html_extract import extract_pages
 from .language_id import identify
 from .ngram_jaccard_join import jaccard_components
@@ -37,6 +39,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(transcripts(rows.unionByName(own)))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +56,10 @@ def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -111,9 +121,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op4_chat_format": op4_chat_format,
+    "op5_decontaminate": op5_decontaminate,
     "op6_quality_rules": op6_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_piece_sampling": op8_piece_sampling,
+    "op9_backoff_lm": op9_backoff_lm,
     "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL}
