@@ -327,3 +327,10 @@ def _lists(docs: DataFrame, member: DataFrame, often: tuple, boundary: int) -> D
     shared = rows.withColumn("c", F.count("*").over(Window.partitionBy("key", "salt"))).where("hot or c > 1")
     classed = shared.select("key", "doc_id", "n").join(member.where("doc_id != class_id").select("doc_id", "class_id").distinct(), "doc_id", "left")
     return classed.select("key", F.coalesce("class_id", "doc_id").alias("doc_id"), "n").distinct()
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, that with the smallest id; of rows with equal ids one stays."""
+    gone = jaccard_components(docs).where("doc_id != component_id").select("doc_id").distinct()
+    stays = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return stays.select(*docs.columns).unionByName(docs.where("doc_id is null"))

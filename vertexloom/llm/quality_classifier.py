@@ -125,3 +125,16 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     return score(stats, model).select(
         "doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
     )
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The documents with a score of at least cut, all columns; the pass that scores also filters."""
+    model = fit(document_statistics(docs), labels.where(bucket(F.col("doc_id"), 4) != 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ((texts,),) = rows_of([batch], "text")
+            x = np.array([statistics(utf8(t)) for t in texts]).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(scores(x, model) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)
