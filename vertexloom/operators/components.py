@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import PropertyGraph
 from ..plans.lineage import Staged
+from ..plans.superstep import iterate
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:
@@ -44,3 +46,23 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
         if tuple(new) == mark or (max_rounds and rounds >= max_rounds):
             return now.df.select(F.col("u").alias("id"), F.col("v").alias("root"))
         mark = tuple(new)
+
+
+def connected_components(graph: PropertyGraph, max_rounds: int | None = None) -> DataFrame:
+    """(id, root) of every vertex: the smallest id of its weak component."""
+    roots = component_roots(graph.edges, max_rounds=max_rounds)
+    return graph.vertices.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def min_reachable_label(graph: PropertyGraph, max_rounds: int | None = None) -> DataFrame:
+    """(id, label): the smallest id that each vertex reaches along edges, itself included."""
+    edges = graph.edges.select("src", "dst").where("src != dst").distinct()
+    start = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
+
+    def step(state: DataFrame, _: int) -> DataFrame:
+        moved = state.where("changed").select(F.col("id").alias("dst"), F.col("label").alias("l"))
+        offers = edges.join(moved, "dst").groupBy(F.col("src").alias("id")).agg(F.min("l").alias("l"))
+        return state.join(offers, "id", "left").select("id", F.least("label", "l").alias("label"), F.coalesce(F.col("l") < F.col("label"), F.lit(False)).alias("changed"))
+
+    run = iterate(start, step, lambda s: not s.where("changed").isEmpty(), max_rounds, "label")
+    return run.result.select("id", "label")
