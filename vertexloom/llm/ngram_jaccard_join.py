@@ -11,7 +11,10 @@ that order the first k shingles that two linked sets share lie within the first
   heavy sets then scan the inverted lists of those shingles.
 
 The boundary minimises the expected number of rows published and scanned, from the histogram of
-set sizes and the mean list length.
+set sizes and an assumed number of rows met by a shingle.
+
+A pair is only taken up at a key after which both sets have enough shingles left to link; where a
+linked pair first meets they have.
 
 Lists are not expanded into pairs. Sets that are equal form one class first. Each list then offers
 links to one centre; candidates pass a parity bitmap (its Hamming distance never exceeds the
@@ -32,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import component_roots
@@ -43,6 +46,8 @@ WORDS, NUM, DEN = 5, 3, 4
 FREQUENT = 2e-6
 #: Shingles that a task counts at once.
 CHUNK = 4_000_000
+#: Rows of a list that a published shingle is taken to meet, when the boundary is chosen.
+SCAN = 4.0
 #: Rounds in which lists offer a link to one centre before all pairs across components are tried.
 STAR_ROUNDS = 2
 
@@ -130,7 +135,7 @@ def frequent_table(summary: DataFrame, total: int) -> tuple[np.ndarray, np.ndarr
 def choose_boundary(histogram: dict[int, int], scan: float) -> int:
     """The set size from which on inverted lists are expected to cost fewer rows than 2-subsets.
 
-    histogram: sets by size, in powers of two; scan: rows of a list met by each shingle published.
+    histogram: number of sets by size; scan: rows of a list met by each shingle published.
     """
     def cost(boundary: int) -> float:
         total = 0.0
@@ -145,18 +150,18 @@ def choose_boundary(histogram: dict[int, int], scan: float) -> int:
 
 
 def postings(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], boundary: int) -> DataFrame:
-    """(key, doc_id, n, hot): what each document publishes."""
+    """(key, doc_id, n, left, hot): what each document publishes; left: the most it can share from there on, what it shares there included."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (token, times) = WordHashes(), shared.value
-        keys, ids, sizes, hots, held = [], [], [], [], 0
+        keys, ids, sizes, lefts, hots, held = [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             n = [len(k) for k in keys]
             return pa.RecordBatch.from_arrays(
-                [pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(ids, n)), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(np.concatenate(hots))],
-                ["key", "doc_id", "n", "hot"],
+                [pa.array(signed(np.concatenate(keys))), pa.array(np.repeat(ids, n)), pa.array(np.repeat(sizes, n).astype(np.int32)), pa.array(np.concatenate(lefts).astype(np.int32)), pa.array(np.concatenate(hots))],
+                ["key", "doc_id", "n", "left", "hot"],
             )
 
         for doc_ids, texts in rows_of(batches, "doc_id", "text"):
@@ -173,23 +178,25 @@ def postings(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], boundary: in
                 if DEN * n >= NUM * boundary:
                     p1 = first[: prefix(n, 1)]
                     keys.append(h[p1])
+                    lefts.append(n - np.arange(len(p1)))
                     hots.append(weight[p1] > 0)
                     ids.append(i)
                     sizes.append(n)
                 if n < boundary:
                     a, b = np.triu_indices(len(first), 1)
                     keys.append(mix(h[first[a]] * np.uint64(0x9E3779B97F4A7C15) + h[first[b]]) ^ np.uint64(1))
+                    lefts.append(n - b + 1)
                     hots.append((weight[first[a]] > 0) & (weight[first[b]] > 0))
                     ids.append(i)
                     sizes.append(n)
                 held += n
                 if held > 400_000 and keys:
                     yield flush()
-                    keys, ids, sizes, hots, held = [], [], [], [], 0
+                    keys, ids, sizes, lefts, hots, held = [], [], [], [], [], 0
         if keys:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n int, hot boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, n int, left int, hot boolean")
 
 
 
@@ -287,10 +294,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         each.select("doc_id", "n", "sig1", "sig2").join(classes, ["n", "sig1", "sig2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")),
         "member",
     ).df
-    sizes = member.where("n > 2 and doc_id = class_id").groupBy(F.floor(F.log2("n")).alias("b")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect()
+    # sizes to 64 one by one, larger ones in steps of powers of two
+    step = F.when(F.col("n") <= 64, F.col("n")).otherwise(F.pow(F.lit(2.0), F.floor(F.log2("n"))).cast("long"))
+    sizes = member.where("n > 2 and doc_id = class_id").groupBy(step.alias("b")).agg(F.count("*").alias("c"), F.sum("n").alias("s")).collect()
     total = sum(r["s"] for r in sizes)
     often = frequent_table(summary, total)
-    boundary = choose_boundary({3 * 2 ** r["b"] // 2: r["c"] for r in sizes}, 1.0) if sizes else 2
+    boundary = choose_boundary({r["b"]: r["c"] for r in sizes}, SCAN) if sizes else 2
     comps = _Components(spark)
     if sizes:
         lists = Staged(_lists(docs, member, often, boundary), "lists").df
@@ -298,15 +307,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         for turn in range(STAR_ROUNDS + 1):
             labelled = Staged(comps.label(lists, "doc_id", "comp"), "labelled").df
             open_keys = labelled.groupBy("key").agg(
-                F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("doc_id", "n", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("c")
+                F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("doc_id", "n", "left", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("c")
             ).where("low != high")
             mine = labelled.join(open_keys, "key")
             if turn < STAR_ROUNDS:
-                pairs = mine.where("comp != c.comp").where(F.expr(f"{DEN} * least(n, c.n) >= {NUM} * greatest(n, c.n)")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
+                pairs = mine.where("comp != c.comp").where(_within("left", "c.left", "n", "c.n")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
             else:
-                mine = Staged(mine.select("key", "doc_id", "n", "comp"), "mine").df
-                other = mine.toDF("key", "doc_b", "n_b", "comp_b")
-                pairs = mine.join(other, "key").where("comp < comp_b").where(F.expr(f"{DEN} * least(n, n_b) >= {NUM} * greatest(n, n_b)")).select(F.least("doc_id", "doc_b").alias("a"), F.greatest("doc_id", "doc_b").alias("b"))
+                mine = Staged(mine.select("key", "doc_id", "n", "left", "comp"), "mine").df
+                other = mine.toDF("key", "doc_b", "n_b", "left_b", "comp_b")
+                pairs = mine.join(other, "key").where("comp < comp_b").where(_within("left", "left_b", "n", "n_b")).select(F.least("doc_id", "doc_b").alias("a"), F.greatest("doc_id", "doc_b").alias("b"))
             candidates = Staged(pass_bitmaps(pairs.distinct(), nodes), "candidates").df
             if candidates.isEmpty():
                 if turn < STAR_ROUNDS:
@@ -317,16 +326,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
+def _within(left_a: str, left_b: str, n_a: str, n_b: str) -> Column:
+    """Whether a pair that first meets at a key can still share enough; a linked pair can, where it first meets."""
+    return F.expr(f"{DEN + NUM} * least({left_a}, {left_b}) >= {NUM} * ({n_a} + {n_b})")
+
+
 def _lists(docs: DataFrame, member: DataFrame, often: tuple, boundary: int) -> DataFrame:
-    """(key, doc_id, n): published keys that two classes or more share, with the classes.
+    """(key, doc_id, n, left): published keys that two classes or more share, with the classes.
 
     Frequent keys are shared anyway, so they are dealt out by document; other keys have a bounded
     share of the rows and are counted where they meet.
     """
     rows = postings(docs, often, boundary).withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(4096))).otherwise(0))
     shared = rows.withColumn("c", F.count("*").over(Window.partitionBy("key", "salt"))).where("hot or c > 1")
-    classed = shared.select("key", "doc_id", "n").join(member.where("doc_id != class_id").select("doc_id", "class_id").distinct(), "doc_id", "left")
-    return classed.select("key", F.coalesce("class_id", "doc_id").alias("doc_id"), "n").distinct()
+    classed = shared.select("key", "doc_id", "n", "left").join(member.where("doc_id != class_id").select("doc_id", "class_id").distinct(), "doc_id", "left")
+    return classed.select("key", F.coalesce("class_id", "doc_id").alias("doc_id"), "n", "left").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
