@@ -17,7 +17,7 @@ A pair is only taken up at a key after which both sets have enough shingles left
 linked pair first meets they have.
 
 Lists are not expanded into pairs. Sets that are equal form one class first. Each list then offers
-links to one centre; candidates pass a parity bitmap (its Hamming distance never exceeds the
+links to a few centres; candidates pass a parity bitmap (its Hamming distance never exceeds the
 symmetric difference) and an exact comparison, and found links join components. After that a list
 offers only pairs from different components, so a group of near copies costs its length while no
 link between components is lost.
@@ -48,8 +48,10 @@ FREQUENT = 2e-6
 CHUNK = 4_000_000
 #: Rows of a list that a published shingle is taken to meet, when the boundary is chosen.
 SCAN = 4.0
-#: Rounds in which lists offer a link to one centre before all pairs across components are tried.
+#: Rounds in which lists offer links to centres before all pairs across components are tried.
 STAR_ROUNDS = 2
+#: Centres that a list offers in a round: the set that can share most from the key on, and others by hash.
+CENTRES = 6
 
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -307,11 +309,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         for turn in range(STAR_ROUNDS + 1):
             labelled = Staged(comps.label(lists, "doc_id", "comp"), "labelled").df
             open_keys = labelled.groupBy("key").agg(
-                F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(F.struct("doc_id", "n", "left", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("c")
+                F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*_centres(turn))).alias("centres")
             ).where("low != high")
             mine = labelled.join(open_keys, "key")
             if turn < STAR_ROUNDS:
-                pairs = mine.where("comp != c.comp").where(_within("left", "c.left", "n", "c.n")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
+                pairs = mine.withColumn("c", F.explode("centres")).where("comp != c.comp").where(_within("left", "c.left", "n", "c.n")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
             else:
                 mine = Staged(mine.select("key", "doc_id", "n", "left", "comp"), "mine").df
                 other = mine.toDF("key", "doc_b", "n_b", "left_b", "comp_b")
@@ -326,6 +328,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
+def _centres(turn: int) -> list[Column]:
+    one = F.struct("doc_id", "n", "left", "comp")
+    by_hash = [F.min_by(one, F.xxhash64("doc_id", F.lit(turn * CENTRES + j))) for j in range(1, CENTRES)]
+    return [F.max_by(one, F.struct("left", F.xxhash64("doc_id", F.lit(turn)))), *by_hash]
+
+
 def _within(left_a: str, left_b: str, n_a: str, n_b: str) -> Column:
     """Whether a pair that first meets at a key can still share enough; a linked pair can, where it first meets."""
     return F.expr(f"{DEN + NUM} * least({left_a}, {left_b}) >= {NUM} * ({n_a} + {n_b})")
