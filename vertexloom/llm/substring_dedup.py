@@ -11,7 +11,7 @@ anchor by themselves.
 
 1. Anchors that two documents share are found in one shuffle; anchors shared within a task's chunk
    are settled there and leave one marker row, so no anchor gathers more rows than there are chunks.
-2. Windows with shared anchors are compared as wholes, by 128 bits over all 13 words, again
+2. Windows with shared anchors are compared as wholes, by 96 bits over all 13 words, again
    combined in the tasks first: only a chunk's smallest document of each window is sent on.
 3. Words covered by a repeated window are removed.
 
@@ -125,7 +125,7 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def window_rows(candidates: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, at): windows with shared anchors; w1 is null where the repeat is already certain."""
+    """(w1, w2, doc_id, at): places of windows with shared anchors; w1 is null where the repeat is already certain."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, size = WordHashes(), [], 0
@@ -137,18 +137,15 @@ def window_rows(candidates: DataFrame) -> DataFrame:
             head = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
             least = np.repeat(doc[head], np.diff(np.r_[head, len(w1)]))
             sure = doc > least
-            # certain repeats: one row a document; others: one a window, with its places in the document
-            d, p = doc[sure], pos[sure]
-            o = np.argsort(d, kind="stable")
-            d, p = d[o], p[o]
-            cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]]) if len(d) else np.zeros(0, np.int64)
-            open_ = np.flatnonzero(~sure)
-            a, b, e, q = w1[open_], w2[open_], doc[open_], pos[open_]
-            group = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-            at = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(d) + group, len(d) + len(q)].astype(np.int32)), pa.array(np.concatenate([p, q]).astype(np.int32)))
-            nulls = pa.nulls(len(cut), pa.int64())
+            n, rest = int(sure.sum()), ~sure
+            nulls = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([nulls, pa.array(signed(a[group]))]), pa.concat_arrays([nulls, pa.array(signed(b[group]))]), pa.array(np.concatenate([d[cut], e[group]])), at],
+                [
+                    pa.concat_arrays([nulls[0], pa.array(signed(w1[rest]))]),
+                    pa.concat_arrays([nulls[1], pa.array(w2[rest].view(np.int32))]),
+                    pa.array(np.r_[doc[sure], doc[rest]]),
+                    pa.array(np.r_[pos[sure], pos[rest]].astype(np.int32)),
+                ],
                 ["w1", "w2", "doc_id", "at"],
             )
 
@@ -157,7 +154,8 @@ def window_rows(candidates: DataFrame) -> DataFrame:
                 best, seven = anchors(hashes.of(utf8(t).split()))
                 pos = np.flatnonzero(np.isin(best, np.array(k, np.int64).view(np.uint64)))
                 if len(pos):
-                    held.append((seven[pos], seven[pos + WINDOW - CONTEXT], np.full(len(pos), i), pos))
+                    front, back = seven[pos], seven[pos + WINDOW - CONTEXT]
+                    held.append((mix(front * _ROLL + back), (mix(back ^ _ROLL) ^ front).astype(np.uint32), np.full(len(pos), i), pos))
                     size += len(pos)
                 if size >= CHUNK:
                     yield from settle()
@@ -165,24 +163,35 @@ def window_rows(candidates: DataFrame) -> DataFrame:
         if held:
             yield from settle()
 
-    return candidates.mapInArrow(run, "w1 long, w2 long, doc_id long, at array<int>")
+    return candidates.mapInArrow(run, "w1 long, w2 int, doc_id long, at int")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, at: starts of the windows that a document with a smaller id has too."""
-    spark = docs.sparkSession
+def _shared_anchors(docs: DataFrame) -> Staged:
+    """(doc_id, keys): the anchors that a document shares with others."""
     met = anchor_rows(docs).withColumn("c", F.count("*").over(Window.partitionBy("key", "salt")))
     shared = met.where("doc_id is not null and (salt > 0 or c > 1)").select("doc_id", "key").distinct()
-    keys = Staged(shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "anchors")
-    release(spark)
-    candidates = docs.select("doc_id", "text").join(keys.df, "doc_id")
-    rows = window_rows(candidates)
+    return Staged(shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "anchors")
+
+
+def _repeated_windows(docs: DataFrame, keys: DataFrame) -> Staged:
+    rows = window_rows(docs.select("doc_id", "text").join(keys, "doc_id"))
     # rows of certain repeats have no window; they are dealt out by document
     least = F.min("doc_id").over(Window.partitionBy("w1", "w2", F.when(F.col("w1").isNull(), F.col("doc_id"))))
     found = rows.withColumn("least", least).where("w1 is null or doc_id > least").select("doc_id", "at")
-    out = Staged(found.groupBy("doc_id").agg(F.flatten(F.collect_list("at")).alias("at")), "repeats")
+    return Staged(found.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "repeats")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, at: starts of the windows that a document with a smaller id has too.
+
+    Each step is a function of its own, so that its frames are gone, and Spark can remove their
+    shuffle files, before the next one begins.
+    """
+    keys = _shared_anchors(docs)
+    release(docs.sparkSession)
+    out = _repeated_windows(docs, keys.df)
     keys.drop()
-    release(spark)
+    release(docs.sparkSession)
     return out.df
 
 
