@@ -46,9 +46,11 @@ def windows(table: DataFrame, key: str) -> DataFrame:
 
     def kind(word: Column, i: Column) -> Column:
         b = bare(word)
+        # comparing first characters is cheaper than the patterns, and most words start with a-z
+        low, plain = (b < ":") | (b >= "\u007f"), (b >= "[") & (b < "{")
         return (
-            F.when(b.rlike(NUMBER), "<number>")
-            .when(b.rlike(NAME) & (i > 0) & ~before(i).rlike(SENTENCE_END), "<name>")
+            F.when(low & b.rlike(NUMBER), "<number>")
+            .when(~plain & b.rlike(NAME) & (i > 0) & ~before(i).rlike(SENTENCE_END), "<name>")
             .when(F.lower(b).isin(UNITS) & (i > 0) & bare(before(i)).rlike(NUMBER), "<unit>")
             .otherwise(F.lower(b))
         )
