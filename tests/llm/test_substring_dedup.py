@@ -1,0 +1,73 @@
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+
+from vertexloom.llm import substring_dedup as S
+from vertexloom.llm.common import WordHashes
+
+
+def brute(rows):
+    first, out = {}, {}
+    lists = {i: (t or "").encode().split() for i, t in rows}
+    for i in sorted(lists):
+        for p in range(len(lists[i]) - 12):
+            first.setdefault(tuple(lists[i][p : p + 13]), i)
+    for i, w in lists.items():
+        gone = set()
+        for p in range(len(w) - 12):
+            if first[tuple(w[p : p + 13])] < i:
+                gone |= set(range(p, p + 13))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def result(df):
+    return {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in df.collect()}
+
+
+def test_against_all_windows(docs, corpus):
+    got = result(S.removal_digests(docs))
+    assert got == brute(corpus)
+    assert sum(x[1] for x in got.values()) > 1000
+
+
+def test_small_chunks_change_nothing(docs, corpus, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 300)
+    assert result(S.removal_digests(docs.repartition(3))) == brute(corpus)
+
+
+def test_equal_windows_have_equal_anchors(corpus):
+    hashes, seen = WordHashes(), {}
+    for _, t in corpus:
+        w = (t or "").encode().split()
+        if len(w) < 13:
+            continue
+        best, seven = S.anchors(hashes.of(w))
+        assert len(best) == len(w) - 12
+        for p, a in enumerate(best.tolist()):
+            assert seen.setdefault(tuple(w[p : p + 13]), a) == a
+
+
+def test_recompression_is_consistent_inside_a_copy():
+    rng = np.random.default_rng(1)
+    part = rng.integers(0, 2**63, 200, dtype=np.int64).astype(np.uint64)
+    x = np.concatenate([rng.integers(0, 9, 31).astype(np.uint64), part])
+    a, names_a = S.recompress(part.copy())
+    b, names_b = S.recompress(x)
+    inner_a = {(s, n) for s, n in zip(a.tolist(), names_a.tolist(), strict=True) if 4 <= s < 190}
+    inner_b = {(s - 31, n) for s, n in zip(b.tolist(), names_b.tolist(), strict=True) if 35 <= s < 221}
+    assert inner_a == inner_b and len(a) < 0.75 * len(part)
+
+
+def test_cases(spark, empty_docs, docs):
+    assert S.removal_digests(empty_docs).count() == 0 and S.remove(empty_docs).columns == empty_docs.columns
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(1, text), (1, text), (2, text), (None, text)]
+    got = sorted((str(r["doc_id"]), r["n_removed"]) for r in S.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [("1", 0), ("1", 0), ("2", 20), ("None", 0)]
+    removed = S.remove(docs)
+    assert removed.columns == docs.columns and removed.count() == docs.count()
+    assert removed.where("doc_id = 82").first()["text"] == " \n\t "
