@@ -272,20 +272,44 @@ def verify(docs: DataFrame, candidates: DataFrame, comps: _Components) -> None:
     """Joins components along those candidates that are links; each document first tries one of them."""
     both = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     sets = Staged(sets_of(docs, both), "sets")
-    rest = candidates
+    held, rest = [sets], candidates
     for turn in range(3):
         across = comps.label(comps.label(rest, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
-        rest = Staged(across, "rest").df
+        held.append(Staged(across, "rest"))
+        rest = held[-1].df
         if rest.isEmpty():
             break
         pick = rest if turn == 2 else rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = Staged(linked(pick, sets.df), "found").df
+        found = Staged(linked(pick, sets.df), "found")
         rest = rest.join(pick, ["a", "b"], "left_anti")
-        comps.add(found)
-    sets.drop()
+        comps.add(found.df)
+        found.drop()
+    for table in held:
+        table.drop()
     release(docs.sparkSession)
 
 
+def _round(docs: DataFrame, lists: DataFrame, nodes: DataFrame, comps: _Components, turn: int) -> None:
+    """Pairs from lists that still hold several components: with centres, in the last round all across components."""
+    labelled = Staged(comps.label(lists, "doc_id", "comp"), "labelled")
+    open_keys = labelled.df.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*_centres(turn))).alias("centres")).where("low != high")
+    columns = ["key", "doc_id", "n", "left", "comp"] + (["centres"] if turn < STAR_ROUNDS else [])
+    mine = Staged(labelled.df.join(open_keys, "key").select(*columns), "mine")
+    labelled.drop()
+    if turn < STAR_ROUNDS:
+        met = mine.df.withColumn("c", F.explode("centres")).where("comp != c.comp").where(_within("left", "c.left", "n", "c.n"))
+        pairs = met.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
+    else:
+        other = mine.df.toDF("key", "doc_b", "n_b", "left_b", "comp_b")
+        met = mine.df.join(other, "key").where("comp < comp_b").where(_within("left", "left_b", "n", "n_b"))
+        pairs = met.select(F.least("doc_id", "doc_b").alias("a"), F.greatest("doc_id", "doc_b").alias("b"))
+    candidates = Staged(pass_bitmaps(pairs.distinct(), nodes), "candidates")
+    if not candidates.df.isEmpty():
+        verify(docs, candidates.df, comps)
+    candidates.drop()
+    mine.drop()
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every document."""
     spark = docs.sparkSession
@@ -304,26 +328,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     boundary = choose_boundary({r["b"]: r["c"] for r in sizes}, SCAN) if sizes else 2
     comps = _Components(spark)
     if sizes:
-        lists = Staged(_lists(docs, member, often, boundary), "lists").df
+        lists = Staged(_lists(docs, member, often, boundary), "lists")
+        release(spark)
         nodes = each.join(member.where("doc_id = class_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         for turn in range(STAR_ROUNDS + 1):
-            labelled = Staged(comps.label(lists, "doc_id", "comp"), "labelled").df
-            open_keys = labelled.groupBy("key").agg(
-                F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*_centres(turn))).alias("centres")
-            ).where("low != high")
-            mine = labelled.join(open_keys, "key")
-            if turn < STAR_ROUNDS:
-                pairs = mine.withColumn("c", F.explode("centres")).where("comp != c.comp").where(_within("left", "c.left", "n", "c.n")).select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
-            else:
-                mine = Staged(mine.select("key", "doc_id", "n", "left", "comp"), "mine").df
-                other = mine.toDF("key", "doc_b", "n_b", "left_b", "comp_b")
-                pairs = mine.join(other, "key").where("comp < comp_b").where(_within("left", "left_b", "n", "n_b")).select(F.least("doc_id", "doc_b").alias("a"), F.greatest("doc_id", "doc_b").alias("b"))
-            candidates = Staged(pass_bitmaps(pairs.distinct(), nodes), "candidates").df
-            if candidates.isEmpty():
-                if turn < STAR_ROUNDS:
-                    continue
-                break
-            verify(docs, candidates, comps)
+            _round(docs, lists.df, nodes, comps, turn)
+        lists.drop()
+        release(spark)
     out = comps.label(member, "class_id", "component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
