@@ -39,13 +39,12 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_ro
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v")
     now, mark, rounds = Staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"), None, 0
     while True:
-        after = Staged(small_star(large_star(now.df)), "cc")
+        after = Staged(small_star(large_star(now.df)), "cc", n=F.count("*"), mark=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         now.drop()
         now, rounds = after, rounds + 1
-        new = now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(new) == mark or (max_rounds and rounds >= max_rounds):
+        if now.seen == mark or (max_rounds and rounds >= max_rounds):
             return now.df.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        mark = tuple(new)
+        mark = now.seen
 
 
 def connected_components(graph: PropertyGraph, max_rounds: int | None = None) -> DataFrame:
@@ -64,5 +63,5 @@ def min_reachable_label(graph: PropertyGraph, max_rounds: int | None = None) ->
         offers = edges.join(moved, "dst").groupBy(F.col("src").alias("id")).agg(F.min("l").alias("l"))
         return state.join(offers, "id", "left").select("id", F.least("label", "l").alias("label"), F.coalesce(F.col("l") < F.col("label"), F.lit(False)).alias("changed"))
 
-    run = iterate(start, step, lambda s: not s.where("changed").isEmpty(), max_rounds, "label")
+    run = iterate(start, step, F.col("changed"), max_rounds, "label")
     return run.result.select("id", "label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,10 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """A frame written to the shared folder and read again: a retried or lost task finds it there."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, **measures: Column):
+        """measures: aggregates over the rows, taken while they are written and kept in `seen`."""
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
+        watch = Observation() if measures else None
+        rows = df.observe(watch, *[c.alias(k) for k, c in measures.items()]) if watch else df
+        rows.write.option("compression", "zstd").parquet(self.path)
+        self.seen: dict = watch.get if watch else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

@@ -6,7 +6,8 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from .lineage import Staged
 
@@ -21,14 +22,14 @@ class Run:
     seconds: list[float] = field(default_factory=list)
 
 
-def iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Callable[[DataFrame], bool], max_rounds: int | None = None, name: str = "state") -> Run:
-    """Applies step to the staged state until `changed` is false of it; each round is one table in the shared folder."""
+def iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Column, max_rounds: int | None = None, name: str = "state") -> Run:
+    """Applies step to the staged state until no row is `changed`; a round is one job, which writes one table to the shared folder."""
     run, state = Run(), Staged(start, name)
     while max_rounds is None or run.rounds < max_rounds:
         began = time.perf_counter()
-        after = Staged(step(state.df, run.rounds + 1), name)
+        after = Staged(step(state.df, run.rounds + 1), name, changed=F.count_if(changed))
         run.rounds += 1
-        more = changed(after.df)
+        more = after.seen["changed"] > 0
         state.drop()
         state = after
         run.seconds.append(time.perf_counter() - began)
