@@ -68,6 +68,8 @@ def test_cases(spark, empty_docs, docs):
     rows = [(1, text), (1, text), (2, text), (None, text)]
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in S.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("1", 0), ("1", 0), ("2", 20), ("None", 0)]
+    clash = S.remove(docs.selectExpr("*", "7 as at", "8 as AT_"))
+    assert clash.columns == [*docs.columns, "at", "AT_"] and clash.where("doc_id = 3 and at = 7").count() == 1
     removed = S.remove(docs)
     assert removed.columns == docs.columns and removed.count() == docs.count()
     assert removed.where("doc_id = 82").first()["text"] == " \n\t "

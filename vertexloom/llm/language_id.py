@@ -140,4 +140,4 @@ def identify(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMAR
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 250], pa.int64()), pa.array(langs, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

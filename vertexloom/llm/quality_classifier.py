@@ -123,7 +123,7 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     stats = Staged(document_statistics(docs), "stats").df
     model = fit(stats, labels.where(bucket(F.col("doc_id"), 4) != 2))
     return score(stats, model).select(
-        "doc_id", (bucket(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
+        "doc_id", F.coalesce(bucket(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted")
     )
 
 

@@ -209,12 +209,15 @@ def keep(text: str | None, at: list[int] | None) -> tuple[int, list[str]]:
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without the repeated words: changed texts are their kept words, joined by spaces."""
-    joined = docs.join(repeats(docs), "doc_id", "left").select(*docs.columns, "at")
-    fields = [f for f in docs.schema.fields]
+    mark = "at"
+    while mark in map(str.lower, docs.columns):
+        mark += "_"
+    joined = docs.join(repeats(docs).withColumnRenamed("at", mark), "doc_id", "left").select(*docs.columns, mark)
+    fields = docs.schema.fields
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ((texts, ats),) = rows_of([batch], "text", "at")
+            ((texts, ats),) = rows_of([batch], "text", mark)
             new = [t if not a else " ".join(keep(t, a)[1]) for t, a in zip(texts, ats, strict=True)]
             columns = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in fields} | {"text": pa.array(new, pa.string())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
