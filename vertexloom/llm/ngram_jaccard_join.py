@@ -273,16 +273,17 @@ def verify(docs: DataFrame, candidates: DataFrame, comps: _Components) -> None:
     both = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).distinct()
     sets = Staged(sets_of(docs, both), "sets")
     held, rest = [sets], candidates
-    for turn in range(3):
+    for turn in (1, 2):
         across = comps.label(comps.label(rest, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
-        held.append(Staged(across, "rest"))
+        held.append(Staged(across, "rest", n=F.count("*")))
         rest = held[-1].df
-        if rest.isEmpty():
+        if not held[-1].seen["n"]:
             break
         pick = rest if turn == 2 else rest.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        found = Staged(linked(pick, sets.df), "found")
+        found = Staged(linked(pick, sets.df), "found", n=F.count("*"))
         rest = rest.join(pick, ["a", "b"], "left_anti")
-        comps.add(found.df)
+        if found.seen["n"]:
+            comps.add(found.df)
         found.drop()
     for table in held:
         table.drop()
@@ -303,8 +304,8 @@ def _round(docs: DataFrame, lists: DataFrame, nodes: DataFrame, comps: _Componen
         other = mine.df.toDF("key", "doc_b", "n_b", "left_b", "comp_b")
         met = mine.df.join(other, "key").where("comp < comp_b").where(_within("left", "left_b", "n", "n_b"))
         pairs = met.select(F.least("doc_id", "doc_b").alias("a"), F.greatest("doc_id", "doc_b").alias("b"))
-    candidates = Staged(pass_bitmaps(pairs.distinct(), nodes), "candidates")
-    if not candidates.df.isEmpty():
+    candidates = Staged(pass_bitmaps(pairs.distinct(), nodes), "candidates", n=F.count("*"))
+    if candidates.seen["n"]:
         verify(docs, candidates.df, comps)
     candidates.drop()
     mine.drop()
