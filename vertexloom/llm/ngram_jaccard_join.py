@@ -293,12 +293,17 @@ def verify(docs: DataFrame, candidates: DataFrame, comps: _Components) -> None:
 def _round(docs: DataFrame, lists: DataFrame, nodes: DataFrame, comps: _Components, turn: int) -> None:
     """Pairs from lists that still hold several components: with centres, in the last round all across components."""
     labelled = Staged(comps.label(lists, "doc_id", "comp"), "labelled")
-    open_keys = labelled.df.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.array_distinct(F.array(*_centres(turn))).alias("centres")).where("low != high")
-    columns = ["key", "doc_id", "n", "left", "comp"] + (["centres"] if turn < STAR_ROUNDS else [])
-    mine = Staged(labelled.df.join(open_keys, "key").select(*columns), "mine")
+    open_keys = labelled.df.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size"), _first_centre(turn).alias("c")).where("low != high")
+    last = turn == STAR_ROUNDS
+    columns = ["key", "doc_id", "n", "left", "comp"] + ([] if last else ["size", "c"])
+    mine = Staged(labelled.df.join(open_keys.select("key", *columns[5:]), "key").select(*columns), "mine")
     labelled.drop()
-    if turn < STAR_ROUNDS:
-        met = mine.df.withColumn("c", F.explode("centres")).where("comp != c.comp").where(_within("left", "c.left", "n", "c.n"))
+    if not last:
+        # short lists have one centre; the others of long ones are looked for among long lists only
+        long = mine.df.where(F.col("size") > CENTRES).drop("c")
+        more = long.groupBy("key").agg(F.array_distinct(F.array(*_centres(turn))).alias("centres"))
+        met = mine.df.union(long.join(more, "key").select(*columns[:-1], F.explode("centres").alias("c")))
+        met = met.where("comp != c.comp").where(_within("left", "c.left", "n", "c.n"))
         pairs = met.select(F.least("doc_id", "c.doc_id").alias("a"), F.greatest("doc_id", "c.doc_id").alias("b"))
     else:
         other = mine.df.toDF("key", "doc_b", "n_b", "left_b", "comp_b")
@@ -340,10 +345,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
+_ONE = ("doc_id", "n", "left", "comp")
+
+
+def _first_centre(turn: int) -> Column:
+    return F.max_by(F.struct(*_ONE), F.struct("left", F.xxhash64("doc_id", F.lit(turn))))
+
+
 def _centres(turn: int) -> list[Column]:
-    one = F.struct("doc_id", "n", "left", "comp")
-    by_hash = [F.min_by(one, F.xxhash64("doc_id", F.lit(turn * CENTRES + j))) for j in range(1, CENTRES)]
-    return [F.max_by(one, F.struct("left", F.xxhash64("doc_id", F.lit(turn)))), *by_hash]
+    return [F.min_by(F.struct(*_ONE), F.xxhash64("doc_id", F.lit(turn * CENTRES + j))) for j in range(1, CENTRES)]
 
 
 def _within(left_a: str, left_b: str, n_a: str, n_b: str) -> Column:
