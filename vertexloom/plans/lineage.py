@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -40,6 +41,11 @@ class Staged:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of frames that are no longer referenced."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark's cleaner remove shuffle files of frames that are no longer referenced.
+
+    Twice: the first round only drops what Python's side of a frame held on to.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
