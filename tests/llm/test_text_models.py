@@ -132,6 +132,28 @@ def test_automaton_is_a_distribution_and_follows_backoff(spark):
     assert np.allclose(B.traverse(texts, model), [B.traverse([t], model)[0] for t in texts])
 
 
+@pytest.mark.parametrize("chunk", [40, 500_000])
+def test_all_repeated_ngrams_score_at_any_share(spark, monkeypatch, chunk):
+    rng = random.Random(12)
+    pool = words(rng, 60)
+    rows = [(i, " ".join(rng.choices(pool, [1 / (k + 1) for k in range(60)], k=rng.randrange(1, 40)))) for i in range(150)] + [(800, "never seen Zz words"), (801, None), (None, pool[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = df.where("doc_id is null or pmod(crc32(cast(cast(doc_id as string) as binary)), 7) != 2")
+    vocabulary = B.word_counts(train)
+    total, distinct = sum(r["c"] for r in vocabulary.collect()), vocabulary.count()
+    model = B.train_model(train, vocabulary, total, distinct)  # complete: 2 / NGRAM_SHARE is more than all tokens
+    places = B.Vocabulary(model["words"])
+    want = {}
+    for i, t in rows:
+        w = places.of(B.tokens(t))
+        want[i] = B.traverse([w], model)[0] - int((w < 0).sum()) * math.log10(total + distinct + 1)
+    # a share that only a few words reach must not drop any n-gram; chunks of a few texts must agree
+    monkeypatch.setattr(B, "NGRAM_SHARE", 0.05)
+    monkeypatch.setattr(B, "CHUNK_TOKENS", chunk, raising=False)
+    got = {r["doc_id"]: r for r in B.score(df).collect()}
+    assert got.keys() == want.keys() and all(abs(r["score"] - want[i]) < 1e-6 for i, r in got.items())
+
+
 def test_language_model_without_rows(empty_docs, spark):
     assert B.score(empty_docs).count() == 0
     held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]

@@ -1,16 +1,21 @@
 """Language-model scoring with a weighted backoff automaton.
 
 Tokens are words in lower case (A-Z) and one end. Unigrams are smoothed by adding one; n-grams of
-up to ORDER tokens that make up at least a fixed share of all training tokens get absolutely
-discounted probabilities, and each context passes its remaining mass to the next shorter one. Kept
-contexts are the states of an automaton, n-grams its arcs, and a failure arc with the backoff
-weight leads from each state to that of its longest proper suffix. A text is read once from left to
-right: the state is carried on, log10 probabilities are added up. All texts of a batch move in step.
-
-Counts are exact and over all training rows: an n-gram that reaches the share has parts that reach
-it, so each order counts only continuations of what the order before kept. The automaton has at
-most 1 / share arcs an order and is broadcast. Words too rare for the broadcast vocabulary (again a
-share, with at most 1 / share words) meet their counts in a join.
+2 to ORDER tokens seen at least LEAST times get absolutely discounted probabilities, and each
+context passes its remaining mass to the next shorter one. Contexts are the states of an automaton,
+n-grams its arcs, and a failure arc with the backoff weight leads from each state to that of its
+longest proper suffix. log10 probabilities are added up along each text.
+
+Counts are exact and over all training rows, at any size of the table. The automaton is spread over
+buckets by the hash of the n-gram and never gathered: texts are coded once, in chunks; each chunk
+sends its distinct n-grams with their training counts to the buckets and gets the total counts
+back. Then one chunk of those that hold an n-gram (its owner) adds the n-gram's mass to its
+context, again in the buckets, and each chunk gets the backoff weights it needs. A state is the
+longest suffix that is a context, so arcs and failure arcs of a place follow from these answers.
+Chunks and buckets have bounded sizes; a frequent n-gram is one entry a chunk.
+
+`train_model`, `build` and `traverse` are the automaton in one piece, which the tests compare with;
+it is complete for tables of up to 2 / NGRAM_SHARE tokens.
 
 Cases: null, empty and blank texts have one token, the end; repeated ids are scored row by row;
 without training rows every token is unknown (N and V are 0); very long texts are read whole; an
@@ -21,18 +26,25 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_WORDS, Staged, bucket, release, rows_of, signed, utf8
+from .common import _ROLL, CACHE_WORDS, Staged, WordHashes, bucket, mix, release, rows_of, signed, utf8
 
 ORDER, DISCOUNT = 3, 0.5
-#: Shares of all training tokens from which on a word, or an n-gram, is in the broadcast model.
+#: Times that an n-gram of two tokens or more must be seen in training.
+LEAST = 2
+#: Tokens of a chunk of texts (one text may be longer), and n-grams that a bucket is meant to get.
+CHUNK_TOKENS, BUCKET_GRAMS = 500_000, 1_500_000
+#: Passes in which the buckets count, each over a part of them; bounds the disk that one shuffle takes.
+PASSES = 2
+#: Shares of all training tokens from which on a word, or an n-gram, is in the automaton in one piece.
 WORD_SHARE, NGRAM_SHARE = 1e-6, 1e-5
 #: Tokens that a task counts at once.
 CHUNK = 4_000_000
@@ -222,66 +234,264 @@ def train_model(train: DataFrame, vocabulary: DataFrame, total: int, distinct: i
     context = train.sparkSession.sparkContext
     for k in range(2, ORDER + 1):
         shared = context.broadcast((h, frequent, [key for key, _ in orders]))
-        orders.append(next_order(train, shared, k, max(2.0, NGRAM_SHARE * total)))
+        orders.append(next_order(train, shared, k, max(float(LEAST), NGRAM_SHARE * total)))
     return build(h, c, orders, total, distinct)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, all lowest bytes first, then all second ones and so on."""
+    planes = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpack(b: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b[8:], n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    return pack(np.diff(x, prepend=x[:1] * np.uint64(0)))
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Coded texts, a row for about CHUNK_TOKENS tokens: word hashes, their codes token by token, sizes, ids and folds of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        held_ids, held_out, sizes, flat, size = [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            words, codes, times = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
+            common = np.argsort(-times, kind="stable")  # small codes for frequent words
+            rank = np.empty(len(words), np.uint32)
+            rank[common] = np.arange(len(words), dtype=np.uint32)
+            n = np.array(sizes, np.int64)
+            out = np.array(held_out, bool)
+            row = [words[common].tobytes(), pack(rank[codes]), n.tobytes(), out.tobytes()]
+            columns = [pa.array([x], pa.binary()) for x in row] + [pa.array([held_ids], pa.list_(pa.int64()))]
+            columns += [pa.array([size], pa.int64()), pa.array([int(n[~out].sum())], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["words", "codes", "sizes", "held", "ids", "n", "n_train"])
+
+        for ids, texts, held in rows_of(batches, "doc_id", "text", "held"):
+            for i, t, o in zip(ids, texts, held, strict=True):
+                h = hashes.of(tokens(t))
+                flat.append(h)
+                sizes.append(len(h))
+                held_ids.append(i)
+                held_out.append(o)
+                size += len(h)
+                if size >= CHUNK_TOKENS:
+                    yield flush()
+                    held_ids, held_out, sizes, flat, size = [], [], [], [], 0
+        if flat:
+            yield flush()
+
+    return docs.mapInArrow(run, "words binary, codes binary, sizes binary, held binary, ids array<long>, n long, n_train long")
+
+
+class Chunk:
+    """The distinct n-grams of a chunk, sorted by hash, and where they stand.
+
+    `one`, `two` and `three` give for each token the n-gram of that length that ends there, as a
+    place in `keys`; `two` and `three` are -1 where a text has no such n-gram.
+    """
+
+    def __init__(self, row: dict):
+        sizes = np.frombuffer(row["sizes"], np.int64)
+        h = np.frombuffer(row["words"], np.uint64)[unpack(row["codes"], np.uint32)]
+        self.ids, self.sizes, self.held = row["ids"], sizes, np.frombuffer(row["held"], bool)
+        self.first = np.cumsum(sizes) - sizes
+        n = len(h)
+        at = np.arange(n) - np.repeat(self.first, sizes)
+        self.places = [np.arange(n), np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)]
+        k2 = mix(h[:-1] * _ROLL + h[1:])
+        k3 = mix(k2[:-1] * _ROLL + h[2:])
+        every = np.concatenate([h, k2[self.places[1] - 1], k3[self.places[2] - 2]])
+        self.keys, self.index, inverse = np.unique(every, return_index=True, return_inverse=True)
+        self.inverse, self.n = inverse, n
+        self.one = inverse[:n]
+        self.two, self.three = np.full(n, -1), np.full(n, -1)
+        self.two[self.places[1]] = inverse[n : n + len(self.places[1])]
+        self.three[self.places[2]] = inverse[n + len(self.places[1]) :]
+
+    def training_counts(self) -> np.ndarray:
+        train = np.repeat(~self.held, self.sizes)
+        return np.bincount(self.inverse, np.concatenate([train[p] for p in self.places]), len(self.keys)).astype(np.int64)
+
+    def order_and_place(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the n-grams `which`, and the token at which each ends first."""
+        i = self.index[which]
+        return 1 + (i >= self.n) + (i >= self.n + len(self.places[1])), np.concatenate(self.places)[i]
+
+    def masses(self, count: np.ndarray, owned: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
+        """What the owned n-grams give to their contexts, which are places in `keys`: probability, and that of the shorter n-gram."""
+        order, p = self.order_and_place(owned)
+        mass, below = np.zeros(len(self.keys)), np.zeros(len(self.keys))
+        c = count[owned]
+        for k, ctx, low in (
+            (2, self.one, lambda q: (count[self.one[q]] + 1.0) / norm),
+            (3, self.two, lambda q: (count[self.two[q]] - DISCOUNT) / count[self.one[q - 1]]),
+        ):
+            these, q = order == k, p[order == k]
+            context = ctx[q - 1]
+            mass += np.bincount(context, (c[these] - DISCOUNT) / count[context], len(mass))
+            below += np.bincount(context, low(q), len(mass))
+        return mass, below
+
+    def misses(self, count: np.ndarray) -> np.ndarray:
+        """Contexts, as places in `keys`, out of which a failure arc is taken."""
+        need = np.zeros(len(self.keys), bool)
+        for grams, context, q in ((self.two, self.one, self.places[1]), (self.three, self.two, self.places[2])):
+            need[context[q[count[grams[q]] < LEAST] - 1]] = True
+        return need & (count >= LEAST)
+
+    def contexts(self, count: np.ndarray, owned: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts, as places in `keys`, that the chunk gives mass to or needs the weight of, and their masses."""
+        mass, below = self.masses(count, owned, norm)
+        at = np.flatnonzero((mass > 0) | self.misses(count))
+        return at, mass[at], below[at]
+
+    def scores(self, count: np.ndarray, backoff: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, base score and score of each text."""
+        c = count[self.one]
+        base = np.log10((c + 1.0) / norm)
+        s = base.copy()
+        for grams, context, q in ((self.two, self.one, self.places[1]), (self.three, self.two, self.places[2])):
+            n, before = count[grams[q]], context[q - 1]
+            hit = n >= LEAST
+            s[q] = np.where(hit, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(count[before], 1)), s[q] + backoff[before])
+        return tuple(np.add.reduceat(x, self.first) for x in ((c > 0).astype(np.int64), base, s))
+
+
+def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
+    """Buckets by the top bits of the sorted keys, and the keys of each."""
+    b = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)] if len(b) else []
+    for lo, hi in pairwise(edges):
+        yield int(b[lo]), slice(lo, hi)
+
+
+def _blobs(table: pa.Table, name: str, kind) -> list[np.ndarray]:
+    return [unpack(x, kind) for x in table.column(name).to_pylist()]
+
+
+def _groups(table: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """The requests of a bucket by chunk; their lengths, and the n-grams' order, first places in it and numbers."""
+    table = table.sort_by("chunk")
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    flat = np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    new = np.r_[True, flat[order][1:] != flat[order][:-1]]
+    return table, [len(k) for k in keys], order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _answers(table: pa.Table, sizes: list[int], order: np.ndarray, values: np.ndarray, **more) -> pa.Table:
+    """values: in `order`; goes back to the chunks in the order they asked in."""
+    back = np.empty(len(order), values.dtype)
+    back[order] = values
+    parts = np.split(back, np.cumsum(sizes)[:-1])
+    columns = {"chunk": table.column("chunk"), "b": table.column("b"), "answer": pa.array([pack(x) for x in parts], pa.binary())}
+    return pa.table(columns | {k: pa.array([v] + [0] * (len(sizes) - 1), pa.int64()) for k, v in more.items()})
+
+
+def count_grams(coded: DataFrame, bits: int, turn: int) -> DataFrame:
+    """(chunk, b, answer, distinct): twice the training count of each n-gram of the chunk, plus one at its owner; distinct: number of words seen in training. Of the buckets of this turn."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (row,) = batch.slice(i, 1).to_pylist()
+                chunk = Chunk(row)
+                n = chunk.training_counts().astype(np.uint32) * np.uint32(2)
+                n[chunk.one] |= np.uint32(1)  # marks words
+                out = [(b, row["chunk"], pack_sorted(chunk.keys[s]), pack(n[s])) for b, s in slices(chunk.keys, bits) if b % PASSES == turn]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["b", "chunk", "keys", "n"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        table, sizes, order, first, number = _groups(table)
+        sent = np.concatenate(_blobs(table, "n", np.uint32))[order].astype(np.int64)
+        n, word = sent >> 1, (sent & 1)[first] > 0
+        count = np.add.reduceat(n, first)
+        # the first chunk that holds an n-gram in a training text owns it
+        seen = np.where(n > 0, np.arange(len(n)), len(n))
+        owner = np.minimum.reduceat(seen, first)
+        kept = (count >= LEAST) & ~word
+        value = np.where(kept | word, count, 0)[number] * 2
+        value[owner[kept]] += 1
+        return _answers(table, sizes, order, value, distinct=int((word & (count > 0)).sum()))
+
+    rows = coded.mapInArrow(ask, "b long, chunk long, keys binary, n binary")
+    return rows.groupBy("b").applyInArrow(answer, "chunk long, b long, answer binary, distinct long")
+
+
+def _counts(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of a chunk's n-grams, and which it owns."""
+    value = np.concatenate(_blobs(table.sort_by("b"), "answer", np.int64))
+    assert len(value) == n
+    return value >> 1, np.flatnonzero(value & 1)
+
+
+def weigh_contexts(coded: DataFrame, counted: DataFrame, bits: int, norm: float) -> DataFrame:
+    """(chunk, b, answer): log10 backoff weights of the contexts that the chunk asks for or gives mass to."""
+
+    def ask(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        (row,) = rows.to_pylist()
+        chunk = Chunk(row)
+        count, owned = _counts(counts, len(chunk.keys))
+        at, mass, below = chunk.contexts(count, owned, norm)
+        out = [(b, row["chunk"], pack_sorted(chunk.keys[at][s]), pack(mass[s]), pack(below[s])) for b, s in slices(chunk.keys[at], bits)]
+        columns = list(zip(*out, strict=True)) if out else [()] * 5
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["b", "chunk", "keys", "mass", "below"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        table, sizes, order, first, number = _groups(table)
+        mass, below = (np.add.reduceat(np.concatenate(_blobs(table, c, np.float64))[order], first) for c in ("mass", "below"))
+        weight = np.where(mass > 0, np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - below, 1e-12)), 0.0)
+        return _answers(table, sizes, order, weight[number])
+
+    rows = coded.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(ask, "b long, chunk long, keys binary, mass binary, below binary")
+    asked = Staged(rows, "asked")
+    del rows
+    release(coded.sparkSession)
+    weights = Staged(asked.df.groupBy("b").applyInArrow(answer, "chunk long, b long, answer binary"), "weights")
+    asked.drop()
+    return weights.df
+
+
 def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
-    train = docs.where(~F.coalesce(bucket(F.col("doc_id"), fold) == held, F.lit(False)))
-    vocabulary = Staged(word_counts(train), "words")
-    release(spark)
-    total, distinct = vocabulary.df.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    model = spark.sparkContext.broadcast(train_model(train, vocabulary.df, total, distinct))
+    rows = docs.select("doc_id", "text", F.coalesce(bucket(F.col("doc_id"), fold) == held, F.lit(False)).alias("held"))
+    table = Staged(chunks(rows).withColumn("chunk", F.monotonically_increasing_id()), "chunks", n=F.sum("n"), n_train=F.sum("n_train"))
+    coded, total, size = table.df, table.seen["n_train"] or 0, table.seen["n"] or 0
+    bits = max(4, int(np.ceil(np.log2(max(1, 2 * size / BUCKET_GRAMS)))))
+    distinct, counted = 0, None
+    for turn in range(PASSES):
+        part = Staged(count_grams(coded, bits, turn), "counts", distinct=F.sum("distinct"))
+        release(spark)
+        distinct += part.seen["distinct"] or 0
+        counted = part.df if counted is None else counted.union(part.df)
+    norm = total + distinct + 1.0
+    weighed = weigh_contexts(coded, counted, bits, norm)
     release(spark)
-    read = Staged(_read(docs, model), "scored").df
-    # unigrams of words outside the broadcast vocabulary
-    norm = float(np.log10(total + distinct + 1.0))
-    rest = read.where("h is not null").select("rid", "h", "times")
-    rare = vocabulary.df.where(F.col("c") < WORD_SHARE * total)
-    met = rest.join(rare, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    sums = met.groupBy("rid").agg(
-        F.sum(F.col("times") * (F.log10(F.col("c") + 1.0) - norm)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known")
-    )
-    each = read.where("h is null").select("rid", "doc_id", "n_tokens", "n_known", "base", "logp").join(sums, "rid", "left")
-    add = F.coalesce("rare_sum", F.lit(0.0))
-    return each.select(
-        "doc_id",
-        F.coalesce(bucket(F.col("doc_id"), fold) == held, F.lit(False)).alias("held_out"),
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"),
-        (F.col("logp") + add).alias("score"),
-    )
-
-
-def _read(docs: DataFrame, model) -> DataFrame:
-    """One row a document with the automaton's sums, and one (rid, h, times) for each of its rare words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        vocabulary = Vocabulary(m["words"])
-        names = ["rid", "doc_id", "n_tokens", "n_known", "base", "logp", "h", "times"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-        for rids, ids, texts in rows_of(batches, "rid", "doc_id", "text"):
-            for i in range(0, len(ids), 2500):
-                words = [tokens(t) for t in texts[i : i + 2500]]
-                places = [vocabulary.of(w) for w in words]
-                logp = traverse(places, m)
-                known = [int((p >= 0).sum()) for p in places]
-                base = [float(m["base"][p[p >= 0]].sum()) if len(m["base"]) else 0.0 for p in places]
-                n = len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip((rids[i : i + 2500], ids[i : i + 2500], [len(w) for w in words], known, base, logp), kinds, strict=False)] + [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names
-                )
-                rare = [Counter(words[j][q] for q in np.flatnonzero(p < 0).tolist()) for j, p in enumerate(places)]
-                each = np.array([len(r) for r in rare])
-                size = int(each.sum())
-                h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(rare)), np.uint64, size)
-                times = np.fromiter(chain.from_iterable(r.values() for r in rare), np.int64, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(rids[i : i + 2500], each).astype(np.int64))] + [pa.nulls(size, k) for k in kinds[1:6]] + [pa.array(signed(h)), pa.array(times)], names)
-
-    keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"))
-    return keyed.mapInArrow(run, "rid long, doc_id long, n_tokens long, n_known long, base double, logp double, h long, times long")
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = rows.to_pylist()
+        chunk = Chunk(row)
+        is_count = answers.column("is_count")
+        count, owned = _counts(answers.filter(is_count), len(chunk.keys))
+        backoff = np.zeros(len(chunk.keys))
+        weights = _blobs(answers.filter(pc.invert(is_count)).sort_by("b"), "answer", np.float64)
+        backoff[chunk.contexts(count, owned, norm)[0]] = np.concatenate([np.zeros(0), *weights])
+        known, base, s = chunk.scores(count, backoff, norm)
+        columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(known), total, np.int64)), pa.array(base), pa.array(s)]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    answers = counted.select("chunk", "b", "answer", F.lit(True).alias("is_count")).union(weighed.select("chunk", "b", "answer", F.lit(False)))
+    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
