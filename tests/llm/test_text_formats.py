@@ -221,6 +221,16 @@ def test_extraction(spark):
     assert H.extract_pages(pages(spark, htmls).where("page_id < 0")).count() == 0
 
 
+def test_marks_are_whole_names_and_never_take_the_article():
+    article = ARTICLE.format("")
+    scores = {f"t:{e}{n}": -0.1 for e in ("", "/") for n in (*H.BLOCKS, *H.DROPPED, "b", "other")}
+    for wrapper in ("<div class='layout with-sidebar'>{}</div>", "<div id='page' class='site no-header'>{}</div>", "<div class='sidebar'>{}</div>", "<div data-id='ad' data-role='banner'>{}</div>"):
+        assert H.extract(FRAME.format(wrapper.format(article)), scores) == TEXT
+    parts = "<section id='side-effects'><p>Side effects are rare here.</p></section><h2 id='related-work'>Related work</h2><p id='notice-period'>Notice is one month.</p><div class='social-history'><p>He lived alone then.</p></div><p>Press <button>OK</button> to see <math><mi>x</mi></math> grow.</p>"
+    assert H.extract(FRAME.format(ARTICLE.format(parts)), scores).endswith("Side effects are rare here.\nRelated work\nNotice is one month.\nHe lived alone then.\nPress OK to see x grow.")
+    assert "Buy now" not in H.extract(FRAME.format(article), scores)
+
+
 def test_region_is_the_best_contiguous_one():
     rng = random.Random(8)
     for _ in range(40):

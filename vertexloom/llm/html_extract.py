@@ -4,8 +4,10 @@ A page is a sequence of words and tags. Words carry a score by where they stand
 element, inside a link or not), tags by their name; the scores are log-odds of standing inside
 against outside the main content, counted on labelled pages (pages whose content is marked by
 exactly one <article> or <main>). One linear scan finds the contiguous region of the largest sum.
-Elements that never hold main text (menus, forms, adverts, scripts, comments ...) count as one tag
-and their words are never output.
+Elements that never hold main text (menus, forms, scripts ...), and those of which a whole class, id
+or role name is a mark (adverts, comments ...), count as one tag and their words are never output;
+but a marked element stays if it holds an <article>, <main> or <h1> or more than half of the page's
+words.
 
 Blocks of the region are decoded, white space inside them becomes one space, and they are joined
 by a line break in page order.
@@ -35,10 +37,10 @@ FIT_PAGES = 2000
 
 # Fixed values of HTML: elements that start a block, elements without main text, void elements.
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = set("nav aside footer header form script style noscript template svg iframe button select textarea input menu head title dialog object canvas audio video math".split())
+DROPPED = set("nav aside footer header form script style noscript template svg iframe select textarea input menu head title canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
-#: Parts of class, id and role names that mark an element without main text.
+#: Whole class, id and role names that mark an element without main text.
 MARKS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu navbar nav navigation breadcrumb breadcrumbs header footer masthead toolbar comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget skip".split()
 )
@@ -52,18 +54,60 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PARTS = re.compile(r"[A-Za-z]+")
+_NAMES = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 def marked(attrs: str) -> bool:
     for m in _NAMES.finditer(attrs):
         value = m[1] or m[2] or m[3] or ""
-        if not MARKS.isdisjoint(p.lower() for p in _PARTS.findall(value)):
+        if not MARKS.isdisjoint(value.lower().split()):
             return True
     return False
 
 
+def holding(matches: list[re.Match]) -> set[int]:
+    """Places in `matches` of marked elements that hold an article, main or h1, or most of the page's words."""
+    stack: list[tuple[str, int, int, bool]] = []  # element, its place, words before it, marked
+    words, kept = 0, set()
+
+    def close(k: int) -> None:
+        for _, at, before, is_marked in stack[k:]:
+            if is_marked:
+                spans.append((at, words - before))
+        del stack[k:]
+
+    spans: list[tuple[int, int]] = []
+    for at, m in enumerate(matches):
+        if m["text"] is not None:
+            words += n_words(m["text"])
+            continue
+        name = (m["tag"] or "").lower()
+        if not name:
+            continue
+        if m["end"]:
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if k is not None:
+                close(k)
+            continue
+        k = ended(name, [x[0] for x in stack])
+        if k is not None:
+            close(k)
+        if name in (*HOLDERS, "h1"):
+            kept.update(x[1] for x in stack if x[3])
+        if name not in VOID and not m["attrs"].rstrip().endswith("/"):
+            stack.append((name, at, words, marked(m["attrs"])))
+    close(0)
+    return kept | {at for at, n in spans if 2 * n > words}
+
+
+def ended(name: str, open_: list[str]) -> int | None:
+    """The place among open elements of the one that the start of `name` ends: one of its own kind."""
+    if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
+        return None
+    k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i] == name or open_[i] in ("ul", "ol", "table", "dl", "article", "main", "section", "div")), None)
+    return k if k is not None and open_[k] == name else None
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, int, bool]]:
     """(type, text, block, inside a holder) in page order; text is empty for tags."""
     stack: list[tuple[str, bool]] = []  # element, dropped
@@ -77,7 +121,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool]]:
             dropped -= off
         del stack[k:]
 
-    for m in _TOKEN.finditer(page):
+    matches = list(_TOKEN.finditer(page))
+    kept: set[int] | None = None  # found out at the first marked element
+    for at, m in enumerate(matches):
         if (text := m["text"]) is not None:
             if not dropped and not text.isspace():
                 place = next((n for n, _ in reversed(stack) if n in BLOCKS), "none")
@@ -103,16 +149,18 @@ def tokens(page: str) -> Iterator[tuple[str, str, int, bool]]:
             if not dropped:
                 yield f"t:/{known}", "", block, holders > 0
             continue
-        if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):  # these end one of their own kind
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in ("ul", "ol", "table", "dl", "article", "main", "section", "div")), None)
-            if k is not None and stack[k][0] == name:
-                close(k)
+        k = ended(name, [n for n, _ in stack])
+        if k is not None:
+            close(k)
         if not dropped:
             if name == "br":
                 yield "", " ", block, holders > 0
             yield f"t:{known}", "", block, holders > 0
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            off = name in DROPPED or (name not in ("body", "html", *HOLDERS) and marked(m["attrs"]))
+            off = name in DROPPED
+            if not off and not dropped and name not in ("body", "html", "h1", *HOLDERS) and marked(m["attrs"]):
+                kept = holding(matches) if kept is None else kept
+                off = at not in kept
             stack.append((name, off))
             links += name == "a"
             holders += name in HOLDERS
