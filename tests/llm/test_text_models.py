@@ -88,6 +88,20 @@ def test_presence_kernel_counts_common_ngrams():
     assert (p @ p.T).astype(int).tolist() == want
 
 
+def test_languages_beyond_the_64_most_frequent_are_learned(spark):
+    rng = random.Random(21)
+    vocabularies = [words(rng, 8) for _ in range(80)]
+    rows = [(i, " ".join(rng.choices(vocabularies[i % 80], k=30)), f"l{i % 80:02d}") for i in range(800)]
+    got = {r["doc_id"]: r["lang_pred"] for r in L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=90, landmarks=30).collect()}
+    right = [got[i] == g for i, _, g in rows]
+    assert len({got[i] for i in got}) == 80 and sum(right) >= 0.95 * len(right)
+
+
+def test_ngrams_that_share_a_slot_are_kept(monkeypatch):
+    monkeypatch.setattr(L, "SLOT_BITS", 4)
+    test_presence_kernel_counts_common_ngrams()
+
+
 def lm_brute(rows):
     """Base scores and counts."""
     c = Counter()

@@ -6,8 +6,10 @@ labelled texts) span the feature space; kernel ridge regression, one against the
 weight vector for each language. A batch of texts is scored by two matrix products: presence
 against landmarks, kernel values against weights.
 
-The model is fitted on whole texts of a bounded sample of labelled rows (`fit_rows` in all,
-`landmarks` of them); every row is scored on its whole text. Sizes are counted over the n-grams of the landmarks.
+The model is fitted on whole texts of a sample of labelled rows: `fit_rows` in all and `landmarks` of
+them, shared equally by the languages, but at least LEAST_ROWS rows and one landmark for each
+language, so every labelled language is learned. Every row is scored on its whole text. Sizes are
+counted over the n-grams of the landmarks.
 
 Cases: a null text or one without a letter is `und` with score 0; repeated ids give a row each;
 null languages teach nothing; without any learned language all rows are `und`; ties go to the
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import bucket, rows_of, utf8
 
 FIT_ROWS, LANDMARKS, LONGEST, RIDGE = 1200, 96, 4, 1e-2
-#: n-grams of length 4 are looked up by the top bits of a hash; a slot holds one landmark n-gram.
+#: Rows a language is fitted on at least, if it has them.
+LEAST_ROWS = 8
+#: n-grams are looked up by the top bits of a hash; the few that share a slot with another one, in a sorted array.
 SLOT_BITS = 20
 UNKNOWN = "und"
 
@@ -62,19 +66,27 @@ class Spectrum:
         codes = np.unique(np.concatenate(sets))
         at = slot(codes)
         _, first = np.unique(at, return_index=True)  # one n-gram a slot
-        self.codes = codes[first]
+        self.rest = np.delete(codes, first)  # sorted
+        self.codes = np.concatenate([codes[first], self.rest])
         self.table = np.zeros(1 << SLOT_BITS, np.int32)
         self.table[at[first]] = np.arange(1, len(first) + 1)
-        self.width = len(first)
+        self.shared = np.zeros(1 << SLOT_BITS, bool)
+        self.shared[slot(self.rest)] = True
+        self.first, self.width = len(first), len(codes)
 
     def presence(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), self.width + 1), np.float32)
         for i, text in enumerate(texts):
             row = out[i]
             for codes in grams(text):
-                found = self.table[slot(codes)]
+                at = slot(codes)
+                found = self.table[at]
                 hit = self.codes[found - 1] == codes
                 row[found[hit]] = 1
+                if len(self.rest):
+                    left = codes[~hit & self.shared[at]]
+                    k = np.minimum(np.searchsorted(self.rest, left), len(self.rest) - 1)
+                    row[1 + self.first + k[self.rest[k] == left]] = 1
         return out[:, 1:]
 
 
@@ -115,15 +127,14 @@ def predict(texts: list[bytes], model: dict | None) -> tuple[list[str], np.ndarr
 
 
 def sample(docs: DataFrame, fit_rows: int) -> DataFrame:
-    """An equal share of labelled rows of each language, chosen by a hash of the id, at most fit_rows in all."""
+    """An equal share of labelled rows of each language, chosen by a hash of the id: fit_rows in all, or LEAST_ROWS a language if that is more."""
     rows = docs.where("lang is not null and text is not null").where(bucket(F.col("doc_id"), 4) != 2)
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()}
-    share = max(1, fit_rows // max(1, len(sizes)))
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    share = max(LEAST_ROWS, fit_rows // max(1, len(sizes)))
     chance = F.xxhash64("doc_id").cast("double") / float(2**64) + 0.5
-    near = F.lit(False)
-    for lang, n in sizes.items():
-        near = near | ((F.col("lang") == lang) & (chance < min(1.0, 1.5 * share / n + 20 / n)))
-    picked = rows.where(near).select("doc_id", "lang", "text")
+    bounds = docs.sparkSession.createDataFrame([(lang, min(1.0, 1.5 * share / n + 20 / n)) for lang, n in sizes.items()], "lang string, bound double")
+    # all rows of a language if its bound is 1: the chance of the largest hashes is rounded up to 1
+    picked = rows.join(F.broadcast(bounds), "lang").where((chance < F.col("bound")) | (F.col("bound") >= 1)).select("doc_id", "lang", "text")
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
     return picked.withColumn("k", F.row_number().over(first)).where(F.col("k") <= share).orderBy("lang", "k")
 
