@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ROLL, CACHE_WORDS, Staged, WordHashes, bucket, mix, release, rows_of, signed, utf8
+from .common import _ROLL, Staged, WordHashes, bucket, mix, rows_of, signed, utf8
 
 ORDER, DISCOUNT = 3, 0.5
 #: Times that an n-gram of two tokens or more must be seen in training.
@@ -89,7 +89,7 @@ class Vocabulary(dict):
         self.place = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= 400_000:
             self.clear()
         i = self[word] = self.place.get(xxhash.xxh64_intdigest(word), -1)
         return i
@@ -458,7 +458,6 @@ def weigh_contexts(coded: DataFrame, counted: DataFrame, bits: int, norm: float)
     rows = coded.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(ask, "b long, chunk long, keys binary, mass binary, below binary")
     asked = Staged(rows, "asked")
     del rows
-    release(coded.sparkSession)
     weights = Staged(asked.df.groupBy("b").applyInArrow(answer, "chunk long, b long, answer binary"), "weights")
     asked.drop()
     return weights.df
@@ -474,12 +473,10 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     distinct, counted = 0, None
     for turn in range(PASSES):
         part = Staged(count_grams(coded, bits, turn), "counts", distinct=F.sum("distinct"))
-        release(spark)
         distinct += part.seen["distinct"] or 0
         counted = part.df if counted is None else counted.union(part.df)
     norm = total + distinct + 1.0
     weighed = weigh_contexts(coded, counted, bits, norm)
-    release(spark)
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         (row,) = rows.to_pylist()

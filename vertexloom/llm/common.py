@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.lineage import Staged, release, shared_dir  # noqa: F401
+from ..plans.lineage import Staged, shared_dir  # noqa: F401
 
 #: Java and Python form of the one word pattern that every operator uses.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Entries a task's word cache may hold before it starts again.
-CACHE_WORDS = 400_000
+#: Bytes of text that a task takes apart at once; a longer text is taken alone.
+SLICE_BYTES = 1_500_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -34,7 +35,7 @@ class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered within a task."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= 400_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -61,6 +62,93 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+class Words(NamedTuple):
+    """The words of some texts, in order: hashes, where each begins and how many bytes it has; and how many each text has."""
+
+    hash: np.ndarray
+    begin: np.ndarray
+    size: np.ndarray
+    count: np.ndarray
+
+    def first(self) -> np.ndarray:
+        """The first word of each text."""
+        return np.cumsum(self.count) - self.count
+
+    def place(self) -> np.ndarray:
+        """Places of the words within their texts."""
+        return np.arange(len(self.hash)) - np.repeat(self.first(), self.count)
+
+
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> Words:
+    """Words of the texts that end at `ends` in the bytes; equal words have equal hashes everywhere. lower: A-Z counts as a-z."""
+    n = len(data)
+    padded = np.zeros(n + 8, np.uint8)
+    padded[:n] = _LOWER[data] if lower else data
+    solid = ~_SPACES[data]
+    opens, closes = solid.copy(), solid.copy()
+    opens[1:] &= ~solid[:-1]
+    closes[:-1] &= ~solid[1:]
+    edge = np.r_[0, ends]
+    at = edge[:-1][edge[:-1] < n]
+    opens[at] = solid[at]
+    at = edge[1:][edge[1:] > 0] - 1
+    closes[at] = solid[at]
+    begin = np.flatnonzero(opens)
+    size = np.flatnonzero(closes) + 1 - begin
+    eight = np.ndarray((n + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    h = mix((eight[begin] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ROLL))
+    long, done = np.flatnonzero((size > 8) & (size <= 64)), 8
+    while len(long):
+        h[long] = mix(h[long] * _ROLL + (eight[begin[long] + done] & _FIRST_BYTES[np.minimum(size[long] - done, 8)]))
+        done += 8
+        long = long[size[long] > done]
+    for i in np.flatnonzero(size > 64):
+        h[i] = xxhash.xxh64_intdigest(padded[begin[i] : begin[i] + size[i]])
+    return Words(h, begin, size, np.diff(np.searchsorted(begin, edge)))
+
+
+def text_slices(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of a text column, about SLICE_BYTES together: which, their bytes, and where each text ends in these; nulls are empty."""
+    column = column.fill_null("") if column.null_count else column
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    edge = np.zeros(len(column) + 1, np.int64)
+    if offsets is not None:
+        edge[:] = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1]
+    every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(edge, edge[at] + SLICE_BYTES, side="right")) - 1)
+        yield slice(at, stop), every[edge[at] : edge[stop]], edge[at + 1 : stop + 1] - edge[at]
+        at = stop
+
+
+def text_words(batch: pa.RecordBatch, lower: bool = False, text: str = "text") -> Iterator[tuple[slice, Words]]:
+    """The words of a batch's texts, a slice of its rows at a time."""
+    for rows, data, ends in text_slices(batch.column(batch.schema.get_field_index(text))):
+        yield rows, words_of(data, ends, lower)
+
+
+def column(batch: pa.RecordBatch, name: str, rows: slice) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name)).slice(rows.start, rows.stop - rows.start)
+
+
+def sums(values: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Sums over runs of the given lengths; runs may be empty."""
+    out = np.zeros(len(count), values.dtype)
+    some = np.flatnonzero(count)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(count) - count)[some])
+    return out
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -79,5 +167,3 @@ def split_words(text: Column) -> Column:
     """The words of a text as an array, in Spark SQL; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")

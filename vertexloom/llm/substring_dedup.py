@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, WordHashes, mix, release, rows_of, signed, utf8, windows
+from .common import Staged, WordHashes, mix, rows_of, signed, utf8, windows
 
 WINDOW, CONTEXT, ROUNDS = 13, 7, 2
 #: Words that a task holds at once.
@@ -188,10 +188,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     shuffle files, before the next one begins.
     """
     keys = _shared_anchors(docs)
-    release(docs.sparkSession)
     out = _repeated_windows(docs, keys.df)
     keys.drop()
-    release(docs.sparkSession)
     return out.df
 
 
