@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -21,6 +21,21 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+#: Spark setting under which a query's shuffle files go when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries inside leave no shuffle files behind: what they wrote is read from its table, never from their shuffles."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 class Staged:
     """A frame written to the shared folder and read again: a retried or lost task finds it there."""
 
@@ -30,7 +45,8 @@ class Staged:
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         watch = Observation() if measures else None
         rows = df.observe(watch, *[c.alias(k) for k, c in measures.items()]) if watch else df
-        rows.write.option("compression", "zstd").parquet(self.path)
+        with freed_shuffles(self.spark):
+            rows.write.option("compression", "zstd").parquet(self.path)
         self.seen: dict = watch.get if watch else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -39,13 +55,3 @@ class Staged:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of frames that are no longer referenced.
-
-    Twice: the first round only drops what Python's side of a frame held on to.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.7)
