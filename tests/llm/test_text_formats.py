@@ -181,17 +181,49 @@ def lattice_brute(unit, pieces):
     return {k: v / total for k, v in found.items()}
 
 
+def sliced(texts):
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
+
+
+def test_a_unit_has_the_same_shares_in_any_batch():
+    pieces, rng = P.Pieces(P.model_path()), random.Random(3)
+    unit = "misunderstandings"
+
+    def table(text):
+        out = P.Lattices(pieces)
+        data, begin, _ = P.unit_spans(*sliced([text]))
+        out.find(data, begin, np.diff(np.r_[begin, len(data)]))
+        return out
+
+    alone = table(unit)
+    for _ in range(3):
+        assert nodes(alone) <= nodes(table(" ".join([*words(rng, 400), unit])))
+
+
+def nodes(table):
+    """The edges of each node, as shares summed up and pieces."""
+    out = set()
+    for i in np.flatnonzero(~table.start):
+        stop = int(table.opens[i])
+        while table.below[stop] != table.total[i]:
+            stop += 1
+        out.add((tuple(table.below[table.opens[i] : stop + 1].tolist()), tuple(table.piece[table.opens[i] : stop + 1].tolist())))
+    return out
+
+
 def test_samples_have_the_lattice_probabilities():
     pieces = P.Pieces(P.model_path())
     want = lattice_brute("thing", pieces)
     n = 20000
-    got = Counter(tuple(x.tolist()) for x in P.sample_batch(np.arange(n), ["thing"] * n, pieces))
+    ids, count = P.sample_slice(np.arange(n), *sliced(["thing"] * n), P.Lattices(pieces))
+    got = Counter(tuple(x.tolist()) for x in np.split(ids, np.cumsum(count)[:-1]))
     assert set(got) <= set(want) and len(want) > 10
     assert max(abs(got[k] / n - p) for k, p in want.items()) < 0.015
 
 
 def test_round_trip_and_reproducible_samples(spark, docs, empty_docs):
-    odd = [(1000, "a ▁ b\n\n  c\t\x00 \U0001f600"), (1001, "▁▁"), (1002, " "), (1003, "x" * 30000), (1004, "\n")]
+    odd = [(1000, "a ▁ b\n\n  c\t\x00 \U0001f600"), (1001, "▁▁"), (1002, " "), (1003, "x" * 30000), (1004, "\n"), (1005, "  two   spaces \n    four" + " " * 40), (None, "a null key")]
     df = docs.select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string")).selectExpr("*", "5 as pieces_", "'q' as decoded_")
     a = {r["doc_id"]: r for r in P.round_trip(df).collect()}
     assert len(a) == df.count() and all(r["lossless"] for r in a.values())
@@ -200,6 +232,22 @@ def test_round_trip_and_reproducible_samples(spark, docs, empty_docs):
     assert b == {i: r["pieces_sha256"] for i, r in a.items()}
     assert a[70]["pieces_sha256"] != a[71]["pieces_sha256"]  # equal texts, other keys
     assert P.round_trip(empty_docs).count() == 0
+    clash = P.encode_and_decode(df.selectExpr("doc_id", "text", "'x' as Pieces", "7 as decoded", "8 as key"))
+    assert clash.columns == ["doc_id", "text", "key", "pieces", "decoded"] == P.decode(P.encode(df.selectExpr("doc_id", "text", "7 as decoded", "8 as key"))).columns
+    assert clash.where("decoded != coalesce(text, '') or key != 8").count() == 0
+
+
+def test_spaces_may_share_a_piece():
+    pieces = P.Pieces(P.model_path())
+    assert any(P.SPACE * 2 in pieces_ for pieces_ in spelled(pieces, "    x", 400))
+
+
+def spelled(pieces, text, n):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=P.model_path())
+    ids, _ = P.sample_slice(np.arange(n), *sliced([text] * n), P.Lattices(pieces))
+    return {m.id_to_piece(int(i)) for i in ids}
 
 
 ARTICLE = "<article><h1>Title &amp; more</h1><p>Some  <b>long</b> words\n here about things that matter.<br>And on.</p><p>Second paragraph, with&nbsp;text &lt;tag&gt; inside.</p>{}</article>"

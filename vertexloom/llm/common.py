@@ -86,6 +86,20 @@ _LOWER[65:91] += 32
 _FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
+def span_hashes(padded: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of byte spans; eight more bytes follow the last one."""
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    h = mix((eight[begin] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ROLL))
+    long, done = np.flatnonzero((size > 8) & (size <= 64)), 8
+    while len(long):
+        h[long] = mix(h[long] * _ROLL + (eight[begin[long] + done] & _FIRST_BYTES[np.minimum(size[long] - done, 8)]))
+        done += 8
+        long = long[size[long] > done]
+    for i in np.flatnonzero(size > 64):
+        h[i] = xxhash.xxh64_intdigest(padded[begin[i] : begin[i] + size[i]])
+    return h
+
+
 def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> Words:
     """Words of the texts that end at `ends` in the bytes; equal words have equal hashes everywhere. lower: A-Z counts as a-z."""
     n = len(data)
@@ -102,15 +116,7 @@ def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> Words:
     closes[at] = solid[at]
     begin = np.flatnonzero(opens)
     size = np.flatnonzero(closes) + 1 - begin
-    eight = np.ndarray((n + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place on
-    h = mix((eight[begin] & _FIRST_BYTES[np.minimum(size, 8)]) ^ (size.astype(np.uint64) * _ROLL))
-    long, done = np.flatnonzero((size > 8) & (size <= 64)), 8
-    while len(long):
-        h[long] = mix(h[long] * _ROLL + (eight[begin[long] + done] & _FIRST_BYTES[np.minimum(size[long] - done, 8)]))
-        done += 8
-        long = long[size[long] > done]
-    for i in np.flatnonzero(size > 64):
-        h[i] = xxhash.xxh64_intdigest(padded[begin[i] : begin[i] + size[i]])
+    h = span_hashes(padded, begin, size)
     return Words(h, begin, size, np.diff(np.searchsorted(begin, edge)))
 
 

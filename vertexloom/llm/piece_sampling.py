@@ -1,27 +1,30 @@
 """SentencePiece encoding by forward filtering and backward sampling, and lossless decoding.
 
 A text is the public vocabulary's pieces over `▁` for spaces, with one `▁` in front. Its piece
-lattice falls apart at spaces and line breaks, so each unit (a word with the space before it) has
-a lattice of its own. Forward filtering sums the weights of all segmentations up to each place;
-backward sampling draws pieces from the end, each with its exact probability, so a text's
-segmentation is a sample of p(pieces) ~ product of weight(piece) ** alpha, weight being
-1 / (rank + 1) of the piece. The draws are hashes of (row key, place in the text), so a row has the
-same segmentation in any batch, partition or run. Characters without a piece, and the character
-`▁` itself, are spelled in byte pieces, which keeps decoding lossless.
-
-Forward tables are made once for each distinct unit of a batch, and all units of a batch are
-sampled together; a batch holds a bounded number of characters.
+lattice falls apart where a run of spaces or a line break begins, as no piece goes on there, so each
+unit (a word with the spaces before it, or a line break) has a lattice of its own. Forward filtering
+sums the weights of all segmentations up to each place; backward sampling draws pieces from the end,
+each with its exact probability, so a text's segmentation is a sample of p(pieces) ~ product of
+weight(piece) ** alpha, weight being 1 / (rank + 1) of the piece: the public model is a byte-pair one,
+whose scores are ranks. The draws are hashes of (row key, place in the text), and shares are whole
+numbers (of 2 ** 36, at least 1) that depend on the unit alone, so a row has the same segmentation in
+any batch, partition or run. Characters without a piece, and the character `▁` itself, are spelled in
+byte pieces, which keeps decoding lossless.
+
+Forward tables are made once for each distinct unit and kept within a task while they have at most
+MOST_EDGES edges; all units of a batch are sampled together, and a batch holds a bounded number of
+bytes (one text may be longer).
 
 Cases: null and empty texts have no pieces and decode to an empty text; very long texts and units
 are encoded whole; equal texts under different keys may be cut differently; repeated keys with
-equal texts are cut alike; an empty table gives no rows; further columns pass through `encode`.
+equal texts are cut alike; a null key is a key like any other; an empty table gives no rows; further
+columns pass, and as with `withColumn` a column named like a new one is replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, rows_of
+from .common import mix, span_hashes, sums, text_slices
 
 ALPHA = 1.0
-#: Characters of text that are sampled together; a longer text is taken alone.
-BATCH_CHARS = 400_000
+#: Edges of forward tables that a task keeps.
+MOST_EDGES = 1_500_000
 SPACE = "▁"
 _MARK, _OWN_MARK = 0x2581, 0x110000  # `▁` for a space, and in the text itself
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
-_UNIT = re.compile("\n| [^ \n]*|[^ \n]+")
+#: Shares are counted in units of 2 ** -SHARE_BITS of a node's heaviest edge.
+SHARE_BITS = 36
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -59,7 +63,7 @@ class Pieces:
             p = m.id_to_piece(i)
             if m.is_byte(i):
                 self.byte[int(p[3:5], 16)] = i
-            elif not (m.is_control(i) or m.is_unknown(i)) and SPACE not in p[1:] and " " not in p and "\n" not in p:
+            elif not (m.is_control(i) or m.is_unknown(i)) and SPACE not in p.lstrip(SPACE) and " " not in p and "\n" not in p:
                 found.append((p, i))
         self.longest = max(len(p) for p, _ in found)
         sizes = np.array([len(p) for p, _ in found])
@@ -100,25 +104,71 @@ def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def units(text: str) -> list[str]:
-    return _UNIT.findall(" " + text) if text else []
+def unit_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with one space before each text that isn't empty, where units begin in them, and how many units each text has."""
+    size = np.diff(np.r_[0, ends])
+    size = size + (size > 0)
+    edge = np.r_[0, np.cumsum(size)]
+    first = edge[:-1][size > 0]
+    own = np.ones(edge[-1], bool)
+    own[first] = False
+    out = np.full(edge[-1], 32, np.uint8)
+    out[own] = data
+    space, line = out == 32, out == 10
+    begins = line.copy()
+    begins[1:] |= (space[1:] & ~space[:-1]) | (line[:-1] & ~space[1:])
+    begins[first] = True
+    begin = np.flatnonzero(begins)
+    return out, begin, np.diff(np.searchsorted(begin, edge))
+
+
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 class Lattices:
-    """Forward tables of some distinct units.
+    """Forward tables of the distinct units met so far.
 
-    Edges are sorted by the node where they end; `cum` is the number of that node's segment plus the
-    running share of its edges, so it rises throughout and one search draws an edge. Edge pieces
-    below 0 stand for a character that is spelled in bytes.
+    Nodes are the places between a unit's characters; edges are sorted by the node where they end,
+    and `below` sums up the shares of a node's edges. Edge pieces below 0 stand for a character that is spelled in
+    bytes.
     """
 
-    def __init__(self, distinct: list[str], pieces: Pieces):
-        c = points("".join(distinct)).copy()
-        size = np.fromiter(map(len, distinct), np.int64, len(distinct))
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.unit = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted; numbers of the units
+        self.last = np.zeros(0, np.int64)  # by unit
+        self.opens, self.total, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)  # by node
+        self.below, self.source, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)  # by edge
+
+    def find(self, text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the units in these spans of the bytes."""
+        padded = np.r_[text, np.zeros(8, np.uint8)]
+        distinct, index, which = np.unique(span_hashes(padded, begin, size), return_index=True, return_inverse=True)
+        if len(self.piece) > MOST_EDGES:
+            self.clear()
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.flatnonzero(np.r_[self.hashes, np.uint64(0)][at] != distinct) if len(self.hashes) else np.arange(len(distinct))
+        if len(new):
+            number = len(self.last) + np.arange(len(new))
+            self.add(text[spans(begin[index[new]], size[index[new]])], size[index[new]])
+            self.hashes, self.unit = np.insert(self.hashes, at[new], distinct[new]), np.insert(self.unit, at[new], number)
+            at = np.searchsorted(self.hashes, distinct)
+        return self.unit[at][which]
+
+    def add(self, text: np.ndarray, n_bytes: np.ndarray) -> None:
+        """Makes the tables of units of the given lengths, one after the other in the bytes."""
+        pieces = self.pieces
+        size = sums(((text & 0xC0) != 0x80).astype(np.int64), n_bytes)
+        c = points(text.tobytes().decode("utf-8", "surrogatepass")).copy()
         begin = np.cumsum(size) - size
-        unit = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        unit = np.repeat(np.arange(len(size)), size)
         c[c == _MARK] = _OWN_MARK
-        c[begin[c[begin] == 32]] = _MARK
+        c[c == 32] = _MARK
         left = np.repeat(begin + size, size) - np.arange(len(c))  # characters up to the unit's end
         starts, lengths, ids, weights = [], [], [], []
         h, i = np.zeros(len(c), np.uint64), np.arange(len(c), dtype=np.int32)
@@ -126,6 +176,8 @@ class Lattices:
         for n in range(1, pieces.longest + 1):
             fits = left[i] >= n
             i, h = i[fits], h[fits]
+            if not len(i):
+                break
             h = mix(h * _ROLL + c[i + n - 1])
             at, row = pieces.find(h)
             starts.append(i[at])
@@ -139,57 +191,64 @@ class Lattices:
         lengths.append(np.ones(len(spelled), np.int32))
         ids.append(-1 - c[spelled].astype(np.int32))
         weights.append(np.full(len(spelled), pieces.floor))
-        start, length = np.concatenate(starts), np.concatenate(lengths)
+        start, length = np.concatenate(starts).astype(np.int64), np.concatenate(lengths)
         source = start + unit[start]  # a unit has one node more than characters
         node, place = source + length, start + length - begin[unit[start]]
         order = np.lexsort((length, node, place))
         source, node, place = source[order], node[order], place[order]
         weight = np.concatenate(weights)[order]
-        opens = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
-        self.segment = np.full(len(c) + len(size), -1)
-        self.segment[node[opens]] = np.arange(len(opens))
-        self.opens = np.r_[opens, len(node)]
-        self.last = begin + size + np.arange(len(size))
-        alpha = np.zeros(len(c) + len(size))
-        self.cum = np.empty(len(node))
-        rounds = np.searchsorted(place, np.arange(1, (place[-1] if len(place) else 0) + 2))
-        for a, b in zip(rounds[:-1], rounds[1:], strict=True):
+        alpha, total = np.zeros(len(c) + len(size)), np.zeros(len(c) + len(size), np.int64)
+        below, opens = np.empty(len(node), np.int64), np.zeros(len(c) + len(size), np.int64)
+        rounds = np.searchsorted(place, np.arange(1, int(place[-1]) + 2))
+        for a, b in zip(rounds[:-1].tolist(), rounds[1:].tolist(), strict=True):
             ends = node[a:b]
-            head = np.flatnonzero(np.r_[True, ends[1:] != ends[:-1]])
+            new = np.ones(b - a, bool)
+            new[1:] = ends[1:] != ends[:-1]
+            head = np.flatnonzero(new)
             many = np.diff(np.r_[head, b - a])
             v = alpha[source[a:b]] + weight[a:b]
             top = np.maximum.reduceat(v, head)
-            share = np.exp(v - np.repeat(top, many))
-            total = np.add.reduceat(share, head)
-            run = np.cumsum(share)
-            before = np.repeat(run[head] - share[head], many)
-            alpha[ends[head]] = top + np.log(total)
-            self.cum[a:b] = np.minimum((run - before) / np.repeat(total, many), 1.0)
-        self.cum += self.segment[node]
-        self.source, self.piece = source, np.concatenate(ids)[order]
-        self.start = np.zeros(len(alpha), bool)
-        self.start[begin + np.arange(len(size))] = True
-
-
-def sample_batch(keys: np.ndarray, texts: list[str], pieces: Pieces) -> list[np.ndarray]:
-    """Piece ids of each text. The draw for a piece hashes (key, unit's place in the text, pieces drawn in the unit)."""
-    lists = [units(t) for t in texts]
-    sizes = np.array([len(x) for x in lists], np.int64)
-    index: dict[str, int] = {}
-    which = np.fromiter((index.setdefault(u, len(index)) for x in lists for u in x), np.int64, int(sizes.sum()))
-    if not len(which):
-        return [np.zeros(0, np.int32) for _ in texts]
-    table = Lattices(list(index), pieces)
-    node = table.last[which]
-    owner = np.repeat(np.arange(len(texts)), sizes)
+            run = np.cumsum(np.ldexp(np.exp(v - np.repeat(top, many)), SHARE_BITS).astype(np.int64) + 1)
+            before = np.r_[0, run[head[1:] - 1]]
+            below[a:b] = run - np.repeat(before, many)
+            at = ends[head]
+            total[at] = run[head + many - 1] - before
+            opens[at] = a + head
+            alpha[at] = top + np.log(total[at] * 2.0**-SHARE_BITS)
+        first = np.zeros(len(total), bool)
+        first[begin + np.arange(len(size))] = True
+        nodes, edges = len(self.total), len(self.piece)
+        self.last = np.r_[self.last, nodes + begin + size + np.arange(len(size))]
+        self.opens, self.total, self.start = np.r_[self.opens, edges + opens], np.r_[self.total, total], np.r_[self.start, first]
+        self.below, self.source = np.r_[self.below, below], np.r_[self.source, nodes + source]
+        self.piece = np.r_[self.piece, np.concatenate(ids)[order].astype(np.int32)]
+
+    def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """One of the edges that end at each node, by u from [0, 1)."""
+        total = self.total[node]
+        r = np.minimum((u * total).astype(np.int64), total - 1)
+        e = self.opens[node]
+        on = np.flatnonzero(self.below[e] <= r)
+        while len(on):
+            e[on] += 1
+            on = on[self.below[e[on]] <= r[on]]
+        return e
+
+
+def sample_slice(keys: np.ndarray, data: np.ndarray, ends: np.ndarray, table: Lattices) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids of all texts, and how many each has. The draw for a piece hashes (key, unit's place in the text, pieces drawn in the unit)."""
+    text, begin, sizes = unit_spans(data, ends)
+    if not len(begin):
+        return np.zeros(0, np.int32), sizes
+    number = table.find(text, begin, np.diff(np.r_[begin, len(text)]))
+    node = table.last[number]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     place = np.arange(len(node)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     seed = mix(mix(keys.view(np.uint64))[owner] + place.astype(np.uint64))
     live, steps, order, k = np.arange(len(node)), [], [], 0
     while len(live):
-        segment = table.segment[node]
         u = (mix(seed[live] + np.uint64(k * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        e = np.searchsorted(table.cum, segment + u, side="right")
-        e = np.clip(e, table.opens[segment], table.opens[segment + 1] - 1)
+        e = table.draw(node, u)
         steps.append(table.piece[e])
         order.append(live)
         node = table.source[e]
@@ -202,10 +261,9 @@ def sample_batch(keys: np.ndarray, texts: list[str], pieces: Pieces) -> list[np.
     # pieces were drawn from the end of each unit, so draw d of c stands at place c - 1 - d
     out = np.empty(len(ids), np.int64)
     out[(np.cumsum(count) - count)[unit] + count[unit] - 1 - depth] = ids
-    total = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
-    out, size = spell(out, pieces)
-    ends = np.r_[0, np.cumsum(size)][np.cumsum(total)]
-    return np.split(out, ends[:-1])
+    out, size = spell(out, table.pieces)
+    ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(sums(count, sizes))]]
+    return out, np.diff(ends)
 
 
 def spell(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
@@ -223,57 +281,105 @@ def spell(ids: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def decode_ids(ids: np.ndarray, raw: list[bytes]) -> str:
-    joined = b"".join(map(raw.__getitem__, ids.tolist()))
-    return joined[1:].decode("utf-8", "surrogatepass")
+class Spellings:
+    """The bytes of each piece, one after the other."""
+
+    def __init__(self, path: str):
+        raw = spellings(path)
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(raw), np.uint8)
+
+    def texts(self, ids: np.ndarray, count: np.ndarray) -> pa.Array:
+        """The texts that runs of pieces spell, without the space in front."""
+        size = self.size[ids]
+        out = self.bytes[spans(self.begin[ids], size)]
+        n = sums(size, count)
+        inner = np.ones(len(out), bool)
+        inner[(np.cumsum(n) - n)[n > 0]] = False
+        ends = np.cumsum(n - (n > 0))
+        texts = pa.LargeStringArray.from_buffers(len(count), pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(out[inner].tobytes()))
+        texts.validate(full=True)
+        return texts.cast(pa.string())
+
+
+def hash_key(x: object) -> int:
+    return x if isinstance(x, int) else int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def encoder(path: str, alpha: float, key: str = "doc_id", text: str = "text", out: str = "pieces") -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    """A function that adds the pieces to a batch; it keeps its tables from call to call."""
+    table = Lattices(Pieces(path, alpha))
+
+    def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys = np.array([hash_key(x) for x in batch.column(batch.schema.get_field_index(key)).to_pylist()], np.int64)
+        for rows, data, ends in text_slices(batch.column(batch.schema.get_field_index(text))):
+            ids, count = sample_slice(keys[rows], data, ends, table)
+            pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(ids, pa.int32()))
+            yield with_column(batch.slice(rows.start, rows.stop - rows.start), out, pieces)
+
+    return add
+
+
+def decoder(path: str, pieces: str = "pieces", out: str = "decoded") -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    table = Spellings(path)
+
+    def add(batch: pa.RecordBatch) -> pa.RecordBatch:
+        column = batch.column(batch.schema.get_field_index(pieces))
+        offsets = column.offsets.to_numpy()
+        return with_column(batch, out, table.texts(column.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)))
+
+    return add
+
+
+def with_column(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """The batch with a new last column; one of the same name, in any case, goes."""
+    names = [n for n in batch.schema.names if n.lower() != name.lower()]
+    return pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), values], [*names, name])
+
+
+def _schema(df: DataFrame, **new: T.DataType) -> T.StructType:
+    gone = {n.lower() for n in new}
+    return T.StructType([f for f in df.schema.fields if f.name.lower() not in gone] + [T.StructField(n, t) for n, t in new.items()])
 
 
 def encode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with `pieces`, an array of piece ids, in place of nothing: all their columns stay."""
+    """The documents with `pieces`, an array of piece ids."""
     path = path or model_path()
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "pieces"] + [T.StructField("pieces", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path, alpha)
+        add = encoder(path, alpha, key, text)
         for batch in batches:
-            ((all_keys, all_texts),) = rows_of([batch], key, text)
-            chars = np.cumsum([len(t or "") for t in all_texts]) // BATCH_CHARS
-            cuts = [0, *(np.flatnonzero(np.diff(chars)) + 1).tolist(), batch.num_rows]
-            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                part, keys, texts = batch.slice(i, j - i), all_keys[i:j], all_texts[i:j]
-                k = np.array([hash_key(x) for x in keys], np.int64)
-                ids = sample_batch(k, [t or "" for t in texts], pieces)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                names = [n for n in part.schema.names if n != "pieces"]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(n)) for n in names] + [column], [*names, "pieces"])
+            yield from add(batch)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _schema(docs, pieces=T.ArrayType(T.IntegerType())))
 
 
-def hash_key(x: object) -> int:
-    return x if isinstance(x, int) else int.from_bytes(hashlib.blake2b(str(x).encode(), digest_size=8).digest(), "big", signed=True)
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """The encoded rows with `decoded`, the text that their pieces spell."""
+    path = path or model_path()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(decoder(path), batches)
 
-def decode(encoded: DataFrame, path: str | None = None, out: str = "decoded") -> DataFrame:
-    """The encoded rows with the text that their pieces spell."""
+    return encoded.mapInArrow(run, _schema(encoded, decoded=T.StringType()))
+
+
+def encode_and_decode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA) -> DataFrame:
+    """The documents with `pieces` and `decoded`, in one pass."""
     path = path or model_path()
-    schema = T.StructType([*encoded.schema.fields, T.StructField(out, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = spellings(path)
+        add, back = encoder(path, alpha), decoder(path)
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("pieces"))
-            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
-            texts = [decode_ids(values[a:b], raw) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
+            yield from map(back, add(batch))
 
-    return encoded.mapInArrow(run, schema)
+    return docs.mapInArrow(run, _schema(docs, pieces=T.ArrayType(T.IntegerType()), decoded=T.StringType()))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, alpha: float = ALPHA) -> DataFrame:
     """doc_id, n_pieces, pieces_sha256, decoded_sha256, lossless: digests of the encoding and of its way back."""
-    both = decode(encode(docs.select("doc_id", "text"), path, alpha), path)
+    both = encode_and_decode(docs.select("doc_id", "text"), path, alpha)
     return both.select(
         "doc_id",
         F.size("pieces").cast("long").alias("n_pieces"),
