@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
 from vertexloom.llm import backoff_lm as B
@@ -102,70 +103,78 @@ def test_ngrams_that_share_a_slot_are_kept(monkeypatch):
     test_presence_kernel_counts_common_ngrams()
 
 
-def lm_brute(rows):
-    """Base scores and counts."""
-    c = Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            c.update((t or "").encode().lower().split() + [b""])
-    n, v, out = sum(c.values()), len(c), {}
-    for i, t in rows:
-        tok = (t or "").encode().lower().split() + [b""]
-        out[i] = (len(tok), sum(w in c for w in tok), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in tok))
-    return out
+class Automaton:
+    """The backoff automaton of training texts, state by state."""
+
+    def __init__(self, texts):
+        self.arcs, self.total = {}, 0
+        for t in texts:
+            w = self.tokens(t)
+            self.total += len(w)
+            for k in (0, 1, 2):
+                for at in range(k, len(w)):
+                    self.arcs.setdefault(tuple(w[at - k : at]), Counter())[w[at]] += 1
+        self.words = self.arcs.get((), Counter())
+        self.norm = self.total + len(self.words) + 1
+        self.arcs = {s: a for s, a in self.arcs.items() if len(s) < 2 or a.total() >= B.LEAST}
+
+    @staticmethod
+    def tokens(t):
+        return (t or "").encode().lower().split() + [b""]
+
+    def p(self, w, state):
+        if not state:
+            return (self.words[w] + 1) / self.norm
+        arcs = self.arcs.get(state, Counter())
+        return (arcs[w] + B.PRIOR * self.p(w, state[1:])) / (sum(arcs.values()) + B.PRIOR)
+
+    def read(self, tokens):
+        """Left to right, along arcs and failure arcs."""
+        total, state = 0.0, ()
+        for w in tokens:
+            while state and w not in self.arcs[state]:
+                total += math.log10(B.PRIOR / (sum(self.arcs[state].values()) + B.PRIOR))
+                state = state[1:]
+            total += math.log10(self.p(w, state))
+            state = (*state, w)[-2:]
+            while state and state not in self.arcs:
+                state = state[1:]
+        return total
+
+    def row(self, t):
+        w = self.tokens(t)
+        return len(w), sum(x in self.words for x in w), self.total, sum(math.log10((self.words[x] + 1) / self.norm) for x in w), self.read(w)
+
+
+def test_automaton_is_a_distribution():
+    rng = random.Random(4)
+    model = Automaton([" ".join(rng.choices("abcd", [4, 3, 2, 1], k=rng.randrange(5, 40))) for _ in range(80)])
+    for state in ((), (b"a",), (b"b", b"d"), (b"d", b"d")):
+        assert abs(sum(model.p(w, state) for w in [*model.words, b"unseen"]) - 1) < 1e-12
 
 
-@pytest.mark.parametrize("shares", [(1e-6, 1e-5), (2e-3, 4e-3)])
-def test_base_scores_and_counts(docs, corpus, monkeypatch, shares):
-    monkeypatch.setattr(B, "WORD_SHARE", shares[0])
-    monkeypatch.setattr(B, "NGRAM_SHARE", shares[1])
-    got, want = {r["doc_id"]: r for r in B.score(docs).collect()}, lm_brute(corpus)
-    assert got.keys() == want.keys()
-    for i, r in got.items():
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == want[i][:3] and abs(r["base_score"] - want[i][3]) < 1e-6
-        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 7 == 2) and r["score"] <= 0
+def check_scores(df, rows):
+    model = Automaton([t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2])
+    want = sorted((str(i), *model.row(t)) for i, t in rows)
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in B.score(df).collect())
+    assert len(got) == len(want)
+    for x, y in zip(got, want, strict=True):
+        assert x[:4] == y[:4] and abs(x[4] - y[4]) < 1e-6 and abs(x[5] - y[5]) < 1e-6, (x, y)
 
 
-def test_automaton_is_a_distribution_and_follows_backoff(spark):
-    rng = random.Random(4)
-    rows = [(i, " ".join(rng.choices("abcd", [4, 3, 2, 1], k=rng.randrange(5, 40)))) for i in range(80)]
-    train = spark.createDataFrame(rows, "doc_id long, text string")
-    words_ = B.word_counts(train)
-    total, distinct = sum(r["c"] for r in words_.collect()), words_.count()
-    model = B.train_model(train, words_, total, distinct)
-    # after any context the next-token probabilities, with one unknown token, sum to one
-    v = len(model["words"])
-    for context in ([], [0], [1, 2], [3, 0, 1]):
-        ctx = np.array(context, np.int64)
-        before = B.traverse([ctx], model)[0] if context else 0.0
-        p = [10 ** (B.traverse([np.append(ctx, w)], model)[0] - before) for w in range(v)]
-        unknown = 10 ** (B.traverse([np.append(ctx, -1)], model)[0] - before) / (total + distinct + 1)
-        assert abs(sum(p) + unknown - 1) < 1e-9
-    # texts read together or alone score the same
-    texts = [np.array(rng.choices(range(v), k=k), np.int64) for k in (7, 1, 19, 4)]
-    assert np.allclose(B.traverse(texts, model), [B.traverse([t], model)[0] for t in texts])
-
-
-@pytest.mark.parametrize("chunk", [40, 500_000])
-def test_all_repeated_ngrams_score_at_any_share(spark, monkeypatch, chunk):
+def test_scores_of_the_corpus(docs, corpus):
+    check_scores(docs.selectExpr("*", "1 as held", "2 as words", "3 as chunk"), corpus)
+    assert {r["held_out"]: r["ok"] for r in B.score(docs).groupBy("held_out").agg(F.bool_and(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2).alias("ok")).collect()} == {True: True, False: False}
+
+
+@pytest.mark.parametrize("chunk", [40, 1_000_000])
+def test_rare_ngrams_repeated_ids_and_chunks(spark, monkeypatch, chunk):
     rng = random.Random(12)
     pool = words(rng, 60)
-    rows = [(i, " ".join(rng.choices(pool, [1 / (k + 1) for k in range(60)], k=rng.randrange(1, 40)))) for i in range(150)] + [(800, "never seen Zz words"), (801, None), (None, pool[0])]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    train = df.where("doc_id is null or pmod(crc32(cast(cast(doc_id as string) as binary)), 7) != 2")
-    vocabulary = B.word_counts(train)
-    total, distinct = sum(r["c"] for r in vocabulary.collect()), vocabulary.count()
-    model = B.train_model(train, vocabulary, total, distinct)  # complete: 2 / NGRAM_SHARE is more than all tokens
-    places = B.Vocabulary(model["words"])
-    want = {}
-    for i, t in rows:
-        w = places.of(B.tokens(t))
-        want[i] = B.traverse([w], model)[0] - int((w < 0).sum()) * math.log10(total + distinct + 1)
-    # a share that only a few words reach must not drop any n-gram; chunks of a few texts must agree
-    monkeypatch.setattr(B, "NGRAM_SHARE", 0.05)
-    monkeypatch.setattr(B, "CHUNK_TOKENS", chunk, raising=False)
-    got = {r["doc_id"]: r for r in B.score(df).collect()}
-    assert got.keys() == want.keys() and all(abs(r["score"] - want[i]) < 1e-6 for i, r in got.items())
+    rows = [(i, " ".join(rng.choices(pool, [1 / (k + 1) for k in range(60)], k=rng.randrange(1, 40)))) for i in range(150)]
+    rows += [(800, "never seen Zz words"), (801, None), (None, pool[0]), (5, rows[5][1]), (5, "another text"), (802, rows[9][1]), (803, " ".join(rng.choices(pool, k=6000)))]
+    monkeypatch.setattr(B, "CHUNK_TOKENS", chunk)
+    check_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows)
 
 
 def test_language_model_without_rows(empty_docs, spark):

@@ -1,246 +1,60 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Tokens are words in lower case (A-Z) and one end. Unigrams are smoothed by adding one; n-grams of
-2 to ORDER tokens seen at least LEAST times get absolutely discounted probabilities, and each
-context passes its remaining mass to the next shorter one. Contexts are the states of an automaton,
-n-grams its arcs, and a failure arc with the backoff weight leads from each state to that of its
-longest proper suffix. log10 probabilities are added up along each text.
-
-Counts are exact and over all training rows, at any size of the table. The automaton is spread over
-buckets by the hash of the n-gram and never gathered: texts are coded once, in chunks; each chunk
-sends its distinct n-grams with their training counts to the buckets and gets the total counts
-back. Then one chunk of those that hold an n-gram (its owner) adds the n-gram's mass to its
-context, again in the buckets, and each chunk gets the backoff weights it needs. A state is the
-longest suffix that is a context, so arcs and failure arcs of a place follow from these answers.
-Chunks and buckets have bounded sizes; a frequent n-gram is one entry a chunk.
-
-`train_model`, `build` and `traverse` are the automaton in one piece, which the tests compare with;
-it is complete for tables of up to 2 / NGRAM_SHARE tokens.
-
-Cases: null, empty and blank texts have one token, the end; repeated ids are scored row by row;
-without training rows every token is unknown (N and V are 0); very long texts are read whole; an
-empty table gives no rows; further columns are ignored.
+Tokens are words in lower case (A-Z) and one end. States are the contexts seen in training: the empty
+one, words, and word pairs seen LEAST times. A context h has an arc for each token w seen after it, with probability
+p(w | h) = (c(h w) + PRIOR * p(w | h')) / (c(h) + PRIOR), h' being h without its first word (Dirichlet
+smoothing); at the empty context p(w) = (c(w) + 1) / (N + V + 1). For all other tokens a failure
+arc of weight PRIOR / (c(h) + PRIOR) leads to h'. So the probabilities after each state add up to
+one. A text is read left to right: at each token the state is the longest suffix read that is a
+context; failure arcs are taken until one has an arc, and log10 weights are added up.
+
+All pairs, and all triples that go on from a state, are in the automaton, however rare, and counts are
+exact at any size of the table. The automaton is spread over buckets by the hash of the n-gram and never gathered. Texts
+are coded once, in chunks. Each chunk sends its distinct words and pairs with their training counts
+to the buckets and gets the total counts back; then the triples that begin with a state. These answers
+hold all states, arcs and failure arcs that the chunk's texts can meet; as a state follows from the
+two words before, the steps of all texts of a chunk are taken together. Chunks and buckets have bounded sizes; a
+frequent n-gram is one entry a chunk.
+
+Cases: null, empty and blank texts have one token, the end; repeated ids are scored row by row; rows
+with a null id are training rows; without training rows every token is unknown (N and V are 0); very
+long texts are read whole; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ROLL, Staged, WordHashes, bucket, mix, rows_of, signed, utf8
+from .common import _ROLL, Staged, Words, bucket, column, mix, sums, text_words
 
-ORDER, DISCOUNT = 3, 0.5
-#: Times that an n-gram of two tokens or more must be seen in training.
-LEAST = 2
+#: Weight of the shorter context, in observations; and how often a pair is seen that is a state.
+PRIOR, LEAST = 4.0, 2
 #: Tokens of a chunk of texts (one text may be longer), and n-grams that a bucket is meant to get.
-CHUNK_TOKENS, BUCKET_GRAMS = 500_000, 1_500_000
-#: Passes in which the buckets count, each over a part of them; bounds the disk that one shuffle takes.
-PASSES = 2
-#: Shares of all training tokens from which on a word, or an n-gram, is in the automaton in one piece.
-WORD_SHARE, NGRAM_SHARE = 1e-6, 1e-5
-#: Tokens that a task counts at once.
-CHUNK = 4_000_000
-END = b""  # no word is empty
+CHUNK_TOKENS, BUCKET_GRAMS = 1_000_000, 1_000_000
+#: The hash of the token that ends a text.
+END = np.uint64(0x5EED0F7E27A1D00D)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    words = utf8(text).lower().split()
-    words.append(END)
-    return words
-
-
-def word_counts(train: DataFrame) -> DataFrame:
-    """(h, c): hash of each token and its count; counted in the tasks first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter = Counter()
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(signed(np.fromiter(map(xxhash.xxh64_intdigest, count), np.uint64, len(count)))), pa.array(np.fromiter(count.values(), np.int64, len(count)))], ["h", "n"])
-
-        for (texts,) in rows_of(batches, "text"):
-            for t in texts:
-                words = tokens(t)
-                count.update(words)
-                size += len(words)
-                if size >= CHUNK:
-                    yield flush()
-                    count.clear()
-                    size = 0
-        if count:
-            yield flush()
-
-    return train.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
-
-
-class Vocabulary(dict):
-    """word -> its place among the broadcast words, most frequent first, or -1."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.place = dict(zip(hashes.tolist(), range(len(hashes)), strict=True))
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        i = self[word] = self.place.get(xxhash.xxh64_intdigest(word), -1)
-        return i
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-
-def find(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Places of x among sorted keys; -1 where it is not."""
-    if not len(keys):
-        return np.full(len(x), -1)
-    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
-    return np.where(keys[at] == x, at, -1)
-
-
-def arc_key(state: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return (state << 32) | word
-
-
-def next_order(train: DataFrame, shared, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Kept n-grams of order k, as sorted keys (place of the (k - 1)-gram, word), with exact counts.
-
-    shared: broadcast (word hashes, number of words that may be in n-grams, kept keys of orders 2 to k - 1).
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, frequent, kept = shared.value
-        vocabulary, held, size = Vocabulary(hashes), [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["key", "n"])
-
-        for (texts,) in rows_of(batches, "text"):
-            for t in texts:
-                w = vocabulary.of(tokens(t))
-                w[w >= frequent] = -1
-                gram = w  # place of the gram of the order before that ends here
-                for keys in kept:
-                    ok = (gram[:-1] >= 0) & (w[1:] >= 0)
-                    gram = np.r_[-1, np.where(ok, find(keys, arc_key(gram[:-1], w[1:])), -1)]
-                # the gram before and, by the same rule, the gram that ends at the word must be kept
-                ok = (gram[:-1] >= 0) & (w[1:] >= 0) & (gram[1:] >= 0 if kept else True)
-                held.append(arc_key(gram[:-1], w[1:])[ok])
-                size += len(w)
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
-
-    rows = train.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    t = rows.where(F.col("n") >= least).toArrow()
-    key, n = t.column("key").to_numpy(), t.column("n").to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
-def build(words: np.ndarray, counts: np.ndarray, orders: list[tuple[np.ndarray, np.ndarray]], total: int, distinct: int, order: int = ORDER) -> dict:
-    """States, arcs and failure arcs. State 0 is the empty context, then come kept grams by order."""
-    base = np.log10((counts + 1.0) / (total + distinct + 1.0))
-    sizes = [len(words)] + [len(k) for k, _ in orders]
-    first = np.cumsum([1, *sizes])  # of the states of each order
-    n_states = int(first[order - 1])  # grams of the longest order are no states
-    fail, backoff = np.zeros(n_states, np.int64), np.zeros(n_states)
-    keys = [arc_key(np.zeros(len(words), np.int64), np.arange(len(words)))]
-    logp = [base]
-    target = [1 + np.arange(len(words))]
-    gram_state = [1 + np.arange(len(words))]
-    gram_count = [counts]
-    suffix = [np.zeros(len(words), np.int64)]  # state of each gram's longest proper suffix
-    all_keys, all_logp, all_target = keys[0], logp[0], target[0]
-    for k, (key, n) in enumerate(orders, start=2):
-        context, word = key >> 32, key & 0xFFFFFFFF
-        state = gram_state[k - 2][context]
-        p = (n - DISCOUNT) / gram_count[k - 2][context]
-        # the suffix gram: the word read from the suffix of the context
-        lower, s = np.zeros(len(key)), suffix[k - 2][context]
-        low_target, open_ = np.zeros(len(key), np.int64), np.ones(len(key), bool)
-        while open_.any():
-            at = find(all_keys, arc_key(s, word))
-            hit = open_ & (at >= 0)
-            lower[hit] += all_logp[at[hit]]
-            low_target[hit] = all_target[at[hit]]
-            open_ &= ~hit
-            lower[open_] += backoff[s[open_]]
-            s = np.where(open_, fail[s], s)
-        states = np.arange(first[k - 1], first[k]) if k < order else low_target
-        mass = np.bincount(state, weights=p, minlength=n_states)
-        below = np.bincount(state, weights=10.0**lower, minlength=n_states)
-        has = np.bincount(state, minlength=n_states) > 0
-        backoff[has] = np.log10(np.maximum(1 - mass[has], 1e-12) / np.maximum(1 - below[has], 1e-12))
-        if k < order:
-            fail[states] = low_target
-        gram_state.append(states)
-        gram_count.append(n)
-        suffix.append(low_target)
-        joined = np.concatenate([all_keys, arc_key(state, word)])
-        by = np.argsort(joined)
-        all_keys = joined[by]
-        all_logp = np.concatenate([all_logp, np.log10(p)])[by]
-        all_target = np.concatenate([all_target, states])[by]
-    return {"words": words, "base": base, "keys": all_keys, "logp": all_logp, "target": all_target, "fail": fail, "backoff": backoff}
-
-
-def traverse(texts: list[np.ndarray], model: dict) -> np.ndarray:
-    """log10 probability of each text's tokens (places in the vocabulary), without those of unknown places, which are -1."""
-    size = np.array([len(t) for t in texts])
-    order = np.argsort(-size, kind="stable")
-    flat = np.concatenate([texts[i] for i in order])
-    begin = np.cumsum(size[order]) - size[order]
-    state, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    active = np.searchsorted(-size[order], -np.arange(1, (size.max() if len(size) else 0) + 1), side="right")
-    keys, logp, target, fail, backoff = (model[k] for k in ("keys", "logp", "target", "fail", "backoff"))
-    for t, m in enumerate(active):
-        w = flat[begin[:m] + t]
-        live = np.arange(m)
-        while len(live):
-            s = state[live]
-            at = np.where(w[live] >= 0, find(keys, arc_key(s, w[live])), -1)
-            hit = at >= 0
-            total[live[hit]] += logp[at[hit]]
-            state[live[hit]] = target[at[hit]]
-            miss = live[~hit]
-            miss = miss[state[miss] > 0]  # at the empty context only unknown places miss
-            total[miss] += backoff[state[miss]]
-            state[miss] = fail[state[miss]]
-            live = miss
-        # an unknown place stops at the empty context, where its unigram is added later
-    out = np.empty(len(texts))
-    out[order] = total
-    return out
-
-
-def train_model(train: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> dict:
-    t = vocabulary.where(F.col("c") >= WORD_SHARE * total).toArrow()
-    h, c = t.column("h").to_numpy().astype(np.int64).view(np.uint64), t.column("c").to_numpy().astype(np.int64)
-    by = np.lexsort((h, -c))
-    h, c = h[by], c[by]
-    frequent, orders = int((c >= NGRAM_SHARE * total).sum()), []
-    context = train.sparkSession.sparkContext
-    for k in range(2, ORDER + 1):
-        shared = context.broadcast((h, frequent, [key for key, _ in orders]))
-        orders.append(next_order(train, shared, k, max(float(LEAST), NGRAM_SHARE * total)))
-    return build(h, c, orders, total, distinct)
+def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of all texts, each with its end, and how many each text has."""
+    size = words.count + 1
+    out = np.full(int(size.sum()), END)
+    inner = np.ones(len(out), bool)
+    inner[np.cumsum(size) - 1] = False
+    out[inner] = words.hash
+    return out, size
 
 
 def pack(x: np.ndarray) -> bytes:
     """Numbers as compressed bytes, all lowest bytes first, then all second ones and so on."""
-    planes = x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
     return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
@@ -259,35 +73,30 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Coded texts, a row for about CHUNK_TOKENS tokens: word hashes, their codes token by token, sizes, ids and folds of the texts."""
+    """Coded texts, a row for about CHUNK_TOKENS tokens: word hashes, sorted; their codes token by token; sizes, ids and folds of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        held_ids, held_out, sizes, flat, size = [], [], [], [], 0
+        ids, out, sizes, flat, size = [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            words, codes, times = np.unique(np.concatenate(flat), return_inverse=True, return_counts=True)
-            common = np.argsort(-times, kind="stable")  # small codes for frequent words
-            rank = np.empty(len(words), np.uint32)
-            rank[common] = np.arange(len(words), dtype=np.uint32)
-            n = np.array(sizes, np.int64)
-            out = np.array(held_out, bool)
-            row = [words[common].tobytes(), pack(rank[codes]), n.tobytes(), out.tobytes()]
-            columns = [pa.array([x], pa.binary()) for x in row] + [pa.array([held_ids], pa.list_(pa.int64()))]
-            columns += [pa.array([size], pa.int64()), pa.array([int(n[~out].sum())], pa.int64())]
+            words, codes = np.unique(np.concatenate(flat), return_inverse=True)
+            n, held = np.concatenate(sizes), np.concatenate(out)
+            row = [pack_sorted(words), pack(codes.astype(np.uint32)), pack(n), pack(held)]
+            columns = [pa.array([x], pa.binary()) for x in row] + [pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64()))]
+            columns += [pa.array([int(n.sum())], pa.int64()), pa.array([int(n[~held].sum())], pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["words", "codes", "sizes", "held", "ids", "n", "n_train"])
 
-        for ids, texts, held in rows_of(batches, "doc_id", "text", "held"):
-            for i, t, o in zip(ids, texts, held, strict=True):
-                h = hashes.of(tokens(t))
+        for batch in batches:
+            for rows, words in text_words(batch, lower=True):
+                h, n = tokens(words)
                 flat.append(h)
-                sizes.append(len(h))
-                held_ids.append(i)
-                held_out.append(o)
+                sizes.append(n)
+                ids.append(column(batch, "doc_id", rows))
+                out.append(column(batch, "held", rows).to_numpy(zero_copy_only=False).astype(bool))
                 size += len(h)
                 if size >= CHUNK_TOKENS:
                     yield flush()
-                    held_ids, held_out, sizes, flat, size = [], [], [], [], 0
+                    ids, out, sizes, flat, size = [], [], [], [], 0
         if flat:
             yield flush()
 
@@ -295,77 +104,50 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 class Chunk:
-    """The distinct n-grams of a chunk, sorted by hash, and where they stand.
-
-    `one`, `two` and `three` give for each token the n-gram of that length that ends there, as a
-    place in `keys`; `two` and `three` are -1 where a text has no such n-gram.
-    """
+    """A chunk's n-grams by length: `keys`, sorted hashes; `at`, the tokens where each ends; `which`, its place in keys for these."""
 
     def __init__(self, row: dict):
-        sizes = np.frombuffer(row["sizes"], np.int64)
-        h = np.frombuffer(row["words"], np.uint64)[unpack(row["codes"], np.uint32)]
-        self.ids, self.sizes, self.held = row["ids"], sizes, np.frombuffer(row["held"], bool)
-        self.first = np.cumsum(sizes) - sizes
-        n = len(h)
-        at = np.arange(n) - np.repeat(self.first, sizes)
-        self.places = [np.arange(n), np.flatnonzero(at >= 1), np.flatnonzero(at >= 2)]
-        k2 = mix(h[:-1] * _ROLL + h[1:])
-        k3 = mix(k2[:-1] * _ROLL + h[2:])
-        every = np.concatenate([h, k2[self.places[1] - 1], k3[self.places[2] - 2]])
-        self.keys, self.index, inverse = np.unique(every, return_index=True, return_inverse=True)
-        self.inverse, self.n = inverse, n
-        self.one = inverse[:n]
-        self.two, self.three = np.full(n, -1), np.full(n, -1)
-        self.two[self.places[1]] = inverse[n : n + len(self.places[1])]
-        self.three[self.places[2]] = inverse[n + len(self.places[1]) :]
-
-    def training_counts(self) -> np.ndarray:
-        train = np.repeat(~self.held, self.sizes)
-        return np.bincount(self.inverse, np.concatenate([train[p] for p in self.places]), len(self.keys)).astype(np.int64)
-
-    def order_and_place(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lengths of the n-grams `which`, and the token at which each ends first."""
-        i = self.index[which]
-        return 1 + (i >= self.n) + (i >= self.n + len(self.places[1])), np.concatenate(self.places)[i]
-
-    def masses(self, count: np.ndarray, owned: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray]:
-        """What the owned n-grams give to their contexts, which are places in `keys`: probability, and that of the shorter n-gram."""
-        order, p = self.order_and_place(owned)
-        mass, below = np.zeros(len(self.keys)), np.zeros(len(self.keys))
-        c = count[owned]
-        for k, ctx, low in (
-            (2, self.one, lambda q: (count[self.one[q]] + 1.0) / norm),
-            (3, self.two, lambda q: (count[self.two[q]] - DISCOUNT) / count[self.one[q - 1]]),
-        ):
-            these, q = order == k, p[order == k]
-            context = ctx[q - 1]
-            mass += np.bincount(context, (c[these] - DISCOUNT) / count[context], len(mass))
-            below += np.bincount(context, low(q), len(mass))
-        return mass, below
-
-    def misses(self, count: np.ndarray) -> np.ndarray:
-        """Contexts, as places in `keys`, out of which a failure arc is taken."""
-        need = np.zeros(len(self.keys), bool)
-        for grams, context, q in ((self.two, self.one, self.places[1]), (self.three, self.two, self.places[2])):
-            need[context[q[count[grams[q]] < LEAST] - 1]] = True
-        return need & (count >= LEAST)
-
-    def contexts(self, count: np.ndarray, owned: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts, as places in `keys`, that the chunk gives mass to or needs the weight of, and their masses."""
-        mass, below = self.masses(count, owned, norm)
-        at = np.flatnonzero((mass > 0) | self.misses(count))
-        return at, mass[at], below[at]
-
-    def scores(self, count: np.ndarray, backoff: np.ndarray, norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Known tokens, base score and score of each text."""
-        c = count[self.one]
-        base = np.log10((c + 1.0) / norm)
-        s = base.copy()
-        for grams, context, q in ((self.two, self.one, self.places[1]), (self.three, self.two, self.places[2])):
-            n, before = count[grams[q]], context[q - 1]
-            hit = n >= LEAST
-            s[q] = np.where(hit, np.log10(np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(count[before], 1)), s[q] + backoff[before])
-        return tuple(np.add.reduceat(x, self.first) for x in ((c > 0).astype(np.int64), base, s))
+        words, codes = unpack_sorted(row["words"]), unpack(row["codes"], np.uint32).astype(np.int64)
+        self.id, self.ids = row["chunk"], row["ids"]
+        self.sizes, self.held = unpack(row["sizes"], np.int64), unpack(row["held"], bool)
+        self.train = np.repeat(~self.held, self.sizes)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        self.h, self.place = words[codes], place
+        self.keys, self.at, self.which = {1: words}, {1: np.arange(len(codes))}, {1: codes}
+        self.at[2] = np.flatnonzero(place >= 1)
+        self._hash2 = mix(self.h[:-1] * _ROLL + self.h[1:])
+        self.keys[2], self.which[2] = np.unique(self._hash2[self.at[2] - 1], return_inverse=True)
+
+    def triples(self, c2: np.ndarray) -> None:
+        """Takes up the triples that begin with a state. c2: counts of pairs."""
+        pair = np.zeros(len(self.h), np.int64)
+        pair[self.at[2]] = c2[self.which[2]]
+        ends = np.flatnonzero(self.place >= 2)
+        self.at[3] = ends[pair[ends - 1] >= LEAST]
+        self.keys[3], self.which[3] = np.unique(mix(self._hash2[self.at[3] - 2] * _ROLL + self.h[self.at[3]]), return_inverse=True)
+
+    def asks(self, k: int, bits: int) -> Iterator[tuple]:
+        """(k, bucket, chunk, keys, training counts) of the n-grams of length k."""
+        n = np.bincount(self.which[k], self.train[self.at[k]], len(self.keys[k])).astype(np.uint32)
+        for b, s in slices(self.keys[k], bits):
+            yield k, b, self.id, pack_sorted(self.keys[k][s]), pack(n[s])
+
+    def scores(self, counts: dict[int, np.ndarray], norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Known tokens, base score and score of each text. counts: by length and key."""
+        seen = counts[1][self.which[1]]
+        known, context = seen > 0, seen
+        p = (seen + 1.0) / norm  # of the arc out of the context so far
+        base = np.log10(p)
+        score = base.copy()  # from that context on
+        for k in (2, 3):
+            ends, seen = self.at[k], counts[k][self.which[k]]
+            before = context[ends - 1]
+            p[ends] = (seen + PRIOR * p[ends]) / (before + PRIOR)
+            fail = np.log10(PRIOR / (before + PRIOR))  # 0 where there is no such state
+            score[ends] = np.where(seen > 0, np.log10(p[ends]), fail + score[ends])
+            context = np.zeros(len(p), np.int64)
+            context[ends] = seen
+        return tuple(sums(x, self.sizes) for x in (known.astype(np.int64), base, score))
 
 
 def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
@@ -376,119 +158,82 @@ def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
         yield int(b[lo]), slice(lo, hi)
 
 
-def _blobs(table: pa.Table, name: str, kind) -> list[np.ndarray]:
-    return [unpack(x, kind) for x in table.column(name).to_pylist()]
+ASK = "k int, b long, chunk long, keys binary, n binary"
+ANSWER = "k int, b long, chunk long, answer binary, distinct long"
 
 
-def _groups(table: pa.Table) -> tuple[pa.Table, list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """The requests of a bucket by chunk; their lengths, and the n-grams' order, first places in it and numbers."""
-    table = table.sort_by("chunk")
-    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    new = np.r_[True, flat[order][1:] != flat[order][:-1]]
-    return table, [len(k) for k in keys], order, np.flatnonzero(new), np.cumsum(new) - 1
+def _asked(rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["k", "b", "chunk", "keys", "n"])
 
 
-def _answers(table: pa.Table, sizes: list[int], order: np.ndarray, values: np.ndarray, **more) -> pa.Table:
-    """values: in `order`; goes back to the chunks in the order they asked in."""
-    back = np.empty(len(order), values.dtype)
-    back[order] = values
-    parts = np.split(back, np.cumsum(sizes)[:-1])
-    columns = {"chunk": table.column("chunk"), "b": table.column("b"), "answer": pa.array([pack(x) for x in parts], pa.binary())}
-    return pa.table(columns | {k: pa.array([v] + [0] * (len(sizes) - 1), pa.int64()) for k, v in more.items()})
+def _answer(table: pa.Table) -> pa.Table:
+    """Sums a bucket's counts; each chunk gets them in the order it asked, the first one also the number of n-grams seen."""
+    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
+    sizes, flat = [len(k) for k in keys], np.concatenate(keys)
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[order][1:] != flat[order][:-1]
+    del keys, flat
+    n = np.concatenate([unpack(x, np.uint32) for x in table.column("n").to_pylist()])[order].astype(np.int64)
+    total = np.add.reduceat(n, np.flatnonzero(new))
+    back = np.empty(len(order), np.uint32 if total.max() < 2**32 else np.uint64)
+    back[order] = total[np.cumsum(new) - 1]
+    answers = [bytes([back.itemsize]) + pack(x) for x in np.split(back, np.cumsum(sizes)[:-1])]
+    distinct = [int((total > 0).sum())] + [0] * (len(sizes) - 1)
+    return pa.table({"k": table.column("k"), "b": table.column("b"), "chunk": table.column("chunk"), "answer": pa.array(answers, pa.binary()), "distinct": pa.array(distinct, pa.int64())})
+
+
+def _counts(answers: pa.Table, k: int, n: int) -> np.ndarray:
+    """Counts of a chunk's n-grams of length k."""
+    mine = answers.filter(pc.equal(answers.column("k"), k)).sort_by("b").column("answer").to_pylist()
+    out = np.concatenate([np.zeros(0, np.int64), *(unpack(x[1:], np.uint32 if x[0] == 4 else np.uint64) for x in mine)]).astype(np.int64)
+    assert len(out) == n
+    return out
 
 
-def count_grams(coded: DataFrame, bits: int, turn: int) -> DataFrame:
-    """(chunk, b, answer, distinct): twice the training count of each n-gram of the chunk, plus one at its owner; distinct: number of words seen in training. Of the buckets of this turn."""
+def count_short(coded: DataFrame, bits: int) -> DataFrame:
+    """Counts of the chunks' words and pairs, with the number of distinct ones seen in training."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                (row,) = batch.slice(i, 1).to_pylist()
-                chunk = Chunk(row)
-                n = chunk.training_counts().astype(np.uint32) * np.uint32(2)
-                n[chunk.one] |= np.uint32(1)  # marks words
-                out = [(b, row["chunk"], pack_sorted(chunk.keys[s]), pack(n[s])) for b, s in slices(chunk.keys, bits) if b % PASSES == turn]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["b", "chunk", "keys", "n"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        table, sizes, order, first, number = _groups(table)
-        sent = np.concatenate(_blobs(table, "n", np.uint32))[order].astype(np.int64)
-        n, word = sent >> 1, (sent & 1)[first] > 0
-        count = np.add.reduceat(n, first)
-        # the first chunk that holds an n-gram in a training text owns it
-        seen = np.where(n > 0, np.arange(len(n)), len(n))
-        owner = np.minimum.reduceat(seen, first)
-        kept = (count >= LEAST) & ~word
-        value = np.where(kept | word, count, 0)[number] * 2
-        value[owner[kept]] += 1
-        return _answers(table, sizes, order, value, distinct=int((word & (count > 0)).sum()))
-
-    rows = coded.mapInArrow(ask, "b long, chunk long, keys binary, n binary")
-    return rows.groupBy("b").applyInArrow(answer, "chunk long, b long, answer binary, distinct long")
-
-
-def _counts(table: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of a chunk's n-grams, and which it owns."""
-    value = np.concatenate(_blobs(table.sort_by("b"), "answer", np.int64))
-    assert len(value) == n
-    return value >> 1, np.flatnonzero(value & 1)
-
-
-def weigh_contexts(coded: DataFrame, counted: DataFrame, bits: int, norm: float) -> DataFrame:
-    """(chunk, b, answer): log10 backoff weights of the contexts that the chunk asks for or gives mass to."""
-
-    def ask(rows: pa.Table, counts: pa.Table) -> pa.Table:
-        (row,) = rows.to_pylist()
-        chunk = Chunk(row)
-        count, owned = _counts(counts, len(chunk.keys))
-        at, mass, below = chunk.contexts(count, owned, norm)
-        out = [(b, row["chunk"], pack_sorted(chunk.keys[at][s]), pack(mass[s]), pack(below[s])) for b, s in slices(chunk.keys[at], bits)]
-        columns = list(zip(*out, strict=True)) if out else [()] * 5
-        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], names=["b", "chunk", "keys", "mass", "below"])
-
-    def answer(table: pa.Table) -> pa.Table:
-        table, sizes, order, first, number = _groups(table)
-        mass, below = (np.add.reduceat(np.concatenate(_blobs(table, c, np.float64))[order], first) for c in ("mass", "below"))
-        weight = np.where(mass > 0, np.log10(np.maximum(1 - mass, 1e-12) / np.maximum(1 - below, 1e-12)), 0.0)
-        return _answers(table, sizes, order, weight[number])
-
-    rows = coded.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(ask, "b long, chunk long, keys binary, mass binary, below binary")
-    asked = Staged(rows, "asked")
-    del rows
-    weights = Staged(asked.df.groupBy("b").applyInArrow(answer, "chunk long, b long, answer binary"), "weights")
-    asked.drop()
-    return weights.df
+                chunk = Chunk(batch.slice(i, 1).to_pylist()[0])
+                yield from _asked([*chunk.asks(1, bits), *chunk.asks(2, bits)]).to_batches()
+
+    return coded.mapInArrow(ask, ASK).groupBy("k", "b").applyInArrow(_answer, ANSWER)
+
+
+def count_triples(coded: DataFrame, short: DataFrame, bits: int) -> DataFrame:
+    """Counts of the chunks' triples that begin with a state."""
+
+    def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(rows.to_pylist()[0])
+        chunk.triples(_counts(answers, 2, len(chunk.keys[2])))
+        return _asked(list(chunk.asks(3, bits)))
+
+    pairs = short.where("k = 2").groupBy("chunk")
+    return coded.groupBy("chunk").cogroup(pairs).applyInArrow(ask, ASK).groupBy("k", "b").applyInArrow(_answer, ANSWER)
 
 
 def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
-    spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(bucket(F.col("doc_id"), fold) == held, F.lit(False)).alias("held"))
     table = Staged(chunks(rows).withColumn("chunk", F.monotonically_increasing_id()), "chunks", n=F.sum("n"), n_train=F.sum("n_train"))
     coded, total, size = table.df, table.seen["n_train"] or 0, table.seen["n"] or 0
-    bits = max(4, int(np.ceil(np.log2(max(1, 2 * size / BUCKET_GRAMS)))))
-    distinct, counted = 0, None
-    for turn in range(PASSES):
-        part = Staged(count_grams(coded, bits, turn), "counts", distinct=F.sum("distinct"))
-        distinct += part.seen["distinct"] or 0
-        counted = part.df if counted is None else counted.union(part.df)
-    norm = total + distinct + 1.0
-    weighed = weigh_contexts(coded, counted, bits, norm)
+    bits = max(4, int(np.ceil(np.log2(max(1, size / BUCKET_GRAMS)))))
+    short = Staged(count_short(coded, bits), "short", words=F.sum(F.when(F.col("k") == 1, F.col("distinct"))))
+    triples = Staged(count_triples(coded, short.df, bits), "triples")
+    norm = total + (short.seen["words"] or 0) + 1.0
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        (row,) = rows.to_pylist()
-        chunk = Chunk(row)
-        is_count = answers.column("is_count")
-        count, owned = _counts(answers.filter(is_count), len(chunk.keys))
-        backoff = np.zeros(len(chunk.keys))
-        weights = _blobs(answers.filter(pc.invert(is_count)).sort_by("b"), "answer", np.float64)
-        backoff[chunk.contexts(count, owned, norm)[0]] = np.concatenate([np.zeros(0), *weights])
-        known, base, s = chunk.scores(count, backoff, norm)
+        chunk = Chunk(rows.to_pylist()[0])
+        counts = {k: _counts(answers, k, len(chunk.keys[k])) for k in (1, 2)}
+        chunk.triples(counts[2])
+        counts[3] = _counts(answers, 3, len(chunk.keys[3]))
+        known, base, s = chunk.scores(counts, norm)
         columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(known), total, np.int64)), pa.array(base), pa.array(s)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    answers = counted.select("chunk", "b", "answer", F.lit(True).alias("is_count")).union(weighed.select("chunk", "b", "answer", F.lit(False)))
-    return coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = short.df.union(triples.df).groupBy("chunk")
+    return coded.groupBy("chunk").cogroup(answers).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
