@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vertexloom.llm.common import Staged, table
 from vertexloom.llm.decontaminate import remove_contaminated
 from vertexloom.llm.ngram_jaccard_join import keep_one
-from vertexloom.llm.piece_sampling import decode, encode
+from vertexloom.llm.piece_sampling import encode_and_decode
 from vertexloom.llm.quality_classifier import keep_good
 from vertexloom.llm.substring_dedup import remove
 
@@ -40,7 +40,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces, pieces and whether they decode to the text they came from."""
-    back = decode(encode(docs.select("doc_id", "lang", "source", "text")))
+    back = encode_and_decode(docs.select("doc_id", "lang", "source", "text"))
     lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
     return back.select("doc_id", "lang", "source", F.size("pieces").cast("long").alias("n_pieces"), "pieces", lossless.alias("lossless"))
 
