@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion, in DataFrame functions only.
 
-Every assistant turn is one training example: all preceding turns are its context and only that
-reply is trainable. All examples of a conversation are prefixes of one transcript, so the
-transcript is stored once and an example is a span of it; a conversation of n turns then costs n
-turns, not n squared. `example_texts` writes the spans out for who wants them.
+Every assistant turn is exploded into one training example: all preceding turns are its context and
+only that reply is trainable, as a span of the example's text. Turns after the last reply form a
+closing example without a target, so that nothing of a conversation is lost. All examples of a
+conversation are prefixes of one transcript: `transcripts` stores that with the spans, at the cost of
+the turns, and `examples` explodes it into the examples' own texts.
 
 Template: `<|im_start|>role\\ntext<|im_end|>\\n` for each turn. `&` becomes `&amp;` and `<|`
 becomes `&lt;|` inside roles and texts, and a role's line breaks become `&#10;`, so no text can
@@ -73,39 +74,55 @@ def _span(x: Column) -> Column:
     )
 
 
-def example_texts(formatted: DataFrame) -> DataFrame:
-    """Each example written out: conv_id, example, text, loss_start, loss_end. Grows with the square of a conversation."""
-    each = formatted.select("conv_id", "transcript", F.posexplode("examples").alias("example", "x"))
+def examples(formatted: DataFrame) -> DataFrame:
+    """One row an example: conv_id, example (from 0), last, text, loss_start, loss_end; code points, the span is null without a target.
+
+    Exploding keeps the rows where the conversations are; what follows by conv_id needs no further shuffle.
+    """
+    each = formatted.select("conv_id", "transcript", F.size("examples").alias("n"), F.posexplode("examples").alias("example", "x"))
     return each.select(
-        "conv_id", "example", F.col("transcript").substr(F.lit(1), F.col("x.end").cast("int")).alias("text"), "x.loss_start", "x.loss_end"
+        "conv_id",
+        "example",
+        (F.col("example") == F.col("n") - 1).alias("last"),
+        F.col("transcript").substr(F.lit(1), F.col("x.end").cast("int")).alias("text"),
+        "x.loss_start",
+        "x.loss_end",
     )
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns: array of (role, text), examples: parsed from the transcript alone."""
-    blocks = F.filter(F.split("transcript", r"<\|im_end\|>\n"), lambda b: b != "")
+def read_turns(text: Column) -> Column:
+    """Array of (role, text), parsed from an example's text alone."""
+    blocks = F.filter(F.split(text, r"<\|im_end\|>\n"), lambda b: b != "")
     bare = F.transform(blocks, lambda b: F.substr(b, F.lit(len(OPEN) + 1)))
-    parsed = F.transform(
+    return F.transform(
         bare,
         lambda b: F.struct(
             unescape(F.replace(F.substr(b, F.lit(1), F.call_function("instr", b, F.lit("\n")) - 1), F.lit("&#10;"), F.lit("\n"))).alias("role"),
             unescape(F.substr(b, F.call_function("instr", b, F.lit("\n")) + 1)).alias("text"),
         ),
     )
-    return formatted.select("conv_id", parsed.alias("turns"), "examples")
+
+
+def trainable(text: Column, start: Column, end: Column) -> Column:
+    """What stands under the loss mask, unescaped; null without a target."""
+    return unescape(text.substr((start + 1).cast("int"), (end - start).cast("int")))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """The figures of the query, all taken from the output itself."""
-    back = read_back(formatted)
-    loss = F.array_join(
-        F.transform(F.filter("examples", lambda x: x.target.isNotNull()), lambda x: F.element_at("turns", x.target).text), ""
+    """The figures of the query for each conversation, read back from its examples: turns from the last one's text, the loss from the masks."""
+    each = examples(formatted).select(
+        "conv_id",
+        F.struct("example", trainable(F.col("text"), F.col("loss_start"), F.col("loss_end")).alias("loss")).alias("masked"),
+        F.char_length("text").cast("long").alias("chars"),
+        F.when(F.col("last"), F.col("text")).alias("whole"),
     )
-    return back.select(
+    back = each.groupBy("conv_id").agg(F.sort_array(F.collect_list("masked")).alias("masked"), F.sum("chars").alias("formatted_chars"), F.max("whole").alias("whole"))
+    read = back.select("conv_id", "formatted_chars", read_turns(F.col("whole")).alias("turns"), F.array_join(F.col("masked.loss"), "").alias("loss"))
+    return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
-        F.char_length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"),
-        F.aggregate("examples", F.lit(0).cast("long"), lambda a, x: a + x.end).alias("formatted_chars"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
     )
