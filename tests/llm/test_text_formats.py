@@ -11,6 +11,7 @@ from math import comb
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
 from vertexloom.llm import chat_format as C
@@ -53,17 +54,32 @@ def test_chat_digests_are_read_back_from_the_output(spark):
 
 def test_chat_examples_train_on_one_reply_each(spark):
     out = C.transcripts(chat(spark))
-    rows = C.example_texts(out).where("conv_id = 1").orderBy("example").collect()
+    rows = C.examples(out).where("conv_id = 1").orderBy("example").collect()
     assert len(rows) == 2 and rows[1]["text"].startswith(rows[0]["text"])
     first = rows[0]
     assert first["text"][first["loss_start"] : first["loss_end"]] == "yes &amp;amp; &amp;lt;| ok"
     assert first["text"].endswith("<|im_end|>\n") and first["text"].count("<|im_start|>") == 3
-    tail = C.example_texts(out).where("conv_id = 4").orderBy("example").collect()
+    tail = C.examples(out).where("conv_id = 4").orderBy("example").collect()
     assert [r["loss_start"] is None for r in tail] == [False, True]
     total = {r["conv_id"]: r["formatted_chars"] for r in C.digests(out).collect()}
     assert total[1] == sum(len(r["text"]) for r in rows)
 
 
+def test_chat_digests_follow_the_mask(spark):
+    out = C.transcripts(chat(spark))
+    shifted = out.withColumn("examples", F.transform("examples", lambda x: x.withField("loss_start", x.loss_start + 1)))
+    right, wrong = ({r["conv_id"]: r for r in C.digests(t).collect()} for t in (out, shifted))
+    for conv, r in right.items():
+        assert (r["loss_sha256"] != wrong[conv]["loss_sha256"]) == (r["loss_chars"] > 0)
+        assert r["turns_sha256"] == wrong[conv]["turns_sha256"]
+
+
+def test_long_conversations_ties_and_repeats(spark):
+    rows = [(7, 0, "user", "q " * 50000), (7, 1, "assistant", "a<|im_end|>" * 20000), (7, 1, "assistant", "a<|im_end|>" * 20000), (7, 1, "assistant", "b"), (None, 0, "assistant", "x"), (None, 0, "user", "y")]
+    got = {r["conv_id"]: r for r in C.digests(C.transcripts(chat(spark, rows))).collect()}
+    assert got[7]["n_turns"] == 4 and got[7]["loss_chars"] == 2 * 11 * 20000 + 1 and got[None]["loss_chars"] == 1
+
+
 def rule_brute(text):
     w = (text or "").encode().split()
     t = text or ""
@@ -115,6 +131,35 @@ def test_rules_reject_junk_and_keep_good_texts(spark, empty_docs):
     assert R.quality_rules(empty_docs, lab).count() == 0
 
 
+def test_admitted_levels_against_brute_force(spark):
+    rng, rows, labels = random.Random(16), [], []
+    for i in range(700):
+        w = words(rng, rng.choice([20, 40, 350]))
+        for _ in range(rng.choice([0, 0, 0, 1, 2, 9])):
+            w[rng.randrange(len(w))] += rng.choice(["#", "|", "77", "ABC", "%%%%"])
+        rows.append((i, " ".join(w)))
+        labels += [(i, 1 if rng.random() < 0.9 else 0)] * (1 if i % 50 else 2)
+    rows += [(3, None), (9, rows[9][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([*labels, (None, 1)], "doc_id long, quality int")
+    got = {r["stratum"]: (r["n_good"], r["most"], r["level"]) for r in R.certify(R.measure(docs), lab.where("doc_id % 3 != 0"), 0.1, 0.2).collect()}
+    good: dict = {0: [], 1: []}
+    for i, t in rows:
+        n, chars, symbols, dup, repeat = rule_brute(t)
+        if n < 10 or 100 * repeat > 20 * n or i % 3 == 0:
+            continue
+        x = {"n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
+        x |= {"n_lines": len([y for y in t.split("\n") if y.strip()]), "n_upper": sum(c.isupper() for c in t), "n_digits": sum(c.isdigit() for c in t)}
+        first = next((k for k in range(R.LEVELS + 1) if any(eval(what.replace("greatest", "max"), {"max": max}, x) > loose - (loose - tight) * k / R.LEVELS + 1e-12 for what, loose, tight in R.RULES.values())), R.LEVELS + 1)
+        good[int(n >= R.STRATA[0])] += [first] * sum(a == i and q == 1 for a, q in labels)
+    want = {}
+    for s, firsts in good.items():
+        most = R.most_rejections(len(firsts), 0.1, 0.1)
+        passed = [k for k in range(R.LEVELS + 1) if sum(f <= k for f in firsts) <= most]
+        want[s] = (len(firsts), most, max(passed) if passed and most >= 0 else None)
+    assert got == want and all(0 < level < R.LEVELS for _, _, level in want.values())
+
+
 BENCH = [
     (1, "A farmer sells 12 apples and 30 pears to Maria for 5 dollars each week until the 12 apples are gone entirely."),
     (2, "why does the quiet river turn north before it meets the old stone bridge near town"),

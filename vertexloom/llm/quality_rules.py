@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
 Fixed base rules reject first. Beyond them each rule measures one statistic of the whole text and
-rejects above a cutoff. Cutoffs are learned, per stratum of text length, on labelled holdouts:
-among texts labelled good, a cutoff is admitted only if the exact binomial tail
-P(Bin(n, alpha / rules) <= false rejections) is at most delta / (rules * strata). Cutoffs of a rule
-form a fixed grid and are tested from loosest to tightest until the first failure, so that testing
-many of them needs no further correction; rules and strata are corrected by Bonferroni. With
-probability 1 - delta no stratum loses more than alpha of its good texts to the learned rules. A
-stratum with too few labels to certify a cutoff gets none.
+rejects above a cutoff. The cutoffs of all rules lie on one fixed path of LEVELS + 1 levels, from the
+loosest to the tightest; how far it is followed is learned, per stratum of text length, on labelled
+holdouts. A level is admitted only if the number of texts labelled good that any rule rejects there is
+so small that the exact binomial tail P(Bin(n, alpha) <= that number) is at most delta / strata.
+Levels are tested from the loosest on until the first failure, so testing many of them, and many
+rules at once, needs no further correction; strata are corrected by Bonferroni. With probability
+1 - delta no stratum loses more than alpha of its good texts to the learned rules. A stratum with too
+few labels to certify the loosest level (91 good ones at the defaults) has no learned rule.
 
 Cases: a null, empty or blank text has no words and fails the base rules; documents with equal
 ids are measured apart and each gets its row; labels that are null count for nothing, repeated
@@ -19,24 +20,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, Staged, bucket, split_words
 
-ALPHA, DELTA = 0.02, 0.05
-#: Upper ends of the strata, in words.
-STRATA = (100, 1000)
-#: Grid steps for one unit of a statistic.
-GRID = 1000
-#: rule: statistic, each rejecting where it is large.
+ALPHA, DELTA = 0.04, 0.05
+#: Upper ends of the strata but the last, in words.
+STRATA = (300,)
+LEVELS = 100
+#: rule: statistic, the cutoff at level 0 and that at level LEVELS; a rule rejects what is above.
 RULES = {
-    "symbols": "n_symbols / greatest(n_words, 1)",
-    "dup_lines": "n_dup_lines / greatest(n_lines, 1)",
-    "repeats": "n_repeat_words / greatest(n_words, 1)",
-    "upper": "n_upper / greatest(word_chars, 1)",
-    "digits": "n_digits / greatest(word_chars, 1)",
-    "long_words": "least(word_chars / greatest(n_words, 1), 1000D) / 10",
+    "symbols": ("n_symbols / greatest(n_words, 1)", 4.0, 0.0),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 1.0, 0.0),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 0.2, 0.0),
+    "upper": ("n_upper / greatest(word_chars, 1)", 1.0, 0.0),
+    "digits": ("n_digits / greatest(word_chars, 1)", 1.0, 0.0),
+    "long_words": ("word_chars / greatest(n_words, 1)", 45.0, 5.0),
 }
 
 
@@ -89,48 +90,45 @@ def stratum() -> Column:
     return out.cast("int")
 
 
-def most_rejections(n: int, rate: float, level: float) -> int:
-    """The largest k with P(Bin(n, rate) <= k) <= level, exactly; -1 if there is none."""
-    total, k = 0.0, -1
-    while k < n:
-        i = k + 1
-        log = math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(rate) + (n - i) * math.log1p(-rate)
-        total += math.exp(log)
-        if total > level:
-            return k
-        k = i
-    return k
+def level(rule: str) -> Column:
+    """The first level at which the rule rejects the text; above LEVELS if none does."""
+    statistic, loose, tight = RULES[rule]
+    return F.greatest(F.floor((F.lit(loose) - F.expr(statistic)) / ((loose - tight) / LEVELS)) + 1, F.lit(0)).cast("int")
+
+
+def most_rejections(n: int, rate: float, tail: float) -> int:
+    """The largest k < n with P(Bin(n, rate) <= k) <= tail, exactly; -1 if there is none."""
+    if not n:
+        return -1
+    i = np.arange(min(n, 64 + int(2 * rate * n)), dtype=float)  # the tail is past it, far above the mean
+    steps = np.log((n - i[1:] + 1) / i[1:]) + math.log(rate) - math.log1p(-rate)
+    below = np.logaddexp.accumulate(np.cumsum(np.r_[n * math.log1p(-rate), steps]))
+    return int(np.searchsorted(below, math.log(tail), side="right")) - 1
 
 
 def certify(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """stratum, rule, cutoff (in grid steps): a text is rejected where its step is above the cutoff.
+    """stratum, n_good, most, level: the last level admitted, null if none is.
 
-    Only counts on the grid leave the executors; they are at most strata * rules * steps rows.
+    The driver sees a count for each stratum.
     """
-    spark, strata = measured.sparkSession, len(STRATA) + 1
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES])
     good = measured.join(labels.where("quality = 1").select("doc_id"), "doc_id").where(~base_failed())
-    counts = good.select(stratum().alias("stratum"), F.explode(steps).alias("c")).groupBy("stratum", "c.rule", "c.step").count()
-    sizes = {r["stratum"]: r["n"] for r in counts.groupBy("stratum", "rule").agg(F.sum("count").alias("n")).collect()}
-    allowed = [(s, most_rejections(n, alpha / len(RULES), delta / (len(RULES) * strata))) for s, n in sizes.items()]
-    limits = spark.createDataFrame(allowed, "stratum int, most int").where("most >= 0")
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("step"))
-    # with cutoff c, the good texts rejected are those of steps over c
-    tail = counts.withColumn("rejected", F.sum("count").over(above))
-    tightest = tail.join(F.broadcast(limits), "stratum").where("rejected > most")
-    return tightest.groupBy("stratum", "rule").agg(F.max("step").alias("cutoff"))
-
-
-def step(rule: str) -> Column:
-    """Grid step of a statistic; the grid ends at 100 units, so it has a fixed size."""
-    return F.least(F.floor(F.expr(RULES[rule]) * GRID), F.lit(100 * GRID)).cast("long")
-
-
-def apply_rules(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """Adds base_failed, kept and the names of the rules that reject."""
-    table = cutoffs.groupBy("stratum").pivot("rule", list(RULES)).agg(F.first("cutoff"))
-    joined = measured.withColumn("stratum", stratum()).join(F.broadcast(table), "stratum", "left")
-    rejects = F.filter(F.array(*[F.when(step(r) > F.col(r), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
+    first = F.least(*[level(r) for r in RULES])
+    counts = good.select(stratum().alias("stratum"), first.alias("level")).groupBy("stratum", "level").count()
+    sizes = {r["stratum"]: r["n"] for r in counts.groupBy("stratum").agg(F.sum("count").alias("n")).collect()}
+    limits = [(s, n, most_rejections(n, alpha, delta / (len(STRATA) + 1))) for s, n in sizes.items()]
+    table = measured.sparkSession.createDataFrame(limits, "stratum int, n_good long, most int")
+    # good texts rejected up to a level are those whose first level it is, or an earlier one
+    rejected = counts.withColumn("rejected", F.sum("count").over(Window.partitionBy("stratum").orderBy("level")))
+    fails = rejected.join(F.broadcast(table), "stratum").where("rejected > most").groupBy("stratum").agg(F.min("level").alias("fails"))
+    last = F.least(F.coalesce(F.col("fails") - 1, F.lit(LEVELS)), F.lit(LEVELS))
+    return table.join(fails, "stratum", "left").select("stratum", "n_good", "most", F.when((F.col("most") >= 0) & (last >= 0), last).alias("level"))
+
+
+def apply_rules(measured: DataFrame, certified: DataFrame) -> DataFrame:
+    """Adds base_failed, the names of the rules that reject, and kept."""
+    limits = certified.select(F.col("stratum").alias("_stratum"), F.col("level").alias("_level"))
+    joined = measured.join(F.broadcast(limits), stratum() == F.col("_stratum"), "left")
+    rejects = F.filter(F.array(*[F.when(level(r) <= F.col("_level"), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     return joined.select(*measured.columns, base_failed().alias("base_failed"), rejects.alias("rejected_by")).withColumn(
         "kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)
     )

@@ -15,7 +15,7 @@ from .language_id import identify
 from .ngram_jaccard_join import jaccard_components
 from .piece_sampling import round_trip
 from .quality_classifier import classify
-from .quality_rules import quality_rules
+from . import quality_rules as rules
 from .substring_dedup import removal_digests
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
@@ -44,7 +44,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    kept = rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -116,6 +116,43 @@ select w.doc_id, len(w.w)::bigint as n_words, coalesce(g.n, 0)::bigint as n_remo
 from words w left join gone g on g.doc_id = w.doc_id
 """
 
+#: crc32 of a number as text.
+CRC_SQL = """xor(list_reduce(list_transform(string_split({}::varchar, ''), lambda s: ascii(s)::bigint),
+  lambda crc, b: list_reduce(range(8), lambda k, i: xor(k >> 1, (k & 1) * 3988292384::bigint), xor(crc, b)), 4294967295::bigint), 4294967295::bigint)"""
+
+#: The level at which each rule first rejects a text, as in `quality_rules.level`.
+FIRST_LEVEL_SQL = "least(" + ", ".join(f"greatest(floor(({loose!r}::double - {what}) / {(loose - tight) / rules.LEVELS!r}::double) + 1, 0)" for what, loose, tight in rules.RULES.values()) + ")"
+
+OP6_SQL = rf"""
+with words as (select doc_id, coalesce(text, '') as x, {WORDS_SQL} as w, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as solid,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from documents),
+grams as (select doc_id, unnest(range(1, len(w) - 3)) as p, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as g from words where len(w) >= 5),
+twice as (select doc_id, p from (select doc_id, p, count(*) over (partition by doc_id, g) as c from grams) where c > 1),
+covered as (select doc_id, count(*) as n from (select distinct doc_id, p + k as p from twice, range(0, 5) t(k)) group by doc_id),
+measured as (
+  select w.doc_id, len(w)::bigint as n_words, length(solid)::bigint as word_chars,
+    (length(solid) - length(translate(solid, '#*$%&|<>', '')))::bigint as n_symbols,
+    len(lines) as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(c.n, 0)::bigint as n_repeat_words,
+    length(solid) - length(regexp_replace(solid, '\p{{Lu}}+', '', 'g')) as n_upper, length(solid) - length(translate(solid, '0123456789', '')) as n_digits
+  from words w left join covered c on c.doc_id = w.doc_id
+), leveled as (
+  select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) as base_failed, case when n_words < {rules.STRATA[0]} then 0 else 1 end as stratum,
+    {FIRST_LEVEL_SQL} as level from measured
+), good as (
+  select m.stratum, m.level from leveled m join labels l on l.doc_id = m.doc_id
+  where quality = 1 and not base_failed and {CRC_SQL.format('l.doc_id')} % 4 <> 2
+), sizes as (select stratum, count(*) as n from good group by stratum),
+tails as (
+  select stratum, i, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rules.ALPHA}::double) + (n - i) * ln(1 - {rules.ALPHA}::double))) over (partition by stratum order by i) as tail
+  from (select stratum, n, unnest(range(0, n)) as i from sizes)
+), most as (select s.stratum, coalesce(max(t.i), -1) as most from sizes s left join tails t on t.stratum = s.stratum and t.tail <= {rules.DELTA / 2!r}::double group by s.stratum),
+rejected as (select stratum, level, sum(c) over (partition by stratum order by level) as c from (select stratum, level, count(*) as c from good group by stratum, level)),
+limits as (select m.stratum, case when m.most >= 0 then least(coalesce(min(r.level) - 1, {rules.LEVELS}), {rules.LEVELS}) end as last
+  from most m left join rejected r on r.stratum = m.stratum and r.c > m.most group by m.stratum, m.most)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and (last is null or last < 0 or level > last)) as kept
+from leveled left join limits on limits.stratum = leveled.stratum
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -128,4 +165,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backoff_lm": op9_backoff_lm,
     "op10_html_extract": op10_html_extract,
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_quality_rules": OP6_SQL}
