@@ -11,6 +11,7 @@ from math import comb
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import words
@@ -188,12 +189,90 @@ def test_templates_catch_other_numbers_names_and_units(spark):
         "Too short, really",
         f"{again} {noise} {BENCH[0][1]}",
     ]
-    assert matched(spark, texts) == {(0, 1), (1, 1), (3, 2), (7, 3), (9, 1)}
+    assert matched(spark, texts) == {(0, 1), (1, 1), (3, 2), (7, 3), (8, 3), (9, 1)}
     assert matched(spark, [], BENCH) == set() and matched(spark, texts, []) == set()
 
 
-def test_runs_of_placeholders_match_nothing(spark):
-    assert matched(spark, ["1 2 3 4 5 6 7 8 9 10 11 12"], [(1, "9 8 7 6 5 4 3 2 1 0 9 8")]) == set()
+def test_runs_of_placeholders_match_by_value(spark):
+    item = "9 8 7 6 5 4 3 2 1 0 9 8"
+    assert matched(spark, ["1 2 3 4 5 6 7 8 9 10 11 12", f"so {item} it goes"], [(1, item)]) == {(1, 1)}
+
+
+def test_short_items_slots_and_capitals(spark):
+    bench = [(1, "why did the quiet river turn"), (2, "Anna pays 3 kg, 4 kg, 5 m and 6 m, 7 s or 8 s to Bob now"), (3, "42 Maria"), (4, "Paris lies north of Rome and south of Calais, by the old road")]
+    texts = [
+        "well, why did the quiet river turn so late",
+        "why did the quiet river",
+        "Today Carl pays 13 kg, 14 kg, 15 m and 16 m, 17 s or 18 s to Dan now",
+        "Today Carl pays 13 kg, 14 kg, 15 m and 16 m, 17 s or 17 s to Dan now",
+        "is it 42 Maria",
+        "is it 43 Maria",
+        "so Oslo lies north of Bern and south of Genua, by the old road",
+        bench[3][1].lower(),
+        bench[3][1].upper(),
+        "x y " * 40000 + bench[0][1],
+        "... , !!! ()",
+    ]
+    assert matched(spark, texts, bench) == {(0, 1), (2, 2), (4, 3), (6, 4), (7, 4), (8, 4), (9, 1)}
+
+
+def kinds(text, names=True):
+    """(template word, word) of each word that isn't all punctuation."""
+    strip, out, raw = ".,;:!?\"'()[]{}", [], text.split()
+    number = lambda w: regex.fullmatch(r"[$€£]?[+-]?[0-9][0-9.,:/%]*", w.strip(strip) + "".join(c for c in w[len(w.rstrip(strip)) :] if c in ".,:")) or regex.fullmatch(r"[$€£]?[+-]?[0-9][0-9.,:/%]*", w.strip(strip))
+    for i, w in enumerate(raw):
+        b = w.strip(strip)
+        if not b:
+            continue
+        t = b.lower()
+        if number(w):
+            t = "<number>"
+        elif names and i and regex.fullmatch(r"\p{Lu}\p{Ll}+", b) and raw[i - 1][-1] not in ".!?:":
+            t = "<name>"
+        elif i and b.lower() in D.UNITS and number(raw[i - 1]):
+            t = "<unit>"
+        out.append((t, b.lower()))
+    return out
+
+
+def slots_agree(doc, item, pairs):
+    seen = {(doc[i][1], item[j][1]) for i, j in pairs if doc[i][0].startswith("<")}
+    return len({a for a, _ in seen}) == len({b for _, b in seen}) == len(seen)
+
+
+def leak_brute(texts, bench):
+    """All alignments of all documents and items, window by window."""
+    out = set()
+    for d, t in enumerate(texts):
+        doc = kinds(t or "")
+        for item_id, x in bench:
+            item, forms = kinds(x), [kinds(x), kinds(x, False)]
+            first = [kinds("x " + x)[1:2], kinds("1 " + x)[1:2], kinds("x " + x, False)[1:2]]
+            n = min(8, len(item))
+            for shift in range(1 - len(item), len(doc)):
+                at = []
+                for p in range(len(item) - n + 1):
+                    if 0 <= p + shift <= len(doc) - n:
+                        here = doc[p + shift : p + shift + n]
+                        options = [f[p : p + n] for f in forms] + ([o + f[1:n] for o in first for f in forms] if p == 0 else [])
+                        slots = all(a.startswith("<") for a, _ in here)
+                        if any([a for a, _ in here] == [a for a, _ in o] and (not slots or [b for _, b in here] == [b for _, b in o]) for o in options):
+                            at.append(p)
+                if n and len(at) >= min(3, len(item) - n + 1) and slots_agree(doc, item, {(p + k + shift, p + k) for p in at for k in range(n)}):
+                    out.add((d, item_id))
+    return out
+
+
+def test_matches_against_all_alignments(spark):
+    rng = random.Random(21)
+    pool = [*words(rng, 12), "12", "3.5", "$7", "Anna", "Bob", "kg", "km", "(so)", "end."]
+    bench = [(i, " ".join(rng.choices(pool, k=k))) for i, k in enumerate([1, 3, 5, 8, 9, 12, 20, 25])]
+    texts = [None, "", "?!", *(" ".join(rng.choices(pool, k=rng.randrange(1, 60))) for _ in range(25))]
+    for _, item in bench * 3:
+        copied = [rng.choice(["8", "99"]) if w in ("12", "3.5") and rng.random() < 0.4 else rng.choice(["Tom", "Eva"]) if w == "Anna" else w for w in item.split()]
+        texts.append(" ".join([*rng.choices(pool, k=6), *copied, *rng.choices(pool, k=6)]))
+    want = leak_brute(texts, bench)
+    assert matched(spark, texts, bench) == want and len(want) > 15
 
 
 def test_contaminated_documents_go_and_others_stay(spark, docs):

@@ -2,87 +2,134 @@
 
 Words lose outer punctuation and case; numbers, names (capitalised words within a sentence) and
 units (after a number) become typed placeholders. Windows of 8 template tokens of every document
-are hash-joined with those of the benchmark; windows with more than 4 placeholders say too little
-and are left out. Windows that match along one alignment of a document with an item are one copy:
-it counts if it has at least 3 of them (or all of the item's, if it has fewer) and its slots agree,
-that is, equal values of the item stand for equal values of the document and the other way round.
-So a question with other numbers, names or units is caught, and a chance run of placeholders is not.
-
-The benchmark's windows are broadcast only while they number at most BROADCAST_WINDOWS; beyond it
-the same join shuffles.
-
-Cases: null, empty and blank texts match nothing; a text of fewer than 8 words is one window, so it
-matches equally short items only; repeated ids are taken as one document, repeated items as one
-each; an item that stands twice in a document is found on each alignment; empty tables give no
-rows; further columns are ignored by `matches` and kept by `remove_contaminated`.
+are hash-joined with those of the benchmark; an item with fewer tokens is one window of its own
+length, and documents have windows of each such length too. A window of placeholders alone says too
+little, so it is matched by its values. Windows that match along one alignment of a document with an
+item are one copy: it counts if it has at least 3 of them (or all of the item's, if it has fewer)
+and its slots agree, that is, equal values of the item stand for equal values of the document and
+the other way round. So a question with other numbers, names or units is caught, and a chance run of
+placeholders is not. As capitals come and go, an item has its windows with names as placeholders and
+with names as words, and its first word is taken in each way that a text before it can make it.
+
+Texts become templates by patterns over the whole text, and only hashes of windows meet the
+benchmark; the words of a document are looked at again only where windows matched. The benchmark's
+windows are broadcast only while they number at most BROADCAST_WINDOWS; beyond it the windows that a
+bit table of fixed size lets through are shuffled.
+
+Cases: null, empty and blank texts, and those of punctuation alone, match nothing; repeated ids are
+taken as one document, repeated items as one each; null ids match nothing and stay; an item that
+stands twice in a document is found on each alignment; of ties none is preferred, all items found
+are returned; very long texts are handled whole; empty tables give no rows; further columns are
+ignored by `matches` and kept by `remove_contaminated`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import split_words
+from .common import SPACE, picked
 
-SIZE, MOST_SLOTS, LEAST_WINDOWS = 8, 4, 3
+SIZE, LEAST_WINDOWS = 8, 3
 BROADCAST_WINDOWS = 200_000
 
 # What is stripped from words, what a number looks like, and the names of units.
-STRIP = ".,;:!?\"'()[]{}"
-NUMBER = r"^[$€£]?[+-]?[0-9][0-9.,:/%]*$"
-NAME = r"^\p{Lu}\p{Ll}+$"
-SENTENCE_END = r"[.!?:]$"
+STRIP = r"[.,;:!?\"'()\[\]{}]"
+NUMBER = r"[$€£]?[+-]?[0-9][0-9.,:/%]*"
 UNITS = "mm cm m km g kg mg t l ml s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles foot feet inch inches yard yards gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres gallon gallons dollar dollars euro euros cent cents percent degrees celsius fahrenheit mph kmh watt watts volt volts".split()
 
+_STARTS, _ENDS = "(?<![^ ])", "(?![^ ])"
+_NUMBER = rf"(?=[.,;:!?\"'()\[\]{{}}$€£+0-9-]){_STARTS}{STRIP}*{NUMBER}{STRIP}*{_ENDS}"
+_MEASURE = rf"{_NUMBER} {STRIP}*(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))}){STRIP}*{_ENDS}"
+#: A capitalised word, with up to 20 marks before it, after a word that doesn't end a sentence.
+_NAME = rf"(?=\p{{Lu}})(?<=[^ .!?:] {STRIP}{{0,20}})\p{{Lu}}\p{{Ll}}+(?={STRIP}*{_ENDS})"
+_OUTER = rf"{STRIP}+{_ENDS}|{_STARTS}{STRIP}+"
+_SLOT = "<(?:number|name|unit)>"
+
+
+def spaced(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+
+
+def plain(text: Column) -> Column:
+    """The words without outer punctuation, in lower case, between spaces."""
+    return F.lower(F.regexp_replace(text, _OUTER, ""))
+
+
+def template(text: Column, names: bool = True) -> Column:
+    """The same with placeholders; it has as many words."""
+    named = F.regexp_replace(text, _NAME, "<name>") if names else text
+    return plain(F.regexp_replace(F.regexp_replace(named, _MEASURE, "<number> <unit>"), _NUMBER, "<number>"))
+
+
+def words(spaced_text: Column) -> Column:
+    return F.filter(F.split(spaced_text, " "), lambda w: w != "")
+
+
+def is_slot(word: Column) -> Column:
+    return word.isin("<number>", "<name>", "<unit>")
+
+
+def formed(rows: DataFrame, key: str, text: Column, names: bool = True, least: int = SIZE) -> DataFrame:
+    """(key, t, v): words of the template, and the words themselves where `least` slots follow one another."""
+    forms = rows.select(key, spaced(text).alias("text")).select(key, "text", template(F.col("text"), names).alias("form"))
+    run = rf"(?:{_SLOT} +){{{least - 1}}}{_SLOT}"
+    return forms.select(key, words(F.col("form")).alias("t"), F.when(F.col("form").rlike(run), words(plain(F.col("text")))).alias("v"))
+
+
+def windows(size: Column) -> Column:
+    """Hash of each window of `size` words, in order, of columns t and v."""
+    places = F.sequence(F.lit(1), F.size("t") - size + 1)
+    by_form = lambda i: F.xxhash64(size, F.slice("t", i, size))
+    by_value = lambda i: F.when(F.forall(F.slice("t", i, size), is_slot), F.xxhash64(-size, F.slice("v", i, size))).otherwise(by_form(i))
+    return F.when(F.size("t") < size, F.array().cast("array<bigint>")).when(F.col("v").isNull(), F.transform(places, by_form)).otherwise(F.transform(places, by_value))
+
 
-def bare(word: Column) -> Column:
-    return F.btrim(word, F.lit(STRIP))
-
-
-def windows(table: DataFrame, key: str) -> DataFrame:
-    """(key, pos, h, slots): template windows with few placeholders; no shuffle."""
-    words = table.select(key, split_words(F.col("text")).alias("w"))
-    before = lambda i: F.get("w", i - 1)
-
-    def kind(word: Column, i: Column) -> Column:
-        b = bare(word)
-        # comparing first characters is cheaper than the patterns, and most words start with a-z
-        low, plain = (b < ":") | (b >= "\u007f"), (b >= "[") & (b < "{")
-        return (
-            F.when(low & b.rlike(NUMBER), "<number>")
-            .when(~plain & b.rlike(NAME) & (i > 0) & ~before(i).rlike(SENTENCE_END), "<name>")
-            .when(F.lower(b).isin(UNITS) & (i > 0) & bare(before(i)).rlike(NUMBER), "<unit>")
-            .otherwise(F.lower(b))
-        )
-
-    typed = words.where(F.size("w") > 0).select(key, "w", F.transform("w", kind).alias("t"))
-    slot = lambda w, i: F.when(F.get("t", i).isin("<number>", "<name>", "<unit>"), F.lower(bare(w)))
-    slotted = typed.select(key, "t", F.when(F.arrays_overlap("t", F.array(F.lit("<number>"), F.lit("<name>"), F.lit("<unit>"))), F.transform("w", slot)).alias("s"))
-    span = F.sequence(F.lit(1), F.greatest(F.size("t") - SIZE + 1, F.lit(1)))
-    none = F.array().cast("array<string>")
-    each = F.transform(
-        span,
-        lambda i: F.struct(
-            i.alias("pos"),
-            F.xxhash64(F.slice("t", i, SIZE)).alias("h"),
-            F.when(F.col("s").isNull(), none).otherwise(F.filter(F.slice("s", i, SIZE), lambda x: x.isNotNull())).alias("slots"),
-        ),
-    )
-    return slotted.select(key, F.explode(each).alias("x")).select(key, "x.pos", "x.h", "x.slots").where(F.size("slots") <= MOST_SLOTS)
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """(item_id, item_pos, size, h, item_windows): every window that a copy of the item may show."""
+    out, size = [], F.least(F.size("t"), F.lit(SIZE))
+    for names in (True, False):
+        for before in ("", "x ", "1 "):  # at the start, in a sentence, after a number; the word before is cut off again
+            led = formed(benchmark.where("item_id is not null"), "item_id", F.concat(F.lit(before), F.coalesce("text", F.lit(""))), names, 1)
+            cut = lambda c: F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(1))) if before else F.col(c)  # noqa: E731, B023
+            whole = led.select("item_id", cut("t").alias("t"), cut("v").alias("v")).where(F.size("t") > 0)
+            every = whole.select("item_id", size.alias("size"), F.posexplode(windows(size)).alias("item_pos", "h"), (F.size("t") - size + 1).alias("item_windows"))
+            out.append(every.where("item_pos = 0") if before else every)
+    return reduce(DataFrame.union, out).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_windows, n_copies): items that a document holds, and their matching windows."""
-    items = windows(benchmark.where("item_id is not null"), "item_id").distinct().withColumnsRenamed({"pos": "item_pos", "slots": "item_slots"})
-    n = items.count()
-    total = items.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    found = windows(docs.where("doc_id is not null"), "doc_id").join(F.broadcast(items) if n <= BROADCAST_WINDOWS else items, "h")
-    copies = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(
-        F.count_distinct("pos").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("slots", "item_slots")))).alias("pairs")
-    )
-    agree = (F.size(F.array_distinct("pairs.slots")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.item_slots")) == F.size("pairs"))
-    good = copies.where(agree).join(F.broadcast(total) if n <= BROADCAST_WINDOWS else total, "item_id").where(F.col("n") >= F.least(F.lit(LEAST_WINDOWS), "item_windows"))
-    return good.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.count("*").alias("n_copies"))
+    items = item_windows(benchmark)
+    lengths = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count("*").alias("n")).collect()}  # SIZE rows at most
+    few = sum(lengths.values()) <= BROADCAST_WINDOWS
+    known = docs.where("doc_id is not null")
+    forms = formed(known, "doc_id", F.col("text"), least=min(lengths, default=SIZE))
+    if set(lengths) <= {SIZE}:
+        met = forms.select("doc_id", F.posexplode(windows(F.lit(SIZE))).alias("pos", "h"))
+    else:  # a window's hash tells its length, too
+        placed = F.concat(*[F.transform(windows(F.lit(n)), lambda h, i: F.struct(i.alias("pos"), h.alias("h"))) for n in sorted(lengths)])
+        met = forms.select("doc_id", F.explode(placed).alias("x")).select("doc_id", "x.*")
+    if not few:
+        met = picked(met, F.col("h"), items, "h").where("may").drop("may")
+    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
+    copies = met.join(F.broadcast(items) if few else items, "h").groupBy("doc_id", "item_id", "size", shift, "item_windows").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    copies = copies.where(F.size("at") >= F.least(F.lit(LEAST_WINDOWS), "item_windows"))
+    # what stands in the slots, of documents and items that met
+    found = picked(known.select("doc_id", "text"), F.col("doc_id"), copies, "doc_id").where("may")
+    text = found.select("doc_id", spaced(F.col("text")).alias("text"))
+    theirs = text.select("doc_id", words(template(F.col("text"))).alias("t"), words(plain(F.col("text"))).alias("v"))
+    ours = benchmark.select("item_id", words(plain(spaced(F.col("text")))).alias("item_v"))
+    joined = copies.join(theirs, "doc_id").join(F.broadcast(ours) if few else ours, "item_id")
+    inside = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + F.col("size") - 1))))
+    filled = F.filter(inside, lambda j: is_slot(F.get("t", j)))
+    pairs = F.array_distinct(F.transform(filled, lambda j: F.struct(F.get("v", j).alias("d"), F.get("item_v", j - F.col("shift")).alias("i"))))
+    paired = joined.select("doc_id", "item_id", F.size("at").alias("n"), "shift", pairs.alias("pairs"))
+    agree = (F.size(F.array_distinct("pairs.d")) == F.size("pairs")) & (F.size(F.array_distinct("pairs.i")) == F.size("pairs"))
+    one = paired.where(agree).groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("n"))  # equal ids or items meet more than once
+    return one.groupBy("doc_id", "item_id").agg(F.sum("n").cast("long").alias("n_windows"), F.count("*").alias("n_copies"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import component_roots
-from .common import _ROLL, Staged, Words, column, mix, rows_of, signed, sums, text_words, windows
+from .common import _ROLL, Staged, Words, column, mix, picked, rows_of, signed, sums, text_words, windows
 
 WORDS, NUM, DEN = 5, 3, 4
 #: Share of all shingles from which on one counts as frequent.
@@ -55,8 +55,6 @@ FREQUENT = 2e-6
 CHUNK = 2_000_000
 #: One in so many shingles (by hash) is counted to find out how many rows a published one meets.
 SCAN_SAMPLE = 256
-#: Bits of the table that picks rows whose sets may be needed.
-PICK_BITS = 1 << 22
 #: Rounds in which lists offer links to centres before all pairs across components are tried.
 STAR_ROUNDS = 2
 #: Centres that a list offers in a round: the set that can share most from the key on, and others by hash.
@@ -264,17 +262,6 @@ def pass_bitmaps(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
 
 
-def picked(rows: DataFrame, key: Column, ids: DataFrame, id_: str) -> DataFrame:
-    """The rows with `may`: false where the key is surely not among the ids. The table broadcast has PICK_BITS / 64 rows at most."""
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(PICK_BITS))
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
-    table = ids.groupBy(F.floor(place(F.col(id_)) / 64).alias("at")).agg(F.bit_or(bit(F.col(id_))).alias("bits"))
-    at = F.when(key.isNotNull(), F.floor(place(key) / 64))
-    joined = rows.withColumn("key_at", at).join(F.broadcast(table), F.col("key_at") == F.col("at"), "left")
-    may = F.coalesce(F.col("bits").bitwiseAND(bit(key)) != 0, F.lit(False))
-    return joined.withColumn("may", may).drop("key_at", "at", "bits")
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, h: the sorted shingle hashes of the wanted classes (node, n, sig1, sig2, least).
 
