@@ -395,8 +395,8 @@ def test_extraction(spark):
 
 def test_marks_are_whole_names_and_never_take_the_article():
     article = ARTICLE.format("")
-    scores = {f"t:{e}{n}": -0.1 for e in ("", "/") for n in (*H.BLOCKS, *H.DROPPED, "b", "other")}
-    for wrapper in ("<div class='layout with-sidebar'>{}</div>", "<div id='page' class='site no-header'>{}</div>", "<div class='sidebar'>{}</div>", "<div data-id='ad' data-role='banner'>{}</div>"):
+    scores = {f"t:{e}{n}": -0.1 for e in ("", "/") for n in (*H.BLOCKS, *H.DROPPED, *H.INLINE, "other")}
+    for wrapper in ("<div class='layout with-sidebar'>{}</div>", "<div id='page' class='site no-header'>{}</div>", "<div class='sidebar'>{}</div>", "<div data-id='ad' data-role='banner'>{}</div>", "<title-bar>{}</title-bar>", "<div class='ad-free' title=it's>{}</div>", "<form class=site>{}</form>"):
         assert H.extract(FRAME.format(wrapper.format(article)), scores) == TEXT
     parts = "<section id='side-effects'><p>Side effects are rare here.</p></section><h2 id='related-work'>Related work</h2><p id='notice-period'>Notice is one month.</p><div class='social-history'><p>He lived alone then.</p></div><p>Press <button>OK</button> to see <math><mi>x</mi></math> grow.</p>"
     assert H.extract(FRAME.format(ARTICLE.format(parts)), scores).endswith("Side effects are rare here.\nRelated work\nNotice is one month.\nHe lived alone then.\nPress OK to see x grow.")
@@ -409,10 +409,10 @@ def test_region_is_the_best_contiguous_one():
         parts = [rng.choice(["<p>", "</p>", "<div>", "</div>", "<li>"]) + " ".join(words(rng, rng.randrange(0, 4))) for _ in range(25)]
         page = "".join(parts)
         scores = {"w:p": 1.0, "w:div": 0.3, "w:li": -1.2, "w:none": -0.5, "t:p": -0.5, "t:/p": -0.5, "t:div": -2.0, "t:/div": -2.0, "t:li": -1.0}
-        items = [(scores[k] * (H.n_words(t) if t else 1)) for k, t, _, _ in H.tokens(page) if k]
+        items = [(scores[t.kind] * (H.n_words(t.text) if t.text else 1)) for t in H.tokens(page) if t.kind]
         best = max([0.0] + [sum(items[i:j]) for i in range(len(items)) for j in range(i + 1, len(items) + 1)])
         total = 0.0
-        kinds = [(k, t) for k, t, _, _ in H.tokens(page) if k]
+        kinds = [(t.kind, t.text) for t in H.tokens(page) if t.kind]
         text = H.extract(page, scores)
         for i in range(len(kinds)):
             for j in range(i, len(kinds) + 1):
@@ -422,5 +422,30 @@ def test_region_is_the_best_contiguous_one():
         assert total or best == 0
 
 
+def test_scores_of_marks_and_places_are_learned(spark):
+    rng = random.Random(30)
+    say = lambda n: " ".join(words(rng, n))
+    trap = lambda: f"<div class='teaser xq7'><p>{say(40)}</p></div><blockquote>{say(30)}</blockquote>"
+    article = lambda tag: (lambda a, b: (f"<{tag}><h1>{a}</h1><div class='related notice'><p>{b}</p></div><p>{say(1)}</p></{tag}>".replace(f"<p>{b}</p></div>", f"<p>{b}</p></div>"), a, b))(say(4), say(60))
+    made = [(trap(), article("article"), trap()) for _ in range(30)]
+    htmls = [f"<html><body>{x}{a[0]}{y}</body></html>" for x, a, y in made]
+    bare = [f"<html><body>{x}{a[0].replace('article>', 'div>')}{y}</body></html>" for x, a, y in made[:5]]
+    marks, scores = H.learn(pages(spark, htmls))
+    assert marks["xq7"] < H.OUT and marks["teaser"] < H.OUT and scores["w:blockquote"] < 0 < scores["w:p"]
+    got = {r["page_id"]: r["text"] for r in H.extract_pages(pages(spark, htmls + bare)).collect()}
+    for i, (x, a, y) in enumerate(made + made[:5]):
+        assert got[i].startswith(a[1]) and not any(part in got[i] for part in (x[30:60], y[30:60])), got[i]
+        # without learned scores the long text around it is taken
+        assert len(H.extract((htmls + bare)[i], {})) > len(got[i])
+
+
+def test_adverts_inside_quotes_and_very_long_pages():
+    inner = "<p>Before it.</p><div id='ad'><p>Buy this now.</p></div><p title=it's>After <a href='/x'>the link</a> it goes on for a few more words.</p>"
+    assert H.extract(FRAME.format(ARTICLE.format(inner)), {}).endswith("Before it.\nAfter the link it goes on for a few more words.")
+    long = "<article><p>" + "word " * 200_000 + "</p>" + "<b>" * 20_000 + "<p>" + "end " * 9000 + "</p></article>"
+    assert H.extract(FRAME.format(long), {}).split() == ["word"] * 200_000 + ["end"] * 9000
+    assert H.extract("<p>one two</p><hr><hr><hr><hr><hr><hr><hr><p>six ten</p>", {}) == "one two"  # of equal regions the first
+
+
 def test_references_are_decoded_once():
     assert H.extract("<p>a &amp;lt; b &#233; &copy " + "word " * 5, {}) == html.unescape("a &amp;lt; b &#233; &copy ") + "word word word word word"

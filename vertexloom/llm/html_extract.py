@@ -1,20 +1,29 @@
 """Main-text extraction by the maximum-scoring subsequence of a page's tokens.
 
-A page is a sequence of words and tags. Words carry a score by where they stand (innermost block
-element, inside a link or not), tags by their name; the scores are log-odds of standing inside
-against outside the main content, counted on labelled pages (pages whose content is marked by
-exactly one <article> or <main>). One linear scan finds the contiguous region of the largest sum.
-Elements that never hold main text (menus, forms, scripts ...), and those of which a whole class, id
-or role name is a mark (adverts, comments ...), count as one tag and their words are never output;
-but a marked element stays if it holds an <article>, <main> or <h1> or more than half of the page's
-words.
+A page is a sequence of words and tags. All scores are learned from labelled pages, that is pages
+whose content is marked by exactly one <article> or <main>, as log-odds of standing inside against
+outside the content:
+
+* a word scores by its place, the innermost block element and whether it is part of a link, and by its
+  marks, which are the classes, ids and roles of the elements around it and a few element names; the worst mark counts;
+* a tag scores by its name and never above zero.
+
+One linear scan finds the contiguous region of the largest sum; what is marked in one stretch within an
+<article> or <main> counts as one word there, so it doesn't cut the article off. Inside the region, words under a mark that
+scores below OUT (an advert or a comment within the article) are not content; an element that holds
+an <article>, a <main>, the article's <h1> or more than half of the page's words never counts as marked.
+Marks in the lists below start from a belief that they stand outside, worth BELIEF words, which counts
+of labelled pages add to or outweigh; a name that was neither listed nor seen says nothing. Only
+elements that hold no text of a page (scripts, styles, templates ...) are left out by rule.
 
 Blocks of the region are decoded, white space inside them becomes one space, and they are joined
 by a line break in page order.
 
+The scores are counted on about `fit_pages` pages, of marks the MOST_NAMES most frequent ones; all pages are extracted whole.
+
 Cases: null or empty html and pages without a positive region give an empty text; broken or
 truncated markup is read as far as it goes; repeated page ids give a row each; of two regions with
-equal sums the first wins; without labelled pages fixed scores hold; an empty table gives no rows;
+equal sums the first wins; without labelled pages the beliefs hold; an empty table gives no rows;
 further columns are ignored.
 """
 
@@ -25,6 +34,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,51 +42,88 @@ from pyspark.sql import functions as F
 
 from .common import rows_of
 
-#: About so many labelled pages are read to count the scores.
-FIT_PAGES = 2000
+#: About so many labelled pages are read to count the scores; names of elements that are learned.
+FIT_PAGES, MOST_NAMES = 2000, 20_000
+#: Words that a listed mark is believed to have been seen outside; the score below which words are left out; the largest score.
+BELIEF, OUT, MOST = 30, -1.5, 4.0
 
-# Fixed values of HTML: elements that start a block, elements without main text, void elements.
+# Fixed values of HTML: elements that start a block, elements without text of the page, void elements.
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-DROPPED = set("nav aside footer header form script style noscript template svg iframe select textarea input menu head title canvas audio video".split())
+INLINE = set("a abbr b big br cite code dfn em i img kbd mark q s samp small span strong sub sup time tt u var wbr".split())
+DROPPED = set("script style noscript template svg iframe select textarea input head title canvas audio video".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg")
-#: Whole class, id and role names that mark an element without main text.
-MARKS = set(
+#: Elements, and class, id and role names, that are believed to stand outside the main text.
+LISTED = {f"<{x}" for x in "nav aside footer header form menu".split()} | set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu navbar nav navigation breadcrumb breadcrumbs header footer masthead toolbar comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget skip".split()
 )
 HOLDERS = ("article", "main")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?P<rawattrs>[^>]*)(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>]|\Z)(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
+    r"|<(?P<end>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)"
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
-def marked(attrs: str) -> bool:
+class Token(NamedTuple):
+    """kind is empty for white space and line breaks; text is empty for tags."""
+
+    kind: str
+    text: str
+    block: int
+    inside: bool
+    mark: float
+    names: frozenset
+
+
+class _Open(NamedTuple):
+    name: str
+    place: str
+    links: int
+    holders: int
+    dropped: bool
+    mark: float
+    names: frozenset
+
+
+def marks_of(name: str, attrs: str) -> list[str]:
+    """The element's class, id and role names, and `<name` if it is a listed element."""
+    out = [f"<{name}"] if f"<{name}" in LISTED else []
     for m in _NAMES.finditer(attrs):
-        value = m[1] or m[2] or m[3] or ""
-        if not MARKS.isdisjoint(value.lower().split()):
-            return True
-    return False
+        out += (m[1] or m[2] or m[3] or "").lower().split()
+    return out
+
+
+def belief(name: str) -> float:
+    return -math.log(1 + BELIEF) if name in LISTED else 0.0
+
+
+def ended(name: str, open_: list) -> int | None:
+    """The place among open elements of the one that the start of `name` ends: one of its own kind."""
+    if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
+        return None
+    k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name or open_[i][0] in ("ul", "ol", "table", "dl", "article", "main", "section", "div")), None)
+    return k if k is not None and open_[k][0] == name else None
 
 
 def holding(matches: list[re.Match]) -> set[int]:
-    """Places in `matches` of marked elements that hold an article, main or h1, or most of the page's words."""
-    stack: list[tuple[str, int, int, bool]] = []  # element, its place, words before it, marked
-    words, kept = 0, set()
+    """Places in `matches` of elements that hold an article or main, the first h1 (of these, if there are any), or most of the page's words."""
+    stack: list[tuple[str, int, int]] = []  # element, its place, words before it
+    words, kept, spans, open_names = 0, set(), [], Counter()
+    content = any((m["tag"] or "").lower() in HOLDERS for m in matches)
+    titled = False
 
     def close(k: int) -> None:
-        for _, at, before, is_marked in stack[k:]:
-            if is_marked:
-                spans.append((at, words - before))
+        for name, at, before in stack[k:]:
+            spans.append((at, words - before))
+            open_names[name] -= 1
         del stack[k:]
 
-    spans: list[tuple[int, int]] = []
     for at, m in enumerate(matches):
         if m["text"] is not None:
             words += n_words(m["text"])
@@ -85,164 +132,189 @@ def holding(matches: list[re.Match]) -> set[int]:
         if not name:
             continue
         if m["end"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                close(k)
+            if open_names[name]:
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
             continue
-        k = ended(name, [x[0] for x in stack])
+        k = ended(name, stack)
         if k is not None:
             close(k)
-        if name in (*HOLDERS, "h1"):
-            kept.update(x[1] for x in stack if x[3])
+        title = name == "h1" and not titled and (not content or any(open_names[x] for x in HOLDERS))
+        if name in HOLDERS or title:
+            titled |= title
+            kept.update(x[1] for x in stack)
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            stack.append((name, at, words, marked(m["attrs"])))
+            stack.append((name, at, words))
+            open_names[name] += 1
     close(0)
     return kept | {at for at, n in spans if 2 * n > words}
 
 
-def ended(name: str, open_: list[str]) -> int | None:
-    """The place among open elements of the one that the start of `name` ends: one of its own kind."""
-    if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
-        return None
-    k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i] == name or open_[i] in ("ul", "ol", "table", "dl", "article", "main", "section", "div")), None)
-    return k if k is not None and open_[k] == name else None
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, int, bool]]:
-    """(type, text, block, inside a holder) in page order; text is empty for tags."""
-    stack: list[tuple[str, bool]] = []  # element, dropped
-    block = links = holders = dropped = 0
+def tokens(page: str, marks: dict[str, float] | None = None) -> Iterator[Token]:
+    """The page's tokens in order; marks: scores of names, where they differ from the beliefs."""
+    marks = marks or {}
+    none: frozenset = frozenset()
+    stack: list[_Open] = [_Open("", "none", 0, 0, False, 0.0, none)]
+    open_names: Counter = Counter()
+    block = 0
 
     def close(k: int) -> None:
-        nonlocal links, holders, dropped
-        for name, off in stack[k:]:
-            links -= name == "a"
-            holders -= name in HOLDERS
-            dropped -= off
+        for x in stack[k:]:
+            open_names[x.name] -= 1
         del stack[k:]
 
     matches = list(_TOKEN.finditer(page))
     kept: set[int] | None = None  # found out at the first marked element
     for at, m in enumerate(matches):
+        top = stack[-1]
         if (text := m["text"]) is not None:
-            if not dropped and not text.isspace():
-                place = next((n for n, _ in reversed(stack) if n in BLOCKS), "none")
-                yield f"w:{place}{':a' * bool(links)}", text, block, holders > 0
-            elif not dropped:
-                yield "", text, block, holders > 0
+            if not top.dropped:
+                kind = "" if text.isspace() else f"w:{top.place}{':a' * bool(top.links)}"
+                yield Token(kind, text if kind else "", block, top.holders > 0, top.mark, top.names)
             continue
         name = (m["raw"] or m["tag"] or "").lower()
         if not name:
             continue
+        block += name in BLOCKS
+        known = name if name in BLOCKS or name in DROPPED or name in INLINE else "other"
         if m["raw"]:
-            block += name in BLOCKS
-            if not dropped:
-                yield f"t:{name}", "", block, holders > 0
+            if not top.dropped:
+                yield Token(f"t:{name}", "", block, top.holders > 0, top.mark, top.names)
             continue
-        known = name if name in BLOCKS or name in DROPPED or name in VOID or name in ("a", "b", "i", "em", "strong", "span") else "other"
-        if name in BLOCKS:
-            block += 1
         if m["end"]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                close(k)
-            if not dropped:
-                yield f"t:/{known}", "", block, holders > 0
+            if open_names[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
+            if not stack[-1].dropped:
+                yield Token(f"t:/{known}", "", block, stack[-1].holders > 0, stack[-1].mark, stack[-1].names)
             continue
-        k = ended(name, [n for n, _ in stack])
+        k = ended(name, stack)
         if k is not None:
             close(k)
-        if not dropped:
+        top = stack[-1]
+        if not top.dropped:
             if name == "br":
-                yield "", " ", block, holders > 0
-            yield f"t:{known}", "", block, holders > 0
+                yield Token("", " ", block, top.holders > 0, top.mark, top.names)
+            yield Token(f"t:{known}", "", block, top.holders > 0, top.mark, top.names)
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            off = name in DROPPED
-            if not off and not dropped and name not in ("body", "html", "h1", *HOLDERS) and marked(m["attrs"]):
+            names = marks_of(name, m["attrs"])
+            own = min((marks.get(x, belief(x)) for x in names), default=0.0)
+            if own < 0:
                 kept = holding(matches) if kept is None else kept
-                off = at not in kept
-            stack.append((name, off))
-            links += name == "a"
-            holders += name in HOLDERS
-            dropped += off
+                own = 0.0 if at in kept else own
+            place = name if name in BLOCKS else top.place
+            stack.append(_Open(name, place, top.links + (name == "a"), top.holders + (name in HOLDERS), top.dropped or name in DROPPED, min(top.mark, own), top.names.union(names)))
+            open_names[name] += 1
 
 
 def n_words(text: str) -> int:
     return len(text.split())
 
 
-def count_page(page: str) -> Counter:
-    """(type, inside) -> tokens, of a page with exactly one holder; else nothing."""
-    if len(re.findall(r"<(?:article|main)\b", page, re.I)) != 1:
-        return Counter()
+def labelled(page: str) -> bool:
+    return len(re.findall(r"<(?:article|main)(?=[\s/>])", page, re.I)) == 1
+
+
+def odds(inside: int, outside: int) -> float:
+    return max(-MOST, min(MOST, math.log((inside + 1) / (outside + 1))))
+
+
+def mark_score(name: str, inside: int, outside: int) -> float:
+    return min(0.0, odds(inside, outside + (BELIEF if name in LISTED else 0)))
+
+
+def count_marks(page: str) -> Counter:
+    """(name, inside) -> words of a labelled page.
+
+    Words under a listed mark are explained by it: outside, they count for listed names only, and
+    within the content for none.
+    """
     out: Counter = Counter()
-    for kind, text, _, inside in tokens(page):
-        if kind:
-            out[kind, inside] += n_words(text) if text else 1
+    for t in tokens(page):
+        if t.kind and t.text and not (t.inside and t.mark < OUT):
+            for name in t.names if t.mark >= OUT else t.names & LISTED:
+                out[name, t.inside] += n_words(t.text)
     return out
 
 
-def learn(pages: DataFrame, fit_pages: int = FIT_PAGES) -> dict[str, float]:
-    """Log-odds by type. Types come from fixed lists, so the table has a fixed size."""
-    every = max(1, pages.count() // fit_pages)
-    sample = pages.where(F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(every)) == 0)
+def count_places(page: str, marks: dict[str, float]) -> Counter:
+    """(kind, inside) -> tokens of a labelled page that no mark leaves out."""
+    out: Counter = Counter()
+    for t in tokens(page, marks):
+        if t.kind and t.mark >= OUT:
+            out[t.kind, t.inside] += n_words(t.text) if t.text else 1
+    return out
+
+
+def _counted(sample: DataFrame, count) -> DataFrame:
+    """(name, i, o): sums of what `count` finds inside and outside on labelled pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for (pages_,) in rows_of(batches, "html"):
             for p in pages_:
-                total.update(count_page(p or ""))
+                if p and labelled(p):
+                    total.update(count(p))
         keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], ["kind", "inside", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([total[k] for k in keys], pa.int64())], ["name", "inside", "n"])
+
+    rows = sample.select("html").mapInArrow(run, "name string, inside boolean, n long")
+    return rows.groupBy("name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("o"))
 
-    rows = sample.select("html").mapInArrow(run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n")).collect()
-    count = {(r["kind"], r["inside"]): r["n"] for r in rows}
-    kinds = {k for k, _ in count}
-    if not count:
-        return {}
-    total = {side: sum(n for (_, s), n in count.items() if s is side) + len(kinds) for side in (True, False)}
-    odds = {k: math.log((count.get((k, True), 0) + 1) / total[True]) - math.log((count.get((k, False), 0) + 1) / total[False]) for k in kinds}
-    # words score by place as counted; a tag never scores above zero
-    return {k: v if k[0] == "w" else min(v, -0.1) for k, v in odds.items()}
+
+def learn(pages: DataFrame, fit_pages: int = FIT_PAGES) -> tuple[dict[str, float], dict[str, float]]:
+    """Scores of marks, and of places and tags."""
+    every = max(1, pages.count() // fit_pages)
+    sample = pages.where(F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(every)) == 0)
+    names = _counted(sample, count_marks).orderBy(F.desc(F.col("i") + F.col("o")), "name").limit(MOST_NAMES).collect()
+    marks = {r["name"]: mark_score(r["name"], r["i"], r["o"]) for r in names}
+    kinds = _counted(sample, lambda p: count_places(p, marks)).collect()  # kinds come from fixed lists
+    return marks, {r["name"]: odds(r["i"], r["o"]) if r["name"][0] == "w" else min(odds(r["i"], r["o"]), 0.0) - 0.1 for r in kinds}
 
 
 def default(kind: str) -> float:
+    """The score of a place or tag that no labelled page has."""
     if kind[0] == "w":
-        return -1.0 if kind.endswith(":a") else 1.0
-    return -0.5 if kind.lstrip("t:/") in ("p", "b", "i", "em", "strong", "span", "br", "a") else -3.0
+        return 0.2 if kind.endswith(":a") else 1.0
+    return -0.2 if kind.lstrip("t:/") in INLINE else -0.5
+
 
+def token_score(t: Token, scores: dict[str, float]) -> float:
+    return min(scores.get(t.kind, default(t.kind)), t.mark if t.mark < 0 else math.inf) * (n_words(t.text) if t.text else 1)
 
-def extract(page: str, scores: dict[str, float]) -> str:
-    """The region with the largest sum, as text."""
-    all_tokens = list(tokens(page))
-    best, total, start, region = 0.0, 0.0, 0, (0, 0)
-    for i, (kind, text, _, _) in enumerate(all_tokens):
-        if not kind:
+
+def extract(page: str, scores: dict[str, float], marks: dict[str, float] | None = None) -> str:
+    """The region with the largest sum, as text, without what its marks leave out."""
+    all_tokens = list(tokens(page, marks))
+    best, total, start, region, within = 0.0, 0.0, 0, (0, 0), False
+    for i, t in enumerate(all_tokens):
+        if not t.kind:
             continue
-        total += scores.get(kind, default(kind)) * (n_words(text) if text else 1)
+        before, within = within, t.inside and t.mark < OUT
+        total += 0.0 if before and within else t.mark if within else token_score(t, scores)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
             best, region = total, (start, i + 1)
     blocks: list[list[str]] = []
     last = None
-    for _, text, block, _ in all_tokens[region[0] : region[1]]:
-        if text:
-            if block != last:
-                blocks.append([])
-                last = block
-            blocks[-1].append(text)
+    for t in all_tokens[region[0] : region[1]]:
+        text = t.text if t.kind or t.text else " "
+        if t.mark < OUT or (t.kind and not t.text):
+            continue
+        if t.block != last:
+            blocks.append([])
+            last = t.block
+        blocks[-1].append(text)
     joined = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(b for b in joined if b)
 
 
 def extract_pages(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     """page_id, url, text, n_chars for every page; one pass over the pages, without a shuffle."""
-    scores = learn(pages, fit_pages)
+    marks, scores = learn(pages, fit_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, urls, pages_ in rows_of(batches, "page_id", "url", "html"):
-            texts = [extract(p or "", scores) for p in pages_]
+            texts = [extract(p or "", scores, marks) for p in pages_]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
