@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 
 from vertexloom.llm import substring_dedup as S
-from vertexloom.llm.common import WordHashes
+from vertexloom.llm.common import words_of
 
 
 def brute(rows):
@@ -35,31 +35,47 @@ def test_against_all_windows(docs, corpus):
 
 
 def test_small_chunks_change_nothing(docs, corpus, monkeypatch):
-    monkeypatch.setattr(S, "CHUNK", 300)
+    monkeypatch.setattr(S, "CHUNK_WORDS", 300)
     assert result(S.removal_digests(docs.repartition(3))) == brute(corpus)
 
 
-def test_equal_windows_have_equal_anchors(corpus):
-    hashes, seen = WordHashes(), {}
+def hashes(text):
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return words_of(raw, np.array([len(raw)])).hash
+
+
+def test_equal_windows_fix_equal_symbols(corpus):
+    """Every symbol that lies, with what fixes it, in a window stands in all windows of the same words."""
+    seen, met = {}, 0
     for _, t in corpus:
         w = (t or "").encode().split()
         if len(w) < 13:
             continue
-        best, seven = S.anchors(hashes.of(w))
-        assert len(best) == len(w) - 12
-        for p, a in enumerate(best.tolist()):
-            assert seen.setdefault(tuple(w[p : p + 13]), a) == a
+        parsed = S.levels(hashes(t), np.array([len(w)]))
+        for p in range(len(w) - 12):
+            fixed = {(k, a - p, b - p, n) for k, x in enumerate(parsed) for a, b, low, high, n in within(x, p)}
+            met += tuple(w[p : p + 13]) in seen
+            assert seen.setdefault(tuple(w[p : p + 13]), fixed) == fixed
+    assert met > 1000
+
+
+def within(level, p):
+    i = np.flatnonzero((level.low >= p) & (level.high <= p + 13) & level.made)
+    return [tuple(x[j].item() for x in (level.start, level.end, level.low, level.high, level.name)) for j in i]
 
 
-def test_recompression_is_consistent_inside_a_copy():
+def test_levels_shrink_and_spell_their_words():
     rng = np.random.default_rng(1)
-    part = rng.integers(0, 2**63, 200, dtype=np.int64).astype(np.uint64)
-    x = np.concatenate([rng.integers(0, 9, 31).astype(np.uint64), part])
-    a, names_a = S.recompress(part.copy())
-    b, names_b = S.recompress(x)
-    inner_a = {(s, n) for s, n in zip(a.tolist(), names_a.tolist(), strict=True) if 4 <= s < 190}
-    inner_b = {(s - 31, n) for s, n in zip(b.tolist(), names_b.tolist(), strict=True) if 35 <= s < 221}
-    assert inner_a == inner_b and len(a) < 0.75 * len(part)
+    words = rng.integers(0, 9, 3000).astype(np.uint64)
+    count = np.array([1000, 1, 0, 1999])
+    out = S.levels(words, count)
+    for level in out:
+        assert level.start[0] == 0 and level.end[-1] == 3000 and (level.start[1:] == level.end[:-1]).all()
+        spelled = {}
+        for a, b, n in zip(level.start.tolist(), level.end.tolist(), level.name.tolist(), strict=True):
+            assert spelled.setdefault(n, words[a:b].tobytes()) == words[a:b].tobytes()
+        assert {1000, 1001} <= set(level.end.tolist())
+    assert len(out[3].name) < 0.5 * 3000
 
 
 def test_cases(spark, empty_docs, docs):
@@ -68,6 +84,10 @@ def test_cases(spark, empty_docs, docs):
     rows = [(1, text), (1, text), (2, text), (None, text)]
     got = sorted((str(r["doc_id"]), r["n_removed"]) for r in S.removal_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("1", 0), ("1", 0), ("2", 20), ("None", 0)]
+    own = " ".join(f"own{i}" for i in range(40))
+    twice = spark.createDataFrame([(1, text), (5, "a b " + text), (5, own), (7, own)], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"]) for r in S.removal_digests(twice).collect()) == [(1, 20, 0), (5, 22, 20), (5, 40, 0), (7, 40, 40)]
+    assert sorted((r["doc_id"], r["text"]) for r in S.remove(twice).collect()) == [(1, text), (5, "a b"), (5, own), (7, "")]
     clash = S.remove(docs.selectExpr("*", "7 as at", "8 as AT_"))
     assert clash.columns == [*docs.columns, "at", "AT_"] and clash.where("doc_id = 3 and at = 7").count() == 1
     removed = S.remove(docs)

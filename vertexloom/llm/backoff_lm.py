@@ -24,20 +24,18 @@ long texts are read whole; an empty table gives no rows; further columns are ign
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _ROLL, Staged, Words, bucket, column, mix, sums, text_words
+from . import chunks as C
+from .common import _ROLL, Staged, Words, bucket, column, mix, sums
 
 #: Weight of the shorter context, in observations; and how often a pair is seen that is a state.
 PRIOR, LEAST = 4.0, 2
-#: Tokens of a chunk of texts (one text may be longer), and n-grams that a bucket is meant to get.
-CHUNK_TOKENS, BUCKET_GRAMS = 1_000_000, 1_000_000
+CHUNK_TOKENS = C.CHUNK_WORDS
 #: The hash of the token that ends a text.
 END = np.uint64(0x5EED0F7E27A1D00D)
 
@@ -52,64 +50,22 @@ def tokens(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, size
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, all lowest bytes first, then all second ones and so on."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
-
-
-def unpack(b: bytes, kind) -> np.ndarray:
-    n, size = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(b[8:], n * size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
-
-
-def pack_sorted(x: np.ndarray) -> bytes:
-    return pack(np.diff(x, prepend=x[:1] * np.uint64(0)))
-
-
-def unpack_sorted(b: bytes) -> np.ndarray:
-    return np.cumsum(unpack(b, np.uint64), dtype=np.uint64)
+def chunks(docs: DataFrame) -> DataFrame:
+    """Coded texts, with ids, folds and lengths."""
 
+    def take(batch: pa.RecordBatch, rows: slice, words: Words) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+        h, size = tokens(words)
+        return h, size, {"ids": column(batch, "doc_id", rows), "held": column(batch, "held", rows), "tokens": pa.array(size)}
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Coded texts, a row for about CHUNK_TOKENS tokens: word hashes, sorted; their codes token by token; sizes, ids and folds of the texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, out, sizes, flat, size = [], [], [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            words, codes = np.unique(np.concatenate(flat), return_inverse=True)
-            n, held = np.concatenate(sizes), np.concatenate(out)
-            row = [pack_sorted(words), pack(codes.astype(np.uint32)), pack(n), pack(held)]
-            columns = [pa.array([x], pa.binary()) for x in row] + [pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64()))]
-            columns += [pa.array([int(n.sum())], pa.int64()), pa.array([int(n[~held].sum())], pa.int64())]
-            return pa.RecordBatch.from_arrays(columns, ["words", "codes", "sizes", "held", "ids", "n", "n_train"])
-
-        for batch in batches:
-            for rows, words in text_words(batch, lower=True):
-                h, n = tokens(words)
-                flat.append(h)
-                sizes.append(n)
-                ids.append(column(batch, "doc_id", rows))
-                out.append(column(batch, "held", rows).to_numpy(zero_copy_only=False).astype(bool))
-                size += len(h)
-                if size >= CHUNK_TOKENS:
-                    yield flush()
-                    ids, out, sizes, flat, size = [], [], [], [], 0
-        if flat:
-            yield flush()
-
-    return docs.mapInArrow(run, "words binary, codes binary, sizes binary, held binary, ids array<long>, n long, n_train long")
+    return C.coded(docs, CHUNK_TOKENS, take, "ids long, held boolean, tokens long", lower=True)
 
 
 class Chunk:
     """A chunk's n-grams by length: `keys`, sorted hashes; `at`, the tokens where each ends; `which`, its place in keys for these."""
 
     def __init__(self, row: dict):
-        words, codes = unpack_sorted(row["words"]), unpack(row["codes"], np.uint32).astype(np.int64)
-        self.id, self.ids = row["chunk"], row["ids"]
-        self.sizes, self.held = unpack(row["sizes"], np.int64), unpack(row["held"], bool)
+        words, codes, self.sizes = C.code_arrays(row)
+        self.id, self.ids, self.held = row["chunk"], row["ids"], np.array(row["held"], bool)
         self.train = np.repeat(~self.held, self.sizes)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.h, self.place = words[codes], place
@@ -129,8 +85,8 @@ class Chunk:
     def asks(self, k: int, bits: int) -> Iterator[tuple]:
         """(k, bucket, chunk, keys, training counts) of the n-grams of length k."""
         n = np.bincount(self.which[k], self.train[self.at[k]], len(self.keys[k])).astype(np.uint32)
-        for b, s in slices(self.keys[k], bits):
-            yield k, b, self.id, pack_sorted(self.keys[k][s]), pack(n[s])
+        for b, s in C.slices(self.keys[k], bits):
+            yield k, b, self.id, C.pack_sorted(self.keys[k][s]), C.pack(n[s])
 
     def scores(self, counts: dict[int, np.ndarray], norm: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Known tokens, base score and score of each text. counts: by length and key."""
@@ -150,87 +106,52 @@ class Chunk:
         return tuple(sums(x, self.sizes) for x in (known.astype(np.int64), base, score))
 
 
-def slices(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Buckets by the top bits of the sorted keys, and the keys of each."""
-    b = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edges = [0, *(np.flatnonzero(np.diff(b)) + 1).tolist(), len(b)] if len(b) else []
-    for lo, hi in pairwise(edges):
-        yield int(b[lo]), slice(lo, hi)
+def _totals(sent: list[bytes], order: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, int]:
+    total = np.add.reduceat(np.concatenate([C.unpack(x, np.uint32) for x in sent])[order].astype(np.int64), first)
+    return total[number], int((total > 0).sum())
 
 
-ASK = "k int, b long, chunk long, keys binary, n binary"
-ANSWER = "k int, b long, chunk long, answer binary, distinct long"
-
-
-def _asked(rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["k", "b", "chunk", "keys", "n"])
-
-
-def _answer(table: pa.Table) -> pa.Table:
-    """Sums a bucket's counts; each chunk gets them in the order it asked, the first one also the number of n-grams seen."""
-    keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
-    sizes, flat = [len(k) for k in keys], np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    new = np.ones(len(flat), bool)
-    new[1:] = flat[order][1:] != flat[order][:-1]
-    del keys, flat
-    n = np.concatenate([unpack(x, np.uint32) for x in table.column("n").to_pylist()])[order].astype(np.int64)
-    total = np.add.reduceat(n, np.flatnonzero(new))
-    back = np.empty(len(order), np.uint32 if total.max() < 2**32 else np.uint64)
-    back[order] = total[np.cumsum(new) - 1]
-    answers = [bytes([back.itemsize]) + pack(x) for x in np.split(back, np.cumsum(sizes)[:-1])]
-    distinct = [int((total > 0).sum())] + [0] * (len(sizes) - 1)
-    return pa.table({"k": table.column("k"), "b": table.column("b"), "chunk": table.column("chunk"), "answer": pa.array(answers, pa.binary()), "distinct": pa.array(distinct, pa.int64())})
-
-
-def _counts(answers: pa.Table, k: int, n: int) -> np.ndarray:
-    """Counts of a chunk's n-grams of length k."""
-    mine = answers.filter(pc.equal(answers.column("k"), k)).sort_by("b").column("answer").to_pylist()
-    out = np.concatenate([np.zeros(0, np.int64), *(unpack(x[1:], np.uint32 if x[0] == 4 else np.uint64) for x in mine)]).astype(np.int64)
-    assert len(out) == n
-    return out
+def _counts(answers: pa.Table, chunk: Chunk, k: int) -> np.ndarray:
+    return C.answers_of(answers, k, len(chunk.keys[k]), np.int64)
 
 
 def count_short(coded: DataFrame, bits: int) -> DataFrame:
     """Counts of the chunks' words and pairs, with the number of distinct ones seen in training."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                chunk = Chunk(batch.slice(i, 1).to_pylist()[0])
-                yield from _asked([*chunk.asks(1, bits), *chunk.asks(2, bits)]).to_batches()
+    def ask(row: dict) -> list[tuple]:
+        chunk = Chunk(row)
+        return [*chunk.asks(1, bits), *chunk.asks(2, bits)]
 
-    return coded.mapInArrow(ask, ASK).groupBy("k", "b").applyInArrow(_answer, ANSWER)
+    return C.answered(C.ask_all(coded, ask), _totals)
 
 
 def count_triples(coded: DataFrame, short: DataFrame, bits: int) -> DataFrame:
     """Counts of the chunks' triples that begin with a state."""
 
-    def ask(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = Chunk(rows.to_pylist()[0])
-        chunk.triples(_counts(answers, 2, len(chunk.keys[2])))
-        return _asked(list(chunk.asks(3, bits)))
+    def ask(row: dict, answers: pa.Table) -> list[tuple]:
+        chunk = Chunk(row)
+        chunk.triples(_counts(answers, chunk, 2))
+        return list(chunk.asks(3, bits))
 
-    pairs = short.where("k = 2").groupBy("chunk")
-    return coded.groupBy("chunk").cogroup(pairs).applyInArrow(ask, ASK).groupBy("k", "b").applyInArrow(_answer, ANSWER)
+    return C.answered(C.ask_with(coded, short.where("k = 2"), ask), _totals)
 
 
 def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     rows = docs.select("doc_id", "text", F.coalesce(bucket(F.col("doc_id"), fold) == held, F.lit(False)).alias("held"))
-    table = Staged(chunks(rows).withColumn("chunk", F.monotonically_increasing_id()), "chunks", n=F.sum("n"), n_train=F.sum("n_train"))
-    coded, total, size = table.df, table.seen["n_train"] or 0, table.seen["n"] or 0
-    bits = max(4, int(np.ceil(np.log2(max(1, size / BUCKET_GRAMS)))))
+    in_training = F.expr("aggregate(zip_with(held, tokens, (h, t) -> if(h, 0L, t)), 0L, (a, t) -> a + t)")
+    table = Staged(chunks(rows).withColumn("chunk", F.monotonically_increasing_id()), "chunks", n=F.sum("n"), n_train=F.sum(in_training))
+    coded, bits = table.df, C.bucket_bits(table.seen["n"] or 0)
     short = Staged(count_short(coded, bits), "short", words=F.sum(F.when(F.col("k") == 1, F.col("distinct"))))
     triples = Staged(count_triples(coded, short.df, bits), "triples")
+    total = table.seen["n_train"] or 0
     norm = total + (short.seen["words"] or 0) + 1.0
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk(rows.to_pylist()[0])
-        counts = {k: _counts(answers, k, len(chunk.keys[k])) for k in (1, 2)}
+        counts = {k: _counts(answers, chunk, k) for k in (1, 2)}
         chunk.triples(counts[2])
-        counts[3] = _counts(answers, 3, len(chunk.keys[3]))
+        counts[3] = _counts(answers, chunk, 3)
         known, base, s = chunk.scores(counts, norm)
         columns = [pa.array(chunk.ids, pa.int64()), pa.array(chunk.held), pa.array(chunk.sizes), pa.array(known), pa.array(np.full(len(known), total, np.int64)), pa.array(base), pa.array(s)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])

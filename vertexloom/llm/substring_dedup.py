@@ -1,19 +1,22 @@
 """Substring deduplication by recompression.
 
 Words that stand in a window of 13 words which also starts in a document with a smaller id are
-removed. Every text is recompressed in rounds: runs of equal symbols become one symbol, then each
-pair of a left and a right symbol becomes one, the side being a bit of the symbol's name. A name is
-a 64-bit fingerprint of what the symbol spells, so all tasks give equal runs and pairs the same
-name without meeting. Where a symbol of the second round starts depends on three words on either
-side only, so equal windows share their inner symbol starts. Each window takes one of them (the one
-whose seven words have the smallest hash) as its anchor; windows without one, within long runs,
-anchor by themselves.
-
-1. Anchors that two documents share are found in one shuffle; anchors shared within a task's chunk
-   are settled there and leave one marker row, so no anchor gathers more rows than there are chunks.
-2. Windows with shared anchors are compared as wholes, by 96 bits over all 13 words, again
-   combined in the tasks first: only a chunk's smallest document of each window is sent on.
-3. Words covered by a repeated window are removed.
+removed. Every text is recompressed level by level: runs of equal symbols become one symbol, then
+each pair of a left and a right symbol becomes one, the side being a bit of the symbol. The name of
+a symbol is a 64-bit fingerprint of what it spells, so all texts call equal runs and pairs alike; Spark
+rounds then settle globally which names stand, namely those that occur in two documents. A symbol is
+fixed by the words it spells and by its neighbours, so equal substrings have equal symbols but near
+their ends.
+
+1. Chunks of texts send their distinct words and level 1 symbols to hash buckets and learn which
+   names stand; then the symbols of levels 2 and 3 that are made of standing ones.
+2. A window is a candidate only if every symbol, of any level, that the window alone fixes has a name
+   that stands: shared high-level symbols reveal repeats, lower ones confirm them at the borders.
+3. Chunks send the distinct fingerprints of their candidate windows with the smallest id of each, and
+   learn whether a document with a smaller id has the window. Words it covers are removed.
+
+What is shuffled are distinct names and windows of a chunk, never tokens; a hot name or window is one
+entry a chunk.
 
 Cases: null, empty and blank texts and texts of fewer than 13 words lose nothing; windows repeated
 within one document only are kept; rows with equal ids are one document for the comparison, and
@@ -29,211 +32,286 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, WordHashes, mix, rows_of, signed, utf8, windows
+from . import chunks as C
+from .common import Staged, Words, column, mix, picked, rows_of, utf8, windows
 
-WINDOW, CONTEXT, ROUNDS = 13, 7, 2
-#: Words that a task holds at once.
-CHUNK = 2_000_000
+WINDOW = 13
+#: The levels that a Spark round settles: words and their runs and pairs, then the two levels above.
+LOW, HIGH = range(2), range(2, 4)
+CHUNK_WORDS = C.CHUNK_WORDS
+#: The kind of question that is about windows; names of level k are questions of kind k.
+WINDOWS = 9
 
-_NONE = np.uint64(2**64 - 1)
 _ROLL = np.uint64(0xD1B54A32D192ED03)
 
 
-def recompress(h: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and names of the symbols after some rounds of run and pair compression."""
-    start, name = np.arange(len(h)), h
-    for r in range(rounds):
-        if len(name) < 2:
-            break
-        head = np.r_[True, name[1:] != name[:-1]]
-        at = np.flatnonzero(head)
-        start, base, size = start[at], name[at], np.diff(np.r_[at, len(name)])
-        name = np.where(size > 1, mix(base * _ROLL + size.astype(np.uint64)), base)
-        right = (mix(base + np.uint64(r + 1)) & np.uint64(1)).astype(bool)  # a run stands on its symbol's side
-        paired = ~right[:-1] & right[1:]
-        name[:-1][paired] = mix(name[:-1][paired] * _ROLL ^ mix(name[1:][paired]))
-        stays = np.r_[True, ~paired]
-        start, name = start[stays], name[stays]
-    return start, name
-
-
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each 13-word window its anchor key; and the hashes of all 7-word contexts."""
-    n = len(h) - WINDOW + 1
-    seven = windows(h, CONTEXT)
-    if n <= 0:
-        return seven[:0], seven
-    start, _ = recompress(h)
-    value = np.full(len(seven), _NONE)
-    x = start[(start >= 3) & (start < len(seven) + 3)] - 3  # contexts begin three words before
-    equal = np.r_[0, np.cumsum(h[1:] == h[:-1])]
-    x = x[equal[x + CONTEXT - 1] == equal[x]]  # no equal neighbours in the context
-    value[x] = mix(seven[x])
-    best = value[:n].copy()
-    for j in range(1, WINDOW - CONTEXT + 1):
-        np.minimum(best, value[j : n + j], out=best)
-    alone = best == _NONE
-    if alone.any():
-        at = np.flatnonzero(alone)
-        best[at] = mix(seven[at] * _ROLL + seven[at + WINDOW - CONTEXT]) ^ np.uint64(1)
-    return best, seven
-
-
-def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(key, salt, doc_id): salt 0 has still to be compared, other rows are known to be shared; a null doc_id marks a key as shared."""
+class Level:
+    """Symbols in text order: the words they spell [start, end), and the words that fix them [low, high).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        keys, ids, size = [], [], 0
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            key, doc = np.concatenate(keys), np.repeat(np.array(ids), [len(k) for k in keys])
-            order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            many = np.repeat(np.diff(np.r_[head, len(key)]) > 1, np.diff(np.r_[head, len(key)]))
-            salt = np.where(many, 1 + (doc & 1023), 0)
-            marks = head[many[head]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(signed(np.concatenate([key, key[marks]]))),
-                    pa.array(np.concatenate([salt, np.zeros(len(marks), np.int64)]).astype(np.int32)),
-                    pa.concat_arrays([pa.array(doc), pa.nulls(len(marks), pa.int64())]),
-                ],
-                ["key", "salt", "doc_id"],
-            )
-
-        for doc_ids, texts in rows_of(batches, "doc_id", "text"):
-            for i, t in zip(doc_ids, texts, strict=True):
-                words = utf8(t).split()
-                if i is None or len(words) < WINDOW:
-                    continue
-                keys.append(np.unique(anchors(hashes.of(words))[0]))
-                ids.append(i)
-                size += len(words)
-                if size >= CHUNK:
-                    yield from settle()
-                    keys, ids, size = [], [], 0
-        if keys:
-            yield from settle()
-
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, salt int, doc_id long")
-
-
-def window_rows(candidates: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, at): places of windows with shared anchors; w1 is null where the repeat is already certain."""
+    `made` are the runs and pairs made on this level; for these, `parts` are the first and last
+    symbol of the level below that they consist of.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = WordHashes(), [], 0
-
-        def settle() -> Iterator[pa.RecordBatch]:
-            w1, w2, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, w2, w1))
-            w1, w2, doc, pos = w1[order], w2[order], doc[order], pos[order]
-            head = np.flatnonzero(np.r_[True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
-            least = np.repeat(doc[head], np.diff(np.r_[head, len(w1)]))
-            sure = doc > least
-            n, rest = int(sure.sum()), ~sure
-            nulls = [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.concat_arrays([nulls[0], pa.array(signed(w1[rest]))]),
-                    pa.concat_arrays([nulls[1], pa.array(w2[rest].view(np.int32))]),
-                    pa.array(np.r_[doc[sure], doc[rest]]),
-                    pa.array(np.r_[pos[sure], pos[rest]].astype(np.int32)),
-                ],
-                ["w1", "w2", "doc_id", "at"],
-            )
-
-        for doc_ids, texts, keys in rows_of(batches, "doc_id", "text", "keys"):
-            for i, t, k in zip(doc_ids, texts, keys, strict=True):
-                best, seven = anchors(hashes.of(utf8(t).split()))
-                pos = np.flatnonzero(np.isin(best, np.array(k, np.int64).view(np.uint64)))
-                if len(pos):
-                    front, back = seven[pos], seven[pos + WINDOW - CONTEXT]
-                    held.append((mix(front * _ROLL + back), (mix(back ^ _ROLL) ^ front).astype(np.uint32), np.full(len(pos), i), pos))
-                    size += len(pos)
-                if size >= CHUNK:
-                    yield from settle()
-                    held, size = [], 0
-        if held:
-            yield from settle()
-
-    return candidates.mapInArrow(run, "w1 long, w2 int, doc_id long, at int")
-
-
-def _shared_anchors(docs: DataFrame) -> Staged:
-    """(doc_id, keys): the anchors that a document shares with others."""
-    met = anchor_rows(docs).withColumn("c", F.count("*").over(Window.partitionBy("key", "salt")))
-    shared = met.where("doc_id is not null and (salt > 0 or c > 1)").select("doc_id", "key").distinct()
-    return Staged(shared.groupBy("doc_id").agg(F.collect_list("key").alias("keys")), "anchors")
-
-
-def _repeated_windows(docs: DataFrame, keys: DataFrame) -> Staged:
-    rows = window_rows(docs.select("doc_id", "text").join(keys, "doc_id"))
-    # rows of certain repeats have no window; they are dealt out by document
-    least = F.min("doc_id").over(Window.partitionBy("w1", "w2", F.when(F.col("w1").isNull(), F.col("doc_id"))))
-    found = rows.withColumn("least", least).where("w1 is null or doc_id > least").select("doc_id", "at")
-    return Staged(found.groupBy("doc_id").agg(F.collect_list("at").alias("at")), "repeats")
+    def __init__(self, name: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, made: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.name, self.text, self.start, self.end, self.low, self.high, self.made, self.first, self.last = name, text, start, end, low, high, made, first, last
+
+    def next(self, k: int) -> Level:
+        """The level above, which is level k."""
+        n = len(self.name)
+        opens = np.ones(n, bool)  # of a text
+        opens[1:] = self.text[1:] != self.text[:-1]
+        closes = np.ones(n, bool)
+        closes[:-1] = opens[1:]
+        # a neighbour fixes where a run ends and what a symbol is paired with; at the ends of a text nothing fixes it
+        low, high = np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+        low[1:] = self.low[:-1]
+        high[:-1] = self.high[1:]
+        low[opens], high[closes] = self.start[opens] - 1, self.end[closes] + 1
+        head = opens.copy()
+        head[1:] |= self.name[1:] != self.name[:-1]
+        at = np.flatnonzero(head)
+        last = np.r_[at[1:], n] - 1
+        size = last - at + 1
+        base, name = self.name[at], self.name[at].copy()
+        run = size > 1
+        name[run] = mix(base[run] * _ROLL + size[run].astype(np.uint64))
+        right = (mix(base + np.uint64(k)) & np.uint64(1)).astype(bool)  # a run stands on its symbol's side
+        pair = np.zeros(len(at), bool)
+        pair[:-1] = ~right[:-1] & right[1:] & ~opens[at[1:]]
+        two = np.flatnonzero(pair)
+        name[two] = mix(name[two] * _ROLL ^ mix(name[two + 1]))
+        until = last.copy()
+        until[two] = last[two + 1]
+        stays = np.ones(len(at), bool)
+        stays[two + 1] = False
+        at, until, made = at[stays], until[stays], (pair | run)[stays]
+        return Level(name[stays], self.text[at], self.start[at], self.end[until], low[at], high[until], made, at, until)
+
+
+def levels(words: np.ndarray, count: np.ndarray, top: int = HIGH[-1]) -> list[Level]:
+    """Levels 0 (the words) to `top` of texts with these numbers of words."""
+    i = np.arange(len(words))
+    out = [Level(words, np.repeat(np.arange(len(count)), count), i, i + 1, i, i + 1, np.ones(len(words), bool), i, i)]
+    for k in range(1, top + 1):
+        out.append(out[-1].next(k))
+    return out
+
+
+class Distinct:
+    """Distinct keys, sorted, the place of each key among them, and least and greatest owner."""
+
+    def __init__(self, keys: np.ndarray, owner: np.ndarray):
+        order = np.argsort(keys)
+        flat = keys[order]
+        new = np.ones(len(flat), bool)
+        new[1:] = flat[1:] != flat[:-1]
+        first = np.flatnonzero(new)
+        self.keys, self.which = flat[first], np.empty(len(flat), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        self.least = np.minimum.reduceat(owner[order], first) if len(first) else owner[:0]
+        self.most = np.maximum.reduceat(owner[order], first) if len(first) else owner[:0]
+
+    def ask(self, kind: int, chunk: int, bits: int, values: np.ndarray) -> Iterator[tuple]:
+        for b, s in C.slices(self.keys, bits):
+            yield kind, b, chunk, C.pack_sorted(self.keys[s]), C.pack(values[s])
+
+
+class Chunk:
+    """The symbols of a chunk's texts, those of each level that may stand, and what is known of them."""
+
+    def __init__(self, row: dict):
+        self.id, self.ids, self.prints = row["chunk"], np.array(row["ids"], np.int64), row["prints"]
+        distinct, codes, self.count = C.code_arrays(row)
+        self.levels = levels(distinct[codes], self.count)
+        self.stands = [np.ones(len(x.name), bool) for x in self.levels]  # until told otherwise
+        self.asks: list[tuple[np.ndarray, Distinct]] = []
+
+    def look(self, k: int) -> Distinct:
+        """The distinct made symbols of a level, of parts that stand."""
+        level = self.levels[k]
+        if k:
+            below = self.stands[k - 1]
+            # of a run all parts are alike, of a pair the first and last tell
+            self.stands[k] = below[level.first] & below[level.last]
+        at = np.flatnonzero(level.made & self.stands[k])
+        out = Distinct(level.name[at], self.ids[level.text[at]])
+        self.asks.append((at, out))
+        return out
+
+    def question(self, k: int, bits: int) -> Iterator[tuple]:
+        d = self.look(k)
+        return d.ask(k, self.id, bits, (d.least != d.most).astype(np.uint8))
+
+    def told(self, levels_: range, got: pa.Table) -> None:
+        """Takes in the answers of one round, in which these levels were asked about."""
+        looked = [(k, self.look(k)) for k in levels_]
+        for k, d in looked:
+            at, _ = self.asks[k]
+            self.stands[k][at] = C.answers_of(got, k, len(d.keys), np.uint8)[d.which] > 0
+            if k:
+                below = self.stands[k - 1]
+                self.stands[k] &= below[self.levels[k].first] & below[self.levels[k].last]
+
+    def candidates(self) -> np.ndarray:
+        """Starts of the windows all of whose symbols stand."""
+        n = int(self.count.sum())
+        stop = np.cumsum(self.count)
+        begin = stop - self.count
+        change = np.zeros(n + 1, np.int64)
+        for level, stands, (at, _) in zip(self.levels, self.stands, self.asks, strict=True):
+            bad = at[~stands[at]]
+            # the windows that fix a symbol begin from `low` down to `high - WINDOW`
+            lo = np.maximum(level.high[bad] - WINDOW, begin[level.text[bad]])
+            hi = np.minimum(level.low[bad], stop[level.text[bad]] - WINDOW)
+            some = lo <= hi
+            change += np.bincount(lo[some], minlength=n + 1) - np.bincount(hi[some] + 1, minlength=n + 1)
+        free = np.cumsum(change)[:-1] == 0
+        free &= np.arange(n) <= np.repeat(stop - WINDOW, self.count)
+        return np.flatnonzero(free)
+
+    def windows(self) -> tuple[np.ndarray, Distinct]:
+        """Starts of the candidates, and their distinct fingerprints."""
+        at = self.candidates()
+        return at, Distinct(windows(self.levels[0].name, WINDOW)[at] if len(at) else np.zeros(0, np.uint64), self.ids[self.levels[0].text[at]])
+
+
+def chunks(docs: DataFrame) -> DataFrame:
+    """Coded texts of 13 words or more of documents with an id, with ids and fingerprints of the texts."""
+
+    def take(batch: pa.RecordBatch, rows: slice, words: Words) -> tuple[np.ndarray, np.ndarray, dict[str, pa.Array]]:
+        ids, prints = column(batch, "doc_id", rows), column(batch, "print", rows)
+        fits = (words.count >= WINDOW) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return words.hash[np.repeat(fits, words.count)], words.count[fits], {"ids": ids.filter(pa.array(fits)), "prints": prints.filter(pa.array(fits))}
+
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("print"))
+    return C.coded(rows, CHUNK_WORDS, take, "ids long, prints long", lower=False)
+
+
+def _standing(sent: list[bytes], order: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, int]:
+    """1 for names that a chunk found in two documents, or that two chunks sent."""
+    many = np.concatenate([C.unpack(x, np.uint8) for x in sent])[order]
+    stands = (np.maximum.reduceat(many, first) > 0) | (np.diff(np.r_[first, len(many)]) > 1)
+    return stands[number].astype(np.uint8), int(stands.sum())
+
+
+def _smaller(sent: list[bytes], order: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, int]:
+    """1 where another chunk has the window in a document with a smaller id."""
+    least = np.concatenate([C.unpack(x, np.int64) for x in sent])[order]
+    return (np.minimum.reduceat(least, first)[number] < least).astype(np.uint8), len(first)
+
+
+def names(coded: DataFrame, bits: int) -> tuple[Staged, Staged]:
+    """Which names of words and level 1 symbols stand, and which of levels 2 and 3: a Spark round each."""
+
+    def low(row: dict) -> list[tuple]:
+        chunk = Chunk(row)
+        return [x for k in LOW for x in chunk.question(k, bits)]
+
+    def high(row: dict, got: pa.Table) -> list[tuple]:
+        chunk = Chunk(row)
+        chunk.told(LOW, got)
+        return [x for k in HIGH for x in chunk.question(k, bits)]
+
+    first = Staged(C.answered(C.ask_all(coded, low), _standing), "names")
+    return first, Staged(C.answered(C.ask_with(coded, first.df, high), _standing), "names")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, at: starts of the windows that a document with a smaller id has too.
-
-    Each step is a function of its own, so that its frames are gone, and Spark can remove their
-    shuffle files, before the next one begins.
-    """
-    keys = _shared_anchors(docs)
-    out = _repeated_windows(docs, keys.df)
-    keys.drop()
+    """doc_id, print (xxhash64 of the text), spans: the words to remove, as first and next after the last, one after the other."""
+    table = Staged(chunks(docs).withColumn("chunk", F.monotonically_increasing_id()), "chunks", n=F.sum("n"))
+    coded, bits = table.df, C.bucket_bits(table.seen["n"] or 0)
+    first, second = names(coded, bits)
+    known = first.df.union(second.df)
+
+    def chunk_of(row: dict, got: pa.Table) -> Chunk:
+        chunk = Chunk(row)
+        chunk.told(LOW, got)
+        chunk.told(HIGH, got)
+        return chunk
+
+    def ask(row: dict, got: pa.Table) -> list[tuple]:
+        chunk = chunk_of(row, got)
+        _, d = chunk.windows()
+        return list(d.ask(WINDOWS, chunk.id, bits, d.least))
+
+    def spans(rows: pa.Table, got: pa.Table) -> pa.Table:
+        chunk = chunk_of(rows.to_pylist()[0], got)
+        at, d = chunk.windows()
+        text = chunk.levels[0].text[at]
+        gone = (chunk.ids[text] > d.least[d.which]) | (C.answers_of(got, WINDOWS, len(d.keys), np.uint8)[d.which] > 0)
+        at, text = at[gone], text[gone]
+        # windows that touch or overlap make one span
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] > at[:-1] + WINDOW) | (text[1:] != text[:-1])
+        opens = np.flatnonzero(new)
+        begin, end, text = at[opens], at[np.r_[opens[1:], len(at)] - 1] + WINDOW if len(at) else at[opens], text[opens]
+        first = (np.cumsum(chunk.count) - chunk.count)[text]
+        flat = np.column_stack([begin - first, end - first]).ravel()
+        mine, where = np.unique(text, return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[2 * where, len(flat)].astype(np.int32)), pa.array(flat.astype(np.int32)))
+        return pa.table({"doc_id": pa.array(chunk.ids[mine]), "print": pa.array([chunk.prints[i] for i in mine.tolist()], pa.int64()), "spans": lists})
+
+    asks = C.ask_with(coded, known, ask)
+    third = Staged(C.answered(asks, _smaller), "windows")
+    found = coded.groupBy("chunk").cogroup(known.union(third.df).groupBy("chunk")).applyInArrow(spans, "doc_id long, print long, spans array<int>")
+    out = Staged(found, "repeats")
+    for done in (table, first, second, third):
+        done.drop()
     return out.df
 
 
-def keep(text: str | None, at: list[int] | None) -> tuple[int, list[str]]:
-    """Words of the text, and those not covered by the windows that start at the given words."""
-    words = [w.decode("utf-8", "surrogatepass") for w in utf8(text).split()]
-    if not at:
+def keep(text: str | None, spans: list[int] | None) -> tuple[int, list[bytes]]:
+    """Number of words of the text, and those outside the spans."""
+    words = utf8(text).split()
+    if not spans:
         return len(words), words
-    starts = np.array([a for a in at if a + WINDOW <= len(words)], np.int64)
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + WINDOW, -1)
-    return len(words), [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+    out, at = [], 0
+    for a, b in zip(spans[::2], spans[1::2], strict=True):
+        out += words[at:a]
+        at = b
+    return len(words), out + words[at:]
+
+
+def _with_spans(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(row, spans) of the rows that lose words, and rows that lose none; only the former, or some more, are shuffled."""
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("print"))
+    found = found.dropDuplicates(["doc_id", "print"]).withColumnRenamed("print", "print_")
+    maybe = picked(rows, F.col("row.doc_id"), found, "doc_id")
+    met = maybe.where("may").join(found, (F.col("row.doc_id") == F.col("doc_id")) & (F.col("print") == F.col("print_")), "left").select("row", "spans")
+    return met.where("spans is not null"), maybe.where("not may").select("row").union(met.where("spans is null").select("row"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
     """The documents without the repeated words: changed texts are their kept words, joined by spaces."""
-    mark = "at"
-    while mark in map(str.lower, docs.columns):
-        mark += "_"
-    joined = docs.join(repeats(docs).withColumnRenamed("at", mark), "doc_id", "left").select(*docs.columns, mark)
-    fields = docs.schema.fields
+    cut, whole = _with_spans(docs, repeats(docs))
+    row = cut.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ((texts, ats),) = rows_of([batch], "text", mark)
-            new = [t if not a else " ".join(keep(t, a)[1]) for t, a in zip(texts, ats, strict=True)]
-            columns = {f.name: batch.column(batch.schema.get_field_index(f.name)) for f in fields} | {"text": pa.array(new, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            ((texts, spans),) = rows_of([batch], "text", "spans")
+            new = [b" ".join(keep(t, s)[1]).decode("utf-8", "surrogatepass") for t, s in zip(texts, spans, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(new, pa.string())], ["row", "text"])
 
-    return joined.mapInArrow(run, T.StructType(fields))
+    changed = cut.select("row", F.col("row.text").alias("text"), "spans").mapInArrow(run, T.StructType([T.StructField("row", row), T.StructField("text", T.StringType())]))
+    return whole.select("row.*").union(changed.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
-    joined = docs.select("doc_id", "text").join(repeats(docs), "doc_id", "left")
+    cut, whole = _with_spans(docs.select("doc_id", "text"), repeats(docs))
+    every = cut.select("row.*", "spans").union(whole.select("row.*", F.lit(None).cast("array<int>")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, ats in rows_of(batches, "doc_id", "text", "at"):
+        for ids, texts, spans in rows_of(batches, "doc_id", "text", "spans"):
             out = []
-            for t, a in zip(texts, ats, strict=True):
-                n, words = keep(t, a)
-                out.append((n, n - len(words), hashlib.sha256(utf8(" ".join(words))).hexdigest()))
+            for t, s in zip(texts, spans, strict=True):
+                n, words = keep(t, s)
+                out.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
             cols = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return every.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
