@@ -7,12 +7,14 @@ from tests import graphs as G
 from vertexloom import PropertyGraph
 from vertexloom.functions.report import bfs_histogram, bfs_summary, cc_count, cc_report
 from vertexloom.functions.verify import verify_exact, verify_tolerance
-from vertexloom.operators.coloring import clashes, hybrid_coloring
-from vertexloom.operators.components import connected_components, min_reachable_label
+from vertexloom.operators import coloring
+from vertexloom.operators.coloring import clashes, coloring_run, hybrid_coloring
+from vertexloom.operators.components import components_run, connected_components, min_reachable_label
 from vertexloom.operators.levels import all_levels, bfs, bfs_run
 from vertexloom.operators.pagerank import pagerank, pagerank_run
 from vertexloom.operators.paths import all_distances, sssp
 from vertexloom.operators.transforms import adjacency, class_sizes, cut, degrees, expand, offsets, rebase, reverse, unit_weights
+from vertexloom.plans import lineage
 from vertexloom.streaming.slices import in_memory, out_of_core
 
 
@@ -96,6 +98,64 @@ def test_async_rank_freezes_where_the_colour_order_says(spark):
     assert run.rounds == rounds == 4 and abs(got[0] - 0.1658) < 5e-5
 
 
+def test_async_rank_with_a_last_class_of_neighbours(spark):
+    n, e = G.random_graph(11, 25, 220)
+    part = G.first_fit(n, e, 3)
+    assert sum(p == 3 for p in part.values()) > 5
+    want, rounds = G.in_place(n, e, 20, 0.005, part, 3)
+    run = pagerank_run(make(spark, n, e), "async", classes=3)
+    got = pairs(run.result, "id", "rank")
+    assert run.rounds == rounds and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+
+
+def test_async_rank_keeps_one_table_a_class(spark, monkeypatch):
+    n, e = G.random_graph(3)
+    kept = []
+    monkeypatch.setattr(lineage.Staged, "drop", lambda self: kept.append(self.path))
+    run = pagerank_run(make(spark, n, e), "async", classes=4)
+    # every table of a class but the last one is dropped
+    assert run.rounds > 2 and len(kept) == len(set(kept)) >= (run.rounds - 1) * 2
+
+
+def test_long_paths_are_coloured_in_few_rounds(spark):
+    n = 10_000
+    g = PropertyGraph.of(spark.range(n), spark.range(n - 1).selectExpr("id as src", "id + 1 as dst"))
+    run = coloring_run(g, 5)
+    assert run.rounds < 10 and run.converged
+    assert run.result.where("part != id % 2 + 1").count() == 0 and run.result.count() == n
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_colours_across_ranges(spark, seed, monkeypatch):
+    """Ranges of a few ids: chains cross many borders, and tables are merged on the way."""
+    monkeypatch.setattr(coloring, "MERGE", 2)
+    n, e = G.random_graph(seed, 80, 260)
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        run = coloring_run(make(spark, n, e), 4)
+        assert pairs(run.result, "id", "part") == G.first_fit(n, e, 4) and run.rounds > 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_components_tell_whether_they_are_done(spark):
+    n = 60
+    g = make(spark, n, [(i, i + 1) for i in range(n - 1)])
+    assert components_run(g).converged and not components_run(g, max_rounds=1).converged
+    short = components_run(g, max_rounds=1).result
+    assert short.count() == n and short.where("root > id").count() == 0
+
+
+def test_hubs_may_stay_spread(spark):
+    n, e = G.TOYS["star_out"]
+    g = make(spark, n, e)
+    assert pairs(bfs(in_memory(g, hubs=True), 0), "id", "level") == pairs(bfs(in_memory(g), 0), "id", "level")
+
+
 def test_weights(spark):
     n, e = G.DETOUR
     g = make(spark, n, e)

@@ -23,6 +23,20 @@ def test_ascii_round_trip(spark, tmp_path):
     assert {r["id"]: r["nbrs"] for r in dimacs.read_csr(spark, str(tmp_path / "g.gr")).collect()}[3] == [0, 0, 3]
 
 
+def test_ascii_as_one_file(spark, tmp_path):
+    dimacs.write_file(make(spark, 6, EDGES), str(tmp_path / "one.gr"))
+    lines = (tmp_path / "one.gr").read_text().splitlines()
+    assert lines[0] == "p sp 6 5" and lines[1:] == [f"a {a + 1} {b + 1} 1" for a, b in sorted(EDGES)]
+    assert rows(dimacs.read_graph(spark, str(tmp_path / "one.gr")).edges) == sorted(EDGES)
+
+
+def test_numbers_beyond_the_format_are_refused():
+    assert binary.as_ints([2**31 - 1, -(2**31)]).dtype == np.int32
+    for n in (2**31, -(2**31) - 1):
+        with pytest.raises(OverflowError):
+            binary.as_ints(np.array([0, n]))
+
+
 def test_ascii_oddities(spark, tmp_path):
     (tmp_path / "short.gr").write_text("c note\np sp 3 5\na 2 1 7\na 1 3 9\n")
     with pytest.warns(UserWarning, match="5 edges"):
@@ -77,5 +91,9 @@ def test_command_line(spark, tmp_path, capsys):
     dimacs.write_graph(make(spark, 6, EDGES), str(tmp_path / "g.gr"))
     cli.main(["convert", str(tmp_path / "g.gr"), str(tmp_path / "g.bin")])
     cli.main(["run", "--mode", "out-of-core", "--out", str(tmp_path / "out"), str(tmp_path / "g.bin")])
-    assert "bfs" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "bfs" in said and "steps" in said and "max_level" not in said
+    cli.main(["run", "--report", str(tmp_path / "g.bin"), str(tmp_path / "g.bin")])
+    said = capsys.readouterr().out
+    assert said.count("max_level") == said.count("n_components") == 2
     assert spark.read.parquet(str(tmp_path / "out/bfs")).count() == 4

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
 from ..plans.lineage import Staged
-from ..plans.superstep import iterate
+from ..plans.superstep import Run, iterate
 
 
 def _minimum(pairs: DataFrame) -> DataFrame:
@@ -30,27 +32,45 @@ def small_star(edges: DataFrame) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
-    """(id, root) for every vertex of an edge that isn't its component's smallest vertex.
+def contract(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Run:
+    """`result`: (id, root) for every vertex of an edge that isn't its component's smallest vertex.
 
     Large-star and small-star in turn until the edges stay as they are; rounds grow with the
-    logarithm of the path length, and no vertex gathers its neighbours in one row.
+    logarithm of the path length, and no vertex gathers its neighbours in one row. Stopped by
+    max_rounds, `converged` is False and roots are only the smallest ids found so far.
     """
+    run = Run()
     edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v")
-    now, mark, rounds = Staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"), None, 0
-    while True:
+    now, mark = Staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"), None
+    while max_rounds is None or run.rounds < max_rounds:
+        began = time.perf_counter()
         after = Staged(small_star(large_star(now.df)), "cc", n=F.count("*"), mark=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         now.drop()
-        now, rounds = after, rounds + 1
-        if now.seen == mark or (max_rounds and rounds >= max_rounds):
-            return now.df.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        now, run.rounds = after, run.rounds + 1
+        run.seconds.append(time.perf_counter() - began)
+        if now.seen == mark:
+            run.converged = True
+            break
         mark = now.seen
+    roots = now.df.select(F.col("u").alias("id"), F.col("v").alias("root"))  # one row a vertex, once converged
+    run.result = roots if run.converged else roots.groupBy("id").agg(F.min("root").alias("root"))
+    return run
+
+
+def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(id, root) for every vertex of an edge that isn't its component's smallest vertex."""
+    return contract(edges, src, dst).result
+
+
+def components_run(graph: PropertyGraph, max_rounds: int | None = None) -> Run:
+    run = contract(graph.edges, max_rounds=max_rounds)
+    run.result = graph.vertices.join(run.result, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return run
 
 
 def connected_components(graph: PropertyGraph, max_rounds: int | None = None) -> DataFrame:
     """(id, root) of every vertex: the smallest id of its weak component."""
-    roots = component_roots(graph.edges, max_rounds=max_rounds)
-    return graph.vertices.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return components_run(graph, max_rounds).result
 
 
 def min_reachable_label(graph: PropertyGraph, max_rounds: int | None = None) -> DataFrame:

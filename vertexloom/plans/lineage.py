@@ -39,17 +39,22 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
 class Staged:
     """A frame written to the shared folder and read again: a retried or lost task finds it there."""
 
-    def __init__(self, df: DataFrame, name: str, **measures: Column):
-        """measures: aggregates over the rows, taken while they are written and kept in `seen`."""
+    def __init__(self, df: DataFrame, name: str, by: str | None = None, **measures: Column):
+        """by: a column with few values, each of which can be read alone. measures: aggregates over the rows, taken while they are written and kept in `seen`."""
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = self.folder(self.spark, name)
         watch = Observation() if measures else None
         rows = df.observe(watch, *[c.alias(k) for k, c in measures.items()]) if watch else df
         with freed_shuffles(self.spark):
-            rows.write.option("compression", "zstd").parquet(self.path)
+            rows.write.option("compression", "zstd").parquet(self.path, partitionBy=by)
         self.seen: dict = watch.get if watch else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
+    @staticmethod
+    def folder(spark: SparkSession, name: str) -> str:
+        """A new place in the shared folder, as a URI or path."""
+        return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
     def drop(self) -> None:
         """Deletes the files; nothing lazy may still read them."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)

@@ -3,24 +3,24 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import cli
 from .fixtures import cust_supp, event_chain, part_chain, weighted
 from .functions.report import bfs_histogram, bfs_summary, cc_count, cc_report
 from .functions.verify import verify_exact, verify_tolerance
 from .model import PropertyGraph
-from .operators.coloring import clashes, hybrid_coloring
+from .operators.coloring import IN_MEMORY, OUT_OF_CORE, clashes, hybrid_coloring
 from .operators.components import connected_components, min_reachable_label
 from .operators.levels import all_levels, bfs
 from .operators.pagerank import pagerank
 from .operators.paths import all_distances, sssp
 from .operators.transforms import adjacency, class_sizes, cut, degrees, expand, offsets, reverse
-from .plans.lineage import shared_dir
+from .plans.lineage import Staged
 from .sources import binary, dimacs
 from .streaming.slices import in_memory, out_of_core
 
@@ -40,41 +40,82 @@ def _ranks(g: PropertyGraph, mode: str) -> DataFrame:
     return pagerank(g, mode).select("id", F.round("rank", 6).alias("rank"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder among the shared ones, as a local path."""
-    at = urlparse(shared_dir(spark)).path
-    os.makedirs(at, exist_ok=True)
-    return tempfile.mkdtemp(dir=at)
+def _file(spark: SparkSession, name: str) -> str:
+    """A new file in the shared folder, as a local path: these formats are written into one file by many tasks."""
+    at = urlparse(Staged.folder(spark, "files")).path
+    os.makedirs(at)
+    return f"{at}/{name}"
+
+
+def _counted(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def _ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/{_scratch(spark).rsplit('/', 1)[1]}/graph.gr"
+    path = Staged.folder(spark, "ascii")
     dimacs.write_graph(part_chain(spark, sf_dir), path)
-    return dimacs.read_graph(spark, path).edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    return _counted(dimacs.read_graph(spark, path).edges)
+
+
+def _ascii_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _file(spark, "graph.gr")
+    dimacs.write_file(part_chain(spark, sf_dir), path)
+    return _counted(expand(dimacs.read_csr(spark, path)))
+
+
+def _convert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source, target = Staged.folder(spark, "ascii"), _file(spark, "graph.bin")
+    dimacs.write_graph(part_chain(spark, sf_dir), source)
+    binary.convert(spark, source, target)
+    return _counted(binary.read_graph(spark, target).edges)
+
+
+def _two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The algorithms over two files in a row: whether each came to its end, and vertices that got a result."""
+    rows = []
+    for k, graph in enumerate((part_chain(spark, sf_dir), reverse(part_chain(spark, sf_dir)))):
+        path = _file(spark, "graph.bin")
+        binary.write_graph(graph, path)
+        done = cli.run(spark, path, "out-of-core", SOURCE)
+        rows += [(k, name, r.converged or name == "pagerank", r.result.count()) for name, r in done.items()]
+    return spark.createDataFrame(rows, "file int, algorithm string, finished boolean, n_rows long")
 
 
 def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = _scratch(spark)
-    binary.write_graph(event_chain(spark, sf_dir), f"{at}/g.bin")
-    binary.write_csr(event_chain(spark, sf_dir), f"{at}/g.csr")
-    both = binary.read_graph(spark, f"{at}/g.bin").edges.union(binary.read_csr(spark, f"{at}/g.csr").edges)
-    return both.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    graph, lists = _file(spark, "g.bin"), _file(spark, "g.csr")
+    binary.write_graph(event_chain(spark, sf_dir), graph)
+    binary.write_csr(event_chain(spark, sf_dir), lists)
+    return _counted(binary.read_graph(spark, graph).edges.union(binary.read_csr(spark, lists).edges))
 
 
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, at = event_chain(spark, sf_dir), _scratch(spark)
-    binary.write_table(g, g.vertices.select("id", (F.col("id") % 5 + 1).cast("int").alias("part")), f"{at}/g.part", 5)
-    return binary.read_table(spark, f"{at}/g.part")
+    g, path = part_chain(spark, sf_dir), _file(spark, "g.part")
+    binary.write_table(g, hybrid_coloring(g), path, IN_MEMORY)
+    return binary.read_table(spark, path)
+
+
+def _on_classes(spark: SparkSession, sf_dir: str, what: Callable[[PropertyGraph, DataFrame], DataFrame]) -> DataFrame:
+    g = part_chain(spark, sf_dir)
+    return what(g, Staged(hybrid_coloring(g), "classes").df)
+
+
+def _independence(g: PropertyGraph, classes: DataFrame) -> DataFrame:
+    """Edges inside independent classes, and the vertices that have a class."""
+    return clashes(g, classes, IN_MEMORY).agg(F.count("*").alias("n_clashes")).join(classes.agg(F.count("part").alias("n_coloured")))
 
 
 def _same_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels in memory against those out of core, every seventh of which is set wrong."""
     g = part_chain(spark, sf_dir)
-    return verify_exact(bfs(in_memory(g), SOURCE), bfs(out_of_core(g), SOURCE), "level")
+    wrong = bfs(out_of_core(g), SOURCE).withColumn("level", F.when(F.col("id") % 7 == 0, -1).otherwise(F.col("level")))
+    return verify_exact(bfs(in_memory(g), SOURCE), wrong, "level")
 
 
 def _near_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of two modes, every seventh of which is moved by twice the tolerance and every fifth by half of it."""
     g = in_memory(part_chain(spark, sf_dir))
-    return verify_tolerance(pagerank(g, "sync"), pagerank(g, "sequential", max_rounds=10))
+    moved = F.col("rank") + F.when(F.col("id") % 7 == 0, 0.01).when(F.col("id") % 5 == 0, 0.0025).otherwise(0.0)
+    return verify_tolerance(pagerank(g, "sync"), pagerank(g, "sequential", max_rounds=10).withColumn("rank", moved))
 
 
 QUERIES: dict[str, Query] = {
@@ -100,12 +141,16 @@ QUERIES: dict[str, Query] = {
     "csr_offsets": lambda s, d: offsets(part_chain(s, d)),
     "csr_expand": lambda s, d: expand(adjacency(part_chain(s, d))),
     "partition_classes": lambda s, d: hybrid_coloring(part_chain(s, d)),
-    "partition_stats": lambda s, d: class_sizes(g := part_chain(s, d), g.vertices.select("id", (F.col("id") % 5 + 1).cast("int").alias("part"))),
-    "cut_edges": lambda s, d: cut(g := part_chain(s, d), g.vertices.select("id", (F.col("id") % 5 + 1).cast("int").alias("part"))).groupBy("part").agg(F.count("*").alias("n")),
-    "hybrid_independence": lambda s, d: clashes(g := part_chain(s, d), hybrid_coloring(g), 5).agg(F.count("*").alias("n_clashes")),
+    "partition_classes_outofcore": lambda s, d: hybrid_coloring(out_of_core(part_chain(s, d)), OUT_OF_CORE),
+    "partition_stats": lambda s, d: _on_classes(s, d, class_sizes),
+    "cut_edges": lambda s, d: _on_classes(s, d, lambda g, c: cut(g, c).groupBy("part").agg(F.count("*").alias("n"))),
+    "hybrid_independence": lambda s, d: _on_classes(s, d, _independence),
     "verify_exact": _same_modes,
     "verify_tolerance": _near_ranks,
     "ascii_roundtrip": _ascii,
+    "ascii_csr": _ascii_csr,
+    "convert": _convert,
+    "two_files": _two_files,
     "binary_roundtrip": _binary,
     "table_roundtrip": _table,
 }
@@ -141,6 +186,19 @@ def _rank(rounds: int) -> str:
 r0 as (select p_partkey as id, 0.15::double as rank from part), {", ".join(steps)} select id, round(rank, 6) as rank from r{rounds}"""
 
 
+def _coloured(classes: int) -> str:
+    """First fit in the order of ids, a vertex a step."""
+    free = " ".join(f"when used & {1 << c} = 0 then {c + 1}" for c in range(classes - 1))
+    return f"""with recursive {_PART}, near as materialized (select distinct greatest(src, dst) as hi, least(src, dst) as lo from pc where src <> dst),
+v as (select p_partkey as id, row_number() over (order by p_partkey) as k from part),
+r(id, k, part) using key (id) as (
+  select id, k, 1::int from v where k = 1
+  union
+  select id, k, (case {free} else {classes} end)::int from (
+    select v.id, v.k, coalesce(bit_or(1::bigint << (u.part - 1)), 0) as used
+    from r join v on v.k = r.k + 1 left join near on near.hi = v.id left join recurring.r u on u.id = near.lo group by v.id, v.k))"""
+
+
 _ROOTS = "select event_id as id, min(event_id) over (partition by user_id) as root from events"
 
 ORACLES: dict[str, str] = {
@@ -172,13 +230,22 @@ select id, sum(i)::bigint as in_degree, sum(o)::bigint as out_degree from (selec
     "csr_offsets": f"""with {_PART}, d as (select p_partkey as id, count(src) as n from part left join pc on src = p_partkey group by p_partkey)
 select id, (sum(n) over (order by id) - n)::bigint as begin, n as out_degree from d""",
     "csr_expand": f"with {_PART} select src, dst from pc",
-    "partition_stats": f"""with {_PART} select (p_partkey % 5 + 1)::int as part, count(*) as n_vertices, sum(n)::bigint as n_edges from (
-  select p_partkey, count(src) as n from part left join pc on src = p_partkey group by p_partkey) group by 1""",
-    "cut_edges": f"with {_PART} select (src % 5 + 1)::int as part, count(*) as n from pc group by 1",
-    "hybrid_independence": "select 0::bigint as n_clashes",
-    "verify_exact": "select 0::bigint as n_mismatch",
-    "verify_tolerance": "select 0::bigint as n_mismatch",
+    "partition_classes": f"{_coloured(IN_MEMORY)} select id, part from r",
+    "partition_classes_outofcore": f"{_coloured(OUT_OF_CORE)} select id, part from r",
+    "partition_stats": f"""{_coloured(IN_MEMORY)} select part, count(*) as n_vertices, sum(n)::bigint as n_edges from (
+  select id, part, count(src) as n from r left join pc on src = id group by id, part) group by part""",
+    "cut_edges": f"{_coloured(IN_MEMORY)} select part, count(*) as n from pc join r on id = src group by part",
+    "hybrid_independence": "select 0::bigint as n_clashes, count(*) as n_coloured from part",
+    "verify_exact": f"{_BFS} select count(*) as n_mismatch from r where id % 7 = 0",
+    "verify_tolerance": "select count(*) as n_mismatch from part where p_partkey % 7 = 0",
     "ascii_roundtrip": f"with {_PART} select src, dst, count(*) as n from pc group by src, dst",
+    "ascii_csr": f"with {_PART} select src, dst, count(*) as n from pc group by src, dst",
+    "convert": f"with {_PART} select src, dst, count(*) as n from pc group by src, dst",
+    "two_files": f"""with recursive {_PART}, there(id) as (select 3::bigint union select dst from pc join there on src = id),
+back(id) as (select 3::bigint union select src from pc join back on dst = id),
+f(file, reached) as (select 0, count(*) from there union all select 1, count(*) from back)
+select file::int as file, a.algorithm, true as finished, (case when a.algorithm in ('bfs', 'sssp') then reached else (select count(*) from part) end)::bigint as n_rows
+from f, (values ('bfs'), ('cc'), ('sssp'), ('pagerank')) a(algorithm)""",
     "binary_roundtrip": f"with {_EVENT} select src, dst, 2 * count(*) as n from ec group by src, dst",
-    "table_roundtrip": "select event_id as id, (event_id % 5 + 1)::int as part from events",
+    "table_roundtrip": f"{_coloured(IN_MEMORY)} select id, part from r",
 }

@@ -13,7 +13,7 @@ from ..plans.lineage import Staged
 
 
 def out_of_core(graph: PropertyGraph, slice_rows: int = 5_000_000) -> PropertyGraph:
-    """The graph over a stored edge table whose files hold at most slice_rows edges, clustered by source."""
+    """The graph over a stored edge table whose files hold at most slice_rows edges, clustered by source; a hub's edges fill several."""
     if slice_rows < 1:
         raise ValueError("a slice must hold at least one edge")
     spark = graph.spark
@@ -27,6 +27,12 @@ def out_of_core(graph: PropertyGraph, slice_rows: int = 5_000_000) -> PropertyGr
     return PropertyGraph(graph.vertices, stored.df)
 
 
-def in_memory(graph: PropertyGraph) -> PropertyGraph:
-    """Edges clustered by source and kept in memory, what doesn't fit on disk."""
+def in_memory(graph: PropertyGraph, hubs: bool = False) -> PropertyGraph:
+    """Edges clustered by source and kept in memory, what doesn't fit on disk.
+
+    hubs: some vertex has more edges than a partition should hold. Edges are then kept spread evenly, and
+    each superstep shuffles them, where Spark splits the partitions that a hub makes too large.
+    """
+    if hubs:
+        return PropertyGraph(graph.vertices, graph.edges.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK))
     return graph.clustered(StorageLevel.MEMORY_AND_DISK)
