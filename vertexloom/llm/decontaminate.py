@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, picked
+from .common import SPACE, Staged, picked
 
 SIZE, LEAST_WINDOWS = 8, 3
 BROADCAST_WINDOWS = 200_000
@@ -116,7 +116,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         met = picked(met, F.col("h"), items, "h").where("may").drop("may")
     shift = (F.col("pos") - F.col("item_pos")).alias("shift")
     copies = met.join(F.broadcast(items) if few else items, "h").groupBy("doc_id", "item_id", "size", shift, "item_windows").agg(F.sort_array(F.collect_set("pos")).alias("at"))
-    copies = copies.where(F.size("at") >= F.least(F.lit(LEAST_WINDOWS), "item_windows"))
+    # written, as it is needed twice and costs a pass over all texts
+    copies = Staged(copies.where(F.size("at") >= F.least(F.lit(LEAST_WINDOWS), "item_windows")), "copies").df
     # what stands in the slots, of documents and items that met
     found = picked(known.select("doc_id", "text"), F.col("doc_id"), copies, "doc_id").where("may")
     text = found.select("doc_id", spaced(F.col("text")).alias("text"))
