@@ -62,6 +62,40 @@ def test_density_difference_against_the_formula(labelled):
     assert abs(Q.scores(x, model)[0] - 1 / (1 + math.exp(min(700, max(-700, log[0] - log[1]))))) < 1e-6
 
 
+def test_scores_against_moments_taken_from_the_rows(labelled):
+    docs, labels = labelled
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    x = {i: Q.statistics((t or "").encode()) for i, t in texts.items()}
+    own = [(x[r["doc_id"]], r["quality"]) for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    sides = [np.array([v for v, q in own if q == k]) for k in (0, 1)]
+    covs = [np.cov(s.T, bias=True) for s in sides]
+    pooled = sum(len(s) * c for s, c in zip(sides, covs, strict=True)) / len(own)
+    log = {}
+    for k, (s, c) in enumerate(zip(sides, covs, strict=True)):
+        shrunk = (1 - Q.SHRINK_POOLED - Q.SHRINK_ROUND) * c + Q.SHRINK_POOLED * pooled + Q.SHRINK_ROUND * np.diag(np.maximum(np.diag(pooled), 1e-6)) + 1e-8 * np.eye(len(c))
+        for i, v in x.items():
+            d = v - s.mean(0)
+            log[i, k] = math.log(len(s) / len(own)) - 0.5 * (np.linalg.slogdet(shrunk)[1] + d @ np.linalg.solve(shrunk, d))
+    for r in Q.classify(docs.selectExpr("*", "1 as score", "2 as x"), labels.selectExpr("*", "'t' as text")).collect():
+        i = r["doc_id"]
+        assert abs(r["score"] - 1 / (1 + math.exp(min(700, max(-700, log[i, 0] - log[i, 1]))))) < 1e-6
+
+
+def test_statistics_of_a_text():
+    got = dict(zip(Q.NAMES, Q.statistics(b"One two two,\n### 12 longest|\n### 12 longest|"), strict=True))
+    chars, words_ = 36, 9
+    assert math.isclose(got["words"], math.log1p(words_)) and math.isclose(got["word_len"], math.log1p(chars / words_)) and math.isclose(got["longest"], math.log1p(8))
+    shares = {"upper": 1 / chars, "digit": 4 / chars, "symbol": 6 / chars, "pipe": 2 / chars, "punct": 1 / chars, "short": 6 / words_, "lines": 3 / words_, "line_dup": 1 / 3, "distinct": 6 / words_**0.75, "triples": 1 - 6 / 7}
+    assert all(math.isclose(got[k], math.sqrt(v)) for k, v in shares.items())
+
+
+def test_quality_repeated_ids_null_ids_and_ties(labelled, spark):
+    docs, labels = labelled
+    more = spark.createDataFrame([(None, "no id at all"), (1, "another text of id 1"), (1, "another text of id 1")], "doc_id long, text string")
+    got = Q.classify(docs.union(more), labels).collect()
+    assert len(got) == 166 and [r["held_out"] for r in got if r["doc_id"] is None] == [False] and sum(r["doc_id"] == 1 for r in got) == 3
+
+
 LANGS = {"aa": "the of and to with for is that".split(), "bb": "der die und nicht zu mit ein ist".split(), "cc": "les des une pour dans que sur est".split()}
 
 
@@ -89,6 +123,40 @@ def test_presence_kernel_counts_common_ngrams():
     assert (p @ p.T).astype(int).tolist() == want
 
 
+def test_scores_against_kernel_ridge_regression_of_sets():
+    rng = random.Random(17)
+    texts, langs = [], []
+    for k in range(36):
+        lang = ("aa", "bb", "cc")[k % 3]
+        texts.append(" ".join(rng.choices([*LANGS[lang], *words(rng, 3), "A", "é"], k=rng.randrange(2, 15))).encode())
+        langs.append(lang)
+    fit_on, asked, m = 27, texts[27:], 4
+    grams_ = lambda t: {t.lower()[i : i + n] for n in (1, 2, 3, 4) for i in range(len(t) - n + 1)}
+    names = sorted(set(langs))
+    marks = [g for name in names for g in [grams_(t) for t, x in zip(texts[:fit_on], langs, strict=False) if x == name][:m]]
+    every = set().union(*marks)
+    kernel = lambda x, z: len(x & z) / math.sqrt(max(1, len(x & every)) * len(z))
+    kmm = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(kmm)
+    assert values.min() > 1e-5  # all landmarks count
+    root = vectors @ np.diag(values**-0.5)
+    features = lambda ts: np.column_stack([np.array([[kernel(grams_(t), z) for z in marks] for t in ts]) @ root, np.ones(len(ts))])
+    z, y = features(texts[:fit_on]), np.array([[1.0 if g == n else -1.0 for n in names] for g in langs[:fit_on]])
+    f = features(asked) @ np.linalg.solve(z.T @ z + L.RIDGE * np.eye(z.shape[1]), z.T @ y)
+    model = L.fit(texts[:fit_on], langs[:fit_on], landmarks=3 * m)
+    got, score = L.predict(asked, model)
+    assert got == [names[i] for i in f.argmax(1)]
+    e = np.exp(4 * (f - f.max(1, keepdims=True)))
+    assert np.allclose(score, 1 / e.sum(1), atol=1e-3)
+
+
+def test_language_ties_repeats_and_null_ids(spark):
+    rows = [(i, "abc abd", "xx" if i % 2 else "ww") for i in range(40)] + [(None, "abc abd", "xx"), (3, "abc abd", None), (3, None, "ww"), (3, "1 2 3", "ww")]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'q' as lang_pred", "1 as k", "2.0 as bound")).collect()
+    assert len(got) == 44 and sum(r["lang_pred"] == "und" and r["score"] == 0 for r in got) == 2
+    assert len({(r["lang_pred"], round(r["score"], 6)) for r in got if r["score"]}) == 1 and not any(r["held_out"] for r in got if r["doc_id"] is None)
+
+
 def test_languages_beyond_the_64_most_frequent_are_learned(spark):
     rng = random.Random(21)
     vocabularies = [words(rng, 8) for _ in range(80)]

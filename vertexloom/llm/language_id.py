@@ -141,6 +141,7 @@ def sample(docs: DataFrame, fit_rows: int) -> DataFrame:
 
 def identify(docs: DataFrame, fit_rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> DataFrame:
     """doc_id, held_out, lang_pred, score; one pass over the texts after the fit."""
+    docs = docs.select("doc_id", "text", "lang")
     rows = sample(docs, fit_rows).collect()
     model = fit([utf8(r["text"]) for r in rows], [r["lang"] for r in rows], landmarks)
 

@@ -1,8 +1,8 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Each class has a mean and a covariance of the statistics, shrunk towards the pooled covariance and
-towards its own mean variance. Scores are differences of Gaussian log-densities: Mahalanobis
-distances by triangular solves with Cholesky factors that are computed once and sent to the tasks.
+towards the pooled variances. Scores are differences of Gaussian log-densities: Mahalanobis
+distances with the inverses of the Cholesky factors, computed once and sent to the tasks.
 The moments are summed on the executors, so any number of labelled rows may be used; the driver
 sees two matrices of fixed size.
 
