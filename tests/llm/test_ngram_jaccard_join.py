@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from vertexloom.llm import ngram_jaccard_join as J
+from vertexloom.llm.common import words_of
 
 
 def shingles(text):
@@ -84,3 +85,27 @@ def test_empty_and_repeated_rows(spark, empty_docs):
     assert sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"]) == [(1, 1), (1, 1), (2, 1)] and len(got) == 4
     kept = J.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(str(r["doc_id"]) for r in kept) == ["1", "None"]
+
+
+def test_rows_with_equal_ids_are_documents_of_their_own(spark):
+    a = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"o{i}" for i in range(30))
+    rows = [(3, a), (5, a + " tail"), (5, other), (None, a), (6, None), (6, ""), (7, "x"), (7, "x"), (8, other + " tail"), (5, None), (9, "X")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n", "2 as sig1", "3 as row", "4 as many")
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in J.jaccard_components(df).collect())
+    assert got == sorted([("3", 26, "3"), ("5", 27, "3"), ("5", 26, "5"), ("None", 26, "None"), ("6", 0, "6"), ("6", 0, "6"), ("7", 1, "7"), ("7", 1, "7"), ("8", 27, "5"), ("5", 0, "5"), ("9", 1, "7")])
+    kept = sorted((str(r["doc_id"]), str(r["text"])) for r in J.keep_one(df).collect())
+    assert kept == sorted([("3", a), ("5", other), ("None", a), ("6", "None"), ("6", ""), ("7", "x"), ("5", "None")])
+    assert J.keep_one(df).columns == df.columns
+
+
+def test_signatures_and_sets_of_slices(corpus):
+    """Sets made of many texts at once equal those made text by text."""
+    raw = [(t or "").encode() for _, t in corpus]
+    words = words_of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw]), lower=True)
+    flat, n = J.shingle_sets(words)
+    parts = np.split(flat, np.cumsum(n)[:-1])
+    for (_, t), part in zip(corpus, parts, strict=True):
+        assert len(part) == len(shingles(t)) and (np.diff(part.astype(object)) > 0).all()
+        alone, _ = J.shingle_sets(words_of(np.frombuffer((t or "").encode(), np.uint8), np.array([len((t or "").encode())]), lower=True))
+        assert (alone == part).all()

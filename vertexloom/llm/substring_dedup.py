@@ -42,7 +42,8 @@ from .common import Staged, Words, column, mix, picked, rows_of, utf8, windows
 WINDOW = 13
 #: The levels that a Spark round settles: words and their runs and pairs, then the two levels above.
 LOW, HIGH = range(2), range(2, 4)
-CHUNK_WORDS = C.CHUNK_WORDS
+#: A task holds some 200 bytes for each word of a chunk.
+CHUNK_WORDS = 500_000
 #: The kind of question that is about windows; names of level k are questions of kind k.
 WINDOWS = 9
 
