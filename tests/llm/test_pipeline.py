@@ -41,3 +41,21 @@ def test_stages_take_effect_in_order(spark, docs, folder):
             assert set(after) == set(before) and all(r["lossless"] for r in after.values())
         now = out
     assert sorted(r["doc_id"] for r in pipeline.run(spark, folder).select("doc_id").collect()) == sorted(after)
+
+
+def test_empty_tables_and_rows_of_every_kind(spark, docs, folder, tmp_path):
+    """No rows at all; then nulls, repeated rows and ids, and columns that the operators use themselves."""
+    for name, schema in (("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs.where("doc_id < 0").write.parquet(f"{tmp_path}/documents.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+    long = "some words that go on and on " * 4000
+    rows = [(None, None, None, None, None), (1, "one text here", "zz", "s", 13), (1, "one text here", "zz", "s", 13), (1, "another one", None, "s", None), (None, "no id", "zz", "s", 5), (2, "", "zz", "s", 0), (3, long, "zz", "s", len(long))]
+    odd = spark.createDataFrame(rows, docs.schema).selectExpr("*", "1 as n", "2 as print", "3 as row", "'x' as pieces", "4 as at", "5 as h", "6 as spans")
+    now = odd
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, now, str(tmp_path))
+        assert k == 4 or out.columns == odd.columns
+        out.write.parquet(f"{tmp_path}/odd{k}")
+        now = spark.read.parquet(f"{tmp_path}/odd{k}")
+    assert sorted(str(r["doc_id"]) for r in now.collect()) == ["1", "1", "2", "3", "None", "None"] and now.where("not lossless").count() == 0

@@ -361,6 +361,12 @@ def test_round_trip_and_reproducible_samples(spark, docs, empty_docs):
     assert clash.where("decoded != coalesce(text, '') or key != 8").count() == 0
 
 
+def test_repeated_rows_are_cut_alike(spark):
+    rows = [(1, "a repeated row of words")] * 3 + [(1, "other text"), (2, "a repeated row of words")]
+    got = P.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == 5 and len({r["pieces_sha256"] for r in got if r["doc_id"] == 1}) == 2 and all(r["lossless"] for r in got)
+
+
 def test_spaces_may_share_a_piece():
     pieces = P.Pieces(P.model_path())
     assert any(P.SPACE * 2 in pieces_ for pieces_ in spelled(pieces, "    x", 400))
@@ -391,6 +397,8 @@ def test_extraction(spark):
     assert got[21]["text"] == got[22]["text"] == ""
     assert TEXT.startswith(got[24]["text"][:40])
     assert H.extract_pages(pages(spark, htmls).where("page_id < 0")).count() == 0
+    twice = H.extract_pages(pages(spark, htmls).selectExpr("1 as page_id", "url", "html").union(pages(spark, htmls).selectExpr("cast(null as long)", "url", "html"))).collect()
+    assert sorted(r["text"] for r in twice) == sorted([r["text"] for r in got.values()] * 2)
 
 
 def test_marks_are_whole_names_and_never_take_the_article():

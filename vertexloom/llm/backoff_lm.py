@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks as C
-from .common import _ROLL, Staged, Words, bucket, column, mix, sums
+from .common import _ROLL, Staged, Words, bucket, column, give_back, mix, sums
 
 #: Weight of the shorter context, in observations; and how often a pair is seen that is a state.
 PRIOR, LEAST = 4.0, 2
@@ -148,6 +148,7 @@ def score(docs: DataFrame, fold: int = 7, held: int = 2) -> DataFrame:
     norm = total + (short.seen["words"] or 0) + 1.0
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         chunk = Chunk(rows.to_pylist()[0])
         counts = {k: _counts(answers, chunk, k) for k in (1, 2)}
         chunk.triples(counts[2])

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import Words, column, text_words
+from .common import Words, give_back, parts, text_words
 
 #: Words of a chunk of texts (one text may be longer), and keys that a bucket is meant to get.
 CHUNK_WORDS, BUCKET_KEYS = 1_000_000, 1_000_000
@@ -75,7 +75,7 @@ def coded(docs: DataFrame, size: int, take: Callable[[pa.RecordBatch, slice, Wor
             columns += [pa.array([n], pa.int64())] + [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
             return pa.RecordBatch.from_arrays(columns, ["words", "codes", "sizes", "n", *names])
 
-        for batch in batches:
+        for batch in parts(batches):
             for rows, words in text_words(batch, lower):
                 h, count, own = take(batch, rows, words)
                 if not len(count):
@@ -107,16 +107,20 @@ def ask_all(chunks: DataFrame, ask: Callable[[dict], list[tuple]]) -> DataFrame:
     """What the chunks ask without an answer so far: (k, b, chunk, keys, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield from asked(ask(batch.slice(i, 1).to_pylist()[0])).to_batches()
+        for row in parts(batches, 1):
+            yield from asked(ask(row.to_pylist()[0])).to_batches()
 
     return chunks.mapInArrow(run, ASK)
 
 
 def ask_with(chunks: DataFrame, answers: DataFrame, ask: Callable[[dict, pa.Table], list[tuple]]) -> DataFrame:
     """What the chunks ask in the light of answers."""
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda rows, got: asked(ask(rows.to_pylist()[0], got)), ASK)
+
+    def run(rows: pa.Table, got: pa.Table) -> pa.Table:
+        give_back()
+        return asked(ask(rows.to_pylist()[0], got))
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, ASK)
 
 
 def answered(asks: DataFrame, combine: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, int]]) -> DataFrame:
@@ -127,6 +131,7 @@ def answered(asks: DataFrame, combine: Callable[[list[bytes], np.ndarray, np.nda
     """
 
     def run(table: pa.Table) -> pa.Table:
+        give_back()
         keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
         sizes, flat = [len(k) for k in keys], np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
@@ -149,5 +154,3 @@ def answers_of(got: pa.Table, k: int, n: int, kind) -> np.ndarray:
     assert len(out) == n
     return out
 
-
-__all__ = ["ANSWER", "ASK", "BUCKET_KEYS", "CHUNK_WORDS", "answered", "answers_of", "ask_all", "ask_with", "asked", "bucket_bits", "code_arrays", "coded", "column", "pack", "pack_sorted", "slices", "unpack", "unpack_sorted"]

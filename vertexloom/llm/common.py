@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -15,6 +16,7 @@ from ..plans.lineage import Staged, shared_dir  # noqa: F401
 
 #: Java and Python form of the one word pattern that every operator uses.
 SPACE = r"[\x20\x09-\x0D]+"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text that a task takes apart at once; a longer text is taken alone.
 SLICE_BYTES = 1_500_000
 #: Bits of the table that picks rows whose sets may be needed.
@@ -25,6 +27,9 @@ _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Where the session doesn't say otherwise, Arrow batches are kept small, as texts are long."""
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's default
+        spark.conf.set(BATCH_ROWS, 1000)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -152,9 +157,25 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
-def rows_of(batches: Iterator, *names: str) -> Iterator[tuple[list, ...]]:
-    """Python lists of the named columns, a batch at a time."""
+def give_back() -> None:
+    """Returns freed memory to the system: a worker process goes on to other tasks, whose executor it shares."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A task's batches, some rows at a time; what earlier tasks of the process have freed is given back first."""
+    give_back()
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list, ...]]:
+    """Python lists of the named columns, some rows at a time."""
+    for batch in parts(batches):
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
 
 

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import component_roots
-from .common import _ROLL, Staged, Words, column, mix, picked, rows_of, signed, sums, text_words, windows
+from .common import _ROLL, Staged, Words, column, mix, parts, picked, rows_of, signed, sums, text_words, windows
 
 WORDS, NUM, DEN = 5, 3, 4
 #: Share of all shingles from which on one counts as frequent.
@@ -136,7 +136,7 @@ def summaries(docs: DataFrame) -> DataFrame:
             n = int(often.sum())
             yield pa.RecordBatch.from_arrays([pa.nulls(n, t) for t in types[:5]] + [pa.array(signed(token[often])), pa.array(times[often])], names)
 
-        for batch in batches:
+        for batch in parts(batches):
             for rows, words in text_words(batch, lower=True):
                 flat, n = shingle_sets(words)
                 ends = np.cumsum(n).tolist()
@@ -227,7 +227,7 @@ def postings(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], boundary: in
             yield np.concatenate(keys), np.concatenate(left), np.concatenate(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for rows, words in text_words(batch, lower=True):
                 flat, n = shingle_sets(words)
                 sig1, _ = signatures(flat, n)
@@ -268,7 +268,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     A row's set is made where the row is, if its id may be a wanted one; only sets move.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for _, words in text_words(batch, lower=True):
                 flat, n = shingle_sets(words)
                 ends = np.cumsum(n).tolist()
@@ -284,16 +284,13 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) with a similarity of 0.75 or more, compared set by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                ((a, b, ha, hb),) = rows_of([part], "a", "b", "ha", "hb")
-                ok = []
-                for p, q in zip(ha, hb, strict=True):
-                    x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, ok, strict=True) if k], pa.int64()) for v in (a, b)], ["a", "b"])
+        for a, b, ha, hb in rows_of(batches, "a", "b", "ha", "hb"):
+            ok = []
+            for p, q in zip(ha, hb, strict=True):
+                x, y = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(v, ok, strict=True) if k], pa.int64()) for v in (a, b)], ["a", "b"])
 
     left = sets.select(F.col("node").alias("a"), F.col("h").alias("ha"))
     right = sets.select(F.col("node").alias("b"), F.col("h").alias("hb"))
@@ -369,7 +366,7 @@ def _round(docs: DataFrame, lists: DataFrame, classes: DataFrame, comps: _Compon
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with the same set), component_id for every document."""
-    return _components(docs).drop("sig1", "sig2")
+    return _components(docs).drop("sig1", "sig2", "comp")
 
 
 def _components(docs: DataFrame) -> DataFrame:
@@ -392,7 +389,7 @@ def _components(docs: DataFrame) -> DataFrame:
     roots = comps.label(classes.select("n", "sig1", "sig2", "least", "node"), "node", "comp")
     named = roots.join(roots.groupBy("comp").agg(F.min("least").alias("component_id")), "comp")
     known = F.col("doc_id").isNotNull()
-    out = each.drop("bits").join(named.drop("node", "comp"), ["n", "sig1", "sig2"], "left")
+    out = each.drop("bits").join(named.drop("node"), ["n", "sig1", "sig2"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -400,6 +397,7 @@ def _components(docs: DataFrame) -> DataFrame:
         F.when(known, F.coalesce("component_id", "doc_id")).alias("component_id"),
         "sig1",
         "sig2",
+        "comp",
     )
 
 
@@ -438,7 +436,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     A row whose id stands once goes or stays by its id. Rows with repeated ids are told apart by their sets.
     """
     found = Staged(_components(docs).where("doc_id is not null and n_shingles > 0"), "found").df
-    keeps = found.where("doc_id = component_id").groupBy("doc_id").agg(F.min(F.struct("n_shingles", "sig1", "sig2")).alias("k")).select("doc_id", F.col("k.n_shingles").alias("n"), "k.sig1", "k.sig2")
+    first = F.min(F.struct("doc_id", F.col("n_shingles").alias("n"), "sig1", "sig2")).alias("k")
+    keeps = found.where("doc_id = component_id").groupBy("comp").agg(first).select("k.*")
     by_id = found.groupBy("doc_id").agg((F.count("*") > 1).alias("many"), F.min("component_id").alias("root"))
     touched = Staged(by_id.where("many or root != doc_id").select(F.col("doc_id").alias("id"), "many"), "touched").df
     rows = docs.select(F.struct("*").alias("row"))
@@ -448,7 +447,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     names = ["row", "n", "sig1", "sig2"]
 
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             for rows_, words in text_words(batch, lower=True):
                 flat, n = shingle_sets(words)
                 yield pa.RecordBatch.from_arrays([column(batch, "row", rows_), pa.array(n), *map(pa.array, signatures(flat, n))], names)
@@ -456,5 +455,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *[T.StructField(n, T.LongType()) for n in names[1:]]])
     repeated = met.where("many").select("row", F.col("row.text").alias("text")).mapInArrow(signed_rows, schema)
     one = repeated.where("n > 0").join(keeps.withColumnRenamed("doc_id", "id"), (F.col("row.doc_id") == F.col("id")) & (repeated.n == keeps.n) & (repeated.sig1 == keeps.sig1) & (repeated.sig2 == keeps.sig2), "left_semi")
-    one = one.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id"])
+    one = one.withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "n", "sig1", "sig2"])
     return alone.union(one.select("row")).union(repeated.where("n = 0").select("row")).select("row.*")

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, span_hashes, sums, text_slices
+from .common import mix, parts, span_hashes, sums, text_slices
 
 ALPHA = 1.0
 #: Edges of forward tables that a task keeps.
-MOST_EDGES = 1_500_000
+MOST_EDGES = 1_000_000
 SPACE = "▁"
 _MARK, _OWN_MARK = 0x2581, 0x110000  # `▁` for a space, and in the text itself
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
@@ -349,7 +349,7 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = ALPHA, key:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add = encoder(path, alpha, key, text)
-        for batch in batches:
+        for batch in parts(batches):
             yield from add(batch)
 
     return docs.mapInArrow(run, _schema(docs, pieces=T.ArrayType(T.IntegerType())))
@@ -360,7 +360,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from map(decoder(path), batches)
+        yield from map(decoder(path), parts(batches))
 
     return encoded.mapInArrow(run, _schema(encoded, decoded=T.StringType()))
 
@@ -371,7 +371,7 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, alpha: float = A
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add, back = encoder(path, alpha), decoder(path)
-        for batch in batches:
+        for batch in parts(batches):
             yield from map(back, add(batch))
 
     return docs.mapInArrow(run, _schema(docs, pieces=T.ArrayType(T.IntegerType()), decoded=T.StringType()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, bucket, rows_of, utf8
+from .common import Staged, bucket, parts, rows_of, utf8
 
 NAMES = ["words", "word_len", "short", "distinct", "upper", "digit", "symbol", "punct", "pipe", "other", "lines", "line_dup", "triples", "longest"]
 SHRINK_POOLED, SHRINK_ROUND, CUT = 0.2, 0.02, 0.7
@@ -132,7 +132,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame
     model = fit(document_statistics(docs), labels.where(bucket(F.col("doc_id"), 4) != 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ((texts,),) = rows_of([batch], "text")
             x = np.array([statistics(utf8(t)) for t in texts]).reshape(-1, len(NAMES))
             yield batch.filter(pa.array(scores(x, model) >= cut))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import chunks as C
-from .common import Staged, Words, column, mix, picked, rows_of, utf8, windows
+from .common import Staged, Words, column, give_back, mix, parts, picked, rows_of, utf8, windows
 
 WINDOW = 13
 #: The levels that a Spark round settles: words and their runs and pairs, then the two levels above.
@@ -68,7 +68,7 @@ class Level:
         closes = np.ones(n, bool)
         closes[:-1] = opens[1:]
         # a neighbour fixes where a run ends and what a symbol is paired with; at the ends of a text nothing fixes it
-        low, high = np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+        low, high = np.full(n, -1, np.int32), np.full(n, 2**31 - 1, np.int32)
         low[1:] = self.low[:-1]
         high[:-1] = self.high[1:]
         low[opens], high[closes] = self.start[opens] - 1, self.end[closes] + 1
@@ -89,14 +89,14 @@ class Level:
         until[two] = last[two + 1]
         stays = np.ones(len(at), bool)
         stays[two + 1] = False
-        at, until, made = at[stays], until[stays], (pair | run)[stays]
+        at, until, made = at[stays].astype(np.int32), until[stays].astype(np.int32), (pair | run)[stays]
         return Level(name[stays], self.text[at], self.start[at], self.end[until], low[at], high[until], made, at, until)
 
 
 def levels(words: np.ndarray, count: np.ndarray, top: int = HIGH[-1]) -> list[Level]:
     """Levels 0 (the words) to `top` of texts with these numbers of words."""
-    i = np.arange(len(words))
-    out = [Level(words, np.repeat(np.arange(len(count)), count), i, i + 1, i, i + 1, np.ones(len(words), bool), i, i)]
+    i = np.arange(len(words), dtype=np.int32)
+    out = [Level(words, np.repeat(np.arange(len(count), dtype=np.int32), count), i, i + 1, i, i + 1, np.ones(len(words), bool), i, i)]
     for k in range(1, top + 1):
         out.append(out[-1].next(k))
     return out
@@ -240,6 +240,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         return list(d.ask(WINDOWS, chunk.id, bits, d.least))
 
     def spans(rows: pa.Table, got: pa.Table) -> pa.Table:
+        give_back()
         chunk = chunk_of(rows.to_pylist()[0], got)
         at, d = chunk.windows()
         text = chunk.levels[0].text[at]
@@ -292,7 +293,7 @@ def remove(docs: DataFrame) -> DataFrame:
     row = cut.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             ((texts, spans),) = rows_of([batch], "text", "spans")
             new = [b" ".join(keep(t, s)[1]).decode("utf-8", "surrogatepass") for t, s in zip(texts, spans, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("row")), pa.array(new, pa.string())], ["row", "text"])
