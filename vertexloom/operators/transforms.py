@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import PropertyGraph
+from ..plans.lineage import Staged
 
 
 def reverse(graph: PropertyGraph) -> PropertyGraph:
@@ -35,9 +36,9 @@ def running_total(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
     """Adds the sum of `value` over all rows of smaller `order`, which must be unique.
 
     Two passes instead of one unpartitioned window: rows are split into ranges, each range sums up,
-    and only one number a range is added in order.
+    and only one number a range is added in order. The ranges are written, so that both passes see the same ones.
     """
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()).persist()
+    ranged = Staged(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()), "ranges").df
     sums = ranged.groupBy("_part").agg(F.sum(value).alias("_sum"), F.min(order).alias("_low"))
     # as many rows as there are partitions
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

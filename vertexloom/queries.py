@@ -42,9 +42,11 @@ def _ranks(g: PropertyGraph, mode: str) -> DataFrame:
 
 def _file(spark: SparkSession, name: str) -> str:
     """A new file in the shared folder, as a local path: these formats are written into one file by many tasks."""
-    at = urlparse(Staged.folder(spark, "files")).path
-    os.makedirs(at)
-    return f"{at}/{name}"
+    at = urlparse(Staged.folder(spark, "files"))
+    if at.scheme not in ("", "file"):
+        raise ValueError("single files need a shared folder that is mounted as a path")
+    os.makedirs(at.path)
+    return f"{at.path}/{name}"
 
 
 def _counted(edges: DataFrame) -> DataFrame:
