@@ -114,8 +114,8 @@ def words_of(data: np.ndarray, ends: np.ndarray, lower: bool = False) -> Words:
     return Words(h, begin, size, np.diff(np.searchsorted(begin, edge)))
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """Rows of a text column, about SLICE_BYTES together: which, their bytes, and where each text ends in these; nulls are empty."""
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """Rows of a text column, about `size` bytes together: which, their bytes, and where each text ends in these; nulls are empty."""
     column = column.fill_null("") if column.null_count else column
     _, offsets, data = column.buffers()
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -125,7 +125,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarra
     every = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(edge, edge[at] + SLICE_BYTES, side="right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(edge, edge[at] + size, side="right")) - 1)
         yield slice(at, stop), every[edge[at] : edge[stop]], edge[at + 1 : stop + 1] - edge[at]
         at = stop
 

@@ -35,6 +35,8 @@ from pyspark.sql import types as T
 from .common import mix, parts, span_hashes, sums, text_slices
 
 ALPHA = 1.0
+#: Bytes of text that are sampled together; a task holds some 300 bytes for each while it makes tables.
+BATCH_BYTES = 300_000
 #: Edges of forward tables that a task keeps.
 MOST_EDGES = 1_000_000
 SPACE = "▁"
@@ -313,7 +315,7 @@ def encoder(path: str, alpha: float, key: str = "doc_id", text: str = "text", ou
 
     def add(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys = np.array([hash_key(x) for x in batch.column(batch.schema.get_field_index(key)).to_pylist()], np.int64)
-        for rows, data, ends in text_slices(batch.column(batch.schema.get_field_index(text))):
+        for rows, data, ends in text_slices(batch.column(batch.schema.get_field_index(text)), BATCH_BYTES):
             ids, count = sample_slice(keys[rows], data, ends, table)
             pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(ids, pa.int32()))
             yield with_column(batch.slice(rows.start, rows.stop - rows.start), out, pieces)
