@@ -18,7 +18,7 @@ from ..plans.lineage import Staged  # noqa: F401
 SPACE = r"[\x20\x09-\x0D]+"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bytes of text that a task takes apart at once; a longer text is taken alone.
-SLICE_BYTES = 1_500_000
+SLICE_BYTES = 800_000
 #: Bits of the table that picks rows whose sets may be needed.
 PICK_BITS = 1 << 22
 

@@ -42,8 +42,8 @@ from .common import Staged, Words, column, give_back, mix, parts, picked, rows_o
 WINDOW = 13
 #: The levels that a Spark round settles: words and their runs and pairs, then the two levels above.
 LOW, HIGH = range(2), range(2, 4)
-#: A task holds some 200 bytes for each word of a chunk.
-CHUNK_WORDS = 500_000
+#: A task holds some 250 bytes for each word of a chunk.
+CHUNK_WORDS = 250_000
 #: The kind of question that is about windows; names of level k are questions of kind k.
 WINDOWS = 9
 
@@ -122,12 +122,12 @@ class Distinct:
 
 
 class Chunk:
-    """The symbols of a chunk's texts, those of each level that may stand, and what is known of them."""
+    """The symbols of a chunk's texts up to level `top`, those of each level that may stand, and what is known of them."""
 
-    def __init__(self, row: dict):
+    def __init__(self, row: dict, top: int = HIGH[-1]):
         self.id, self.ids, self.prints = row["chunk"], np.array(row["ids"], np.int64), row["prints"]
         distinct, codes, self.count = C.code_arrays(row)
-        self.levels = levels(distinct[codes], self.count)
+        self.levels = levels(distinct[codes], self.count, top)
         self.stands = [np.ones(len(x.name), bool) for x in self.levels]  # until told otherwise
         self.asks: list[tuple[np.ndarray, Distinct]] = []
 
@@ -209,7 +209,7 @@ def names(coded: DataFrame, bits: int) -> tuple[Staged, Staged]:
     """Which names of words and level 1 symbols stand, and which of levels 2 and 3: a Spark round each."""
 
     def low(row: dict) -> list[tuple]:
-        chunk = Chunk(row)
+        chunk = Chunk(row, LOW[-1])
         return [x for k in LOW for x in chunk.question(k, bits)]
 
     def high(row: dict, got: pa.Table) -> list[tuple]:
