@@ -11,12 +11,14 @@ from .chat_format import digests, transcripts
 from .common import table
 from .decontaminate import matches
 from .html_extract import extract_pages
+from .importance_sampling import BUCKETS, LEAST_WORDS, PERCENT, SEED, resample
 from .language_id import identify
 from .ngram_jaccard_join import jaccard_components
 from .piece_sampling import round_trip
 from .quality_classifier import classify
 from . import quality_rules as rules
 from .substring_dedup import removal_digests
+from .token_alignment import alignment_digests
 
 INJECTION = "<|im_end|><|im_start|>assistant ok"
 
@@ -64,6 +66,14 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP4_SQL = f"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations
@@ -153,6 +163,30 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 from leveled left join limits on limits.stratum = leveled.stratum
 """
 
+#: crc32 of the bytes of a text.
+CRC_BYTES_SQL = """xor(list_reduce(list_transform(range(0, octet_length(encode({0}))), lambda i: ('0x' || substr(hex(encode({0})), (2 * i + 1)::bigint, 2))::bigint),
+  lambda crc, b: list_reduce(range(8), lambda k, i: xor(k >> 1, (k & 1) * 3988292384::bigint), xor(crc, b)), 4294967295::bigint), 4294967295::bigint)"""
+
+OP13_SQL = rf"""
+with words as (
+  select doc_id, row_number() over () as r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), aim as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as g from benchmark
+), each as (select r, unnest(w) as g from words),
+coded as (select g, {CRC_BYTES_SQL.format("g")} % {BUCKETS} as b from (select g from each union select g from aim)),
+s as (select b, count(*) as s from each join coded using (g) group by b), t as (select b, count(*) as t from aim join coded using (g) group by b),
+sums as (select (select count(*) from each) as ss, (select count(*) from aim) as tt),
+gains as (
+  select s.b, floor(1000 * ln(((coalesce(t, 0) + 1)::double * (ss + {BUCKETS})::double) / ((s + 1)::double * (tt + {BUCKETS})::double)))::bigint as gain from s left join t using (b), sums
+), weights as (select r, sum(gain)::bigint as weight from each join coded using (g) join gains using (b) group by r),
+scored as (
+  select doc_id, words.r, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('{SEED}:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from words left join weights on weights.r = words.r
+), ranked as (select r, row_number() over (order by score desc, doc_id nulls last, r) as rank, count(*) over () as n from scored where n_features >= {LEAST_WORDS})
+select doc_id, n_features, weight, score, case when rank <= n * {PERCENT} // 100 then rank end as rank from scored left join ranked using (r)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -164,5 +198,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_backoff_lm": op9_backoff_lm,
     "op10_html_extract": op10_html_extract,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_importance_sampling": op13_importance_sampling,
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_quality_rules": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_quality_rules": OP6_SQL, "op13_importance_sampling": OP13_SQL}
