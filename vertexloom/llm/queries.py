@@ -12,11 +12,12 @@ from .common import table
 from .decontaminate import matches
 from .html_extract import extract_pages
 from .importance_sampling import BUCKETS, LEAST_WORDS, PERCENT, SEED, resample
+from . import pii
+from . import quality_rules as rules
 from .language_id import identify
 from .ngram_jaccard_join import jaccard_components
 from .piece_sampling import round_trip
 from .quality_classifier import classify
-from . import quality_rules as rules
 from .substring_dedup import removal_digests
 from .token_alignment import alignment_digests
 
@@ -70,6 +71,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -187,6 +192,40 @@ scored as (
 select doc_id, n_features, weight, score, case when rank <= n * {PERCENT} // 100 then rank end as rank from scored left join ranked using (r)
 """
 
+#: What confirms a match m between the pieces b and a of its text.
+_ALONE = "not regexp_matches(right(b, 1), '[A-Za-z0-9{0}]') and not regexp_matches(left(a, 1), '[A-Za-z0-9{0}]')"
+_LENGTH = "length(regexp_replace(m, '[^0-9]', '', 'g'))"
+VALID_SQL = {
+    "email": "true",
+    "ip": r"regexp_matches(m, '^0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)(\.0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9][0-9]?)){3}$')",
+    "card": f"{_LENGTH} between 13 and 19 and list_sum(list_transform(string_split(reverse(regexp_replace(m, '[^0-9]', '', 'g')), ''), lambda c, i: case when i % 2 = 1 then c::int when c::int > 4 then 2 * c::int - 9 else 2 * c::int end)) % 10 = 0",
+    "phone": f"{_LENGTH} between 9 and 15",
+    "iban": f"{_ALONE.format('')} and list_reduce(string_split(substr(replace(m, ' ', ''), 5) || left(m, 4), ''), lambda r, c: case when ascii(c) < 65 then r * 10 + ascii(c) - 48 else r * 100 + ascii(c) - 55 end % 97, 0::bigint) = 1".replace("lambda r, c: case", "lambda r, c: (case").replace("end % 97", "end) % 97"),
+    "ssn": f"{_ALONE.format('-')} and not regexp_matches(m, '^(000|666|9)|-00-|-0000$')",
+    "local_phone": rf"{_ALONE.format('-')} and not regexp_matches(right(b, 5), '\+[0-9 ]*$')",
+    "secret": r"""not regexp_matches(right(b, 1), '[A-Za-z0-9]') and regexp_matches(regexp_extract(m, '[^ \t-\r"'']+$'), '[0-9]') and regexp_matches(regexp_extract(m, '[^ \t-\r"'']+$'), '[A-Za-z]')""",
+}
+
+
+def _spans_sql(place: int, kind: pii.Kind) -> str:
+    plain, value, words = (x.replace("'", "''") for x in (kind.plain, kind.value, kind.words))
+    score = f"case when regexp_matches(lower(right(b, {pii.NEAR})), '{words}') then {min(1.0, kind.score + pii.CONTEXT)} else {kind.score} end"
+    low = f"stop - length(regexp_extract(m, '{value}'))" if value else "stop - length(m)"
+    return f"""select r, {place} as kind, '{kind.name}' as name, {str(kind.base).lower()} as base, ({low})::bigint as low, stop from (
+      select r, f[k] as m, p[k] as b, p[k + 1] as a, length(array_to_string(p[1:k], '')) + length(array_to_string(f[1:k], '')) as stop
+      from (select r, string_split_regex(x, '{plain}') as p, regexp_extract_all(x, '{plain}') as f from docs) t, unnest(range(1, len(f) + 1)) u(k)
+    ) where {VALID_SQL[kind.name]}{'' if kind.base else f' and {score} >= {pii.LEAST}'}"""
+
+
+_TOLD = "string_agg(name || ':' || low || ':' || stop, ',' order by kind, low)"
+OP12_SQL = f"""
+with docs as (select row_number() over () as r, doc_id, coalesce(text, '') as x from documents),
+spans as ({' union all '.join(_spans_sql(i, k) for i, k in enumerate(pii.KINDS))}),
+told as (select r, {", ".join(f"count(*) filter (name = '{k.name}') as n_{k.name}" for k in pii.KINDS if k.base)}, {_TOLD} filter (base) as own, {_TOLD} as spans from spans group by r)
+select doc_id, {", ".join(f"coalesce(n_{k.name}, 0)::bigint as n_{k.name}" for k in pii.KINDS if k.base)}, sha256(coalesce(own, '')) as base_sha256, coalesce(spans, '') as spans
+from docs left join told on told.r = docs.r
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -199,6 +238,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_backoff_lm": op9_backoff_lm,
     "op10_html_extract": op10_html_extract,
     "op11_token_alignment": op11_token_alignment,
+    "op12_pii": op12_pii,
     "op13_importance_sampling": op13_importance_sampling,
 }
-ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_quality_rules": OP6_SQL, "op13_importance_sampling": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_ngram_jaccard_join": OP1_SQL, "op7_substring_dedup": OP7_SQL, "op4_chat_format": OP4_SQL, "op6_quality_rules": OP6_SQL, "op12_pii": OP12_SQL, "op13_importance_sampling": OP13_SQL}
