@@ -41,10 +41,10 @@ from .common import Staged, parts, sums
 from .piece_sampling import model_path, spans, spellings
 
 MOST_PAIRS = 500_000
-KEEP_BYTES, MOST_KEPT = 256, 2_000_000
+KEEP_BYTES, MOST_KEPT = 256, 1_000_000
 #: Rows that are taken at once, and bytes of text whose units are aligned together (one text may be longer).
 ROWS = 200
-CHUNK_BYTES = 10_000_000
+CHUNK_BYTES = 2_000_000
 #: A unit begins at a space after a solid character: printable ASCII, or Latin to N'Ko, where there is no other white space.
 _UNITS = re.compile(r"(?<=[!-~À-߿])(?= )")
 _CLOSED = re.compile(r"[!-~À-߿]\Z")
