@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,23 +35,84 @@ def small_star(edges: DataFrame) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def contract(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> Run:
+#: Links that a task takes into one forest, and links that are few enough for a single task.
+FOREST_LINKS, ONE_TASK = 1_000_000, 500_000
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, root) of every vertex of the links that isn't the smallest of its component: a disjoint-set forest on arrays.
+
+    Each root with a smaller root beside it hooks onto the smallest one, then all paths are cut short,
+    so at least half of the roots that can go do so in each round.
+    """
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(a):
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        np.minimum.at(root, high, low)
+        while not np.array_equal(short := root[root], root):
+            root = short
+        a, b = root[a], root[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+    mine = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[mine], ids[root[mine]]
+
+
+def spanning(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Replaces a task's links by those of a forest: as many as it has vertices, at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = kept = 0
+
+        def merge() -> tuple[np.ndarray, np.ndarray]:
+            return forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+        def out(links: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in links], ["u", "v"])
+
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            n += batch.num_rows
+            if n - kept >= most:
+                held = [merge()]
+                n = kept = len(held[0][0])
+                if kept > most // 2:  # a forest that hardly shrinks is passed on
+                    yield out(held[0])
+                    held, n, kept = [], 0, 0
+        if held:
+            yield out(merge())
+
+    return run
+
+
+def contract(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None, one_task: int = ONE_TASK) -> Run:
     """`result`: (id, root) for every vertex of an edge that isn't its component's smallest vertex.
 
-    Large-star and small-star in turn until the edges stay as they are; rounds grow with the
+    Each task first turns its links into a forest, so that what is shuffled has at most a link for each
+    vertex and task. Up to one_task links are then settled by one task. More of them are contracted by
+    large-star and small-star in turn until the links stay as they are; rounds grow with the
     logarithm of the path length, and no vertex gathers its neighbours in one row. Stopped by
     max_rounds, `converged` is False and roots are only the smallest ids found so far.
     """
     run = Run()
-    edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u != v")
-    now, mark = Staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc"), None
+    links = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u != v")
+    trees = links.mapInArrow(spanning(FOREST_LINKS), "u long, v long")
+    measures = {"n": F.count("*"), "mark": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))}
+    now, mark = Staged(trees, "cc", **measures), None
     while max_rounds is None or run.rounds < max_rounds:
         began = time.perf_counter()
-        after = Staged(small_star(large_star(now.df)), "cc", n=F.count("*"), mark=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+        few = now.seen["n"] <= one_task
+        if few:  # a bounded number of links
+            after = Staged(now.df.coalesce(1).mapInArrow(spanning(2 * one_task), "u long, v long"), "cc", **measures)
+        else:
+            after = Staged(small_star(large_star(now.df)), "cc", **measures)
         now.drop()
         now, run.rounds = after, run.rounds + 1
         run.seconds.append(time.perf_counter() - began)
-        if now.seen == mark:
+        if few or now.seen == mark:
             run.converged = True
             break
         mark = now.seen
@@ -62,8 +126,8 @@ def component_roots(edges: DataFrame, src: str = "src", dst: str = "dst") -> Dat
     return contract(edges, src, dst).result
 
 
-def components_run(graph: PropertyGraph, max_rounds: int | None = None) -> Run:
-    run = contract(graph.edges, max_rounds=max_rounds)
+def components_run(graph: PropertyGraph, max_rounds: int | None = None, one_task: int = ONE_TASK) -> Run:
+    run = contract(graph.edges, max_rounds=max_rounds, one_task=one_task)
     run.result = graph.vertices.join(run.result, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     return run
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -36,6 +37,25 @@ def freed_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
+_OPEN: ContextVar[list[list[Staged]]] = ContextVar("open scopes", default=[])
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """All tables staged inside go when the block ends, also by an error: write or collect results inside.
+
+    Without such a block, tables that a result may still be read from stay until the shared folder is cleared.
+    """
+    mine: list[Staged] = []
+    token = _OPEN.set([*_OPEN.get(), mine])
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for table in mine:
+            table.drop()
+
+
 class Staged:
     """A frame written to the shared folder and read again: a retried or lost task finds it there."""
 
@@ -43,12 +63,23 @@ class Staged:
         """by: a column with few values, each of which can be read alone. measures: aggregates over the rows, taken while they are written and kept in `seen`."""
         self.spark = df.sparkSession
         self.path = self.folder(self.spark, name)
+        self._own()
         watch = Observation() if measures else None
         rows = df.observe(watch, *[c.alias(k) for k, c in measures.items()]) if watch else df
         with freed_shuffles(self.spark):
-            rows.write.option("compression", "zstd").parquet(self.path, partitionBy=by)
+            self._write(rows, by)
         self.seen: dict = watch.get if watch else {}
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.df = self._read(df)
+
+    def _own(self) -> None:
+        for scope in _OPEN.get()[-1:]:
+            scope.append(self)
+
+    def _write(self, rows: DataFrame, by: str | None) -> None:
+        rows.write.option("compression", "zstd").parquet(self.path, partitionBy=by)
+
+    def _read(self, df: DataFrame) -> DataFrame:
+        return self.spark.read.schema(df.schema).parquet(self.path)
 
     @staticmethod
     def folder(spark: SparkSession, name: str) -> str:
@@ -56,7 +87,30 @@ class Staged:
         return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def drop(self) -> None:
-        """Deletes the files; nothing lazy may still read them."""
+        """Deletes the files, if they are still there; nothing lazy may still read them."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+
+class Bucketed(Staged):
+    """A frame stored in hash buckets of some columns: joins and aggregations by them read it as it lies, without an exchange."""
+
+    def __init__(self, df: DataFrame, name: str, keys: list[str], buckets: int, file_rows: int = 0, **measures: Column):
+        self.keys, self.buckets, self.file_rows = keys, buckets, file_rows
+        super().__init__(df, name, None, **measures)
+
+    @property
+    def table(self) -> str:
+        return "staged_" + self.path.rsplit("-", 1)[-1]
+
+    def _write(self, rows: DataFrame, by: str | None) -> None:
+        placed = rows.repartition(self.buckets, *self.keys).sortWithinPartitions(*self.keys)
+        out = placed.write.bucketBy(self.buckets, *self.keys).sortBy(*self.keys).option("compression", "zstd").option("maxRecordsPerFile", self.file_rows)
+        out.option("path", self.path).saveAsTable(self.table)
+
+    def _read(self, df: DataFrame) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.table}")
+        super().drop()

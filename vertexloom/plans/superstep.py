@@ -20,6 +20,17 @@ class Run:
     rounds: int = 0
     converged: bool = False
     seconds: list[float] = field(default_factory=list)
+    #: Rows that each round changed or found.
+    counts: list[int] = field(default_factory=list)
+
+
+#: Vertices so few that their ids may be named in a scan's filter.
+FEW = 100
+
+
+def few(rows: DataFrame) -> list[int]:
+    """The ids of at most FEW rows."""
+    return [r["id"] for r in rows.select("id").limit(FEW + 1).collect()]
 
 
 def iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Column, max_rounds: int | None = None, name: str = "state") -> Run:
@@ -32,6 +43,7 @@ def iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], chang
         more = after.seen["changed"] > 0
         state.drop()
         state = after
+        run.counts.append(after.seen["changed"])
         run.seconds.append(time.perf_counter() - began)
         if not more:
             run.converged = True

@@ -1,38 +1,43 @@
-"""Out-of-core mode: the edge table stays in storage and is scanned in slices of bounded size.
+"""Out-of-core mode: the edge table stays in storage, in slices of bounded size that no superstep moves.
 
-Each superstep reads it anew, split by split, with the columns it needs; nothing of it is cached.
-Results equal those of graphs in memory.
+The table is bucketed by source, a bucket a slice: joins with the vertices that changed read it as it
+lies, with the columns they need, and only the vertices' side is shuffled. Nothing of it is cached.
+Where the sources of a superstep are few, the other buckets aren't read. Results equal those of graphs
+in memory.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark import StorageLevel
 
 from ..model import PropertyGraph
-from ..plans.lineage import Staged
+from ..plans.lineage import Bucketed
+
+#: Edges that a slice or partition should hold; a vertex with more of them is dealt out over several.
+SLICE_ROWS = 5_000_000
 
 
-def out_of_core(graph: PropertyGraph, slice_rows: int = 5_000_000) -> PropertyGraph:
-    """The graph over a stored edge table whose files hold at most slice_rows edges, clustered by source; a hub's edges fill several."""
+def out_of_core(graph: PropertyGraph, slice_rows: int = SLICE_ROWS, check: bool = True) -> PropertyGraph:
+    """The graph over a stored edge table of slices of about slice_rows edges, and files of that many at most. check: endpoints must be vertices."""
     if slice_rows < 1:
         raise ValueError("a slice must hold at least one edge")
-    spark = graph.spark
-    key = "spark.sql.files.maxRecordsPerFile"
-    before = spark.conf.get(key)
-    spark.conf.set(key, slice_rows)
-    try:
-        stored = Staged(graph.edges.repartition("src"), "edges")
-    finally:
-        spark.conf.set(key, before)
-    return PropertyGraph(graph.vertices, stored.df)
-
-
-def in_memory(graph: PropertyGraph, hubs: bool = False) -> PropertyGraph:
-    """Edges clustered by source and kept in memory, what doesn't fit on disk.
-
-    hubs: some vertex has more edges than a partition should hold. Edges are then kept spread evenly, and
-    each superstep shuffles them, where Spark splits the partitions that a hub makes too large.
-    """
-    if hubs:
-        return PropertyGraph(graph.vertices, graph.edges.hint("rebalance").persist(StorageLevel.MEMORY_AND_DISK))
-    return graph.clustered(StorageLevel.MEMORY_AND_DISK)
+    if check:
+        graph.validate()
+    dealt = graph.spread(slice_rows)
+    # fewer buckets than shuffle partitions would be shuffled anew
+    buckets = max(int(graph.spark.conf.get("spark.sql.shuffle.partitions")), -(-graph.edges.count() // slice_rows))
+    stored = Bucketed(dealt.edges, "edges", dealt.source_keys, min(buckets, MOST_BUCKETS), slice_rows)
+    return replace(dealt, edges=stored.df, bucketed=True)
+
+
+#: Spark's own limit.
+MOST_BUCKETS = 100_000
+
+
+def in_memory(graph: PropertyGraph, hub_rows: int = SLICE_ROWS, check: bool = True) -> PropertyGraph:
+    """Edges clustered by source and kept in memory, what doesn't fit on disk; a vertex with over hub_rows edges is dealt out. check: endpoints must be vertices."""
+    if check:
+        graph.validate()
+    return graph.spread(hub_rows).clustered(StorageLevel.MEMORY_AND_DISK)
