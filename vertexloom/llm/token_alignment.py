@@ -1,11 +1,13 @@
 """Alignment of two tokenisations of one text, byte by byte.
 
 A is a byte-level BPE over space + text, B a SentencePiece BPE over text, which adds the space. Arrow
-tasks tokenise and emit, for each text, the ids of both and the byte offsets at which their tokens
-end; all else is Spark higher-order functions. The offsets that `array_intersect` finds in both are
-cuts; sorted together with one side's ends, each cut stands beside its equal, whose place tells how
-many tokens that side has up to it; `transform` over the `sequence` of cuts slices the ids into
-groups, and the last tokens of a group are its link. Links of all texts are counted by pair of ids
+tasks tokenise the distinct units of some texts, put them one after the other and emit the ids of both
+sides, the byte offsets at which their tokens end and how many have ended up to each byte; all else
+is Spark higher-order functions. The offsets that `array_intersect` finds in both are cuts;
+`transform` over them slices the ids into groups, and the last tokens of a group are its link; a text's
+groups are those of its units in order, put together by `transform` and summed up by `aggregate`.
+Where units end is sorted in with the cuts, and the places of equal neighbours in the `sequence`
+tell each unit's groups. Links of all texts are counted by pair of ids
 with partial sums, and the counts go back to the links by a broadcast of the distinct pairs up to
 MOST_PAIRS, else by a join.
 
@@ -19,7 +21,7 @@ Cases: a text that is null, empty or whose tokens don't spell space + text byte
 U+2581 as a space) has no tokens, groups or links, and its digest is ''; special tokens' strings are
 plain text; very long texts and units are tokenised whole; repeated rows count and return as often
 as they occur; a null id is an id like any other; an empty table gives no rows; further columns pass
-through `tokenize` and `align`, and one named like a new column is replaced.
+through `tokenize` and `aligned_documents`, and one named like a new column is replaced.
 """
 
 from __future__ import annotations
@@ -243,24 +245,49 @@ def _part(values: Column, at: Column, k: Column) -> Column:
     return F.slice(values, low + 1, F.get(at, k) - low)
 
 
-def align(chunks: DataFrame) -> DataFrame:
-    """Chunks with `groups`, arrays (a, b) of ids between two cuts of their units, and `unit_groups`, how many groups there are up to each unit's end (null without units)."""
+def cut_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with `cuts`, where tokens of both sides end, and `unit_groups`, how many of them there are up to each unit's end (null without units)."""
+    found = chunks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    return found.withColumn("unit_groups", F.when(F.size("a_ids") > 0, stops(F.col("cuts"), F.col("unit_ends"))))
 
-    def side(name: str, before: Column, cut: Column) -> Column:
-        low, n = F.get(f"{name}_upto", before), F.get(f"{name}_upto", cut) - F.get(f"{name}_upto", before)
-        return F.when(n == 1, F.array(F.get(f"{name}_ids", low))).otherwise(F.slice(f"{name}_ids", low + 1, n)).alias(name)
 
-    cuts = F.col("cuts")
-    before = lambda k: F.when(k == 0, 0).otherwise(F.get(cuts, k - 1))
-    groups = F.transform(cuts, lambda cut, k: F.struct(side("a", before(k), cut), side("b", before(k), cut)))
-    # a column of its own: used more than once, it is worked out once
-    found = chunks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    return found.withColumns({"groups": groups, "unit_groups": F.when(F.size("a_ids") > 0, stops(cuts, F.col("unit_ends")))})
+def by_group(body: Callable[[Column, Column], Column]) -> Column:
+    """body(where the cut before it is, where its own is) for each group of a cut chunk."""
+    return F.transform("cuts", lambda cut, k: body(F.when(k == 0, 0).otherwise(F.get("cuts", k - 1)), cut))
+
+
+def side(name: str, before: Column, cut: Column) -> tuple[Column, Column, Column]:
+    """How many tokens of a side lie before a group and in it, and the first of these."""
+    low = F.get(f"{name}_upto", before)
+    return low, F.get(f"{name}_upto", cut) - low, F.get(f"{name}_ids", low)
+
+
+def group_ids(before: Column, cut: Column) -> Column:
+    """(a, b): the ids of a group."""
+    ids = {name: F.slice(f"{name}_ids", side(name, before, cut)[0] + 1, side(name, before, cut)[1]) for name in "ab"}
+    return F.struct(*[x.alias(name) for name, x in ids.items()])
+
+
+def group_text(before: Column, cut: Column) -> Column:
+    """The ids of a group, as `a1,a2|b1`."""
 
+    def ids(name: str) -> Column:
+        low, n, first = side(name, before, cut)
+        return F.when(n == 1, first.cast("string")).otherwise(F.array_join(F.slice(f"{name}_ids", low + 1, n).cast("array<string>"), ","))
 
-def link(group: Column) -> Column:
+    return F.concat(ids("a"), F.lit("|"), ids("b"))
+
+
+def group_link(_: Column, cut: Column) -> Column:
     """The two ids that end a group, as one number."""
-    return F.shiftleft(F.element_at(group["a"], -1).cast("long"), 32) + F.element_at(group["b"], -1)
+    last = lambda name: F.get(f"{name}_ids", F.get(f"{name}_upto", cut) - 1).cast("long")
+    return F.shiftleft(last("a"), 32) + last("b")
+
+
+def _part(values: Column, at: Column, k: Column) -> Column:
+    """What of the values belongs to the k-th part, if parts end after as many values as `at` says."""
+    low = F.when(k == 0, 0).otherwise(F.get(at, k - 1))
+    return F.slice(values, low + 1, F.get(at, k) - low)
 
 
 def by_unit(values: Column, body: Callable[[Column, Column], Column]) -> Column:
@@ -270,10 +297,10 @@ def by_unit(values: Column, body: Callable[[Column, Column], Column]) -> Column:
 
 def aligned_documents(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
     """The documents, without the text, with n_a, n_b and `groups`: (a, b), arrays of ids between two cuts. The last ids of a group are its link."""
-    found = align(tokenize(docs, a_path, b_path))
+    found = cut_chunks(tokenize(docs, a_path, b_path))
     names = [f.name for f in found.schema["docs"].dataType.elementType.fields if f.name not in ("units", "groups")]
     whole = lambda parts_: F.transform("docs", lambda d: F.struct(*[d[n].alias(n) for n in names], F.flatten(F.transform(d["units"], lambda u: F.get(parts_, u))).alias("groups")))
-    return found.select(F.inline(let(by_unit(F.col("groups"), lambda groups, _: groups), whole)))
+    return found.select(F.inline(let(by_unit(by_group(group_ids), lambda groups, _: groups), whole)))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -285,9 +312,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def alignment_digests(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links (a group has one), n_best, count_sum, groups_sha256."""
-    ids = lambda x: F.when(F.size(x) == 1, x[0].cast("string")).otherwise(F.array_join(x.cast("array<string>"), ","))
-    spelled = F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"])))
-    texts = by_unit(spelled, lambda groups, _: F.struct(F.array_join(groups, ";").alias("text"), F.size(groups).cast("long").alias("n")))
+    texts = by_unit(by_group(group_text), lambda groups, _: F.struct(F.array_join(groups, ";").alias("text"), F.size(groups).cast("long").alias("n")))
 
     def digest(text: Column) -> Column:
         return F.transform(
@@ -302,12 +327,15 @@ def alignment_digests(docs: DataFrame, a_path: str | None = None, b_path: str |
             ),
         )
 
-    links = by_unit(F.transform("groups", link), lambda x, k: F.struct(k.alias("unit"), F.get("times", k).alias("times"), x.alias("links")))
-    found = align(tokenize(docs.select("doc_id", "text"), a_path, b_path))
+    links = by_unit(by_group(group_link), lambda x, k: F.struct(k.alias("unit"), F.get("times", k).alias("times"), x.alias("links")))
+    found = cut_chunks(tokenize(docs.select("doc_id", "text"), a_path, b_path))
     held = Staged(found.select(F.monotonically_increasing_id().alias("chunk"), let(texts, digest).alias("docs"), links.alias("units")), "aligned")
-    linked = held.df.select("chunk", F.inline("units")).select("chunk", "unit", "times", F.explode("links").alias("link"))
-    pairs = Staged(pair_counts(linked), "pairs", pairs=F.count("*"))
-    known = F.broadcast(pairs.df) if pairs.seen["pairs"] <= most_pairs else pairs.df
+    linked = lambda chunks: chunks.select("chunk", F.inline("units")).select("chunk", "unit", "times", F.explode("links").alias("link"))
+    pairs = Staged(pair_counts(linked(held.df)), "pairs", pairs=F.count("*"))
+    few = pairs.seen["pairs"] <= most_pairs
+    known = F.broadcast(pairs.df) if few else pairs.df
+    # whole chunks are moved once; with a broadcast, all that follows stays where its chunk is
+    linked = linked(held.df.select("chunk", "units").repartition("chunk") if few else held.df)
     by_units = linked.join(known, "link").groupBy("chunk", "unit").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("n"))
     # as many rows to a chunk as it has units
     by_chunk = by_units.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("unit", "best", "n"))).alias("of"))
