@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from tests.graphs import random_graph
 from tests.test_graph_operators import make
 from vertexloom import cli
 from vertexloom.operators.coloring import hybrid_coloring
@@ -76,6 +77,61 @@ def test_small_slices_meet_at_every_edge(spark, tmp_path, monkeypatch):
     assert sorted(found) == sorted(EDGES)
 
 
+def test_files_by_uri_and_with_no_half_of_one(spark, tmp_path, monkeypatch):
+    g = make(spark, 6, EDGES)
+    uri = f"file://{tmp_path}/by_uri.bin"
+    binary.write_graph(g, uri)
+    assert rows(binary.read_graph(spark, uri).edges) == sorted(EDGES)
+    dimacs.write_file(g, f"file://{tmp_path}/by_uri.gr")
+    assert rows(dimacs.read_graph(spark, f"file://{tmp_path}/by_uri.gr").edges) == sorted(EDGES)
+    parts = binary._parts(g.edges.select("src", "dst"), "src", "dst")
+    assert parts.rows == 5
+    before = sorted(p.name for p in tmp_path.iterdir())
+    lost = [*parts.files[0], "not-there.ints"]
+    with pytest.raises(Exception, match="not-there"):
+        binary.assemble(spark, str(tmp_path / "half.bin"), [[1, 2], (parts.folder, lost)])
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
+    large = make(spark, 3, [(0, 1), (1, 2), (2, 2**31)])
+    with pytest.raises(Exception, match="32-bit"):
+        binary.write_graph(large, str(tmp_path / "large.bin"))
+    gap = make(spark, 3, [(0, 1)])
+    with pytest.raises(ValueError):
+        binary.write_graph(type(g)(gap.vertices.where("id != 1"), gap.edges.where("src = 0")), str(tmp_path / "gap.bin"))
+    assert sorted(p.name for p in tmp_path.iterdir()) == before
+
+
+def test_parts_of_many_ranges_keep_their_order(spark, tmp_path):
+    n, e = random_graph(12, 500, 3000)
+    conf = {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        binary.write_graph(make(spark, n, e + [(7, i) for i in range(400)]), str(tmp_path / "g.bin"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = np.fromfile(tmp_path / "g.bin", np.int32)
+    src, dst = got[5 + n : 5 + n + 3400], got[5 + n + 3400 :]
+    assert list(zip(src.tolist(), dst.tolist(), strict=True)) == sorted(e + [(7, i) for i in range(400)])
+    assert (got[4 : 5 + n] == np.searchsorted(src, np.arange(n + 1))).all()
+
+
+@pytest.mark.parametrize("kind", ["graph", "lists"])
+def test_bounds_of_sources_are_read_only(spark, tmp_path, monkeypatch, kind):
+    n, e = random_graph(13, 50, 400)
+    path = str(tmp_path / "g")
+    (binary.write_graph if kind == "graph" else binary.write_csr)(make(spark, n, e), path)
+    edges = (binary.read_graph if kind == "graph" else binary.read_csr)(spark, path).edges
+    for where, keep in (("src between 10 and 12", lambda a: 10 <= a <= 12), ("src > 47", lambda a: a > 47), ("src = 3 and dst > 5", lambda a: a == 3), ("src < 2", lambda a: a < 2), ("src > 99", lambda a: False), ("src < -1", lambda a: False)):
+        assert rows(edges.where(where)) == sorted(x for x in e if keep(x[0]) and ("dst" not in where or x[1] > 5))
+        reader = binary._Reader(path, binary.GRAPH if kind == "graph" else binary.LISTS)
+        bounds = {"src between 10 and 12": [binary.GreaterThanOrEqual(("src",), 10), binary.LessThanOrEqual(("src",), 12)], "src > 47": [binary.GreaterThan(("src",), 47)]}.get(where)
+        if bounds:
+            assert list(reader.pushFilters(bounds)) == bounds
+            assert sum(p.high - p.low for p in reader.partitions()) == sum(keep(a) for a, _ in e)
+
+
 def test_partition_table(spark, tmp_path):
     g = make(spark, 6, EDGES)
     c = hybrid_coloring(g, 3)

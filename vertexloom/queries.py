@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +39,11 @@ def _ranks(g: PropertyGraph, mode: str) -> DataFrame:
 
 
 def _file(spark: SparkSession, name: str) -> str:
-    """A new file in the shared folder, as a local path: these formats are written into one file by many tasks."""
-    at = urlparse(Staged.folder(spark, "files"))
-    if at.scheme not in ("", "file"):
-        raise ValueError("single files need a shared folder that is mounted as a path")
-    os.makedirs(at.path)
-    return f"{at.path}/{name}"
+    """A new file in the shared folder."""
+    at = Staged.folder(spark, "files")
+    system, inner = binary.place(at)
+    system.create_dir(inner)
+    return f"{at}/{name}"
 
 
 def _counted(edges: DataFrame) -> DataFrame:

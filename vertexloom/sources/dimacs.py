@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
-from itertools import accumulate
 
-import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +11,7 @@ from pyspark.sql import functions as F
 from ..model import PropertyGraph
 from ..operators.transforms import adjacency
 from ..plans.lineage import Staged
+from .binary import assemble, place
 
 HEADER = r"^\s*p\D*(\d+)\s+(\d+)"
 ARC = r"^\s*a\s+(\d+)\s+(\d+)"
@@ -49,23 +47,10 @@ def write_graph(graph: PropertyGraph, path: str) -> None:
 
 
 def write_file(graph: PropertyGraph, path: str) -> None:
-    """The ASCII graph as one file, which tasks fill in at the places of their parts; it must lie where tasks can write into one file."""
+    """The ASCII graph as one file, streamed together from its parts; it is there when it is whole."""
     parts = Staged.folder(graph.spark, "ascii")
     write_graph(graph, parts)
-    system, inner = fs.FileSystem.from_uri(parts)
-    files = sorted((f.path, f.size) for f in system.get_file_info(fs.FileSelector(inner)) if f.base_name.startswith("part-"))
-    ends = list(accumulate(size for _, size in files))
-    with open(path, "wb") as f:
-        f.truncate(ends[-1])
-    places = graph.spark.createDataFrame([(name, end - size) for (name, size), end in zip(files, ends, strict=True)], "name string, at long").repartition(len(files))
-
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with fs.FileSystem.from_uri(parts)[0].open_input_stream(name) as source, open(path, "r+b") as target:
-                    target.seek(at)
-                    while block := source.read(1 << 22):
-                        target.write(block)
-        yield pa.RecordBatch.from_arrays([pa.array([1])], ["done"])
-
-    places.mapInArrow(copy, "done long").write.format("noop").mode("overwrite").save()
+    system, inner = place(parts)
+    files = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(inner)) if f.base_name.startswith("part-"))
+    assemble(graph.spark, path, [(parts, files)])
+    system.delete_dir(inner)
