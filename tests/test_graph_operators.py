@@ -9,10 +9,11 @@ from vertexloom.functions.report import bfs_histogram, bfs_summary, cc_count, cc
 from vertexloom.functions.verify import verify_exact, verify_tolerance
 from vertexloom.operators import coloring
 from vertexloom.operators.coloring import clashes, coloring_run, hybrid_coloring
-from vertexloom.operators.components import components_run, connected_components, min_reachable_label
+from vertexloom.operators.components import components_run, connected_components
 from vertexloom.operators.levels import all_levels, bfs, bfs_run
 from vertexloom.operators.pagerank import pagerank, pagerank_run
 from vertexloom.operators.paths import all_distances, sssp
+from vertexloom.operators.reach import min_reachable_label
 from vertexloom.operators.transforms import adjacency, class_sizes, cut, degrees, expand, offsets, rebase, reverse, unit_weights
 from vertexloom.plans import lineage
 from vertexloom.streaming.slices import in_memory, out_of_core

@@ -13,10 +13,11 @@ from .functions.report import bfs_histogram, bfs_summary, cc_count, cc_report
 from .functions.verify import verify_exact, verify_tolerance
 from .model import PropertyGraph
 from .operators.coloring import IN_MEMORY, OUT_OF_CORE, clashes, hybrid_coloring
-from .operators.components import connected_components, min_reachable_label
+from .operators.components import connected_components
 from .operators.levels import all_levels, bfs
 from .operators.pagerank import pagerank
 from .operators.paths import all_distances, sssp
+from .operators.reach import min_reachable_label
 from .operators.transforms import adjacency, class_sizes, cut, degrees, expand, offsets, reverse
 from .plans.lineage import Staged
 from .sources import binary, dimacs
