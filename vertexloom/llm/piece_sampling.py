@@ -36,7 +36,7 @@ from .common import mix, parts, span_hashes, sums, text_slices
 
 ALPHA = 1.0
 #: Bytes of text that are sampled together; a task holds some 300 bytes for each while it makes tables.
-BATCH_BYTES = 300_000
+BATCH_BYTES = 150_000
 #: Edges of forward tables that a task keeps.
 MOST_EDGES = 1_000_000
 SPACE = "▁"
