@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -16,9 +17,10 @@ from vertexloom.operators import coloring, components
 from vertexloom.operators.coloring import coloring_run, hybrid_coloring
 from vertexloom.operators.components import connected_components, forest
 from vertexloom.operators.levels import bfs, bfs_run
-from vertexloom.operators.pagerank import pagerank
+from vertexloom.operators.pagerank import pagerank, pagerank_run
 from vertexloom.operators.paths import sssp, sssp_run
 from vertexloom.plans import known
+from vertexloom.plans.journal import Journal
 from vertexloom.plans.lineage import Bucketed, Staged, shared_dir, staging
 from vertexloom.streaming.slices import in_memory, out_of_core
 
@@ -113,7 +115,7 @@ def test_rounds_write_what_they_change(spark, monkeypatch):
     assert max(sizes) == 1
     sizes.clear()
     run = bfs_run(g, 0)
-    assert run.counts == [1] * 11 and max(sizes) == 1
+    assert run.counts == [1] * 11 + [0] and max(sizes) == 1
 
 
 @pytest.mark.parametrize("base_rows", [4, 1000])
@@ -152,6 +154,39 @@ def test_tables_go_with_their_scope(spark):
     assert here() == before
 
 
+class Lost(Exception):
+    """The driver goes away."""
+
+
+@pytest.mark.parametrize("job", ["bfs", "sync"])
+def test_a_lost_run_goes_on_where_it_stood(spark, monkeypatch, job):
+    monkeypatch.setattr(known, "MERGE", 2)
+    n, e = 12, [(i, i + 1) for i in range(11)] + [(11, 3), (0, 5)]
+    g = make(spark, n, e)
+    journal = Journal(spark, f"{job}-{uuid.uuid4().hex}")
+    go = (lambda: bfs_run(g, 0, journal=journal)) if job == "bfs" else (lambda: pagerank_run(g, "sync", tol=1e-9, journal=journal))
+    whole = go()
+    want = sorted(map(tuple, whole.result.collect()))
+    journal.clear()
+    save, written = Journal.save, []
+
+    def dies(self, **state):
+        written.append(state["round"])
+        save(self, **state)
+        if len(written) == 3:
+            raise Lost
+
+    monkeypatch.setattr(Journal, "save", dies)
+    with pytest.raises(Lost):
+        go()
+    again = go()
+    assert written[:3] == [1, 2, 3] and written[3] == 4 and again.rounds == whole.rounds
+    assert sorted(map(tuple, again.result.collect())) == want
+    assert go().rounds == whole.rounds and written[-1] == whole.rounds  # a finished run isn't run again
+    account = again.account(spark).orderBy("round").collect()
+    assert [r["round"] for r in account] == list(range(4, whole.rounds + 1)) and all(r["bytes_written"] > 0 for r in account)
+
+
 # ---- union-find
 
 

@@ -110,8 +110,8 @@ def contract(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: i
         else:
             after = Staged(small_star(large_star(now.df)), "cc", **measures)
         now.drop()
-        now, run.rounds = after, run.rounds + 1
-        run.seconds.append(time.perf_counter() - began)
+        now = after
+        run.note(now, now.seen["n"], began)
         if few or now.seen == mark:
             run.converged = True
             break

@@ -76,6 +76,8 @@ def _chains(edges: DataFrame, label: DataFrame, run: Run) -> DataFrame | None:
     jumped = iterate(start, step, ~F.col("done"), n_one.bit_length() + 1, "chains")
     found.drop()
     run.rounds += jumped.rounds
+    run.counts += jumped.counts
+    run.bytes += jumped.bytes
     run.seconds += jumped.seconds
     return jumped.result
 
@@ -112,12 +114,13 @@ def min_reachable_run(graph: PropertyGraph, max_rounds: int | None = None, one_t
         met.drop()
         edges.drop()
         edges, label = fewer, after.df
-        run.rounds += 1
+        run.note(fewer, fewer.seen["n"], began)
+        began = time.perf_counter()
     run.converged = True
     if 0 < edges.seen["n"] <= one_task:
-        found = Staged(_in_one_task(edges.df, label), "label").df
-        label = label.join(found.withColumnRenamed("label", "l"), "id", "left").select("id", F.coalesce("l", "label").alias("label"))
-        run.rounds += 1
+        found = Staged(_in_one_task(edges.df, label), "label", n=F.count("*"))
+        run.note(found, found.seen["n"], began)
+        label = label.join(found.df.withColumnRenamed("label", "l"), "id", "left").select("id", F.coalesce("l", "label").alias("label"))
     elif edges.seen["n"]:
         start = label.withColumn("changed", F.lit(True))
 
@@ -129,11 +132,13 @@ def min_reachable_run(graph: PropertyGraph, max_rounds: int | None = None, one_t
         passed = iterate(start, step, F.col("changed"), max_rounds, "label")
         label, run.converged = passed.result.select("id", "label"), passed.converged
         run.rounds += passed.rounds
+        run.counts += passed.counts
+        run.bytes += passed.bytes
+        run.seconds += passed.seconds
     for chains in reversed(done):
         behind = chains.join(label.toDF("next", "l"), "next", "left")
         mine = behind.select("id", F.when(F.col("done"), F.least("m", "l")).otherwise(F.col("m")).alias("own"))
         label = label.join(mine, "id", "left").select("id", F.coalesce("own", "label").alias("label"))
-    run.seconds.append(time.perf_counter() - began)
     run.result = label
     return run
 

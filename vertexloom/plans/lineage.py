@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +23,12 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """Spark's own file system of a path or URI, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 #: Spark setting under which a query's shuffle files go when it ends.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -86,10 +93,25 @@ class Staged:
         """A new place in the shared folder, as a URI or path."""
         return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
+    @classmethod
+    def found(cls, spark: SparkSession, path: str, schema: StructType) -> Staged:
+        """A table that an earlier run has left."""
+        self = Staged.__new__(Staged)
+        self.spark, self.path, self.seen = spark, path, {}
+        self._own()
+        self.df = spark.read.schema(schema).parquet(path)
+        return self
+
+    @property
+    def bytes(self) -> int:
+        """Bytes of the files."""
+        system, at = file_system(self.spark, self.path)
+        return system.getContentSummary(at).getLength()
+
     def drop(self) -> None:
         """Deletes the files, if they are still there; nothing lazy may still read them."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        system, at = file_system(self.spark, self.path)
+        system.delete(at, True)
 
 
 class Bucketed(Staged):

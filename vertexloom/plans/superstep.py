@@ -6,9 +6,10 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .journal import Journal
 from .lineage import Staged
 
 
@@ -20,8 +21,22 @@ class Run:
     rounds: int = 0
     converged: bool = False
     seconds: list[float] = field(default_factory=list)
-    #: Rows that each round changed or found.
+    #: Rows that each round changed or found, and bytes that it wrote.
     counts: list[int] = field(default_factory=list)
+    bytes: list[int] = field(default_factory=list)
+
+    def note(self, table: Staged, changed: int, began: float) -> None:
+        """One more round, which has written a table."""
+        self.rounds += 1
+        self.counts.append(changed)
+        self.bytes.append(table.bytes)
+        self.seconds.append(time.perf_counter() - began)
+
+    def account(self, spark: SparkSession) -> DataFrame:
+        """(round, changed, bytes_written, seconds) of each round of this run; those before a resumed one have no row."""
+        first = self.rounds - len(self.counts) + 1
+        rows = list(zip(range(first, self.rounds + 1), self.counts, self.bytes, map(float, self.seconds), strict=False))
+        return spark.createDataFrame(rows, "round int, changed long, bytes_written long, seconds double")
 
 
 #: Vertices so few that their ids may be named in a scan's filter.
@@ -33,20 +48,26 @@ def few(rows: DataFrame) -> list[int]:
     return [r["id"] for r in rows.select("id").limit(FEW + 1).collect()]
 
 
-def iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Column, max_rounds: int | None = None, name: str = "state") -> Run:
-    """Applies step to the staged state until no row is `changed`; a round is one job, which writes one table to the shared folder."""
-    run, state = Run(), Staged(start, name)
-    while max_rounds is None or run.rounds < max_rounds:
+def iterate(start: DataFrame, step: Callable[[DataFrame, int], DataFrame], changed: Column, max_rounds: int | None = None, name: str = "state", journal: Journal | None = None) -> Run:
+    """Applies step to the staged state until no row is `changed`; a round is one job, which writes one table to the shared folder.
+
+    journal: keeps the last whole round. If it has one already, the loop goes on from there, without `start`.
+    """
+    run = Run()
+    left = journal.load() if journal else None
+    if left:
+        state = Staged.found(start.sparkSession, left["table"], start.schema)
+        run.rounds, run.converged = left["round"], left["converged"]
+    else:
+        state = Staged(start, name)
+    while not run.converged and (max_rounds is None or run.rounds < max_rounds):
         began = time.perf_counter()
         after = Staged(step(state.df, run.rounds + 1), name, changed=F.count_if(changed))
-        run.rounds += 1
-        more = after.seen["changed"] > 0
+        run.note(after, after.seen["changed"], began)
+        run.converged = not after.seen["changed"]
+        if journal:
+            journal.save(round=run.rounds, table=after.path, converged=run.converged)
         state.drop()
         state = after
-        run.counts.append(after.seen["changed"])
-        run.seconds.append(time.perf_counter() - began)
-        if not more:
-            run.converged = True
-            break
     run.result = state.df
     return run

@@ -199,6 +199,23 @@ r(id, k, part) using key (id) as (
     from r join v on v.k = r.k + 1 left join near on near.hi = v.id left join recurring.r u on u.id = near.lo group by v.id, v.k))"""
 
 
+def _rank_in_place(rounds: int = 20, classes: int = IN_MEMORY, tol: float = 0.005) -> str:
+    """Class by class with freezing, unrolled; a round runs if some vertex moved in the one before."""
+    steps, last = [], "s0"
+    for k in range(1, rounds + 1):
+        steps.append(f"g{k} as materialized (select bool_or(moved) as go from {last})")
+        for p in range(1, classes + 1):
+            steps.append(f"""s{k}_{p} as materialized (select id, part, deg, case when turn then new else rank end as rank,
+  case when turn and deg > 0 then new / deg else share end as share, frozen or (turn and abs(new - rank) < {tol}) as frozen,
+  case when go and part = {p} then turn and abs(new - rank) > {tol} else moved end as moved
+  from (select {last}.*, go, part = {p} and not frozen and go as turn, 0.15 + 0.85 * coalesce(s, 0) as new
+    from g{k}, {last} left join (select pc.dst, sum(u.share) as s from pc join {last} u on u.id = pc.src group by pc.dst) x on x.dst = {last}.id))""")
+            last = f"s{k}_{p}"
+    return f"""{_coloured(classes)}, deg as materialized (select src, count(*) as n from pc group by src),
+s0 as materialized (select r.id, r.part, coalesce(n, 0) as deg, 0::double as rank, 0::double as share, false as frozen, true as moved from r left join deg on deg.src = r.id),
+{", ".join(steps)} select id, round(rank, 6) as rank from {last}"""
+
+
 _ROOTS = "select event_id as id, min(event_id) over (partition by user_id) as root from events"
 
 ORACLES: dict[str, str] = {
@@ -223,6 +240,7 @@ select count(distinct root) as n_components from r""",
 select id, label from r""",
     "pagerank_sync": _rank(10),
     "pagerank_outofcore": _rank(10),
+    "pagerank_async": _rank_in_place(),
     "pagerank_sequential": _rank(9),
     "reverse_edges": f"with {_PART} select dst as src, src as dst, 1::bigint as weight from pc",
     "degrees": """with e as (select distinct 2 * o_custkey as src, 2 * l_suppkey + 1 as dst from orders join lineitem on o_orderkey = l_orderkey)
