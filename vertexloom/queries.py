@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,6 +82,16 @@ def _two_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "file int, algorithm string, finished boolean, n_rows long")
 
 
+def _in_memory_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The algorithms over one file in memory, ranks class by class: rows and the sum of each result."""
+    path = _file(spark, "graph.bin")
+    binary.write_graph(part_chain(spark, sf_dir), path)
+    done = cli.run(spark, path, "in-memory", SOURCE)
+    value = {"bfs": "level", "cc": "root", "sssp": "dist", "pagerank": "rank"}
+    rows = [r.result.agg(F.lit(k).alias("algorithm"), F.count("*").alias("n_rows"), F.round(F.sum(F.col(value[k]).cast("double")), 3).alias("total")) for k, r in done.items()]
+    return reduce(DataFrame.union, rows)
+
+
 def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, lists = _file(spark, "g.bin"), _file(spark, "g.csr")
     binary.write_graph(event_chain(spark, sf_dir), graph)
@@ -151,6 +162,7 @@ QUERIES: dict[str, Query] = {
     "ascii_csr": _ascii_csr,
     "convert": _convert,
     "two_files": _two_files,
+    "run_in_memory": _in_memory_run,
     "binary_roundtrip": _binary,
     "table_roundtrip": _table,
 }
@@ -264,6 +276,11 @@ back(id) as (select 3::bigint union select src from pc join back on dst = id),
 f(file, reached) as (select 0, count(*) from there union all select 1, count(*) from back)
 select file::int as file, a.algorithm, true as finished, (case when a.algorithm in ('bfs', 'sssp') then reached else (select count(*) from part) end)::bigint as n_rows
 from f, (values ('bfs'), ('cc'), ('sssp'), ('pagerank')) a(algorithm)""",
+    "run_in_memory": f"""select 'bfs' as algorithm, count(*) as n_rows, round(sum(level)::double, 3) as total from ({_BFS} select level from r)
+union all select 'cc', count(*), round(sum(root)::double, 3) from (with recursive {_PART}, b as (select src as a, dst as b from pc union all select dst, src from pc),
+  r(id, root) using key (id) as (select p_partkey, p_partkey from part union select b.b, min(r.root) from r join b on b.a = r.id join recurring.r v on v.id = b.b where r.root < v.root group by b.b) select root from r)
+union all select 'sssp', count(*), round(sum(dist)::double, 3) from ({_sssp("1")} select dist from r)
+union all select 'pagerank', count(*), round(sum(rank)::double, 3) from ({_rank_in_place()})""",
     "binary_roundtrip": f"with {_EVENT} select src, dst, 2 * count(*) as n from ec group by src, dst",
     "table_roundtrip": f"{_coloured(IN_MEMORY)} select id, part from r",
 }
