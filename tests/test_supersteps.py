@@ -227,7 +227,7 @@ def test_colouring_ends_on_broken_graphs(spark):
     assert len(rows) == 3 and {r["id"]: r["part"] for r in rows} == {0: 1, 1: 2, 2: 1}
 
 
-@pytest.mark.parametrize("classes", [2, 5, 63])
+@pytest.mark.parametrize("classes", [2, 5, 63, 64, 200])
 def test_hubs_are_coloured_over_several_ranges(spark, monkeypatch, classes):
     conf = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
     before = {k: spark.conf.get(k) for k in conf}
@@ -243,6 +243,13 @@ def test_hubs_are_coloured_over_several_ranges(spark, monkeypatch, classes):
     assert pairs(run.result, "id", "part") == G.first_fit(n, e, classes) and sum(run.counts) == n
 
 
+def test_more_colours_than_a_word_has_bits(spark):
+    n = 150
+    e = [(i, j) for i in range(n) for j in range(i)]
+    for classes in (70, 140):
+        assert pairs(hybrid_coloring(make(spark, n, e), classes), "id", "part") == {v: min(v + 1, classes) for v in range(n)}
+
+
 def test_long_chains_beside_wide_levels(spark, monkeypatch):
     monkeypatch.setattr(coloring, "NARROW", 3)
     n = 600
