@@ -12,10 +12,10 @@ with partial sums, and the counts go back to the links by a broadcast of the dis
 MOST_PAIRS, else by a join.
 
 Tokenising keeps a table of units. Neither tokeniser joins what lies before and behind a run of
-spaces that follows a solid character (A's pattern begins anew at such a run; no piece of B goes on
-across one, which is checked when the vocabulary is read), so a unit's tokens are the same in each
-text. Lines, scripts without spaces and odd white space stay inside units. Units are compared as
-bytes; those of up to KEEP_BYTES are kept, as long as all of them have MOST_KEPT tokens at most.
+spaces or a line break that follows a solid character (A's pattern begins anew there; no piece of B
+goes on across one, which is checked when the vocabulary is read), so a unit's tokens are the same in
+each text. Scripts without spaces and odd white space stay inside units. Units are compared as
+texts; those of up to KEEP_BYTES characters are kept, as long as all of them have MOST_KEPT tokens at most.
 
 Cases: a text that is null, empty or whose tokens don't spell space + text byte by byte (B reads
 U+2581 as a space) has no tokens, groups or links, and its digest is ''; special tokens' strings are
