@@ -93,3 +93,51 @@ def test_cases(spark, empty_docs, docs):
     removed = S.remove(docs)
     assert removed.columns == docs.columns and removed.count() == docs.count()
     assert removed.where("doc_id = 82").first()["text"] == " \n\t "
+
+
+def chunk_of(texts):
+    counts = np.array([len((t or "").encode().split()) for t in texts])
+    words, codes = np.unique(np.concatenate([hashes(t) for t in texts]), return_inverse=True)
+    row = {"chunk": 0, "ids": list(range(len(texts))), "prints": [0] * len(texts)}
+    return S.Chunk(row | {"words": S.C.pack_sorted(words), "codes": S.C.pack(codes.astype(np.uint32)), "sizes": S.C.pack(counts)})
+
+
+def test_names_by_symbols_are_those_of_equal_windows(corpus):
+    texts = [t for _, t in corpus if len((t or "").split()) >= 13]
+    chunk, lists = chunk_of(texts), [t.encode().split() for t in texts]
+    names = chunk.signatures()
+    seen, begin, repeated = {}, 0, 0
+    for w in lists:
+        for p in range(len(w) - 12):
+            key = tuple(w[p : p + 13])
+            repeated += key in seen
+            assert seen.setdefault(key, names[begin + p]) == names[begin + p]
+        begin += len(w)
+    assert repeated > 1000 and len(set(seen.values())) == len(seen)
+
+
+def test_names_are_made_of_the_largest_fixed_symbols():
+    text = " ".join(f"w{i}" for i in range(40))
+    chunk = chunk_of([text])
+    before = chunk.signatures()
+    top = next(k for k in (3, 2, 1) if len(within(chunk.levels[k], 10)))
+    start, end, low, high, _ = within(chunk.levels[top], 10)[0]
+    at = np.flatnonzero(chunk.levels[top].made & (chunk.levels[top].start == start))
+    chunk.levels[top].name[at] ^= np.uint64(1)
+    after = chunk.signatures()
+    assert np.flatnonzero(before[:28] != after[:28]).tolist() == list(range(max(0, high - 13), min(27, low) + 1))
+
+
+def test_equal_names_of_different_words_are_kept_apart():
+    def sent(*rows):
+        return S.C.pack(np.array(rows, S.CHECKED))
+
+    flat = np.array([7, 7, 9, 7], np.uint64)  # chunk 1 sends 7, 7 and 9, chunk 2 sends 7
+    order = np.argsort(flat, kind="stable")
+    new = np.r_[True, np.diff(flat[order]) != 0]
+    got, distinct = S._smaller([sent((5, 1), (5, 2), (4, 1)), sent((3, 2))], order, np.flatnonzero(new), np.cumsum(new) - 1)
+    back = np.empty(4, np.uint8)
+    back[order] = got
+    assert back.tolist() == [0, 1, 0, 0] and distinct == 3
+    d = S.Distinct(np.array([7, 7, 7, 2], np.uint64), np.array([4, 3, 9, 1]), np.array([1, 2, 1, 1], np.uint32))
+    assert d.keys.tolist() == [2, 7, 7] and d.check.tolist() == [1, 1, 2] and d.least.tolist() == [1, 4, 3] and d.which.tolist() == [1, 2, 1, 0]

@@ -12,8 +12,11 @@ their ends.
    names stand; then the symbols of levels 2 and 3 that are made of standing ones.
 2. A window is a candidate only if every symbol, of any level, that the window alone fixes has a name
    that stands: shared high-level symbols reveal repeats, lower ones confirm them at the borders.
-3. Chunks send the distinct fingerprints of their candidate windows with the smallest id of each, and
-   learn whether a document with a smaller id has the window. Words it covers are removed.
+3. A candidate is named by the largest symbols that it fixes and their places in it: equal windows fix
+   equal symbols, so these names reveal the repeats. Chunks send the distinct names of their candidates,
+   each with a fingerprint of the window's words and the smallest id, and learn whether a document with a
+   smaller id has a window of the same symbols and, verified downwards, of the same words. Words it
+   covers are removed. Name and fingerprint are CHECK_BITS + 64 bits, which share word hashes only.
 
 What is shuffled are distinct names and windows of a chunk, never tokens; a hot name or window is one
 entry a chunk.
@@ -48,6 +51,12 @@ CHUNK_WORDS = 250_000
 WINDOWS = 9
 
 _ROLL = np.uint64(0xD1B54A32D192ED03)
+#: Weight of a place in a window's name, and its inverse modulo 2^64.
+_PLACE = 0x9FB21C651E98DF25
+_BACK = pow(_PLACE, -1, 1 << 64)
+#: Bits of the fingerprint of words that goes with a window's name.
+CHECK_BITS = 32
+CHECKED = np.dtype([("least", np.int64), ("check", np.uint32)])
 
 
 class Level:
@@ -103,15 +112,18 @@ def levels(words: np.ndarray, count: np.ndarray, top: int = HIGH[-1]) -> list[Le
 
 
 class Distinct:
-    """Distinct keys, sorted, the place of each key among them, and least and greatest owner."""
+    """Distinct keys, sorted, the place of each key among them, and least and greatest owner; keys with different checks differ."""
 
-    def __init__(self, keys: np.ndarray, owner: np.ndarray):
-        order = np.argsort(keys)
+    def __init__(self, keys: np.ndarray, owner: np.ndarray, check: np.ndarray | None = None):
+        order = np.argsort(keys) if check is None else np.lexsort((check, keys))
         flat = keys[order]
         new = np.ones(len(flat), bool)
         new[1:] = flat[1:] != flat[:-1]
+        if check is not None:
+            new[1:] |= np.diff(check[order]) != 0
         first = np.flatnonzero(new)
         self.keys, self.which = flat[first], np.empty(len(flat), np.int64)
+        self.check = None if check is None else check[order][first]
         self.which[order] = np.cumsum(new) - 1
         self.least = np.minimum.reduceat(owner[order], first) if len(first) else owner[:0]
         self.most = np.maximum.reduceat(owner[order], first) if len(first) else owner[:0]
@@ -174,10 +186,37 @@ class Chunk:
         free &= np.arange(n) <= np.repeat(stop - WINDOW, self.count)
         return np.flatnonzero(free)
 
+    def signatures(self) -> np.ndarray:
+        """For each word, the name of the window that starts there: its largest fixed symbols, weighted by place.
+
+        A symbol's term counts for all windows that fix it, in place of the terms of its parts.
+        """
+        n, stop = len(self.levels[0].name), np.cumsum(self.count)
+        begin = stop - self.count
+        place = np.full(n, _PLACE, np.uint64).cumprod()
+        term = self.levels[0].name * place
+        below = np.r_[np.uint64(0), term.cumsum()]
+        out = below[np.minimum(np.arange(n) + WINDOW, n)] - below[:-1]
+        change = np.zeros(n + 1, np.uint64)
+        for level in self.levels[1:]:
+            term = level.name * place[level.start]
+            lo = np.maximum(level.high - WINDOW, begin[level.text])
+            hi = np.minimum(level.low, stop[level.text] - WINDOW)
+            at = np.flatnonzero(level.made & (lo <= hi))
+            more = term[at] - (below[level.last[at] + 1] - below[level.first[at]])
+            np.add.at(change, lo[at], more)
+            np.subtract.at(change, hi[at] + 1, more)
+            below = np.r_[np.uint64(0), term.cumsum()]
+        return mix((out + change.cumsum()[:-1]) * np.full(n, _BACK, np.uint64).cumprod())
+
     def windows(self) -> tuple[np.ndarray, Distinct]:
-        """Starts of the candidates, and their distinct fingerprints."""
+        """Starts of the candidates, and their distinct names with fingerprints of their words."""
         at = self.candidates()
-        return at, Distinct(windows(self.levels[0].name, WINDOW)[at] if len(at) else np.zeros(0, np.uint64), self.ids[self.levels[0].text[at]])
+        owner = self.ids[self.levels[0].text[at]]
+        if not len(at):
+            return at, Distinct(np.zeros(0, np.uint64), owner, np.zeros(0, np.uint32))
+        check = (windows(self.levels[0].name, WINDOW)[at] >> np.uint64(64 - CHECK_BITS)).astype(np.uint32)
+        return at, Distinct(self.signatures()[at], owner, check)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -200,9 +239,15 @@ def _standing(sent: list[bytes], order: np.ndarray, first: np.ndarray, number: n
 
 
 def _smaller(sent: list[bytes], order: np.ndarray, first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, int]:
-    """1 where another chunk has the window in a document with a smaller id."""
-    least = np.concatenate([C.unpack(x, np.int64) for x in sent])[order]
-    return (np.minimum.reduceat(least, first)[number] < least).astype(np.uint8), len(first)
+    """1 where another chunk has the window, of the same symbols and words, in a document with a smaller id."""
+    got = np.concatenate([C.unpack(x, CHECKED) for x in sent])[order]
+    least, check = got["least"], got["check"]
+    by = np.lexsort((check, number))
+    new = np.ones(len(by), bool)
+    new[1:] = (number[by][1:] != number[by][:-1]) | (check[by][1:] != check[by][:-1])
+    out = np.empty(len(by), np.uint8)
+    out[by] = np.minimum.reduceat(least[by], np.flatnonzero(new))[np.cumsum(new) - 1] < least[by]
+    return out, int(new.sum())
 
 
 def names(coded: DataFrame, bits: int) -> tuple[Staged, Staged]:
@@ -237,7 +282,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     def ask(row: dict, got: pa.Table) -> list[tuple]:
         chunk = chunk_of(row, got)
         _, d = chunk.windows()
-        return list(d.ask(WINDOWS, chunk.id, bits, d.least))
+        values = np.empty(len(d.keys), CHECKED)
+        values["least"], values["check"] = d.least, d.check
+        return list(d.ask(WINDOWS, chunk.id, bits, values))
 
     def spans(rows: pa.Table, got: pa.Table) -> pa.Table:
         give_back()
