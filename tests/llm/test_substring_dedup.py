@@ -130,7 +130,7 @@ def test_names_are_made_of_the_largest_fixed_symbols():
 
 def test_equal_names_of_different_words_are_kept_apart():
     def sent(*rows):
-        return S.C.pack(np.array(rows, S.CHECKED))
+        return S.C.pack(np.array(list(rows), S.CHECKED))
 
     flat = np.array([7, 7, 9, 7], np.uint64)  # chunk 1 sends 7, 7 and 9, chunk 2 sends 7
     order = np.argsort(flat, kind="stable")

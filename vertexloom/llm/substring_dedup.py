@@ -115,12 +115,13 @@ class Distinct:
     """Distinct keys, sorted, the place of each key among them, and least and greatest owner; keys with different checks differ."""
 
     def __init__(self, keys: np.ndarray, owner: np.ndarray, check: np.ndarray | None = None):
-        order = np.argsort(keys) if check is None else np.lexsort((check, keys))
+        order = np.argsort(keys)
         flat = keys[order]
         new = np.ones(len(flat), bool)
         new[1:] = flat[1:] != flat[:-1]
-        if check is not None:
-            new[1:] |= np.diff(check[order]) != 0
+        if check is not None and (check[order][1:] != check[order][:-1])[~new[1:]].any():
+            order = np.lexsort((check, keys))
+            new[1:] |= check[order][1:] != check[order][:-1]
         first = np.flatnonzero(new)
         self.keys, self.which = flat[first], np.empty(len(flat), np.int64)
         self.check = None if check is None else check[order][first]
@@ -242,6 +243,8 @@ def _smaller(sent: list[bytes], order: np.ndarray, first: np.ndarray, number: np
     """1 where another chunk has the window, of the same symbols and words, in a document with a smaller id."""
     got = np.concatenate([C.unpack(x, CHECKED) for x in sent])[order]
     least, check = got["least"], got["check"]
+    if (check == check[first][number]).all():
+        return (np.minimum.reduceat(least, first)[number] < least).astype(np.uint8), len(first)
     by = np.lexsort((check, number))
     new = np.ones(len(by), bool)
     new[1:] = (number[by][1:] != number[by][:-1]) | (check[by][1:] != check[by][:-1])
