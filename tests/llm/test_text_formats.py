@@ -457,3 +457,51 @@ def test_adverts_inside_quotes_and_very_long_pages():
 
 def test_references_are_decoded_once():
     assert H.extract("<p>a &amp;lt; b &#233; &copy " + "word " * 5, {}) == html.unescape("a &amp;lt; b &#233; &copy ") + "word word word word word"
+
+
+def test_comments_are_found_by_their_structure():
+    say = lambda k: f"Reader number {k} says that this was worth the time."
+    kinds = [
+        lambda k: f"<div class='x{k % 2}'><span class='user-name author'>r{k}</span><p>{say(k)}</p></div>",
+        lambda k: f"<article><time>May {k}</time><p>{say(k)}</p></article>",
+        lambda k: f"<li><p>{say(k)}</p><button>Reply</button></li>",
+    ]
+    body = "".join(f"<p>{' '.join(words(random.Random(i), 60))}</p>" for i in range(5))
+    for kind in kinds:
+        thread = f"<section class='talkback'>{''.join(kind(k) for k in range(12))}</section>"
+        for page in (f"<main><h1>A title</h1>{body}{thread}</main>", f"<main><h1>A title</h1>{body}</main>{thread}"):
+            assert H.extract(FRAME.format(page), {}) == H.extract(FRAME.format(f"<main><h1>A title</h1>{body}</main>"), {})
+    # sections with headings, lists without bylines, and what is most of a page stay
+    for stays in ("".join(f"<section><h2>Part {k}</h2><time>May {k}</time><p>{say(k)}</p></section>" for k in range(4)), "<ul>" + "".join(f"<li>{say(k)}</li>" for k in range(9)) + "</ul>"):
+        text = H.extract(FRAME.format(f"<main><h1>A title</h1>{body}<div>{stays}</div></main>"), {})
+        assert all(say(k) in text for k in range(4))
+    posts = "".join(kinds[0](k) for k in range(12))
+    assert all(say(k) in H.extract(f"<body><div>{posts}</div></body>", {}) for k in range(12))
+
+
+def test_buttons_and_copyright_lines():
+    end = "<button>Subscribe now</button><p>Copyright &copy; 2024 Example Press</p>"
+    assert H.extract(FRAME.format(ARTICLE.format(end)), {}) == TEXT
+    inner = "<p>&copy; 2024 is how such a line begins.</p><p>Press <button>OK</button> or <button>No</button> here.</p>"
+    assert H.extract(FRAME.format(ARTICLE.format(inner)), {}).endswith("\n© 2024 is how such a line begins.\nPress OK or No here.")
+
+
+def test_names_are_counted_under_their_outermost_element():
+    page = "<article><div class='a b'>one two<div class='a'>three</div></div><p class='ad a'>four</p></article><div class='b ad'>five<i class='c'>six</i></div>"
+    assert H.count_marks(page) == {("a", True): 3, ("b", True): 3, ("ad", False): 2}
+
+
+def test_deep_markup_takes_memory_in_proportion():
+    import tracemalloc
+
+    def peak(n):
+        page = "<article><p>some words here</p>" + "".join(f"<span class=c{i}>w " for i in range(n)) + "</span>" * n + "</article>"
+        tracemalloc.start()
+        counts, text = H.count_marks(page), H.extract(page, {})
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert counts["c0", True] == n and counts[f"c{n - 1}", True] == 1 and text.count("w") == n + 1
+        return top
+
+    assert peak(20_000) < 6 * peak(5000)
+    assert peak(50_000) < 100_000_000

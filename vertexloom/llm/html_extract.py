@@ -12,6 +12,9 @@ One linear scan finds the contiguous region of the largest sum; what is marked i
 <article> or <main> counts as one word there, so it doesn't cut the article off. Inside the region, words under a mark that
 scores below OUT (an advert or a comment within the article) are not content; an element that holds
 an <article>, a <main>, the article's <h1> or more than half of the page's words never counts as marked.
+Reader comments without a known name are found by their structure: an element most of whose words stand in
+THREAD or more blocks of one kind, each with a byline or a button and none with a heading, counts as marked, unless it
+holds more than half of the page's words; so does a button that no text stands beside. Copyright lines that end the region are cut off.
 Marks in the lists below start from a belief that they stand outside, worth BELIEF words, which counts
 of labelled pages add to or outweigh; a name that was neither listed nor seen says nothing. Only
 elements that hold no text of a page (scripts, styles, templates ...) are left out by rule.
@@ -44,6 +47,8 @@ from .common import rows_of
 
 #: About so many labelled pages are read to count the scores; names of elements that are learned.
 FIT_PAGES, MOST_NAMES = 2000, 20_000
+#: Blocks of one kind that make a thread of comments.
+THREAD = 3
 #: Words that a listed mark is believed to have been seen outside; the score below which words are left out; the largest score.
 BELIEF, OUT, MOST = 30, -1.5, 4.0
 
@@ -58,6 +63,10 @@ LISTED = {f"<{x}" for x in "nav aside footer header form menu".split()} | set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu navbar nav navigation breadcrumb breadcrumbs header footer masthead toolbar comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup login pagination pager widget skip".split()
 )
 HOLDERS = ("article", "main")
+#: Elements that are comments where they repeat with bylines; elements and names that are bylines; headings.
+ITEMS = set("article blockquote dd div li section".split())
+BYLINES, BYLINE_NAMES = {"time", "cite", "address", "button"}, set("author avatar byline commenter date datetime timestamp user username".split())
+HEADINGS = {f"h{i}" for i in range(1, 7)}
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -67,6 +76,7 @@ _TOKEN = re.compile(
     r"|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+_COPYRIGHT = re.compile(r"(?:copyright\b\W*|\(c\)\s*|©\s*)+[^.!?]{0,40}?\b(?:19|20)\d\d\b", re.I)
 _NAMES = re.compile(r"(?<![^\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -78,7 +88,6 @@ class Token(NamedTuple):
     block: int
     inside: bool
     mark: float
-    names: frozenset
 
 
 class _Open(NamedTuple):
@@ -88,7 +97,43 @@ class _Open(NamedTuple):
     holders: int
     dropped: bool
     mark: float
-    names: frozenset
+    names: tuple
+
+
+class NameCounts:
+    """(name, inside) -> words under the outermost element of that name, added as it ends: one step a name and element.
+
+    Words under a listed mark are explained by it: outside, they count for listed names only, and
+    within the content for none.
+    """
+
+    def __init__(self):
+        self.out: Counter = Counter()
+        self.open: dict[str, tuple[int, tuple]] = {}  # how often, and what was seen before
+        self.seen = (0, 0, 0)  # words inside, outside, and outside under a mark
+
+    def words(self, inside: bool, mark: float, n: int) -> None:
+        a, b, c = self.seen
+        if mark < OUT:
+            self.seen = (a, b, c + n * (not inside))
+        else:
+            self.seen = (a + n * inside, b + n * (not inside), c)
+
+    def opens(self, names: tuple) -> None:
+        for x in names:
+            n, before = self.open.get(x, (0, self.seen))
+            self.open[x] = (n + 1, before)
+
+    def closes(self, names: tuple) -> None:
+        for x in names:
+            n, before = self.open.pop(x)
+            if n > 1:
+                self.open[x] = (n - 1, before)
+                continue
+            a, b, c = (now - then for now, then in zip(self.seen, before, strict=True))
+            for inside, words in ((True, a), (False, b + c * (x in LISTED))):
+                if words:
+                    self.out[x, inside] += words
 
 
 def marks_of(name: str, attrs: str) -> list[str]:
@@ -107,22 +152,48 @@ def ended(name: str, open_: list) -> int | None:
     """The place among open elements of the one that the start of `name` ends: one of its own kind."""
     if name not in ("p", "li", "td", "th", "tr", "dt", "dd", "option"):
         return None
-    k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name or open_[i][0] in ("ul", "ol", "table", "dl", "article", "main", "section", "div")), None)
-    return k if k is not None and open_[k][0] == name else None
+    k = next((i for i in range(len(open_) - 1, -1, -1) if open_[i].name == name or open_[i].name in ("ul", "ol", "table", "dl", "article", "main", "section", "div")), None)
+    return k if k is not None and open_[k].name == name else None
+
+
+class _Node:
+    """An open element: where it began, and what it holds so far."""
+
+    __slots__ = ("name", "at", "before", "byline", "heading", "items")
+
+    def __init__(self, name: str, at: int, before: int, byline: bool):
+        self.name, self.at, self.before, self.byline, self.heading = name, at, before, byline, name in HEADINGS
+        self.items: dict[str, list[int]] | None = None  # by element, how many blocks with a byline and how many words in them
+
 
+def structure(matches: list[re.Match]) -> tuple[set[int], set[int]]:
+    """Places in `matches` of elements that never count as marked, and of those that are threads of comments.
 
-def holding(matches: list[re.Match]) -> set[int]:
-    """Places in `matches` of elements that hold an article or main, the first h1 (of these, if there are any), or most of the page's words."""
-    stack: list[tuple[str, int, int]] = []  # element, its place, words before it
-    words, kept, spans, open_names = 0, set(), [], Counter()
+    The former hold an article or main, the first h1 (of these, if there are any), or most of the page's words.
+    """
+    stack: list[_Node] = []
+    words, kept, spans, threads, open_names = 0, set(), [], [], Counter()
     content = any((m["tag"] or "").lower() in HOLDERS for m in matches)
     titled = False
 
     def close(k: int) -> None:
-        for name, at, before in stack[k:]:
-            spans.append((at, words - before))
-            open_names[name] -= 1
-        del stack[k:]
+        while len(stack) > k:
+            x = stack.pop()
+            n = words - x.before
+            spans.append((x.at, n))
+            open_names[x.name] -= 1
+            if x.items and any(i >= THREAD and 3 * w >= 2 * n for i, w in x.items.values()):
+                threads.append((x.at, n))
+            if not stack:
+                continue
+            up = stack[-1]
+            if x.byline and not x.heading and x.name in ITEMS and n:
+                up.items = up.items or {}
+                item = up.items.setdefault(x.name, [0, 0])
+                item[0] += 1
+                item[1] += n
+            up.byline |= x.byline
+            up.heading |= x.heading
 
     for at, m in enumerate(matches):
         if m["text"] is not None:
@@ -133,7 +204,7 @@ def holding(matches: list[re.Match]) -> set[int]:
             continue
         if m["end"]:
             if open_names[name]:
-                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name))
             continue
         k = ended(name, stack)
         if k is not None:
@@ -141,35 +212,47 @@ def holding(matches: list[re.Match]) -> set[int]:
         title = name == "h1" and not titled and (not content or any(open_names[x] for x in HOLDERS))
         if name in HOLDERS or title:
             titled |= title
-            kept.update(x[1] for x in stack)
+            for x in reversed(stack):
+                if x.at in kept:  # so are those around it
+                    break
+                kept.add(x.at)
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
-            stack.append((name, at, words))
+            byline = name in BYLINES or not BYLINE_NAMES.isdisjoint(y for x in marks_of(name, m["attrs"]) for y in re.split(r"[-_]+", x))
+            stack.append(_Node(name, at, words, byline))
             open_names[name] += 1
     close(0)
-    return kept | {at for at, n in spans if 2 * n > words}
+    return kept | {at for at, n in spans if 2 * n > words}, {at for at, n in threads if 2 * n <= words}
 
 
-def tokens(page: str, marks: dict[str, float] | None = None) -> Iterator[Token]:
-    """The page's tokens in order; marks: scores of names, where they differ from the beliefs."""
+def beside(matches: list[re.Match], at: int) -> bool:
+    """Whether words stand just before an element, or just after it if it holds a text only."""
+    return any(0 <= i < len(matches) and (matches[i]["text"] or "").strip() for i in (at - 1, at + 3))
+
+
+def tokens(page: str, marks: dict[str, float] | None = None, counts: NameCounts | None = None) -> Iterator[Token]:
+    """The page's tokens in order; marks: scores of names, where they differ from the beliefs; counts: what is to be told of the words."""
     marks = marks or {}
-    none: frozenset = frozenset()
-    stack: list[_Open] = [_Open("", "none", 0, 0, False, 0.0, none)]
+    stack: list[_Open] = [_Open("", "none", 0, 0, False, 0.0, ())]
     open_names: Counter = Counter()
     block = 0
 
     def close(k: int) -> None:
         for x in stack[k:]:
             open_names[x.name] -= 1
+            if counts:
+                counts.closes(x.names)
         del stack[k:]
 
     matches = list(_TOKEN.finditer(page))
-    kept: set[int] | None = None  # found out at the first marked element
+    kept, threads = structure(matches)
     for at, m in enumerate(matches):
         top = stack[-1]
         if (text := m["text"]) is not None:
             if not top.dropped:
                 kind = "" if text.isspace() else f"w:{top.place}{':a' * bool(top.links)}"
-                yield Token(kind, text if kind else "", block, top.holders > 0, top.mark, top.names)
+                if counts and kind:
+                    counts.words(top.holders > 0, top.mark, n_words(text))
+                yield Token(kind, text if kind else "", block, top.holders > 0, top.mark)
             continue
         name = (m["raw"] or m["tag"] or "").lower()
         if not name:
@@ -178,13 +261,13 @@ def tokens(page: str, marks: dict[str, float] | None = None) -> Iterator[Token]:
         known = name if name in BLOCKS or name in DROPPED or name in INLINE else "other"
         if m["raw"]:
             if not top.dropped:
-                yield Token(f"t:{name}", "", block, top.holders > 0, top.mark, top.names)
+                yield Token(f"t:{name}", "", block, top.holders > 0, top.mark)
             continue
         if m["end"]:
             if open_names[name]:
                 close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name))
             if not stack[-1].dropped:
-                yield Token(f"t:/{known}", "", block, stack[-1].holders > 0, stack[-1].mark, stack[-1].names)
+                yield Token(f"t:/{known}", "", block, stack[-1].holders > 0, stack[-1].mark)
             continue
         k = ended(name, stack)
         if k is not None:
@@ -192,17 +275,21 @@ def tokens(page: str, marks: dict[str, float] | None = None) -> Iterator[Token]:
         top = stack[-1]
         if not top.dropped:
             if name == "br":
-                yield Token("", " ", block, top.holders > 0, top.mark, top.names)
-            yield Token(f"t:{known}", "", block, top.holders > 0, top.mark, top.names)
+                yield Token("", " ", block, top.holders > 0, top.mark)
+            yield Token(f"t:{known}", "", block, top.holders > 0, top.mark)
         if name not in VOID and not m["attrs"].rstrip().endswith("/"):
             names = marks_of(name, m["attrs"])
             own = min((marks.get(x, belief(x)) for x in names), default=0.0)
-            if own < 0:
-                kept = holding(matches) if kept is None else kept
-                own = 0.0 if at in kept else own
+            if at in kept:
+                own = 0.0
+            if at in threads or (name == "button" and not beside(matches, at)):
+                own = min(own, belief("comments"))
             place = name if name in BLOCKS else top.place
-            stack.append(_Open(name, place, top.links + (name == "a"), top.holders + (name in HOLDERS), top.dropped or name in DROPPED, min(top.mark, own), top.names.union(names)))
+            stack.append(_Open(name, place, top.links + (name == "a"), top.holders + (name in HOLDERS), top.dropped or name in DROPPED, min(top.mark, own), tuple(dict.fromkeys(names)) if counts else ()))
             open_names[name] += 1
+            if counts:
+                counts.opens(stack[-1].names)
+    close(1)
 
 
 def n_words(text: str) -> int:
@@ -222,17 +309,11 @@ def mark_score(name: str, inside: int, outside: int) -> float:
 
 
 def count_marks(page: str) -> Counter:
-    """(name, inside) -> words of a labelled page.
-
-    Words under a listed mark are explained by it: outside, they count for listed names only, and
-    within the content for none.
-    """
-    out: Counter = Counter()
-    for t in tokens(page):
-        if t.kind and t.text and not (t.inside and t.mark < OUT):
-            for name in t.names if t.mark >= OUT else t.names & LISTED:
-                out[name, t.inside] += n_words(t.text)
-    return out
+    """(name, inside) -> words of a labelled page, as NameCounts has them."""
+    counts = NameCounts()
+    for _ in tokens(page, counts=counts):
+        pass
+    return counts.out
 
 
 def count_places(page: str, marks: dict[str, float]) -> Counter:
@@ -304,8 +385,10 @@ def extract(page: str, scores: dict[str, float], marks: dict[str, float] | None
             blocks.append([])
             last = t.block
         blocks[-1].append(text)
-    joined = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(b for b in joined if b)
+    joined = [x for b in blocks if (x := " ".join(html.unescape("".join(b)).split()))]
+    while joined and _COPYRIGHT.match(joined[-1]):
+        joined.pop()
+    return "\n".join(joined)
 
 
 def extract_pages(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
