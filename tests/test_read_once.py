@@ -26,3 +26,10 @@ def test_edges_are_made_once(spark, layout):
 def test_a_refused_graph_leaves_nothing(spark):
     with pytest.raises(ValueError):
         out_of_core(PropertyGraph.of(spark.range(2), spark.range(1).selectExpr("id as src", "7 as dst")))
+
+
+def test_pairs_are_made_once(spark):
+    from vertexloom.fixtures import cust_supp
+
+    g = cust_supp(spark, "/root/testdata/sf0.001")
+    assert all("lineitem" not in df._jdf.queryExecution().optimizedPlan().toString() and all("lineitem" not in f for f in df.inputFiles()) for df in (g.vertices, g.edges))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .model import PropertyGraph
+from .plans.lineage import Staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +30,9 @@ def event_chain(spark: SparkSession, sf_dir: str) -> PropertyGraph:
 def cust_supp(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     """Customers (even ids) and the suppliers (odd ids) of their orders."""
     joined = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return PropertyGraph.from_edges(joined.select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct())
+    pairs = joined.select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_suppkey") + 1).alias("dst")).distinct()
+    # vertices and edges are both read from them
+    return PropertyGraph.from_edges(Staged(pairs, "pairs").df)
 
 
 def weighted(graph: PropertyGraph) -> PropertyGraph:
