@@ -95,6 +95,24 @@ def test_aligned_documents(frame, texts):
     assert all(r.lang == 7 for r in rows) and len(rows) == len(texts)
 
 
+def test_tasks_grow_in_number(spark, frame, monkeypatch):
+    """A task holds the sums of a few chunks, whatever the number of shuffle partitions."""
+    monkeypatch.setattr(token_alignment, "ROWS", 3)
+    monkeypatch.setattr(token_alignment, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(token_alignment, "HELD_CHUNKS", 2)
+    conf = {"spark.sql.shuffle.partitions": "1", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for most_pairs in (10**6, 0):
+            got = token_alignment.alignment_digests(frame, most_pairs=most_pairs)
+            assert got.select(F.spark_partition_id().alias("task")).distinct().count() > 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_unit_tables_begin_anew(frame, texts, monkeypatch):
     monkeypatch.setattr(token_alignment, "MOST_KEPT", 50)
     monkeypatch.setattr(token_alignment, "KEEP_BYTES", 4)

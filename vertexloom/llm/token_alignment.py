@@ -4,12 +4,13 @@ A is a byte-level BPE over space + text, B a SentencePiece BPE over text, which
 tasks tokenise the distinct units of some texts, put them one after the other and emit the ids of both
 sides, the byte offsets at which their tokens end and how many have ended up to each byte; all else
 is Spark higher-order functions. The offsets that `array_intersect` finds in both are cuts;
-`transform` over them slices the ids into groups, and the last tokens of a group are its link; a text's
-groups are those of its units in order, put together by `transform` and summed up by `aggregate`.
-Where units end is sorted in with the cuts, and the places of equal neighbours in the `sequence`
-tell each unit's groups. Links of all texts are counted by pair of ids
-with partial sums, and the counts go back to the links by a broadcast of the distinct pairs up to
-MOST_PAIRS, else by a join.
+`transform` and `zip_with` over them give the groups, by a `sequence` of tokens where a group has several on
+a side, and the last tokens of a group are its link; a text's groups are those of its units in order, put
+together by `transform` and summed up by `aggregate`. Loops read arrays that are bound by a loop around
+them (`let`), as a row's columns cost more to read than a group to make. Links of all texts are
+counted by pair of ids with partial sums, and the counts go back to the links by a broadcast of the
+distinct pairs up to MOST_PAIRS, else by a join. Tasks hold the sums of some HELD_CHUNKS chunks,
+however many there are.
 
 Tokenising keeps a table of units. Neither tokeniser joins what lies before and behind a run of
 spaces or a line break that follows a solid character (A's pattern begins anew there; no piece of B
@@ -47,9 +48,13 @@ KEEP_BYTES, MOST_KEPT = 256, 1_000_000
 #: Rows that are taken at once, and bytes of text whose units are aligned together (one text may be longer).
 ROWS = 200
 CHUNK_BYTES = 2_000_000
+#: Units that are tokenised by one call, and chunks whose sums a task holds at once.
+TOGETHER, HELD_CHUNKS = 10_000, 6
 #: A unit begins at a space after a solid character: printable ASCII, or Latin to N'Ko, where there is no other white space.
 _UNITS = re.compile(r"(?<=[!-~À-߿])(?= )")
 _CLOSED = re.compile(r"[!-~À-߿]\Z")
+#: Where a text can't be cut at every space and line break: one of them stands first or follows no solid character, or none ends the text.
+_OPEN = re.compile(r"\A[ \n]|[^!-~À-߿](?:[ \n]|\Z)")
 #: Characters outside alphabets that all versions of Unicode agree on.
 _NEWER = re.compile(r"[^\x00-\u024F\u2010-\u2027]")
 #: Fixed value: how a byte-level text falls apart before merging.
@@ -124,7 +129,7 @@ class Units:
         if not self.units:
             return [" " + text]
         keys = text.replace("\n", " \n").split(" ")
-        if all(map(self.number.__contains__, keys)) or all(map(_CLOSED.search, keys)):
+        if not _OPEN.search(text) or all(map(self.number.__contains__, keys)):
             return keys
         return _UNITS.split(" " + text)
 
@@ -136,8 +141,9 @@ class Units:
             some = [u for u, c in zip(units, closed, strict=True) if c == together]
             for at, k in enumerate(k for k, c in zip(keys, closed, strict=True) if c == together):
                 self.number[k] = len(self.good) + at
-            for group in [some] if together and some else [[u] for u in some]:
-                self._add(group)
+            step = TOGETHER if together else 1
+            for at in range(0, len(some), step):
+                self._add(some[at : at + step])
 
     def _add(self, units: list[str]) -> None:
         text = "".join(units)
@@ -186,14 +192,14 @@ def kept_units(a_path: str, b_path: str) -> Units:
 
 
 def tokenize(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text") -> DataFrame:
-    """Rows of about CHUNK_BYTES of texts: ids and byte ends of both tokenisations of their distinct units, one after the other, and how many
-    tokens have ended up to each byte; the bytes where units end and how often each occurs; and `docs`, the documents (without the text) with n_a, n_b and `units`, places among them."""
+    """Rows of about CHUNK_BYTES of texts: ids and byte ends of both tokenisations of their distinct units, one after the other, and the unit of each
+    token of A; `upto`, how many tokens of A (from bit 32 on) and B (from bit 1 on) have ended up to each byte, and whether a unit ends there (bit 0); how often each unit occurs; and `docs`, the documents (without the text) with n_a, n_b and `units`, places among them."""
     a_path, b_path = a_path or model_path("byte_bpe_50k.json"), b_path or model_path()
     ints = lambda kind=T.IntegerType(): T.ArrayType(kind, containsNull=False)
     fields = [f for f in docs.schema.fields if f.name.lower() not in (text.lower(), "n_a", "n_b", "units")]
     own = T.StructType([*fields, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("units", ints())])
-    schema = T.StructType([T.StructField(n, ints(), False) for n in ("a_ids", "a_ends", "a_upto", "b_ids", "b_ends", "b_upto", "unit_ends")])
-    schema.add("times", ints(T.LongType()), False).add("docs", T.ArrayType(own, containsNull=False), False)
+    schema = T.StructType([T.StructField(n, ints(), False) for n in ("a_ids", "a_ends", "a_unit", "b_ids", "b_ends")])
+    schema.add("upto", ints(T.LongType()), False).add("times", ints(T.LongType()), False).add("docs", T.ArrayType(own, containsNull=False), False)
     one = lambda x, kind=np.int32: pa.array([x.astype(kind)], pa.list_(pa.field("element", pa.from_numpy_dtype(kind), nullable=False)))
 
     def chunk(units: Units, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -205,8 +211,9 @@ def tokenize(docs: DataFrame, a_path: str | None = None, b_path: str | None = No
         values = [rows.column(rows.schema.get_field_index(f.name)) for f in fields] + [pa.array(sums(n[place], each)) for n in (n_a, n_b)]
         places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(place.astype(np.int32)), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
         held = pa.StructArray.from_arrays([*values, places], [f.name for f in own.fields])
-        a_upto, b_upto = (np.cumsum(np.bincount(ends, minlength=1)) for ends in (a_ends, b_ends))
-        lists = [one(x) for x in (a_ids, a_ends, a_upto, b_ids, b_ends, b_upto, unit_ends)] + [one(times, np.int64)]
+        upto = np.cumsum(np.bincount(a_ends, minlength=1)) << 32 | np.cumsum(np.bincount(b_ends, minlength=1)) << 1
+        upto[unit_ends] |= 1
+        lists = [one(x) for x in (a_ids, a_ends, np.repeat(np.arange(len(distinct)), n_a), b_ids, b_ends)] + [one(x, np.int64) for x in (upto, times)]
         listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held, type=pa.list_(pa.field("element", held.type, nullable=False)))
         return pa.RecordBatch.from_arrays([*lists, listed], schema.names)
 
@@ -229,70 +236,74 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def stops(ends: Column, cuts: Column) -> Column:
-    """How many of the rising ends lie up to each of the cuts, all of which are among them."""
+def lets(names: list[str], body: Callable[..., Column]) -> Column:
+    """body(columns of these names), as values of their own: a loop gets at these faster than at a row's columns."""
+    return body() if not names else let(F.col(names[0]), lambda value: lets(names[1:], lambda *more: body(value, *more)))
 
-    def count(both: Column) -> Column:
-        twice = F.filter(F.sequence(F.lit(0), F.size(both) - 2), lambda i: F.get(both, i) == F.get(both, i + 1))
-        return F.transform(twice, lambda place, k: place - k + 1)
 
-    return let(F.sort_array(F.concat(ends, cuts)), count)
+def cut_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with `at`: what `upto` has at the bytes where tokens of both sides end."""
+    cuts = chunks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
+    at = lets(["upto"], lambda upto: F.transform("cuts", lambda cut: F.get(upto, cut)))
+    # two uses of the cuts keep them in a projection of their own, which Spark compiles
+    return cuts.select("a_ids", "b_ids", "a_unit", "times", "docs", F.when(F.size("cuts") > 0, at).otherwise(F.array().cast("array<long>")).alias("at"))
 
 
-def _part(values: Column, at: Column, k: Column) -> Column:
-    """What of the values belongs to the k-th part, if parts end after as many values as `at` says."""
-    low = F.when(k == 0, 0).otherwise(F.get(at, k - 1))
-    return F.slice(values, low + 1, F.get(at, k) - low)
+def a_upto(at: Column) -> Column:
+    return F.shiftright(at, 32).cast("int")
 
 
-def cut_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks with `cuts`, where tokens of both sides end, and `unit_groups`, how many of them there are up to each unit's end (null without units)."""
-    found = chunks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    return found.withColumn("unit_groups", F.when(F.size("a_ids") > 0, stops(F.col("cuts"), F.col("unit_ends"))))
+def b_upto(at: Column) -> Column:
+    return F.shiftright(at.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
 
 
-def by_group(body: Callable[[Column, Column], Column]) -> Column:
-    """body(where the cut before it is, where its own is) for each group of a cut chunk."""
-    return F.transform("cuts", lambda cut, k: body(F.when(k == 0, 0).otherwise(F.get("cuts", k - 1)), cut))
+def ends_unit(at: Column) -> Column:
+    return at.bitwiseAND(F.lit(1)) == 1
 
 
-def side(name: str, before: Column, cut: Column) -> tuple[Column, Column, Column]:
-    """How many tokens of a side lie before a group and in it, and the first of these."""
-    low = F.get(f"{name}_upto", before)
-    return low, F.get(f"{name}_upto", cut) - low, F.get(f"{name}_ids", low)
+def by_group(body: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """body(ids of A, of B, what `at` has before a group, what it has at its end) for each group of a cut chunk."""
 
+    def groups(a: Column, b: Column, at: Column) -> Column:
+        return F.zip_with(F.slice(F.concat(F.array(F.lit(0).cast("long")), at), F.lit(1), F.size(at)), at, lambda before, here: body(a, b, before, here))
 
-def group_ids(before: Column, cut: Column) -> Column:
-    """(a, b): the ids of a group."""
-    ids = {name: F.slice(f"{name}_ids", side(name, before, cut)[0] + 1, side(name, before, cut)[1]) for name in "ab"}
-    return F.struct(*[x.alias(name) for name, x in ids.items()])
+    return lets(["a_ids", "b_ids", "at"], groups)
 
 
-def group_text(before: Column, cut: Column) -> Column:
-    """The ids of a group, as `a1,a2|b1`."""
+def group_ids(a: Column, b: Column, before: Column, here: Column) -> Column:
+    """(a, b): the ids of a group."""
+    ids = lambda of, upto: F.transform(F.sequence(upto(before), upto(here) - 1), lambda i: F.get(of, i))
+    return F.struct(ids(a, a_upto).alias("a"), ids(b, b_upto).alias("b"))
 
-    def ids(name: str) -> Column:
-        low, n, first = side(name, before, cut)
-        return F.when(n == 1, first.cast("string")).otherwise(F.array_join(F.slice(f"{name}_ids", low + 1, n).cast("array<string>"), ","))
 
-    return F.concat(ids("a"), F.lit("|"), ids("b"))
+def group_text(a: Column, b: Column, before: Column, here: Column) -> Column:
+    """The ids of a group, as `a1,a2|b1`, and what follows: a line break at the end of its unit, else `;`."""
+    one = here.bitwiseOR(F.lit(1)) - before.bitwiseOR(F.lit(1)) == (1 << 32) + 2  # a token of each side, as nearly all groups have
+    many = lambda name: F.array_join(group_ids(a, b, before, here)[name].cast("array<string>"), ",")
+    end = F.when(ends_unit(here), "\n").otherwise(";")
+    return F.when(one, F.concat(F.get(a, a_upto(before)).cast("string"), F.lit("|"), F.get(b, b_upto(before)).cast("string"), end)).otherwise(F.concat(many("a"), F.lit("|"), many("b"), end))
 
 
-def group_link(_: Column, cut: Column) -> Column:
+def group_link(a: Column, b: Column, _: Column, here: Column) -> Column:
     """The two ids that end a group, as one number."""
-    last = lambda name: F.get(f"{name}_ids", F.get(f"{name}_upto", cut) - 1).cast("long")
-    return F.shiftleft(last("a"), 32) + last("b")
+    return F.shiftleft(F.get(a, a_upto(here) - 1).cast("long"), 32) + F.get(b, b_upto(here) - 1)
+
+
+def group_units() -> Column:
+    """The place of each group's unit."""
+    return lets(["a_unit"], lambda unit: F.transform("at", lambda here: F.get(unit, a_upto(here) - 1)))
 
 
-def _part(values: Column, at: Column, k: Column) -> Column:
-    """What of the values belongs to the k-th part, if parts end after as many values as `at` says."""
-    low = F.when(k == 0, 0).otherwise(F.get(at, k - 1))
-    return F.slice(values, low + 1, F.get(at, k) - low)
+def unit_texts() -> Column:
+    """The groups of each unit of a cut chunk as `a1,a2|b1;a3|b2`; an empty text follows the last."""
+    return F.split(F.array_join(by_group(group_text), ""), "\n")
 
 
-def by_unit(values: Column, body: Callable[[Column, Column], Column]) -> Column:
-    """body(the values of a unit's groups, the unit's place) for each unit of a chunk."""
-    return let(values, lambda v: F.transform("unit_groups", lambda _, k: body(_part(v, F.col("unit_groups"), k), k)))
+def by_unit(values: Column) -> Column:
+    """What of the groups' values belongs to each unit of a cut chunk."""
+    stops = F.filter(F.transform("at", lambda at, k: F.when(ends_unit(at), k + 1)), lambda k: k.isNotNull())
+    low = lambda at, k: F.when(k == 0, 0).otherwise(F.get(at, k - 1))
+    return let(values, lambda v: let(stops, lambda at: F.transform(at, lambda stop, k: F.slice(v, low(at, k) + 1, stop - low(at, k)))))
 
 
 def aligned_documents(docs: DataFrame, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -300,7 +311,7 @@ def aligned_documents(docs: DataFrame, a_path: str | None = None, b_path: str |
     found = cut_chunks(tokenize(docs, a_path, b_path))
     names = [f.name for f in found.schema["docs"].dataType.elementType.fields if f.name not in ("units", "groups")]
     whole = lambda parts_: F.transform("docs", lambda d: F.struct(*[d[n].alias(n) for n in names], F.flatten(F.transform(d["units"], lambda u: F.get(parts_, u))).alias("groups")))
-    return found.select(F.inline(let(by_unit(by_group(group_ids), lambda groups, _: groups), whole)))
+    return found.select(F.inline(let(by_unit(by_group(group_ids)), whole)))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -312,33 +323,23 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def alignment_digests(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links (a group has one), n_best, count_sum, groups_sha256."""
-    texts = by_unit(by_group(group_text), lambda groups, _: F.struct(F.array_join(groups, ";").alias("text"), F.size(groups).cast("long").alias("n")))
-
-    def digest(text: Column) -> Column:
-        return F.transform(
-            "docs",
-            lambda d: F.struct(
-                d["doc_id"].alias("doc_id"),
-                d["n_a"].alias("n_a"),
-                d["n_b"].alias("n_b"),
-                F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + F.get(text, u)["n"]).alias("n_groups"),
-                F.when(F.size(d["units"]) > 0, F.sha2(F.array_join(F.transform(d["units"], lambda u: F.get(text, u)["text"]), ";"), 256)).otherwise("").alias("groups_sha256"),
-                d["units"].alias("units"),
-            ),
-        )
-
-    links = by_unit(by_group(group_link), lambda x, k: F.struct(k.alias("unit"), F.get("times", k).alias("times"), x.alias("links")))
+    # texts of units come from the cuts of a chunk, not from slices: a doc's groups are those of its units, in order
+    text = lambda texts, d: F.when(F.size(d["units"]) > 0, F.sha2(F.array_join(F.transform(d["units"], lambda u: F.get(texts, u)), ";"), 256)).otherwise("")
+    digest = lambda texts: F.transform("docs", lambda d: F.struct(*[d[n].alias(n) for n in ("doc_id", "n_a", "n_b")], text(texts, d).alias("groups_sha256"), d["units"].alias("units")))
     found = cut_chunks(tokenize(docs.select("doc_id", "text"), a_path, b_path))
-    held = Staged(found.select(F.monotonically_increasing_id().alias("chunk"), let(texts, digest).alias("docs"), links.alias("units")), "aligned")
-    linked = lambda chunks: chunks.select("chunk", F.inline("units")).select("chunk", "unit", "times", F.explode("links").alias("link"))
-    pairs = Staged(pair_counts(linked(held.df)), "pairs", pairs=F.count("*"))
+    links = [by_group(group_link).alias("link"), group_units().alias("unit"), "times"]
+    held = Staged(found.select(F.monotonically_increasing_id().alias("chunk"), let(unit_texts(), digest).alias("docs"), *links), "aligned", chunks=F.count("*"))
+    linked = lambda chunks: chunks.select("chunk", "times", F.inline(F.arrays_zip("link", "unit")))
+    pairs = Staged(pair_counts(linked(held.df).select("link", F.get("times", F.col("unit")).alias("times"))), "pairs", pairs=F.count("*"))
     few = pairs.seen["pairs"] <= most_pairs
     known = F.broadcast(pairs.df) if few else pairs.df
-    # whole chunks are moved once; with a broadcast, all that follows stays where its chunk is
-    linked = linked(held.df.select("chunk", "units").repartition("chunk") if few else held.df)
-    by_units = linked.join(known, "link").groupBy("chunk", "unit").agg(F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("n"))
+    # whole chunks are moved once; with a broadcast, all that follows stays where its chunk is. Tasks become more with the chunks, not larger
+    tasks = max(held.seen["chunks"] // HELD_CHUNKS, 1)
+    linked = linked(held.df.select("chunk", "link", "unit", "times").repartition(tasks, "chunk") if few else held.df).drop("times")
+    by_units = linked.join(known, "link").groupBy("chunk", "unit").agg(F.count("*").alias("groups"), F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("n"))
     # as many rows to a chunk as it has units
-    by_chunk = by_units.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("unit", "best", "n"))).alias("of"))
-    total = lambda d, what: F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + F.get("of", u)[what])
-    rows = F.transform("docs", lambda d: F.struct(*[d[n].alias(n) for n in ("doc_id", "n_a", "n_b", "n_groups")], d["n_groups"].alias("n_links"), total(d, "best").alias("n_best"), total(d, "n").alias("count_sum"), d["groups_sha256"].alias("groups_sha256")))
-    return held.df.select("chunk", "docs").join(by_chunk, "chunk", "left").select(F.inline(rows))
+    by_chunk = (by_units if few else by_units.repartition(tasks, "chunk")).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("unit", "groups", "best", "n"))).alias("of"))
+    total = lambda d, of: F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + F.get(of, u))
+    sums_ = lambda *of: F.transform("docs", lambda d: F.struct(*[d[n].alias(n) for n in ("doc_id", "n_a", "n_b")], *[total(d, x).alias(n) for n, x in zip(("n_groups", "n_best", "count_sum"), of, strict=True)], d["groups_sha256"].alias("groups_sha256")))
+    each = held.df.select("chunk", "docs").join(by_chunk, "chunk", "left").select("docs", "of.groups", "of.best", "of.n")
+    return each.select(F.inline(lets(["groups", "best", "n"], sums_))).select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
