@@ -77,6 +77,15 @@ def test_overflow_class_and_stats(spark):
         hybrid_coloring(g, 0)
 
 
+def test_class_sizes_count_sources_only(spark):
+    """Each edge is counted once, by its source; isolated vertices and classes without edges have sizes too."""
+    g = make(spark, *G.TOYS["loops_dups"])
+    c = spark.createDataFrame([(0, 1), (1, 2), (2, 2), (3, 3)], "id long, part int")
+    got = class_sizes(g, c)
+    assert {tuple(r) for r in got.collect()} == {(1, 1, 1), (2, 2, 0), (3, 1, 3)}
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rank_modes(spark):
     n, e = G.random_graph(5)
     g = make(spark, n, e)
