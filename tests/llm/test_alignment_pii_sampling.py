@@ -95,6 +95,15 @@ def test_aligned_documents(frame, texts):
     assert all(r.lang == 7 for r in rows) and len(rows) == len(texts)
 
 
+def test_chunks_hold_tokens_and_no_bytes(frame):
+    """What a chunk hands over grows with its tokens, not with its bytes, and ends tell how many tokens came before."""
+    for r in token_alignment.cut_chunks(chunks := token_alignment.tokenize(frame)).collect():
+        assert all(at >> 32 <= len(r.a_ids) and (at & 0xFFFFFFFF) >> 1 <= len(r.b_ids) for at in r.at)
+        assert not r.at or (r.at[-1] >> 32, (r.at[-1] & 0xFFFFFFFF) >> 1, r.at[-1] & 1) == (len(r.a_ids), len(r.b_ids), 1)
+    for r in chunks.collect():
+        assert all(len(r[n]) <= max(len(r.a_ids), len(r.b_ids)) for n in chunks.columns if n != "docs")
+
+
 def test_tasks_grow_in_number(spark, frame, monkeypatch):
     """A task holds the sums of a few chunks, whatever the number of shuffle partitions."""
     monkeypatch.setattr(token_alignment, "ROWS", 3)

@@ -2,9 +2,9 @@
 
 A is a byte-level BPE over space + text, B a SentencePiece BPE over text, which adds the space. Arrow
 tasks tokenise the distinct units of some texts, put them one after the other and emit the ids of both
-sides, the byte offsets at which their tokens end and how many have ended up to each byte; all else
-is Spark higher-order functions. The offsets that `array_intersect` finds in both are cuts;
-`transform` and `zip_with` over them give the groups, by a `sequence` of tokens where a group has several on
+sides and the places where their tokens end, each told by how many tokens of either side have ended up to it; all else
+is Spark higher-order functions. The places that `array_intersect` finds in both are cuts;
+`zip_with` over them gives the groups, by a `sequence` of tokens where a group has several on
 a side, and the last tokens of a group are its link; a text's groups are those of its units in order, put
 together by `transform` and summed up by `aggregate`. Loops read arrays that are bound by a loop around
 them (`let`), as a row's columns cost more to read than a group to make. Links of all texts are
@@ -192,14 +192,17 @@ def kept_units(a_path: str, b_path: str) -> Units:
 
 
 def tokenize(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text") -> DataFrame:
-    """Rows of about CHUNK_BYTES of texts: ids and byte ends of both tokenisations of their distinct units, one after the other, and the unit of each
-    token of A; `upto`, how many tokens of A (from bit 32 on) and B (from bit 1 on) have ended up to each byte, and whether a unit ends there (bit 0); how often each unit occurs; and `docs`, the documents (without the text) with n_a, n_b and `units`, places among them."""
+    """Rows of about CHUNK_BYTES of texts: ids and ends of both tokenisations of their distinct units, one after the other, and the unit of each
+    token of A; how often each unit occurs; and `docs`, the documents (without the text) with n_a, n_b and `units`, places among them. An end is how many tokens of A (from bit 32 on) and
+    B (from bit 1 on) have ended up to the byte where the token ends, and whether a unit ends there (bit 0): ends are equal where the bytes are."""
     a_path, b_path = a_path or model_path("byte_bpe_50k.json"), b_path or model_path()
     ints = lambda kind=T.IntegerType(): T.ArrayType(kind, containsNull=False)
     fields = [f for f in docs.schema.fields if f.name.lower() not in (text.lower(), "n_a", "n_b", "units")]
     own = T.StructType([*fields, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("units", ints())])
-    schema = T.StructType([T.StructField(n, ints(), False) for n in ("a_ids", "a_ends", "a_unit", "b_ids", "b_ends")])
-    schema.add("upto", ints(T.LongType()), False).add("times", ints(T.LongType()), False).add("docs", T.ArrayType(own, containsNull=False), False)
+    schema = T.StructType([T.StructField(n, ints(), False) for n in ("a_ids", "a_unit", "b_ids")])
+    for n in ("a_ends", "b_ends", "times"):
+        schema.add(n, ints(T.LongType()), False)
+    schema.add("docs", T.ArrayType(own, containsNull=False), False)
     one = lambda x, kind=np.int32: pa.array([x.astype(kind)], pa.list_(pa.field("element", pa.from_numpy_dtype(kind), nullable=False)))
 
     def chunk(units: Units, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -213,7 +216,7 @@ def tokenize(docs: DataFrame, a_path: str | None = None, b_path: str | None = No
         held = pa.StructArray.from_arrays([*values, places], [f.name for f in own.fields])
         upto = np.cumsum(np.bincount(a_ends, minlength=1)) << 32 | np.cumsum(np.bincount(b_ends, minlength=1)) << 1
         upto[unit_ends] |= 1
-        lists = [one(x) for x in (a_ids, a_ends, np.repeat(np.arange(len(distinct)), n_a), b_ids, b_ends)] + [one(x, np.int64) for x in (upto, times)]
+        lists = [one(x) for x in (a_ids, np.repeat(np.arange(len(distinct)), n_a), b_ids)] + [one(x, np.int64) for x in (upto[a_ends], upto[b_ends], times)]
         listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held, type=pa.list_(pa.field("element", held.type, nullable=False)))
         return pa.RecordBatch.from_arrays([*lists, listed], schema.names)
 
@@ -242,11 +245,9 @@ def lets(names: list[str], body: Callable[..., Column]) -> Column:
 
 
 def cut_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks with `at`: what `upto` has at the bytes where tokens of both sides end."""
-    cuts = chunks.withColumn("cuts", F.array_intersect("a_ends", "b_ends"))
-    at = lets(["upto"], lambda upto: F.transform("cuts", lambda cut: F.get(upto, cut)))
-    # two uses of the cuts keep them in a projection of their own, which Spark compiles
-    return cuts.select("a_ids", "b_ids", "a_unit", "times", "docs", F.when(F.size("cuts") > 0, at).otherwise(F.array().cast("array<long>")).alias("at"))
+    """Chunks with `at`, the ends that tokens of both sides have."""
+    # it is used more than once, so it has a projection of its own, which Spark compiles
+    return chunks.select("a_ids", "b_ids", "a_unit", "times", "docs", F.array_intersect("a_ends", "b_ends").alias("at"))
 
 
 def a_upto(at: Column) -> Column:
