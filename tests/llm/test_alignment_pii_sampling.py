@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,36 @@ def test_chunks_hold_tokens_and_no_bytes(frame):
         assert all(len(r[n]) <= max(len(r.a_ids), len(r.b_ids)) for n in chunks.columns if n != "docs")
 
 
+def test_digests_of_chunks(frame, texts, monkeypatch):
+    """Digests come with the chunk's documents, so that no text of a group goes through Spark's loops."""
+    monkeypatch.setattr(token_alignment, "CHUNK_BYTES", 5000)
+    chunks = token_alignment.tokenize(frame.select("doc_id", "text"), digests=True)
+    got = Counter((d.doc_id, d.n_a, d.n_b, d.groups_sha256) for r in chunks.collect() for d in r.docs)
+    assert got == Counter((*row[:3], row[7]) for row in alignment_brute(texts).elements())
+
+
+def test_units_are_looked_up_once(texts):
+    """A chunk's distinct units are asked for, not all that its texts have; cutting loses nothing, wherever texts are cut at fewer places."""
+    units = token_alignment.Units((token_alignment.byte_level(model_path("byte_bpe_50k.json")), token_alignment.pieces(model_path())))
+    cut, each = units.cut(pa.array(["a b a b", None, " a  b", "a\nb", ""], pa.string()))
+    assert each.tolist() == [4, 0, 2, 2, 0]
+    assert len(set(keys := cut.dictionary.to_pylist())) == len(keys) < each.sum()
+    asked = []
+
+    class Asked(dict):
+        def get(self, key, *rest):
+            asked.append(key)
+            return super().get(key, *rest)
+
+    units.number = Asked()
+    together, n = units.take([t for _, t in texts])
+    assert len(asked) == len(set(asked)) < len(together)
+    alone = [units.take([t])[0] for _, t in texts]
+    assert [len(x) for x in alone] == n.tolist()
+    for side in (0, 1):
+        assert units.tokens(side, together)[0].tolist() == [i for x in alone for i in units.tokens(side, x)[0].tolist()]
+
+
 def test_tasks_grow_in_number(spark, frame, monkeypatch):
     """A task holds the sums of a few chunks, whatever the number of shuffle partitions."""
     monkeypatch.setattr(token_alignment, "ROWS", 3)

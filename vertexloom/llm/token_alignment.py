@@ -2,11 +2,12 @@
 
 A is a byte-level BPE over space + text, B a SentencePiece BPE over text, which adds the space. Arrow
 tasks tokenise the distinct units of some texts, put them one after the other and emit the ids of both
-sides and the places where their tokens end, each told by how many tokens of either side have ended up to it; all else
-is Spark higher-order functions. The places that `array_intersect` finds in both are cuts;
+sides and the places where their tokens end, each told by how many tokens of either side have ended up to it; links and their sums
+are Spark higher-order functions, joins and aggregations. The places that `array_intersect` finds in both are cuts;
 `zip_with` over them gives the groups, by a `sequence` of tokens where a group has several on
 a side, and the last tokens of a group are its link; a text's groups are those of its units in order, put
-together by `transform` and summed up by `aggregate`. Loops read arrays that are bound by a loop around
+together by `transform` and summed up by `aggregate`. Only the texts that digests need are joined by Arrow's kernels in the
+task that tokenises, at the places that both sides' byte offsets have there: a text a group is dear in loops. Loops read arrays that are bound by a loop around
 them (`let`), as a row's columns cost more to read than a group to make. Links of all texts are
 counted by pair of ids with partial sums, and the counts go back to the links by a broadcast of the
 distinct pairs up to MOST_PAIRS, else by a join. Tasks hold the sums of some HELD_CHUNKS chunks,
@@ -27,15 +28,17 @@ through `tokenize` and `aligned_documents`, and one named like a new column is r
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +55,10 @@ CHUNK_BYTES = 2_000_000
 TOGETHER, HELD_CHUNKS = 10_000, 6
 #: A unit begins at a space after a solid character: printable ASCII, or Latin to N'Ko, where there is no other white space.
 _UNITS = re.compile(r"(?<=[!-~À-߿])(?= )")
-_CLOSED = re.compile(r"[!-~À-߿]\Z")
-#: Where a text can't be cut at every space and line break: one of them stands first or follows no solid character, or none ends the text.
-_OPEN = re.compile(r"\A[ \n]|[^!-~À-߿](?:[ \n]|\Z)")
+#: As Arrow's kernels read them. A unit that ends in a solid character; where a text can't be cut at every space and line break:
+#: one of them stands first or follows no solid character, or none ends the text.
+_CLOSED = r"[!-~À-߿]\z"
+_OPEN = r"\A[ \n]|[^!-~À-߿](?:[ \n]|\z)"
 #: Characters outside alphabets that all versions of Unicode agree on.
 _NEWER = re.compile(r"[^\x00-\u024F\u2010-\u2027]")
 #: Fixed value: how a byte-level text falls apart before merging.
@@ -111,6 +115,11 @@ def pieces(path: str) -> Vocabulary:
     return Vocabulary(lambda text: m.encode("a" + text)[ahead:], spellings(path), units)
 
 
+def listed(texts: pa.Array) -> list[str]:
+    """Python's texts, without the scalars that `to_pylist` makes first."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 class Units:
     """Tokens of the units met so far in two vocabularies; `good`: both spell the unit."""
 
@@ -122,32 +131,36 @@ class Units:
         self.number: dict[str, int] = {}  # of a unit without the space in front, or with it where the text isn't cut at every space
         self.good, self.ids, self.count = array("b"), (array("i"), array("i")), (array("q"), array("q"))
 
-    def cut(self, text: str | None) -> list[str]:
-        """Keys of a text's units. One that follows no solid character is no key of its own: such texts are cut at fewer places."""
-        if not text:
-            return []
-        if not self.units:
-            return [" " + text]
-        keys = text.replace("\n", " \n").split(" ")
-        if not _OPEN.search(text) or all(map(self.number.__contains__, keys)):
-            return keys
-        return _UNITS.split(" " + text)
-
-    def add(self, keys: list[str]) -> None:
+    def cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """Keys of the units of all texts, and how many each has. One that follows no solid character is no key of its own: such texts are cut at fewer places."""
+        texts = texts.cast(pa.string()).fill_null("")
+        some = pc.not_equal(texts, "")
+        plain = pc.and_(some, pc.invert(pc.match_substring_regex(texts, _OPEN))) if self.units else pa.array(np.zeros(len(texts), bool))
+        at_spaces = pc.split_pattern(pc.replace_substring(texts.filter(plain), "\n", " \n"), " ")
+        others = [_UNITS.split(" " + t) if self.units else [" " + t] for t in texts.filter(pc.and_not(some, plain)).to_pylist()]
+        keys = pa.concat_arrays([at_spaces.flatten(), pa.array(chain.from_iterable(others), pa.string())]).dictionary_encode()
+        each, is_plain = np.zeros(len(texts), np.int64), plain.to_numpy(zero_copy_only=False)
+        rows = np.r_[np.flatnonzero(is_plain), np.flatnonzero(some.to_numpy(zero_copy_only=False) & ~is_plain)]
+        each[rows] = np.r_[at_spaces.value_lengths().to_numpy(), np.fromiter(map(len, others), np.int64, len(others))]
+        begin = np.zeros(len(texts), np.int64)
+        begin[rows] = np.cumsum(each[rows]) - each[rows]
+        return keys.take(pa.array(spans(begin, each))), each
+
+    def add(self, keys: pa.Array) -> None:
         """Takes new units, those that end in a solid character together, as nothing goes on across their borders."""
-        units = [k if k[0] in " \n" else " " + k for k in keys]
-        closed = [bool(self.units and _CLOSED.search(u)) and "▁" not in u for u in units]
-        for together in (True, False):
-            some = [u for u, c in zip(units, closed, strict=True) if c == together]
-            for at, k in enumerate(k for k, c in zip(keys, closed, strict=True) if c == together):
-                self.number[k] = len(self.good) + at
-            step = TOGETHER if together else 1
+        whole = pc.match_substring_regex(keys, r"\A[ \n]")
+        units = pc.binary_join_element_wise(pc.if_else(whole, "", " "), keys, "")
+        closed = pc.and_not(pc.match_substring_regex(units, _CLOSED), pc.match_substring(units, "▁"))
+        closed = closed if self.units else pa.array(np.zeros(len(keys), bool))
+        for which, step in ((closed, TOGETHER), (pc.invert(closed), 1)):
+            some = units.filter(which)
+            self.number.update(zip(listed(keys.filter(which)), range(len(self.good), len(self.good) + len(some)), strict=True))
             for at in range(0, len(some), step):
-                self._add(some[at : at + step])
+                self._add(some.slice(at, step))
 
-    def _add(self, units: list[str]) -> None:
-        text = "".join(units)
-        spelled, size = text.encode(), np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in units), np.int64)
+    def _add(self, units: pa.Array) -> None:
+        text, size = "".join(listed(units)), pc.binary_length(units).to_numpy().astype(np.int64)
+        spelled = text.encode()
         ids = [np.array(side.encode(text), np.int32) for side in self.sides]
         good = all(side.spell(x) == spelled for side, x in zip(self.sides, ids, strict=True))
         self.good.extend([good] * len(units))
@@ -158,17 +171,18 @@ class Units:
             kept.frombytes(x.tobytes())
             count.frombytes(np.diff(at).astype(np.int64).tobytes())
 
-    def take(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def take(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the units of all texts, and how many each has; none where a unit isn't spelled."""
-        cut = [self.cut(t) for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.number)
-        if new:
-            self.add(sorted(new))
-        each = np.fromiter(map(len, cut), np.int64, len(cut))
-        unit = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64, each.sum())
-        for u in new:
-            if len(u) > KEEP_BYTES:
-                del self.number[u]
+        cut, each = self.cut(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        keys = listed(cut.dictionary)
+        number = np.fromiter(map(self.number.get, keys, repeat(-1)), np.int64, len(keys))
+        at = np.flatnonzero(number < 0)
+        new = cut.dictionary.take(pa.array(at))
+        self.add(new.take(pc.sort_indices(new)))  # like units lie together, which packs better
+        number[at] = [self.number[keys[i]] for i in at.tolist()]
+        unit = number[cut.indices.to_numpy()]
+        for key in new.filter(pc.greater(pc.utf8_length(new), KEEP_BYTES)).to_pylist():
+            del self.number[key]
         bad = sums((~np.array(self.good, bool)[unit]).astype(np.int64), each) > 0
         return unit[np.repeat(~bad, each)], np.where(bad, 0, each)
 
@@ -179,6 +193,19 @@ class Units:
         return ids, np.cumsum(self.sides[side].size[ids]), n[unit]
 
 
+def joined(texts: pa.Array, stops: np.ndarray, by: str) -> pa.Array:
+    """Runs of the texts that stop at these places, each as one text."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[0, stops].astype(np.int32)), texts), by)
+
+
+def group_digests(a_ids: np.ndarray, b_ids: np.ndarray, at: np.ndarray, place: np.ndarray, each: np.ndarray) -> pa.Array:
+    """Digests of documents' groups as `a1,a2|b1;a3|b2`. at: ends that tokens of both sides have; place: the documents' units, in order; each: how many a document has."""
+    ids = [joined(pa.array(x).cast(pa.string()), stops, ",") for x, stops in ((a_ids, at >> 32), (b_ids, (at & (1 << 32) - 1) >> 1))]
+    units = joined(pc.binary_join_element_wise(*ids, "|"), np.flatnonzero(at & 1) + 1, ";")
+    whole = joined(units.take(pa.array(place)), np.cumsum(each), ";")
+    return pa.array([hashlib.sha256(text.as_buffer()).hexdigest() if n else "" for text, n in zip(whole, each.tolist(), strict=True)], pa.string())
+
+
 _KEPT: dict[tuple[str, str], Units] = {}
 
 
@@ -191,34 +218,38 @@ def kept_units(a_path: str, b_path: str) -> Units:
     return units
 
 
-def tokenize(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, text: str = "text", digests: bool = False) -> DataFrame:
     """Rows of about CHUNK_BYTES of texts: ids and ends of both tokenisations of their distinct units, one after the other, and the unit of each
     token of A; how often each unit occurs; and `docs`, the documents (without the text) with n_a, n_b and `units`, places among them. An end is how many tokens of A (from bit 32 on) and
-    B (from bit 1 on) have ended up to the byte where the token ends, and whether a unit ends there (bit 0): ends are equal where the bytes are."""
+    B (from bit 1 on) have ended up to the byte where the token ends, and whether a unit ends there (bit 0): ends are equal where the bytes are. digests: `docs` have groups_sha256 too."""
     a_path, b_path = a_path or model_path("byte_bpe_50k.json"), b_path or model_path()
     ints = lambda kind=T.IntegerType(): T.ArrayType(kind, containsNull=False)
     fields = [f for f in docs.schema.fields if f.name.lower() not in (text.lower(), "n_a", "n_b", "units")]
-    own = T.StructType([*fields, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), T.StructField("units", ints())])
+    own = T.StructType([*fields, T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType()), *[T.StructField("groups_sha256", T.StringType())] * digests, T.StructField("units", ints())])
     schema = T.StructType([T.StructField(n, ints(), False) for n in ("a_ids", "a_unit", "b_ids")])
     for n in ("a_ends", "b_ends", "times"):
         schema.add(n, ints(T.LongType()), False)
     schema.add("docs", T.ArrayType(own, containsNull=False), False)
-    one = lambda x, kind=np.int32: pa.array([x.astype(kind)], pa.list_(pa.field("element", pa.from_numpy_dtype(kind), nullable=False)))
+    row = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x, type=pa.list_(pa.field("element", x.type, nullable=False)))
+    one = lambda x, kind=np.int32: row(pa.array(x.astype(kind)))
 
     def chunk(units: Units, batches: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
-        unit, each = units.take(rows.column(rows.schema.get_field_index(text)).to_pylist())
-        distinct, place, times = np.unique(unit, return_inverse=True, return_counts=True)
+        unit, each = units.take(rows.column(rows.schema.get_field_index(text)))
+        met = np.bincount(unit, minlength=1)
+        distinct, place = np.flatnonzero(met), (np.cumsum(met > 0) - 1)[unit]
         (a_ids, a_ends, n_a), (b_ids, b_ends, n_b) = units.tokens(0, distinct), units.tokens(1, distinct)
         unit_ends = np.r_[0, a_ends][np.cumsum(n_a)]
         values = [rows.column(rows.schema.get_field_index(f.name)) for f in fields] + [pa.array(sums(n[place], each)) for n in (n_a, n_b)]
+        a_at, b_at = np.bincount(a_ends, minlength=1), np.bincount(b_ends, minlength=1)
+        upto = np.cumsum(a_at) << 32 | np.cumsum(b_at) << 1
+        upto[unit_ends] |= 1
+        if digests:
+            values.append(group_digests(a_ids, b_ids, upto[(a_at > 0) & (b_at > 0)], place, each))
         places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(place.astype(np.int32)), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
         held = pa.StructArray.from_arrays([*values, places], [f.name for f in own.fields])
-        upto = np.cumsum(np.bincount(a_ends, minlength=1)) << 32 | np.cumsum(np.bincount(b_ends, minlength=1)) << 1
-        upto[unit_ends] |= 1
-        lists = [one(x) for x in (a_ids, np.repeat(np.arange(len(distinct)), n_a), b_ids)] + [one(x, np.int64) for x in (upto[a_ends], upto[b_ends], times)]
-        listed = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held, type=pa.list_(pa.field("element", held.type, nullable=False)))
-        return pa.RecordBatch.from_arrays([*lists, listed], schema.names)
+        lists = [one(x) for x in (a_ids, np.repeat(np.arange(len(distinct)), n_a), b_ids)] + [one(x, np.int64) for x in (upto[a_ends], upto[b_ends], met[distinct])]
+        return pa.RecordBatch.from_arrays([*lists, row(held)], schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -277,14 +308,6 @@ def group_ids(a: Column, b: Column, before: Column, here: Column) -> Column:
     return F.struct(ids(a, a_upto).alias("a"), ids(b, b_upto).alias("b"))
 
 
-def group_text(a: Column, b: Column, before: Column, here: Column) -> Column:
-    """The ids of a group, as `a1,a2|b1`, and what follows: a line break at the end of its unit, else `;`."""
-    one = here.bitwiseOR(F.lit(1)) - before.bitwiseOR(F.lit(1)) == (1 << 32) + 2  # a token of each side, as nearly all groups have
-    many = lambda name: F.array_join(group_ids(a, b, before, here)[name].cast("array<string>"), ",")
-    end = F.when(ends_unit(here), "\n").otherwise(";")
-    return F.when(one, F.concat(F.get(a, a_upto(before)).cast("string"), F.lit("|"), F.get(b, b_upto(before)).cast("string"), end)).otherwise(F.concat(many("a"), F.lit("|"), many("b"), end))
-
-
 def group_link(a: Column, b: Column, _: Column, here: Column) -> Column:
     """The two ids that end a group, as one number."""
     return F.shiftleft(F.get(a, a_upto(here) - 1).cast("long"), 32) + F.get(b, b_upto(here) - 1)
@@ -295,11 +318,6 @@ def group_units() -> Column:
     return lets(["a_unit"], lambda unit: F.transform("at", lambda here: F.get(unit, a_upto(here) - 1)))
 
 
-def unit_texts() -> Column:
-    """The groups of each unit of a cut chunk as `a1,a2|b1;a3|b2`; an empty text follows the last."""
-    return F.split(F.array_join(by_group(group_text), ""), "\n")
-
-
 def by_unit(values: Column) -> Column:
     """What of the groups' values belongs to each unit of a cut chunk."""
     stops = F.filter(F.transform("at", lambda at, k: F.when(ends_unit(at), k + 1)), lambda k: k.isNotNull())
@@ -324,12 +342,8 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 def alignment_digests(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links (a group has one), n_best, count_sum, groups_sha256."""
-    # texts of units come from the cuts of a chunk, not from slices: a doc's groups are those of its units, in order
-    text = lambda texts, d: F.when(F.size(d["units"]) > 0, F.sha2(F.array_join(F.transform(d["units"], lambda u: F.get(texts, u)), ";"), 256)).otherwise("")
-    digest = lambda texts: F.transform("docs", lambda d: F.struct(*[d[n].alias(n) for n in ("doc_id", "n_a", "n_b")], text(texts, d).alias("groups_sha256"), d["units"].alias("units")))
-    found = cut_chunks(tokenize(docs.select("doc_id", "text"), a_path, b_path))
-    links = [by_group(group_link).alias("link"), group_units().alias("unit"), "times"]
-    held = Staged(found.select(F.monotonically_increasing_id().alias("chunk"), let(unit_texts(), digest).alias("docs"), *links), "aligned", chunks=F.count("*"))
+    found = cut_chunks(tokenize(docs.select("doc_id", "text"), a_path, b_path, digests=True))
+    held = Staged(found.select(F.monotonically_increasing_id().alias("chunk"), "docs", by_group(group_link).alias("link"), group_units().alias("unit"), "times"), "aligned", chunks=F.count("*"))
     linked = lambda chunks: chunks.select("chunk", "times", F.inline(F.arrays_zip("link", "unit")))
     pairs = Staged(pair_counts(linked(held.df).select("link", F.get("times", F.col("unit")).alias("times"))), "pairs", pairs=F.count("*"))
     few = pairs.seen["pairs"] <= most_pairs
@@ -337,10 +351,11 @@ def alignment_digests(docs: DataFrame, a_path: str | None = None, b_path: str |
     # whole chunks are moved once; with a broadcast, all that follows stays where its chunk is. Tasks become more with the chunks, not larger
     tasks = max(held.seen["chunks"] // HELD_CHUNKS, 1)
     linked = linked(held.df.select("chunk", "link", "unit", "times").repartition(tasks, "chunk") if few else held.df).drop("times")
-    by_units = linked.join(known, "link").groupBy("chunk", "unit").agg(F.count("*").alias("groups"), F.sum(F.col("best").cast("long")).alias("best"), F.sum("n").alias("n"))
-    # as many rows to a chunk as it has units
-    by_chunk = (by_units if few else by_units.repartition(tasks, "chunk")).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("unit", "groups", "best", "n"))).alias("of"))
+    by_units = linked.join(known, "link").groupBy("chunk", "unit").agg(F.sum(F.when(F.col("best"), (1 << 32) + 1).otherwise(1 << 32)).alias("groups"), F.sum("n").alias("n"))
+    # `groups` holds how many there are (from bit 32 on) and how many are the best. As many rows to a chunk as it has units
+    by_chunk = (by_units if few else by_units.repartition(tasks, "chunk")).groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("unit", "groups", "n"))).alias("of"))
     total = lambda d, of: F.aggregate(d["units"], F.lit(0).cast("long"), lambda n, u: n + F.get(of, u))
-    sums_ = lambda *of: F.transform("docs", lambda d: F.struct(*[d[n].alias(n) for n in ("doc_id", "n_a", "n_b")], *[total(d, x).alias(n) for n, x in zip(("n_groups", "n_best", "count_sum"), of, strict=True)], d["groups_sha256"].alias("groups_sha256")))
-    each = held.df.select("chunk", "docs").join(by_chunk, "chunk", "left").select("docs", "of.groups", "of.best", "of.n")
-    return each.select(F.inline(lets(["groups", "best", "n"], sums_))).select("doc_id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+    sums_ = lambda groups, n: F.transform("docs", lambda d: F.struct(*[d[x].alias(x) for x in ("doc_id", "n_a", "n_b")], total(d, groups).alias("groups"), total(d, n).alias("count_sum"), d["groups_sha256"].alias("groups_sha256")))
+    each = held.df.select("chunk", "docs").join(by_chunk, "chunk", "left").select("docs", "of.groups", "of.n")
+    n_groups, n_best = F.shiftright("groups", 32), F.col("groups").bitwiseAND(F.lit((1 << 32) - 1))
+    return each.select(F.inline(lets(["groups", "n"], sums_))).select("doc_id", "n_a", "n_b", n_groups.alias("n_groups"), n_groups.alias("n_links"), n_best.alias("n_best"), "count_sum", "groups_sha256")
