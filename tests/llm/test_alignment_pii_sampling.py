@@ -153,6 +153,25 @@ def test_tasks_grow_in_number(spark, frame, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_row_groups_of_chunks_are_bounded(spark, frame, texts, monkeypatch):
+    """A reader unpacks a row group at once, so that one has a few chunks, however many its file has."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from vertexloom.plans import lineage
+
+    monkeypatch.setattr(token_alignment, "ROWS", 1)
+    monkeypatch.setattr(token_alignment, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(lineage, "WIDE_GROUP", 1000, raising=False)
+    before = set(glob.glob(at := f"{lineage.shared_dir(spark).removeprefix('file://')}/aligned-*/*.parquet"))
+    got = token_alignment.alignment_digests(frame.coalesce(1))
+    files = [pq.ParquetFile(f).metadata for f in set(glob.glob(at)) - before]
+    assert sum(m.num_rows for m in files) == len(texts) > 100
+    assert max(m.row_group(k).num_rows for m in files for k in range(m.num_row_groups)) <= 30
+    assert Counter(map(tuple, got.collect())) == alignment_brute(texts)
+
+
 def test_unit_tables_begin_anew(frame, texts, monkeypatch):
     monkeypatch.setattr(token_alignment, "MOST_KEPT", 50)
     monkeypatch.setattr(token_alignment, "KEEP_BYTES", 4)

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, parts, sums
+from .common import Staged, Wide, parts, sums
 from .piece_sampling import model_path, spans, spellings
 
 MOST_PAIRS = 500_000
@@ -343,7 +343,8 @@ def pair_counts(links: DataFrame) -> DataFrame:
 def alignment_digests(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links (a group has one), n_best, count_sum, groups_sha256."""
     found = cut_chunks(tokenize(docs.select("doc_id", "text"), a_path, b_path, digests=True))
-    held = Staged(found.select(F.monotonically_increasing_id().alias("chunk"), "docs", by_group(group_link).alias("link"), group_units().alias("unit"), "times"), "aligned", chunks=F.count("*"))
+    # a row is a chunk, some MB
+    held = Wide(found.select(F.monotonically_increasing_id().alias("chunk"), "docs", by_group(group_link).alias("link"), group_units().alias("unit"), "times"), "aligned", chunks=F.count("*"))
     linked = lambda chunks: chunks.select("chunk", "times", F.inline(F.arrays_zip("link", "unit")))
     pairs = Staged(pair_counts(linked(held.df).select("link", F.get("times", F.col("unit")).alias("times"))), "pairs", pairs=F.count("*"))
     few = pairs.seen["pairs"] <= most_pairs
